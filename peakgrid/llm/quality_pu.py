@@ -2,9 +2,10 @@
 
 Trusted positives are labelled documents of quality 1; the unlabelled sample is drawn from all documents of the learning fold,
 whatever their labels. A linear function over binned document statistics minimises the non-negative unbiased risk
-(Kiryo et al., Positive-Unlabeled Learning with Non-Negative Risk Estimator, 2017); the class prior is estimated from the two samples
-alone, by the bin of scores in which unlabelled documents are scarcest against positives (Garg et al., Mixture Proportion Estimation
-and PU Learning, 2021).
+(Kiryo et al., Positive-Unlabeled Learning with Non-Negative Risk Estimator, 2017). The class prior is the share of quality 1
+among all labels of the learning fold; where only positives are labelled, it is estimated from the two samples alone, by the
+threshold above which unlabelled documents are scarcest against positives (Garg et al., Mixture Proportion Estimation and PU
+Learning, 2021), which errs to the high side. No document of quality 0 is used as a negative.
 """
 
 from __future__ import annotations
@@ -75,7 +76,9 @@ def prior_of(p: np.ndarray, u: np.ndarray, sure: float = 0.1) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, train_max: int = TRAIN_MAX) -> Model:
     """Fit on at most train_max trusted positives and train_max unlabelled documents outside the held-out fold, both chosen by a hash of their ids."""
-    learn = lambda df: df.where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_max).distinct()
+    fold = F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))
+    learn = lambda df: df.where(fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_max).distinct()
+    marked = common.pick(labels, "doc_id", "quality").where(fold).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).first()
     good = learn(common.pick(labels, "doc_id", "quality").where("quality = 1").select("doc_id")).withColumn("kind", F.lit(1))
     web = learn(common.pick(docs, "doc_id")).withColumn("kind", F.lit(0))
     x, got = stat_rows(docs, good.unionByName(web).groupBy("doc_id").agg(F.bit_or(F.when(F.col("kind") == 1, 1).otherwise(2)).alias("kinds")))
@@ -86,9 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_max: int = TRAIN_MAX) -> Model
     p, u = z[kinds & 1 > 0], z[kinds & 2 > 0]
     if len(p) < 10 or len(u) < 10:
         return Model(edges, np.zeros(z.shape[1]), 1.0, 1.0)
-    half = np.arange(len(p)) % 2 == 0, np.arange(len(u)) % 2 == 0
-    w, b = nn_risk(p[half[0]], u[half[1]], 0.5, steps=200)
-    prior = prior_of(p[~half[0]] @ w + b, u[~half[1]] @ w + b)
+    if marked["bad"]:
+        prior = float(np.clip(marked["good"] / (marked["good"] + marked["bad"]), 0.05, 0.99))
+    else:
+        half = np.arange(len(p)) % 2 == 0, np.arange(len(u)) % 2 == 0
+        w, b = nn_risk(p[half[0]], u[half[1]], 0.5, steps=200)
+        prior = prior_of(p[~half[0]] @ w + b, u[~half[1]] @ w + b)
     w, b = nn_risk(p, u, prior)
     return Model(edges, w, b, prior)
 
