@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality_pu, quality_rules, simhash
+from . import language, packing, quality_pu, quality_rules, simhash
 from .common import read
 
 
@@ -32,6 +32,16 @@ def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality_pu.in_fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op7_quality_rules, op8_language_id, op9_quality_pu)}
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.placed(read(spark, sf_dir, "documents"), tokenizer())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing)}
 
 SQL: dict[str, str] = {}
