@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality_pu, quality_rules, simhash
+from . import html_text, language, packing, quality_pu, quality_rules, simhash, warc
 from .common import read
 
 
@@ -15,6 +15,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(read(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_rules.apply(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
@@ -42,6 +50,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placed(read(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op5_html_text, op6_warc, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing)}
 
 SQL: dict[str, str] = {}
