@@ -30,7 +30,7 @@ CACHE_MAX = 600_000
 #: Text bytes whose words are looked up at once.
 BLOCK = 2 << 20
 #: Pieces in one salted part of a length, about.
-PART = 200_000
+PART = 4_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -207,8 +207,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset += n * length
         base += times
     table = np.array(sorted(seg), np.int64).reshape(-1, 5)
-    salts = -(-sum(hist.values()) // PART) or 1
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salts = F.get(F.array(*[F.lit(hist.get(k, 0) // PART + 1) for k in range(capacity + 1)]), F.col("length").cast("int"))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
     own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32"))
