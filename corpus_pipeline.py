@@ -1,5 +1,59 @@
-"""A corpus pipeline: each stage calls one corpus operator on all that the stage before it kept."""
-STAGES = []
+"""A corpus pipeline: each stage calls one corpus operator on all that the stage before it kept.
+
+All stages but the last return the columns of documents. A null text is an empty one: the quality stage scores it, and the language
+stage, which keeps only texts with letters, rejects it. Repeated rows and copies fall to one in the near-duplicate stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peakgrid.llm import common, decontaminate, language, packing, quality_pu, simhash
+from peakgrid.llm.queries import tokenizer
+
+
+def kept(judged: DataFrame, cols: list[str], column: int, verdict) -> DataFrame:
+    """The first columns of judged, where verdict holds of the column at this place after them."""
+    return common.numbered(judged).where(verdict(F.col(f"_{len(cols) + column}"))).select(*[f"_{i}" for i in range(len(cols))]).toDF(*cols)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier predicts to be good."""
+    model = quality_pu.fit(docs, common.read(spark, sf_dir, "labels"))
+    return kept(quality_pu.apply(docs, model, docs.columns), docs.columns, 1, lambda predicted: predicted == 1)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language: all but those without a letter."""
+    return kept(language.apply(docs, language.fit(docs), docs.columns), docs.columns, 0, lambda lang: lang != "und")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that SimHash links join, as op1 links them."""
+    return simhash.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated, as op4 judges them."""
+    return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that are left, in sequences, as op10 packs them."""
+    return packing.placed(docs, tokenizer())
+
+
+STAGES = [("quality classifier", quality), ("language ID", languages), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("best-fit packing", pack)]
+
+#: Fitted models and tokenisers can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.table(docs)
+    return docs

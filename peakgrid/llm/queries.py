@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, packing, quality_pu, quality_rules, sharding, simhash, warc
+from . import decontaminate, html_text, language, licenses, packing, quality_pu, quality_rules, sharding, simhash, warc
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -59,6 +63,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placed(read(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hilbert_shards, op4_decontaminate, op5_html_text, op6_warc, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hilbert_shards, op3_license_scan, op4_decontaminate, op5_html_text, op6_warc, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing)}
 
 SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL}
