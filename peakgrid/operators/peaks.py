@@ -16,8 +16,6 @@ HYDROGEN, ISOTOPE = 1.007825, 1.003355
 #: Fixed values of the neutral-mass bucket.
 PROTON, BIN = 1.00794, 1.0005079
 
-PEAKS = F.col("peaks")
-
 
 def mz(i: int) -> F.Column:
     return F.try_element_at("peaks", F.lit(i))["mz"]
