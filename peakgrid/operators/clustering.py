@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -87,6 +89,35 @@ def flat(merges: list[tuple[float, int, int]], n: int, eps: float) -> np.ndarray
     return np.array([root(i) for i in range(n)])
 
 
+def by_group(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
+    """fn of each group's rows, as applyInPandas, but many small groups share an Arrow batch: rows are dealt and sorted by key and cut where it changes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            k = pdf[key].to_numpy()
+            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
+            return pd.concat([fn(pdf.iloc[s:e]) for s, e in zip(at, at[1:], strict=False)], ignore_index=True)
+
+        for b in batches:
+            if not len(b):
+                continue
+            k = b[key].to_numpy()
+            if rest and rest[-1][key].iloc[-1] == k[-1]:
+                rest.append(b)  # one group goes on through the whole batch
+                continue
+            last = int(np.searchsorted(k, k[-1], side="left"))
+            done = pd.concat([*rest, b.iloc[:last]], ignore_index=True)
+            rest = [b.iloc[last:]]
+            if len(done):
+                yield solve(done)
+        if rest:
+            yield solve(pd.concat(rest, ignore_index=True))
+
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+
+
 def hierarchical(df: DataFrame, edges: DataFrame, eps: float, how: str = "complete") -> DataFrame:
     """df with cluster: hierarchical linkage of the group's masked distances, cut at eps < 1; the cluster is its least spectrum_id.
 
@@ -100,7 +131,10 @@ def hierarchical(df: DataFrame, edges: DataFrame, eps: float, how: str = "comple
     if how == "single":
         named = parts.select(F.col("node").alias("spectrum_id"), F.col("root").alias("cluster"))
     else:
-        inner = edges.join(parts.select(F.col("node").alias("id_a"), F.col("root").alias("part")), "id_a").join(parts.select(F.col("node").alias("id_b"), F.col("root").alias("_p")), "id_b").where("part = _p")
+        # a pair on its own is a cluster; only larger components need linking
+        size = parts.groupBy("root").agg(F.count("*").alias("n"))
+        sized = cut(parts.join(size, "root"))
+        inner = edges.join(sized.where("n > 2").select(F.col("node").alias("id_a"), F.col("root").alias("part")), "id_a").join(sized.where("n > 2").select(F.col("node").alias("id_b"), F.col("root").alias("_p")), "id_b").where("part = _p")
 
         def link(pdf: pd.DataFrame) -> pd.DataFrame:
             ids = np.unique(np.r_[pdf.id_a.to_numpy(), pdf.id_b.to_numpy()])
@@ -111,7 +145,8 @@ def hierarchical(df: DataFrame, edges: DataFrame, eps: float, how: str = "comple
             d[i, j] = d[j, i] = pdf.dist
             return pd.DataFrame({"spectrum_id": ids, "cluster": ids[linkage_labels(d, eps, how)]})
 
-        named = inner.select("part", "id_a", "id_b", "dist").groupBy("part").applyInPandas(link, "spectrum_id long, cluster long")
+        linked = by_group(inner.select("part", "id_a", "id_b", "dist"), "part", link, "spectrum_id long, cluster long")
+        named = linked.unionByName(sized.where("n = 2").select(F.col("node").alias("spectrum_id"), F.col("root").alias("cluster")))
     return df.join(named, "spectrum_id", "left").withColumn("cluster", F.coalesce("cluster", "spectrum_id"))
 
 
@@ -160,7 +195,7 @@ def refine(df: DataFrame, mz_tol: float, mode: str = "ppm", rt_tol: float | None
         out.loc[alone, "cluster"] = pd.NA
         return out[schema.names]
 
-    some = df.where("cluster is not null").groupBy("cluster").applyInPandas(run, schema)
+    some = by_group(df.where("cluster is not null"), "cluster", run, schema)
     none = df.where("cluster is null").select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
     return some.unionByName(none)
 

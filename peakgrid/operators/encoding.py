@@ -6,6 +6,7 @@ same vectors. The production one correlates neighbouring levels and m/z as the m
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,19 @@ def level_codebook(df: DataFrame, dim: int, q: int) -> DataFrame:
     return levels.withColumn("hv", md5_words(F.concat(F.lit("lv"), F.col("level").cast("string")), dim))
 
 
+def lane_sums(words: list[F.Column]) -> list[F.Column]:
+    """Sums of bits, two dimensions to a long: dimension 2k in the low and 2k + 1 in the high 32 bits of s{k}."""
+    pair = lambda w, d: F.shiftright(w, d).bitwiseAND(F.lit(1).cast("long")).bitwiseOR(F.shiftleft(F.shiftright(w, d + 1).bitwiseAND(F.lit(1).cast("long")), 32))
+    return [F.sum(pair(w, d)).alias(f"s{(32 * i + d) // 2}") for i, w in enumerate(words) for d in range(0, 32, 2)]
+
+
+def majority(dim: int, on) -> list[F.Column]:
+    """Words whose bits are set where on(count) holds of the counts in lane_sums."""
+    count = lambda d: F.shiftright(F.coalesce(F.col(f"s{d // 2}"), F.lit(0).cast("long")), 32 * (d % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    zero = F.lit(0).cast("long")
+    return [sum((F.when(on(count(d)), F.lit(1 << d % 32).cast("long")).otherwise(zero) for d in range(32 * w, 32 * w + 32)), zero) for w in range(dim // 32)]
+
+
 def encode_portable(df: DataFrame, dim: int = 64, q: int = 16) -> DataFrame:
     """df with hv: in dimension d the majority of level vector times m/z vector over the peaks (bits 1 as +1, 0 as -1), ties 0.
 
@@ -45,10 +59,8 @@ def encode_portable(df: DataFrame, dim: int = 64, q: int = 16) -> DataFrame:
     both = peaks.join(levels, "level", "left").join(ids, "mz_index", "left")
     agree = [F.bitwise_not(F.get("lv", F.lit(w)).bitwiseXOR(F.get("iv", F.lit(w)))) for w in range(dim // 32)]
     named = both.select("spectrum_id", *[a.alias(f"w{w}") for w, a in enumerate(agree)])
-    one = F.lit(1).cast("long")
-    counts = [F.sum(F.shiftright(f"w{d // 32}", d % 32).bitwiseAND(one)).alias(f"d{d}") for d in range(dim)]
-    summed = named.groupBy("spectrum_id").agg(F.count("w0").alias("n"), *counts)
-    words = [sum((F.when(2 * F.coalesce(F.col(f"d{d}"), F.lit(0)) > F.col("n"), F.lit(1 << d % 32).cast("long")).otherwise(F.lit(0).cast("long")) for d in range(32 * w, 32 * w + 32)), F.lit(0).cast("long")) for w in range(dim // 32)]
+    summed = named.groupBy("spectrum_id").agg(F.count("w0").alias("n"), *lane_sums([F.col(f"w{w}") for w in range(dim // 32)]))
+    words = majority(dim, lambda c: 2 * c > F.col("n"))
     return df.join(summed.select("spectrum_id", F.array(*words).alias("hv")), "spectrum_id")
 
 
@@ -78,6 +90,14 @@ def codebooks(dim: int, q: int, bins: int, flip: float, seed: int = 0) -> tuple[
     return levels, ids
 
 
+@lru_cache(maxsize=4)
+def md5_codebooks(dim: int, q: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """The portable codebook as int8 of -1 and 1."""
+    bit = lambda name, d: int(hashlib.md5(f"{name}:{d}".encode()).hexdigest()[7], 16) & 1
+    book = lambda kind, n: np.array([[2 * bit(f"{kind}{i}", d) - 1 for d in range(dim)] for i in range(n)], np.int8)
+    return book("lv", q + 1), book("id", bins)
+
+
 def pack(bits: np.ndarray) -> np.ndarray:
     """Rows of booleans as rows of 32-bit words in int64, least bit first."""
     return np.packbits(bits, axis=1, bitorder="little").view("<u4").astype(np.int64)
@@ -87,8 +107,8 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words.astype("<u4")).view(np.uint8), axis=1, bitorder="little").astype(bool)
 
 
-def encode(df: DataFrame, p: Params) -> DataFrame:
-    """df with hv, of hd_dim bits from the production codebook. m/z beyond the codebook take its last vector; a spectrum without peaks has only zeros.
+def encode(df: DataFrame, p: Params, portable: bool = False) -> DataFrame:
+    """df with hv, of hd_dim bits from the production codebook, or from the portable one. m/z beyond the codebook take its last vector; a spectrum without peaks has only zeros.
 
     Arrow batches pass through numpy without a shuffle; each Python worker builds the codebook once.
     """
@@ -98,7 +118,7 @@ def encode(df: DataFrame, p: Params) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("hv", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, ids = codebooks(dim, q, bins, flip)
+        levels, ids = md5_codebooks(dim, q, bins) if portable else codebooks(dim, q, bins, flip)
         for b in batches:
             peaks = b.column(n)
             ends = np.diff(peaks.offsets.to_numpy()).cumsum()
@@ -124,9 +144,6 @@ def encode(df: DataFrame, p: Params) -> DataFrame:
 
 def bundle(df: DataFrame, keys: list[str], dim: int, ties: int = 0) -> DataFrame:
     """(keys, hv, members): the majority of the vectors of each group, bit by bit. Where half of an even number of bits are 1, the bit is `ties`."""
-    one = F.lit(1).cast("long")
-    counts = [F.sum(F.shiftright(F.get("hv", F.lit(d // 32)), d % 32).bitwiseAND(one)).alias(f"d{d}") for d in range(dim)]
-    summed = df.groupBy(*keys).agg(F.count("hv").alias("members"), *counts)
-    over = lambda d: 2 * F.col(f"d{d}") >= F.col("members") if ties else F.col(f"d{d}") > F.floor(F.col("members") / 2)
-    words = [sum((F.when(over(d), F.lit(1 << d % 32).cast("long")).otherwise(F.lit(0).cast("long")) for d in range(32 * w, 32 * w + 32)), F.lit(0).cast("long")) for w in range(dim // 32)]
+    summed = df.groupBy(*keys).agg(F.count("hv").alias("members"), *lane_sums([F.get("hv", F.lit(w)) for w in range(dim // 32)]))
+    words = majority(dim, lambda c: 2 * c >= F.col("members") if ties else c > F.floor(F.col("members") / 2))
     return summed.select(*keys, F.array(*words).alias("hv"), "members")

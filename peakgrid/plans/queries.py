@@ -229,7 +229,8 @@ enc AS (SELECT clean.*, w0, w1 FROM clean JOIN hv USING (spectrum_id))"""
 
 
 def encoded(spark: SparkSession, d: str) -> DataFrame:
-    return table(encoding.encode_portable(chain(spark, d), 64, 16).drop("peaks"))
+    """The chain's spectra with portable vectors, by way of numpy; hv_encode makes the same ones by expressions."""
+    return table(encoding.encode(chain(spark, d), P, portable=True).drop("peaks"))
 
 
 def two_words(df: DataFrame, *cols: str) -> DataFrame:
