@@ -1,11 +1,7 @@
-"""What the corpus operators share: picking columns, scratch tables, Arrow plumbing and graph components."""
+"""What the corpus operators share: picking columns and Arrow plumbing; scratch tables and graph components are the library's."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
+from ..plans.scratch import cut, release, scratch, shared_dir, table
+
+__all__ = ["append", "components", "cut", "numbered", "pick", "read", "release", "scratch", "shared_dir", "slices", "table", "texts"]
+
 #: Text bytes that one Python step handles at once; longer batches are sliced by rows.
 SLICE_BYTES = 8 << 20
 
@@ -32,46 +33,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return numbered(df).select(*[F.col(f"_{cols.index(n)}").alias(n) for n in names])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="peakgrid-")
-        atexit.register(shutil.rmtree, own, True)
-        sc.setCheckpointDir(f"file://{own}")
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def table(df: DataFrame) -> DataFrame:
-    """As cut(), but as compressed Parquet in the shared folder. release() deletes all such tables of the application."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/peakgrid-{spark.sparkContext.applicationId}"
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the application's scratch tables. Results that still read them must have been written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """batch in row slices whose texts hold about SLICE_BYTES; a single longer text is a slice of its own."""
     n = batch.num_rows
@@ -106,32 +67,3 @@ def append(df: DataFrame, over: str, fn: Callable[[list[bytes]], list[pa.Array]]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=schema.names)
 
     return numbered(src).mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of the undirected graph with edges (a, b): rows (node, root), root the least node that can be reached.
-
-    Alternates large-star and small-star steps (Kiveris et al., Connected Components in MapReduce and Beyond, 2014): after some
-    logarithmic number of rounds every node hangs from its component's least node. All steps are joins and grouped minima; nothing
-    is gathered in one place, and each round is cut off in the shared folder. Nodes without edges don't appear; nulls are ignored.
-    """
-    flat = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = lambda e: e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-    now = cut(flat(edges))
-    seen = state(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = flat(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = cut(flat(small.select("e.a", "e.b")))
-        before, seen = seen, state(now)
-        if before == seen:
-            break
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

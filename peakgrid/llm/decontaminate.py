@@ -52,17 +52,19 @@ def positions(docs: DataFrame, widths: list[int]) -> DataFrame:
     return made.withColumn("h", h)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = WIDTH) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = WIDTH, broadcast_rows: int = native.BROADCAST_ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit (words inside any occurrence of a window), items (sorted ids, as strings, of the items with occurring windows), n_items.
 
     A null text has no words. An item with a null id marks words but isn't listed. Repeated rows, and rows with a null doc_id, each
-    get a row of their own.
+    get a row of their own. The prefix is broadcast if its counted rows are within broadcast_rows and the byte limit. Beyond that only
+    positions and hashes are shuffled to it, the bounds are applied, and the words of the few documents that are left are joined again.
     """
     win = common.table(windows(benchmark, window, width))
     widths = [r[0] for r in win.select("k").distinct().orderBy("k").collect()] or [width]
     src = common.pick(docs, "doc_id", "text")
     # how often each of the benchmark's shingles stands in the documents
-    wanted = native.sized(win.select("h").distinct(), 64)
+    wanted = win.select("h").distinct()
+    wanted = F.broadcast(wanted) if native.few(wanted, 64, broadcast_rows) else wanted
     often = positions(src.select("text"), widths).where("h is not null").select("h").join(wanted, "h").groupBy("h").agg(F.count("*").alias("df"))
     ranked = win.join(common.table(often), "h").withColumn("rank", F.row_number().over(Window.partitionBy("win", "len").orderBy("df", "h", "at")))
     # a window one of whose shingles stands nowhere can't occur
@@ -72,10 +74,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int
     start = F.col("at") - F.col("off")
     begins = (start >= 0) & (start + F.col("len") <= F.col("n"))
     same = F.slice("w", start + 1, F.col("len")) == F.col("win")
-    held = native.sized(prefix, 64 + 24 * window)
-    # own is the document's row itself; verifying stands in the projection, so that it is evaluated for joined rows alone
-    met = keyed.join(held, "h", "left").where("at = -1 or win is not null")
-    met = met.select("doc_id", "key", "n", (F.col("at") == -1).alias("own"), F.when((F.col("at") >= 0) & begins, same).alias("hit"), start.alias("s"), "len", "items").where("own or hit")
+    hit = F.when((F.col("at") >= 0) & begins, same)
+    own = (F.col("at") == -1).alias("own")
+    if native.few(prefix, 64 + 24 * window, broadcast_rows):
+        # own is the document's row itself; verifying stands in the projection, so that it is evaluated for joined rows alone
+        met = keyed.join(F.broadcast(prefix), "h", "left").where("at = -1 or win is not null")
+        met = met.select("doc_id", "key", "n", own, hit.alias("hit"), start.alias("s"), "len", "items").where("own or hit")
+    else:
+        narrow = keyed.select("doc_id", "key", "n", "at", "h")
+        near = narrow.where("h is not null").join(prefix, "h").where(begins).select("doc_id", "key", "n", start.alias("s"), "len", "win", "items")
+        words = src.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), native.words("text").alias("w")).dropDuplicates(["_id", "_key"])
+        again = near.join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+        found = again.where(F.slice("w", F.col("s") + 1, F.col("len")) == F.col("win")).select("doc_id", "key", "n", F.lit(False).alias("own"), F.lit(True).alias("hit"), "s", "len", "items")
+        alone = narrow.where("at = -1").select("doc_id", "key", "n", F.lit(True).alias("own"), F.lit(None).cast("boolean").alias("hit"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(prefix.schema["items"].dataType).alias("items"))
+        met = alone.unionByName(found)
     span = F.when(F.col("hit"), F.struct("s", (F.col("s") + F.col("len")).alias("e")))
     doc = met.groupBy("doc_id", "key", "n").agg(F.count_if("own").alias("rows"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("items", lambda x: x.cast("string")))))).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("end"))

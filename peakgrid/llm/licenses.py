@@ -9,12 +9,16 @@ segment the window of the template's size is compared shingle by shingle, as wor
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, native
 
 WIDTH, BLOCK, SEGMENT, BANDS = 3, 4, 8, 12
+#: Templates that are broadcast in one scan.
+TEMPLATES_MAX = 500
 #: Least share of a template's shingles in a window.
 LEAST = 0.8
 #: Names and texts of public licence notices.
@@ -78,7 +82,12 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, least: float = LE
     for name, text in texts.items():
         if name and len(text.split()) < width:
             raise ValueError(f"template {name!r} has fewer than {width} words")
-    held = native.sized(common.table(templates(docs.sparkSession, texts, width, segment, bands)), 2048)
+    if len(texts) > TEMPLATES_MAX:
+        # so many at a time: each part is scanned on its own, since all parts of one template stand in the same scan
+        names = list(texts)
+        parts = [{n: texts[n] for n in names[k : k + TEMPLATES_MAX]} for k in range(0, len(names), TEMPLATES_MAX)]
+        return reduce(DataFrame.unionByName, [scan(docs, part, least, width, block, segment, bands) for part in parts])
+    held = F.broadcast(common.table(templates(docs.sparkSession, texts, width, segment, bands)))  # TEMPLATES_MAX bounds it
     src = common.pick(docs, "doc_id", "text").select("doc_id", native.words("text").alias("w"))
     keys = banded(src.select("doc_id", "w", hashes("w", width).alias("hs")), block, bands)
     met = keys.join(held, "key").withColumn("n", F.size("hs"))

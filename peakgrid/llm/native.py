@@ -22,7 +22,7 @@ def shingle(array: str, at: F.Column, width: int) -> F.Column:
     return F.xxhash64(*[F.get(array, at + k) for k in range(width)])
 
 
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows, at row_bytes each, are within the limits; else as it is, to be shuffled and, where skewed, split by the engine."""
-    n = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES else df
+def few(df: DataFrame, row_bytes: int, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df's counted rows, at row_bytes each, are within the limits of a broadcast."""
+    n = df.limit(rows + 1).count()
+    return n <= rows and n * row_bytes <= BROADCAST_BYTES
