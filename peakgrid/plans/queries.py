@@ -619,7 +619,7 @@ def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{JUDGED}, n AS (SELECT cast(count_if(flag AND truth) AS BIGINT) AS tp, cast(count_if(flag AND NOT truth) AS BIGINT) AS fp, cast(count_if(truth) AS BIGINT) AS t FROM j), r AS (SELECT *, round(tp / (tp + fp)::DOUBLE, 4) AS p4, round(tp / t::DOUBLE, 4) AS r4 FROM n)
-SELECT round(tp / (tp + fp)::DOUBLE, 2) AS true_pos_rate, round(fp / (tp + fp)::DOUBLE, 2) AS false_pos_rate, round(tp / t::DOUBLE, 2) AS detection_rate, tp AS true_anomalies, fp AS false_anomalies, t AS expected_total_anomalies, p4 AS precision, r4 AS recall, round(2 * p4 * r4 / (p4 + r4), 4) AS f1_score FROM r""")
+SELECT round(tp / (tp + fp)::DOUBLE, 2) AS true_pos_rate, round(fp / (tp + fp)::DOUBLE, 2) AS false_pos_rate, round(tp / t::DOUBLE, 2) AS detection_rate, tp AS true_anomalies, fp AS false_anomalies, t AS expected_total_anomalies, p4 AS precision, r4 AS recall, round(2 * p4 * r4 / (p4 + r4) - 1e-12, 4) AS f1_score FROM r""")
 def detection_report(spark: SparkSession, d: str) -> DataFrame:
     j = judged(spark, d)
     return metrics.detection_report(j.where("flag"), j.where("truth"), ["doc_id"])
