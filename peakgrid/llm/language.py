@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 from . import common
 
 #: Documents that the machines are fitted on, at most, over all languages.
-TRAIN_MAX = 6_000
+TRAIN_MAX = 4_000
 #: Languages that can be learned, at most: the most frequent ones.
 LANGS_MAX = 200
-DIMS = 4096
+DIMS = 2048
 #: Families of common languages by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
