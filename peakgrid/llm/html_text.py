@@ -379,10 +379,10 @@ def labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def fit(pages: int = 500, seed: int = 7) -> gbt.Trees:
+def fit(pages: int = 1000, seed: int = 7) -> gbt.Trees:
     """Trees fitted on so many written pages."""
     both = [labelled(Writer(seed * 100_003 + k).page()) for k in range(pages)]
-    return gbt.fit(np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both]).astype(float), trees=40, depth=6, rate=0.3, bins=32)
+    return gbt.fit(np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both]).astype(float), trees=60, depth=6, rate=0.2, bins=32)
 
 
 def main_texts(sources: list[str], model: gbt.Trees) -> list[str]:
