@@ -112,7 +112,7 @@ def encode(df: DataFrame, p: Params, portable: bool = False) -> DataFrame:
 
     Arrow batches pass through numpy without a shuffle; each Python worker builds the codebook once.
     """
-    bins = max(codebook_length(p.min_mz, p.max_mz, p.fragment_tol)[0] if p.fragment_tol >= 1 else 0, int(p.max_mz) + 2)
+    bins = int(p.max_mz) + 2  # vectors are looked up by whole m/z
     dim, q, flip = p.hd_dim, p.hd_q, p.hd_id_flip_factor
     n = len(df.columns)
     schema = T.StructType([*df.schema.fields, T.StructField("hv", T.ArrayType(T.LongType()))])
@@ -147,3 +147,9 @@ def bundle(df: DataFrame, keys: list[str], dim: int, ties: int = 0) -> DataFrame
     summed = df.groupBy(*keys).agg(F.count("hv").alias("members"), *lane_sums([F.get("hv", F.lit(w)) for w in range(dim // 32)]))
     words = majority(dim, lambda c: 2 * c >= F.col("members") if ties else c > F.floor(F.col("members") / 2))
     return summed.select(*keys, F.array(*words).alias("hv"), "members")
+
+
+def cluster_bundles(df: DataFrame, keys: list[str], dim: int) -> DataFrame:
+    """Majority vectors with the precursor of one member, the least spectrum_id's."""
+    one = df.groupBy(*keys).agg(F.min_by("precursor_mz", "spectrum_id").alias("precursor_mz"))
+    return bundle(df, keys, dim).join(one, keys)

@@ -262,6 +262,11 @@ def hv_bundle_ties(spark: SparkSession, d: str) -> DataFrame:
     return two_words(encoding.bundle(testdata.hypervectors(spark, d), ["label"], 64, ties=1), "label", "members")
 
 
+@query(f"WITH {ENCODED}, n AS (SELECT precursor_charge, bucket, count(*) AS n, arg_min(precursor_mz, spectrum_id) AS mz FROM enc GROUP BY ALL), c AS (SELECT precursor_charge, bucket, d, sum(CASE WHEN d < 32 THEN (w0 >> d) & 1 ELSE (w1 >> (d - 32)) & 1 END) AS c FROM enc, range(64) r(d) GROUP BY ALL) SELECT precursor_charge, bucket, n AS members, round(mz, 6) AS precursor_mz, {PACK.format(on='c > n // 2')} FROM c JOIN n USING (precursor_charge, bucket) GROUP BY ALL")
+def cluster_bundles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(two_words(encoding.cluster_bundles(encoded(spark, d), GROUP, 64), *GROUP, "members", "precursor_mz"))
+
+
 # ---- distances and joins ----------------------------------------------------------------------------------------------------
 
 DIST = "(bit_count(xor({a}.w0, {b}.w0)) + bit_count(xor({a}.w1, {b}.w1))) / 64::DOUBLE"

@@ -112,8 +112,9 @@ def write(df: DataFrame, path: str, title: F.Column | None = None, cluster: bool
 
 
 def write_representatives(raw: DataFrame, clusters: DataFrame, path: str, key: list[str]) -> None:
-    """Write the representatives' spectra: raw spectra joined with flagged cluster rows by the natural key."""
-    reps = clusters.where("is_representative").select(*key, "cluster")
+    """Write the representatives' spectra: raw spectra joined with flagged cluster rows by the natural key. Raw spectra without a spectrum_id take that of the cluster row."""
+    own = [] if "spectrum_id" in raw.columns else ["spectrum_id"]
+    reps = clusters.where("is_representative").select(*key, *own, "cluster")
     write(raw.join(reps, key), path, cluster=True)
 
 
