@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,10 +13,13 @@ from pyspark.sql import types as T
 from ..operators.graph import components
 from ..plans.scratch import cut, release, scratch, shared_dir, table
 
-__all__ = ["append", "components", "cut", "numbered", "pick", "read", "release", "scratch", "shared_dir", "slices", "table", "texts"]
+__all__ = ["append", "blocks", "components", "cut", "numbered", "pick", "read", "release", "scratch", "shared_dir", "slices", "table", "texts"]
 
 #: Text bytes that one Python step handles at once; longer batches are sliced by rows.
 SLICE_BYTES = 8 << 20
+#: Bytes of one text that are worked on at once.
+BLOCK_BYTES = 4 << 20
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +58,19 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def blocks(text: bytes, size: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about so many bytes, each of which ends with a character of ASCII white space if the text goes on. A word longer than that stays whole."""
+    at, n = 0, len(text)
+    while n - at > size:
+        m = _SPACE.search(text, at + size)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    if at < n or not n:
+        yield text[at:] if at else text
+
+
 def append(df: DataFrame, over: str, fn: Callable[[list[bytes]], list[pa.Array]], fields: list[T.StructField], keep: list[str]) -> DataFrame:
     """Columns keep of df and, after them, what fn makes of the texts in column over. fn gets whole texts, a slice of rows at a time."""
     src = pick(df, *dict.fromkeys([*keep, over]))

@@ -45,16 +45,23 @@ def family(lang: str) -> str:
     return _FAMILY.get(lang.lower().replace("_", "-").split("-")[0], lang)
 
 
-def grams(text: str) -> np.ndarray:
-    """Square roots of the shares of hashed 2- and 3-byte sequences of the lower-cased letters: a unit vector, or zeros."""
-    a = np.frombuffer(b" " + text.lower().encode().translate(_PLAIN) + b" ", np.uint8).astype(np.uint32)
-    two = (a[:-1] * np.uint32(0x9E3779B1)) ^ (a[1:] * np.uint32(0x85EBCA77))
-    three = two[:-1] * np.uint32(31) + a[2:] * np.uint32(0xC2B2AE3D)
+def grams(text: bytes) -> np.ndarray:
+    """Square roots of the shares of hashed 2- and 3-byte sequences of the lower-cased letters: a unit vector, or zeros. Sequences don't reach over a block's end."""
     half = DIMS // 2
-    count = np.concatenate([np.bincount(x >> np.uint32(16) & np.uint32(half - 1), minlength=half) for x in (two, three)])
+    count = np.zeros(DIMS, np.int64)
+    for part in common.blocks(text):
+        a = np.frombuffer(b" " + part.decode().lower().encode().translate(_PLAIN) + b" ", np.uint8).astype(np.uint32)
+        two = (a[:-1] * np.uint32(0x9E3779B1)) ^ (a[1:] * np.uint32(0x85EBCA77))
+        three = two[:-1] * np.uint32(31) + a[2:] * np.uint32(0xC2B2AE3D)
+        for k, x in enumerate((two, three)):
+            count[k * half : (k + 1) * half] += np.bincount(x >> np.uint32(16) & np.uint32(half - 1), minlength=half)
     return np.sqrt(count / max(count.sum(), 1)).astype(np.float32)
 
 
+def lettered(text: bytes) -> bool:
+    return any(_LETTER.search(part.decode()) for part in common.blocks(text))
+
+
 def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150, rate: float = 0.05) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, both classes weighted alike. y: 1 or -1. The last weight is the offset."""
     w, m, v = np.zeros(x.shape[1] + 1, np.float32), np.float32(0), np.float32(0)
@@ -120,7 +127,7 @@ def fit(docs: DataFrame, train_max: int = TRAIN_MAX) -> Model:
     chosen = chosen.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(whole)) < F.try_element_at(share, F.col("lang")))
 
     def fn(rows: list[bytes]) -> list[pa.Array]:
-        return [pa.array([grams(t.decode()).astype(np.float16).tobytes() for t in rows], pa.binary())]
+        return [pa.array([grams(t).astype(np.float16).tobytes() for t in rows], pa.binary())]
 
     got = common.append(chosen, "text", fn, [T.StructField("x", T.BinaryType())], ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * train_max).toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
@@ -153,8 +160,8 @@ def apply(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def fn(rows: list[bytes]) -> list[pa.Array]:
         langs, scores = [], []
         for s in range(0, len(rows), 512):
-            part = [t.decode() for t in rows[s : s + 512]]
-            letters = np.array([bool(_LETTER.search(t)) for t in part])
+            part = rows[s : s + 512]
+            letters = np.array([lettered(t) for t in part])
             if model.families:
                 lang, score = model.predict(np.stack([grams(t) for t in part]))
                 lang[~letters], score[~letters] = "und", 0.0

@@ -103,15 +103,9 @@ class Encoder:
             block, size = [], 0
 
         for i, text in enumerate(rows):
-            at = 0
-            while at < len(text):
-                end = min(len(text), at + BLOCK)
-                while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
-                    end += 1
-                part = text[at:end] if end - at < len(text) else text
+            for part in common.blocks(text, BLOCK):
                 block.append((i, part.split() if b"<|" in part else part.lower().split()))
-                size += end - at
-                at = end
+                size += len(part)
                 if size >= BLOCK:
                     flush()
         flush()

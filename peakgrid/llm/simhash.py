@@ -27,21 +27,12 @@ from . import common
 TREE_MAX = 2048
 #: Text bytes that are split into words at once.
 BLOCK = 1 << 20
-SPACE = b" \t\n\r\x0b\x0c"
 
 
 def word_blocks(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text, A-Z lower-cased, a block of about BLOCK bytes at a time. No word is cut."""
-    if len(text) <= BLOCK:
-        yield text.lower().split()
-        return
-    at, n = 0, len(text)
-    while at < n:
-        end = min(n, at + BLOCK)
-        while end < n and text[end : end + 1] not in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"):
-            end += 1
-        yield text[at:end].lower().split()
-        at = end
+    for part in common.blocks(text, BLOCK):
+        yield part.lower().split()
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:

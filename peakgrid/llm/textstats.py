@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import common
+
 #: Fixed values of the quality rules: the symbols that they count.
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -25,11 +27,15 @@ def _windows(ids: np.ndarray, n_ids: int) -> np.ndarray:
 
 def measure(text: bytes) -> tuple[list[int], list[float]]:
     """BASE counts and FEATURES of one text. Words are runs of bytes other than ASCII white space."""
-    hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    words = text.split()
-    n = len(words)
+    hist = np.zeros(256, np.int64)
     seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, n)
+    found = []
+    for part in common.blocks(text):
+        hist += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
+        words = part.split()
+        found.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words)))
+    ids = found[0] if len(found) == 1 else np.concatenate(found)
+    n = len(ids)
     chars = int(hist.sum() - hist[128:192].sum())
     word_chars = chars - int(hist[_SPACES].sum())
     symbols = int(hist[_SYMBOLS].sum())

@@ -459,3 +459,21 @@ def test_slices_bound_memory():
     b = pa.RecordBatch.from_pydict({"t": ["x" * (3 << 20)] * 9 + [None, ""]})
     parts = list(common.slices(b, 0))
     assert sum(p.num_rows for p in parts) == 11 and max(p.num_rows for p in parts) <= 4
+
+
+def test_blocks_are_the_text():
+    r = random.Random(3)
+    for text in (b"", b" ", b"word", b"a b", H.say(r, 400).encode(), b"x" * 500 + b" y " + b"z" * 500, b"\n" * 90):
+        for size in (1, 7, 64, 10_000):
+            parts = list(common.blocks(text, size))
+            assert b"".join(parts) == text and [w for p in parts for w in p.split()] == text.split()
+            assert all(p[-1:].isspace() for p in parts[:-1])
+
+
+def test_long_texts_measure_alike(monkeypatch):
+    text = (H.say(random.Random(6), 900) + "\nÉé ß").encode()
+    whole = textstats.measure(text), language.grams(text)
+    monkeypatch.setattr(common.blocks, "__defaults__", (50,))
+    assert textstats.measure(text) == whole[0]
+    assert np.abs(language.grams(text) - whole[1]).max() < 0.02
+    assert language.lettered(text) and not language.lettered(b"12 " * 100)
