@@ -28,7 +28,7 @@ END_ID = 1
 #: Words whose ids a worker keeps, at most.
 CACHE_MAX = 600_000
 #: Text bytes whose words are looked up at once.
-BLOCK = 2 << 20
+BLOCK = 8 << 20
 #: Pieces in one salted part of a length, about.
 PART = 4_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -90,16 +90,14 @@ class Encoder:
 
         def flush() -> None:
             nonlocal block, size
-            new = set().union(*[w for _, w in block]) - self.known.keys()
-            more = self.learn(new) if new else {}
+            used = set().union(*[w for _, w in block])
+            more = self.learn(used - self.known.keys())
             if len(self.known) + len(more) <= CACHE_MAX:
                 self.known.update(more)
-                find = self.known.__getitem__
-            else:
-                find = lambda w: self.known.get(w) or more[w]
-                find = find if more else self.known.__getitem__
+            # words recur within a block: a small table of its own is read faster than the large one
+            near = {w: self.known.get(w) or more[w] for w in used} if more else dict(zip(used, map(self.known.__getitem__, used), strict=True))
             for i, words in block:
-                out[i].append(b"".join(map(find, words)))
+                out[i].append(b"".join(map(near.__getitem__, words)))
             block, size = [], 0
 
         for i, text in enumerate(rows):
