@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import running
+
 
 def draw(column: str | F.Column, salt: str = "") -> F.Column:
     """A text that orders ids at random."""
@@ -28,17 +30,22 @@ def train_test(df: DataFrame, split_size: int = 2, test_share: float = 0.4, mark
     return parts.unionByName(df.where(marked).withColumn("part", F.lit("test")))
 
 
+def placed(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, place): places from 1 in random order. Ranges of the order are counted and ranked on their own; no task sees all rows."""
+    drawn = df.select(id_col).withColumn("_draw", draw(id_col)).withColumn("_one", F.lit(1))
+    return running(drawn, ["_draw", id_col], {"place": "_one"}).select(id_col, "place")
+
+
 def ratio_split(df: DataFrame, ratio: float, id_col: str = "spectrum_id") -> DataFrame:
-    """df with part: first for int(ratio * n) of n rows in random order, else second."""
-    n = df.count()
-    chosen = df.select(id_col).orderBy(draw(id_col), id_col).limit(int(ratio * n)).withColumn("_in", F.lit(True))
-    return df.join(chosen, id_col, "left").withColumn("part", F.when(F.col("_in"), "first").otherwise("second")).drop("_in")
+    """df with part: first for int(ratio * n) of n rows in random order, else second. id_col must be unique."""
+    n = int(ratio * df.count())
+    return df.join(placed(df, id_col), id_col).withColumn("part", F.when(F.col("place") <= n, "first").otherwise("second")).drop("place")
 
 
 def sample_percent(df: DataFrame, percent: float, id_col: str = "spectrum_id") -> DataFrame:
-    """max(1, round(percent of n)) rows without replacement."""
-    n = df.count()
-    return df.orderBy(draw(id_col), id_col).limit(max(1, round(n * percent / 100)))
+    """max(1, round(percent of n)) rows without replacement. id_col must be unique."""
+    n = max(1, round(df.count() * percent / 100))
+    return df.join(placed(df, id_col).where(F.col("place") <= n).select(id_col), id_col, "left_semi")
 
 
 def balanced_split(df: DataFrame, parts: int, width: float = 50.0, mz: str = "mz", id_col: str | None = None) -> DataFrame:
