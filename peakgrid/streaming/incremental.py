@@ -23,9 +23,11 @@ def start(stream: DataFrame, history: DataFrame, p: Params, dim: int, path: str,
 
     def step(batch: DataFrame, number: int) -> None:
         state = history.select(*KEEP)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        before = [f"{path}/batch={k}" for k in range(number) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={k}"))]
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        # a batch that is run again doesn't see what came of it or of later ones
+        before = [f"{path}/{n}" for n in names if n.startswith("batch=") and int(n.removeprefix("batch=")) < number]
         if before:
             state = state.unionByName(spark.read.parquet(*before).select(*KEEP))
         anomaly.assign(batch, state, p, dim).write.mode("overwrite").parquet(f"{path}/batch={number}")
