@@ -30,7 +30,7 @@ CACHE_MAX = 600_000
 #: Text bytes whose words are looked up at once.
 BLOCK = 8 << 20
 #: Pieces in one salted part of a length, about.
-PART = 4_000
+PART = 1_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
