@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import Params
+from ..plans.scratch import table
 
 
 # ---- portable codebook ------------------------------------------------------------------------------------------------------
@@ -35,15 +36,26 @@ def level_codebook(df: DataFrame, dim: int, q: int) -> DataFrame:
     return levels.withColumn("hv", md5_words(F.concat(F.lit("lv"), F.col("level").cast("string")), dim))
 
 
-def lane_sums(words: list[F.Column]) -> list[F.Column]:
-    """Sums of bits, two dimensions to a long: dimension 2k in the low and 2k + 1 in the high 32 bits of s{k}."""
-    pair = lambda w, d: F.shiftright(w, d).bitwiseAND(F.lit(1).cast("long")).bitwiseOR(F.shiftleft(F.shiftright(w, d + 1).bitwiseAND(F.lit(1).cast("long")), 32))
-    return [F.sum(pair(w, d)).alias(f"s{(32 * i + d) // 2}") for i, w in enumerate(words) for d in range(0, 32, 2)]
+#: Spreads four bits over four lanes of 16 bits.
+SPREAD, LANES = 1 + (1 << 15) + (1 << 30) + (1 << 45), 1 + (1 << 16) + (1 << 32) + (1 << 48)
 
 
-def majority(dim: int, on) -> list[F.Column]:
+def lane_sums(words: list[F.Column], lanes: int) -> list[F.Column]:
+    """Sums of bits, 2 or 4 dimensions to a long: dimension lanes * k + j in lane j of s{k}. Lanes of 32 bits hold two thousand million, of 16 bits 32,767; a sum beyond that is an error, not a wrong count."""
+    one = F.lit(1).cast("long")
+
+    def spread(w: F.Column, d: int) -> F.Column:
+        if lanes == 4:
+            return (F.shiftright(w, d).bitwiseAND(F.lit(15).cast("long")) * F.lit(SPREAD)).bitwiseAND(F.lit(LANES))
+        return F.shiftright(w, d).bitwiseAND(one).bitwiseOR(F.shiftleft(F.shiftright(w, d + 1).bitwiseAND(one), 32))
+
+    return [F.sum(spread(w, d)).alias(f"s{(32 * i + d) // lanes}") for i, w in enumerate(words) for d in range(0, 32, lanes)]
+
+
+def majority(dim: int, lanes: int, on) -> list[F.Column]:
     """Words whose bits are set where on(count) holds of the counts in lane_sums."""
-    count = lambda d: F.shiftright(F.coalesce(F.col(f"s{d // 2}"), F.lit(0).cast("long")), 32 * (d % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    width = 64 // lanes
+    count = lambda d: F.shiftright(F.coalesce(F.col(f"s{d // lanes}"), F.lit(0).cast("long")), width * (d % lanes)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     zero = F.lit(0).cast("long")
     return [sum((F.when(on(count(d)), F.lit(1 << d % 32).cast("long")).otherwise(zero) for d in range(32 * w, 32 * w + 32)), zero) for w in range(dim // 32)]
 
@@ -54,13 +66,14 @@ def encode_portable(df: DataFrame, dim: int = 64, q: int = 16) -> DataFrame:
     Only the m/z and levels that occur get a vector, once each; one aggregation counts all dimensions.
     """
     peaks = df.select("spectrum_id", F.explode_outer("peaks").alias("p")).select("spectrum_id", F.floor("p.mz").cast("int").alias("mz_index"), F.floor(F.col("p.intensity") * q).cast("int").alias("level"))
+    peaks = table(peaks)  # read three times; what made the spectra runs once
     levels = peaks.select("level").distinct().where("level is not null").withColumn("lv", md5_words(F.concat(F.lit("lv"), F.col("level").cast("string")), dim))
     ids = peaks.select("mz_index").distinct().where("mz_index is not null").withColumn("iv", md5_words(F.concat(F.lit("id"), F.col("mz_index").cast("string")), dim))
     both = peaks.join(levels, "level", "left").join(ids, "mz_index", "left")
     agree = [F.bitwise_not(F.get("lv", F.lit(w)).bitwiseXOR(F.get("iv", F.lit(w)))) for w in range(dim // 32)]
     named = both.select("spectrum_id", *[a.alias(f"w{w}") for w, a in enumerate(agree)])
-    summed = named.groupBy("spectrum_id").agg(F.count("w0").alias("n"), *lane_sums([F.col(f"w{w}") for w in range(dim // 32)]))
-    words = majority(dim, lambda c: 2 * c > F.col("n"))
+    summed = named.groupBy("spectrum_id").agg(F.count("w0").alias("n"), *lane_sums([F.col(f"w{w}") for w in range(dim // 32)], 4))
+    words = majority(dim, 4, lambda c: 2 * c > F.col("n"))
     return df.join(summed.select("spectrum_id", F.array(*words).alias("hv")), "spectrum_id")
 
 
@@ -144,8 +157,8 @@ def encode(df: DataFrame, p: Params, portable: bool = False) -> DataFrame:
 
 def bundle(df: DataFrame, keys: list[str], dim: int, ties: int = 0) -> DataFrame:
     """(keys, hv, members): the majority of the vectors of each group, bit by bit. Where half of an even number of bits are 1, the bit is `ties`."""
-    summed = df.groupBy(*keys).agg(F.count("hv").alias("members"), *lane_sums([F.get("hv", F.lit(w)) for w in range(dim // 32)]))
-    words = majority(dim, lambda c: 2 * c >= F.col("members") if ties else c > F.floor(F.col("members") / 2))
+    summed = df.groupBy(*keys).agg(F.count("hv").alias("members"), *lane_sums([F.get("hv", F.lit(w)) for w in range(dim // 32)], 2))
+    words = majority(dim, 2, lambda c: 2 * c >= F.col("members") if ties else c > F.floor(F.col("members") / 2))
     return summed.select(*keys, F.array(*words).alias("hv"), "members")
 
 

@@ -239,7 +239,7 @@ def two_words(df: DataFrame, *cols: str) -> DataFrame:
 
 @query(f"WITH {ENCODED} SELECT spectrum_id, w0, w1 FROM hv")
 def hv_encode(spark: SparkSession, d: str) -> DataFrame:
-    return two_words(encoding.encode_portable(chain(spark, d), 64, 16), "spectrum_id")
+    return two_words(encoding.encode_portable(table(chain(spark, d)), 64, 16), "spectrum_id")
 
 
 @query()
