@@ -25,6 +25,8 @@ from .splits import draw
 SAMPLE = 10_000
 #: Points of one block of the neighbour search.
 BLOCK = 2_000
+#: Candidates beyond k whose distances are worked out anew.
+SPARE = 16
 
 
 def features(binned: DataFrame, bins: int, value: str = "intensity") -> DataFrame:
@@ -204,10 +206,21 @@ def neighbours(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         out = []
         ids = t.point.to_numpy()
         for s in range(0, len(a), 512):
-            d = np.sqrt(((a[s : s + 512, None, :] - b[None]) ** 2).sum(2)) if a.shape[1] <= 8 else np.sqrt(np.maximum((a[s : s + 512] ** 2).sum(1)[:, None] + (b**2).sum(1) - 2 * a[s : s + 512] @ b.T, 0))
-            d[q.point.to_numpy()[s : s + 512, None] == ids[None]] = np.inf
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"point": np.repeat(q.point.to_numpy()[s : s + 512], at.shape[1]), "other": ids[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()}))
+            some, mine = a[s : s + 512], q.point.to_numpy()[s : s + 512]
+            same = mine[:, None] == ids[None]
+            if a.shape[1] <= 8:
+                d = np.sqrt(((some[:, None, :] - b[None]) ** 2).sum(2))
+                d[same] = np.inf
+                at = np.argsort(d, axis=1, kind="stable")[:, :k]
+                d = np.take_along_axis(d, at, 1)
+            else:  # candidates by the products, whose rounding is made good on them
+                d = (some**2).sum(1)[:, None] + (b**2).sum(1) - 2 * some @ b.T
+                d[same] = np.inf
+                at = np.sort(np.argpartition(d, k + SPARE, axis=1)[:, : k + SPARE] if d.shape[1] > k + SPARE else np.broadcast_to(np.arange(d.shape[1]), d.shape), axis=1)
+                d = np.where(np.take_along_axis(same, at, 1), np.inf, np.sqrt(((some[:, None, :] - b[at]) ** 2).sum(2)))
+                first = np.argsort(d, axis=1, kind="stable")[:, :k]
+                at, d = np.take_along_axis(at, first, 1), np.take_along_axis(d, first, 1)
+            out.append(pd.DataFrame({"point": np.repeat(mine, at.shape[1]), "other": ids[at].ravel(), "d": d.ravel()}))
         got = pd.concat(out)
         return got[np.isfinite(got.d)]
 

@@ -710,6 +710,13 @@ def lof_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(baselines.local_outlier_factor(v, 0.05, 10).select("spectrum_id", "score"))
 
 
+@query()
+def lof_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """LOF of the whole embeddings with the default of 20 neighbours; lof_scores compares the operator with SQL on 4 dimensions."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("spectrum_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return baselines.local_outlier_factor(v, 0.05).select("spectrum_id", "score", "outlier")
+
+
 @query()
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     return baselines.isolation_forest(vectors(spark, d), 0.01).select("spectrum_id", "score", "outlier")

@@ -2,6 +2,7 @@
 
 import __spark_entry__
 import duckdb
+import numpy as np
 import pytest
 from peakgrid.plans import queries
 
@@ -51,3 +52,32 @@ def test_filters_and_columns_reach_the_scan(spark, data):
     assert "ReadSchema: struct<o_orderpriority:string>" in plan
     plan = queries.QUERIES["truth_semi_join"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(c_acctbal,5000.0)" in plan
+
+
+def brute_lof(x, k):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    far = np.take_along_axis(d, near, 1)
+    lrd = 1 / (np.maximum(far, far[near, -1]).mean(1) + 1e-10)
+    return -lrd[near].mean(1) / lrd
+
+
+def test_lof_sees_all_dimensions(spark, tmp_path):
+    r = np.random.default_rng(8)
+    x = np.c_[np.tile([1.0, 2, 3, 4], (70, 1)), r.standard_normal((70, 60))].round(6)  # all are copies in their first 4 dimensions
+    x[7, 50] += 40
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[7].tolist())], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.spectrum_id: r for r in queries.QUERIES["lof_outliers"](spark, str(tmp_path)).collect()}
+    want = brute_lof(x, 20)
+    assert len(got) == 71 and got[100].score == got[7].score
+    assert np.allclose([got[i].score for i in range(70)], want, atol=1e-9)
+    assert [got[i].outlier for i in range(70)] == (want < np.percentile(want, 5)).tolist() and got[7].outlier and got[100].outlier
+
+
+def test_lof_of_the_table_is_brute_force(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float).round(6)
+    key, back = np.unique(x, axis=0, return_inverse=True)
+    got = {r.spectrum_id: r.score for r in queries.QUERIES["lof_outliers"](spark, data).collect()}
+    assert np.allclose([got[r.vec_id] for r in rows], brute_lof(key, 20)[back.ravel()], atol=1e-6)
