@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.scratch import cut
+from ..plans.scratch import cut, table
 from .graph import components
 
 GROUP = ["precursor_charge", "bucket"]
-#: Spectra in one linkage matrix. A component over this can't be held as a dense matrix.
-LINKAGE_MAX = 20_000
+#: Spectra in one linkage matrix, 32 MB. Larger components are linked by joins.
+LINKAGE_MAX = 2_000
 
 
 def dbscan(df: DataFrame, edges: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
@@ -30,15 +30,15 @@ def dbscan(df: DataFrame, edges: DataFrame, eps: float, min_samples: int = 2) ->
     return df.join(near.withColumnRenamed("node", "spectrum_id"), "spectrum_id", "left").withColumn("cluster", F.coalesce("root", alone)).drop("root")
 
 
-def linkage_labels(dist: np.ndarray, eps: float, how: str) -> np.ndarray:
-    """Flat clusters of a dense distance matrix by single, complete or average linkage, cut at eps (a merge at exactly eps still counts). Labels are the least member's place.
+def linkage_labels(dist: np.ndarray, eps: float, how: str, copies: np.ndarray | None = None) -> np.ndarray:
+    """Flat clusters of a dense distance matrix by single, complete or average linkage, cut at eps (a merge at exactly eps still counts). Labels are the least member's place. copies: how many equal members a place stands for.
 
     Nearest-neighbour chains; distances are kept up by Lance and Williams' formulas.
     """
     n = len(dist)
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
+    size = np.ones(n) if copies is None else copies.astype(float)
     label = np.arange(n)
     live = np.ones(n, bool)
     chain: list[int] = []
@@ -122,8 +122,8 @@ def hierarchical(df: DataFrame, edges: DataFrame, eps: float, how: str = "comple
     """df with cluster: hierarchical linkage of the group's masked distances, cut at eps < 1; the cluster is its least spectrum_id.
 
     A merge at height up to eps needs at least one pair within eps, so that no cluster leaves its component of the graph of such pairs.
-    Each component is linked on its own, in one task, instead of each bucket. Single linkage is the component itself. Pairs that edges
-    doesn't hold have distance 1.
+    Each component is linked on its own, in one task, instead of each bucket; one of over LINKAGE_MAX is linked by joins. Single linkage
+    is the component itself. Pairs that edges doesn't hold have distance 1. A column copies of df counts how many spectra a row stands for.
     """
     if eps >= 1:
         raise ValueError("eps must be less than 1, the distance of masked pairs")
@@ -133,23 +133,83 @@ def hierarchical(df: DataFrame, edges: DataFrame, eps: float, how: str = "comple
     else:
         # a pair on its own is a cluster; only larger components need linking
         size = parts.groupBy("root").agg(F.count("*").alias("n"))
-        sized = cut(parts.join(size, "root"))
-        inner = edges.join(sized.where("n > 2").select(F.col("node").alias("id_a"), F.col("root").alias("part")), "id_a").join(sized.where("n > 2").select(F.col("node").alias("id_b"), F.col("root").alias("_p")), "id_b").where("part = _p")
+        sized = parts.join(size, "root")
+        if "copies" in df.columns:
+            sized = sized.join(df.select(F.col("spectrum_id").alias("node"), F.col("copies").cast("long").alias("m")), "node")
+        else:
+            sized = sized.withColumn("m", F.lit(1).cast("long"))
+        sized = cut(sized)
+        more = sized.where("n > 2")
+        inner = edges.join(more.select(F.col("node").alias("id_a"), F.col("root").alias("part"), "n", F.col("m").alias("m_a")), "id_a").join(more.select(F.col("node").alias("id_b"), F.col("root").alias("_p"), F.col("m").alias("m_b")), "id_b").where("part = _p")
 
         def link(pdf: pd.DataFrame) -> pd.DataFrame:
             ids = np.unique(np.r_[pdf.id_a.to_numpy(), pdf.id_b.to_numpy()])
-            if len(ids) > LINKAGE_MAX:
-                raise ValueError(f"a component of {len(ids)} spectra is over {LINKAGE_MAX}: lower eps or the tolerance, or narrow the buckets")
-            d = np.ones((len(ids), len(ids)))
+            d, m = np.ones((len(ids), len(ids))), np.ones(len(ids))
             i, j = np.searchsorted(ids, pdf.id_a), np.searchsorted(ids, pdf.id_b)
             d[i, j] = d[j, i] = pdf.dist
-            return pd.DataFrame({"spectrum_id": ids, "cluster": ids[linkage_labels(d, eps, how)]})
+            m[i], m[j] = pdf.m_a, pdf.m_b
+            return pd.DataFrame({"spectrum_id": ids, "cluster": ids[linkage_labels(d, eps, how, m)]})
 
-        linked = by_group(inner.select("part", "id_a", "id_b", "dist"), "part", link, "spectrum_id long, cluster long")
+        linked = by_group(inner.where(F.col("n") <= LINKAGE_MAX).select("part", "id_a", "id_b", "dist", "m_a", "m_b"), "part", link, "spectrum_id long, cluster long")
         named = linked.unionByName(sized.where("n = 2").select(F.col("node").alias("spectrum_id"), F.col("root").alias("cluster")))
+        if not size.where(F.col("n") > LINKAGE_MAX).isEmpty():
+            large = F.col("n") > LINKAGE_MAX
+            named = named.unionByName(link_by_joins(inner.where(large).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "dist", F.col("m_a").alias("na"), F.col("m_b").alias("nb")), sized.where(large).select(F.col("node").alias("spectrum_id")), eps, how))
     return df.join(named, "spectrum_id", "left").withColumn("cluster", F.coalesce("cluster", "spectrum_id"))
 
 
+def link_by_joins(pairs: DataFrame, nodes: DataFrame, eps: float, how: str) -> DataFrame:
+    """(spectrum_id, cluster) of nodes by complete or average linkage of pairs (a < b, dist, na and nb spectra), cut at eps; absent pairs have distance 1.
+
+    In each round all pairs of clusters that are each other's nearest merge. Neither linkage brings a third cluster nearer by a merge,
+    so that this makes the same tree as one merge at a time, up to ties, which go to the least ids. The steps are joins and grouped
+    sums: no task holds a component. Complete linkage needs only pairs within eps, and a pair of clusters stays while all its pairs
+    are there; average linkage adds up the similarities of the pairs.
+    """
+    top = F.lit(eps + 1e-12)
+    complete = how == "complete"
+    if complete:
+        now = cut(pairs.where(F.col("dist") <= top).withColumnRenamed("dist", "s"))
+        dist = F.col("s")
+    else:
+        now = cut(pairs.withColumn("s", (F.lit(1.0) - F.col("dist")) * F.col("na") * F.col("nb")).drop("dist"))
+        dist = F.lit(1.0) - F.col("s") / (F.col("na") * F.col("nb"))
+    named = cut(nodes.withColumn("cluster", F.col("spectrum_id")))
+    while True:
+        pair = F.struct(dist.alias("d"), "a", "b", (F.col("na") + F.col("nb")).alias("n"))
+        ends = now.select(F.col("a").alias("end"), pair.alias("p")).unionByName(now.select(F.col("b").alias("end"), pair.alias("p")))
+        best = ends.groupBy("end").agg(F.min("p").alias("p")).where(F.col("p.d") <= top)
+        merged = cut(best.groupBy("p.a", "p.b").agg(F.count("*").alias("c"), F.max("p.n").alias("n")).where("c = 2").drop("c"))
+        if merged.isEmpty():
+            return named
+        moved = merged.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("to"), "n")
+        at_a, at_b = (moved.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+        both = now.join(at_a, "a", "left").join(at_b, "b", "left")
+        both = both.select("s", *[F.coalesce(f"to_{c}", c).alias(c) for c in "ab"], *[F.coalesce(f"n_{c}", f"n{c}").alias(f"n{c}") for c in "ab"], (F.when(F.col("to_a").isNull(), 1).otherwise(2) * F.when(F.col("to_b").isNull(), 1).otherwise(2)).alias("whole")).where("a <> b")
+        turned = F.col("a") > F.col("b")
+        both = both.select("s", "whole", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+        new = both.groupBy("a", "b").agg((F.max("s") if complete else F.sum("s")).alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c"), F.max("whole").alias("whole"))
+        now = cut((new.where("c = whole") if complete else new).drop("c", "whole"))
+        named = cut(named.join(merged.select(F.col("b").alias("cluster"), F.col("a").alias("to")), "cluster", "left").select("spectrum_id", F.coalesce("to", "cluster").alias("cluster")))
+
+
+def collapse(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points (group, spectrum_id, precursor_mz, hv, copies) that stand for all spectra of equal group, precursor and vector, and (spectrum_id, point). A point's spectrum_id is its least. Spectra without a vector or positive precursor stand for themselves."""
+    key = [*GROUP, "precursor_mz", "hv"]
+    good = F.coalesce((F.col("precursor_mz") > 0) & ~F.isnan("precursor_mz") & F.col("hv").isNotNull() & F.col(GROUP[0]).isNotNull() & F.col(GROUP[1]).isNotNull(), F.lit(False))
+    points = table(df.where(good).groupBy(*key).agg(F.min("spectrum_id").alias("spectrum_id"), F.count("*").alias("copies")))
+    member = df.where(good).select("spectrum_id", *key).join(points.select(*key, F.col("spectrum_id").alias("point")), key).select("spectrum_id", "point")
+    other = df.where(~good)
+    return points.unionByName(other.select(*key, "spectrum_id", F.lit(1).cast("long").alias("copies"))), member.unionByName(other.select("spectrum_id", F.col("spectrum_id").alias("point")))
+
+
+def hierarchical_of_copies(df: DataFrame, pairs: Callable[[DataFrame], DataFrame], eps: float, how: str = "complete") -> DataFrame:
+    """As hierarchical() with the edges that pairs makes, but spectra of equal group, precursor and vector, which merge at height 0, are one weighted point, so that their pairs are never made. A pair's precursors are compared as those of the points."""
+    points, member = collapse(df)
+    found = hierarchical(points, pairs(points), eps, how).select(F.col("spectrum_id").alias("point"), "cluster")
+    return df.join(member.join(found, "point").select("spectrum_id", "cluster"), "spectrum_id")
+
+
 def split_1d(values: np.ndarray, tol: float, mode: str | None = None) -> np.ndarray:
     """Groups of values on a line by complete linkage, cut at tol: neighbours with the least span are merged first. In ppm the span is measured against the group's least value. Labels rise with the values."""
     order = np.argsort(values, kind="stable")

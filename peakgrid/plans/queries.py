@@ -370,14 +370,12 @@ def hcluster_single(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hcluster_complete(spark: SparkSession, d: str) -> DataFrame:
-    df = encoded(spark, d)
-    return clustering.hierarchical(df, edges(df), P.eps, "complete").select("spectrum_id", "cluster")
+    return clustering.hierarchical_of_copies(encoded(spark, d), edges, P.eps, "complete").select("spectrum_id", "cluster")
 
 
 @query()
 def hcluster_average(spark: SparkSession, d: str) -> DataFrame:
-    df = encoded(spark, d)
-    return clustering.hierarchical(df, edges(df), P.eps, "average").select("spectrum_id", "cluster")
+    return clustering.hierarchical_of_copies(encoded(spark, d), edges, P.eps, "average").select("spectrum_id", "cluster")
 
 
 MEDOID = f"""{CLUSTERS},

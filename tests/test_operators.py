@@ -217,6 +217,50 @@ def test_linkage_by_component_is_linkage_by_bucket(spark, how):
         clustering.hierarchical(df, edges, 1.0, how)
 
 
+@pytest.mark.parametrize("how", ["complete", "average"])
+def test_large_components_are_linked_by_joins(spark, how, monkeypatch):
+    monkeypatch.setattr(clustering, "LINKAGE_MAX", 5)
+    r = np.random.default_rng(21)
+    n, eps = 40, 0.4
+    d = r.random((n, n)) ** 1.5
+    d[r.random((n, n)) < 0.2] = 1  # masked pairs
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    df = spark.createDataFrame([(i, 2, 0) for i in range(n)], "spectrum_id long, precursor_charge int, bucket int")
+    edges = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(n) for j in range(i + 1, n) if d[i, j] < 1], "id_a long, id_b long, dist double")
+    got = {}
+    for x in clustering.hierarchical(df, edges, eps, how).collect():
+        got.setdefault(x.cluster, []).append(x.spectrum_id)
+    assert sorted(map(sorted, got.values())) == brute_linkage(d, eps, how) and all(k == min(v) for k, v in got.items())
+
+
+@pytest.mark.parametrize("most", [2, 2_000])
+@pytest.mark.parametrize("how", ["complete", "average"])
+def test_copies_are_linked_as_weighted_points(spark, how, most, monkeypatch):
+    monkeypatch.setattr(clustering, "LINKAGE_MAX", most)
+    r = np.random.default_rng(5)
+    kinds = r.integers(0, 2**31, (9, 4)) & ~(r.integers(0, 2**31, (9, 4)) & r.integers(0, 2**31, (9, 4)))
+    rows = [(10 * c + k, 2, 0, 500.0, kinds[k].tolist()) for k in range(9) for c in range(1 + 3 * (k % 3))]
+    df = spark.createDataFrame(rows, "spectrum_id long, precursor_charge int, bucket int, precursor_mz double, hv array<int>")
+    seen = []
+
+    def pairs(points):
+        seen.append(points.count())
+        noise = F.abs(F.xxhash64("id_a", "id_b") % 1000) / 1e7  # no two distances are equal
+        return distances.masked_pairs(points, 20, 128).withColumn("dist", F.col("dist") + noise)
+
+    rows = {x[0]: x[4] for x in rows}
+    ids = sorted(rows)
+    e = {(x.id_a % 10, x.id_b % 10): x.dist for x in pairs(df.where("spectrum_id < 10")).collect()}
+    d = np.array([[0 if a % 10 == b % 10 else e[min(a % 10, b % 10), max(a % 10, b % 10)] for b in ids] for a in ids])
+    for eps in (0.42, 0.48):
+        got = {}
+        for x in clustering.hierarchical_of_copies(df, pairs, eps, how).collect():
+            got.setdefault(x.cluster, []).append(x.spectrum_id)
+        want = [[ids[i] for i in g] for g in brute_linkage(d, eps, how)]
+        assert sorted(map(sorted, got.values())) == sorted(want)
+    assert set(seen) == {9}
+
+
 def test_groups_on_a_line():
     assert clustering.split_1d(np.array([100.0, 100.001, 100.5]), 0.01).tolist() == [0, 0, 1]
     assert clustering.split_1d(np.array([100.5, 100.001, 100.0]), 20, "ppm").tolist() == [1, 0, 0]
