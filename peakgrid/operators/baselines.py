@@ -23,6 +23,10 @@ from .splits import draw
 
 #: Rows that models are fitted on, at most.
 SAMPLE = 10_000
+#: Rows that the pair of subspaces is fitted on, at most.
+SUBSPACE_SAMPLE = 20_000
+#: Columns of the kernel that are kept, 80 MB of SAMPLE rows.
+COLUMNS = 1_000
 #: Points of one block of the neighbour search.
 BLOCK = 2_000
 #: Candidates beyond k whose distances are worked out anew.
@@ -152,8 +156,12 @@ def isolation_forest(df: DataFrame, contamination: float, trees: int = 100, each
 # ---- one-class support vector machine ---------------------------------------------------------------------------------------
 
 
-def one_class_svm(df: DataFrame, contamination: float, most: int = 2_000, steps: int = 400) -> DataFrame:
-    """One-class machine with a radial kernel, gamma 1 / (columns * variance) and nu the contamination, fitted on `most` sampled rows at most by pairwise steps on the dual; score is the decision function, outliers are below 0."""
+def one_class_svm(df: DataFrame, contamination: float, most: int = SAMPLE, steps: int = 1_000_000) -> DataFrame:
+    """One-class machine with a radial kernel, gamma 1 / (columns * variance) and nu the contamination, fitted on `most` sampled rows at most by pairwise steps on the dual; score is the decision function, outliers are below 0.
+
+    Columns of the kernel are made as steps need them and the latest are kept, so that the driver never holds the whole matrix. Steps
+    go on until the dual's conditions hold within the tolerance; `steps` only ends a fit that never would, with an error.
+    """
     rows = sample(df, most)
     n = len(rows)
     nu = float(np.clip(contamination, 1e-5, 1 - 1e-5))
@@ -162,23 +170,41 @@ def one_class_svm(df: DataFrame, contamination: float, most: int = 2_000, steps:
     def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.exp(-gamma * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
 
-    k = kernel(rows, rows)
     top = 1.0 / max(nu * n, 1.0)
     alpha = np.zeros(n)
     whole = int(nu * n)
     alpha[:whole] = top
     if whole < n:
         alpha[whole] = 1 - alpha.sum()
-    g = k @ alpha
-    for _ in range(steps * 10):  # move weight from the point of greatest gradient to that of the least
+    first = np.flatnonzero(alpha)
+    g = np.zeros(n)
+    for s in range(0, n, 1_000):
+        g[s : s + 1_000] = kernel(rows[s : s + 1_000], rows[first]) @ alpha[first]
+    squares = (rows * rows).sum(1)
+    columns: dict[int, np.ndarray] = {}
+
+    def column(i: int) -> np.ndarray:
+        if i in columns:
+            columns[i] = columns.pop(i)
+        else:
+            if len(columns) >= COLUMNS:
+                del columns[next(iter(columns))]
+            columns[i] = np.exp(-gamma * np.maximum(squares + squares[i] - 2 * rows @ rows[i], 0))
+        return columns[i]
+
+    for _ in range(steps if n else 0):  # move weight from the point of greatest gradient to that of the least
         up, down = np.where(alpha < top - 1e-12, g, np.inf), np.where(alpha > 1e-12, g, -np.inf)
         i, j = int(up.argmin()), int(down.argmax())
         if g[j] - g[i] < 1e-4 * max(abs(g).mean(), 1e-12):
             break
-        move = min((g[j] - g[i]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), top - alpha[i], alpha[j])
+        ki, kj = column(i), column(j)
+        move = min((g[j] - g[i]) / max(ki[i] + kj[j] - 2 * ki[j], 1e-12), top - alpha[i], alpha[j])
         alpha[i] += move
         alpha[j] -= move
-        g += move * (k[:, i] - k[:, j])
+        g += move * (ki - kj)
+    else:
+        if n:
+            raise RuntimeError(f"the machine didn't settle in {steps} steps")
     free = (alpha > 1e-9) & (alpha < top - 1e-9)
     rho = float(g[free].mean()) if free.any() else float((g[alpha > 1e-12].max() if (alpha > 1e-12).any() else 0) + g.min()) / 2 if n else 0.0
     keep = alpha > 1e-12
@@ -249,15 +275,13 @@ def local_outlier_factor(df: DataFrame, contamination: float, k: int = 20) -> Da
 # ---- pairs of orthonormal subspaces -----------------------------------------------------------------------------------------
 
 
-def subspace_pair(df: DataFrame, k: int = 3, eta: float = 0.01, ridge: float = 0.1, most: int = 2_000, steps: int = 300, seed: int = 42) -> DataFrame:
-    """One-class classifier by two orthonormal frames: rows of unit length should lie above the first and below the second. score: the lesser margin; outliers are at or beyond either.
+def subspace_pair(df: DataFrame, k: int = 5, eta: float = 0.01, ridge: float = 0.1, most: int = SUBSPACE_SAMPLE, steps: int = 1_000, seed: int = 42) -> DataFrame:
+    """One-class classifier by two orthonormal frames: rows, at their own length, should lie above the first and below the second. score: the lesser margin; outliers are at or beyond either.
 
     The cost (squared hinge of the least and of the greatest projection, and a ridge) is lowered on `most` sampled rows by gradient
     steps along the manifold of frames: the gradient's tangent part, then back by QR.
     """
-    rows = sample(df, most)
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    x = unit(rows)
+    x = sample(df, most)
     n, d = x.shape if len(x) else (0, 1)
     k = min(k, d)
     rng = np.random.default_rng(seed)
@@ -292,11 +316,10 @@ def subspace_pair(df: DataFrame, k: int = 3, eta: float = 0.01, ridge: float = 0
             w, b, now, gw, gb, rate = trial_w, trial_b, then, gw2, gb2, rate * 1.2
         else:
             rate /= 2
-            if rate < 1e-6:
+            if rate < 1e-12:
                 break
 
     def fn(v: np.ndarray) -> np.ndarray:
-        u = unit(v)
-        return np.minimum((u @ w[0] + b[0]).min(1), -(u @ w[1] + b[1]).max(1))
+        return np.minimum((v @ w[0] + b[0]).min(1), -(v @ w[1] + b[1]).max(1))
 
     return scored(df, fn).withColumn("outlier", F.col("score") <= 0)

@@ -723,7 +723,7 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ocsvm(spark: SparkSession, d: str) -> DataFrame:
     x = baselines.features(binned(spark, d), 30)
-    return baselines.one_class_svm(table(baselines.log_features(x, magnitude=True)), 0.05, 1000).select("spectrum_id", "score", "outlier")
+    return baselines.one_class_svm(table(baselines.log_features(x, magnitude=True)), 0.05).select("spectrum_id", "score", "outlier")
 
 
 @query()

@@ -414,6 +414,23 @@ def test_svm_outlier_share_is_about_nu(spark):
     assert 0.03 < share < 0.2
 
 
+def test_svm_settles_on_more_rows(spark):
+    df = planted(spark, 3000)
+    got = baselines.one_class_svm(df, 0.1)
+    x = baselines.sample(df)
+    assert len(x) == 3020  # no row is left out
+    share = got.where("outlier").count() / got.count()
+    assert abs(share - 0.1) < 0.01  # on the fitted rows themselves
+
+
+def test_subspaces_see_the_length_of_rows(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 8)) + 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, (30 * x[i]).tolist()) for i in range(5)], "spectrum_id long, x array<double>")
+    got = {r.spectrum_id: r.score for r in baselines.subspace_pair(df).collect()}
+    assert all(abs(got[1000 + i] - got[i]) > 1e-3 for i in range(5))
+
+
 def test_small_groups_share_batches(spark):
     df = spark.range(2000).select((F.col("id") % 300).alias("k"), "id")
     import pandas as pd

@@ -4,6 +4,7 @@ import __spark_entry__
 import duckdb
 import numpy as np
 import pytest
+from peakgrid.operators import baselines
 from peakgrid.plans import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -81,3 +82,11 @@ def test_lof_of_the_table_is_brute_force(spark, data):
     key, back = np.unique(x, axis=0, return_inverse=True)
     got = {r.spectrum_id: r.score for r in queries.QUERIES["lof_outliers"](spark, data).collect()}
     assert np.allclose([got[r.vec_id] for r in rows], brute_lof(key, 20)[back.ravel()], atol=1e-6)
+
+
+@pytest.mark.parametrize("name, rows", [("ocsvm", 10_000), ("gods", 20_000)])
+def test_one_class_fits_ask_for_the_references_rows(spark, data, monkeypatch, name, rows):
+    asked, sample = [], baselines.sample
+    monkeypatch.setattr(baselines, "sample", lambda df, n=baselines.SAMPLE: (asked.append(n), sample(df, n))[1])
+    queries.QUERIES[name](spark, data)
+    assert asked == [rows]
