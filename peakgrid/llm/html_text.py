@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +23,6 @@ from . import common, gbt
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style".split())
 DROPPED = frozenset("script style head title noscript template iframe svg math canvas object audio video select option textarea button datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -63,12 +62,58 @@ for _i, _g in enumerate(TOKEN_GROUPS):
 #: Elements that mark all below them.
 _OVER = ["article", "main", "nav", "header", "footer", "aside", "form"]
 _TOKENS_OF = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "title", "textarea")}
-#: Beyond this depth elements are folded into their ancestor, so that hostile nesting costs no more than its length.
-DEPTH_MAX = 200
+_NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+"
+#: Comments, declarations and tags. A quote opens a value only where a value begins; inside an unquoted value it is a character like any other.
+_MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:!|\?|/(?![A-Za-z]))[^>]*(?:>|\Z)|<(/?)([A-Za-z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{_NAME}(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:{_VALUE})?+)?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+({_VALUE})?+)?+", re.S)
+_NAMING = ("class", "id", "role", "aria-label", "itemprop", "data-component")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[ \t\n\f\r/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "title", "textarea", "iframe")}
+
+
+def attributes_of(source: str) -> tuple[dict[str, str], bool]:
+    """The attributes in the rest of a tag, the first of equal names, and whether the tag ends with a slash of its own."""
+    found: dict[str, str] = {}
+    end = 0
+    for m in _ATTRIBUTE.finditer(source):
+        value = m[2] or ""
+        if value[:1] in ("'", '"'):
+            value = value[1:-1] if len(value) > 1 and value[-1] == value[0] else value[1:]
+        found.setdefault(m[1].lower(), value)
+        end = m.end()
+    return found, "/" in source[end:]
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(attributes.get("style", "")) is not None
+
+
+class Stack:
+    """Open elements, each with the node that its text belongs to (-1: dropped). The innermost element of a tag is found without a walk, so that deep pages take time in proportion to their length."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def owner(self) -> int:
+        return self.open[-1][1]
+
+    def push(self, tag: str, owner: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, owner))
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0, the root's, if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, what: Iterable[str], stop: Iterable[str]) -> None:
+        """Close the innermost element of what, and all inside it, unless one of stop stands further in."""
+        at = self.innermost(what)
+        if at and at >= self.innermost(stop):
+            while len(self.open) > at:
+                self.places[self.open.pop()[0]].pop()
 
 
 class Page:
@@ -77,43 +122,36 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tag: list[str] = ["html"]
         self.parent: list[int] = [-1]
-        self.depth: list[int] = [0]
         self.tokens: list[int] = [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.links: list[bool] = []
+        self.share: list[float] = []  # set by features()
         self.parse(source)
 
     def parse(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that their text belongs to; -1 is dropped
+        stack = Stack()
         block, at, end = 0, 0, len(source)
-        opened = 0  # links that are open
         while at < end:
             m = _MARKUP.search(source, at)
             text = source[at : m.start() if m else end]
-            if text and stack[-1][1] >= 0 and (stack[-1][1] or not text.isspace()):
-                self.pieces.append((stack[-1][1], block, html.unescape(text) if "&" in text else text))
-                self.links.append(opened > 0)
+            owner = stack.owner
+            if text and owner >= 0 and (owner or not text.isspace()):
+                self.pieces.append((owner, block, html.unescape(text) if "&" in text else text))
+                self.links.append(bool(stack.places.get("a")))
             if not m:
                 break
             at = m.end()
-            tag = m[2]
-            if tag is None:
+            if m[2] is None:
                 continue
-            tag = tag.lower()
+            tag = m[2].lower()
             if m[1]:
                 if tag in BLOCK:
                     block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        opened -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPE and tag not in SCOPE and tag not in ("body",):
-                        break
+                stack.close((tag,), () if tag in SCOPE or tag == "body" else SCOPE)
                 continue
             if tag == "br" or tag == "wbr":
-                if tag == "br" and stack[-1][1] >= 0:
-                    self.pieces.append((stack[-1][1], block, " "))
+                if tag == "br" and owner >= 0:
+                    self.pieces.append((owner, block, " "))
                     self.links.append(False)
                 continue
             if tag in VOID:
@@ -123,53 +161,41 @@ class Page:
                 close = _RAW_END[tag].search(source, at)
                 at = close.end() if close else end
                 continue
-            if tag in ("html", "body") and any(t == tag for t, _ in stack[1:]) or tag == "html":
+            if tag == "html" or tag == "body" and stack.places.get(tag):
                 continue
+            attributes, ended = attributes_of(m[3]) if m[3] else ({}, False)
             if tag in BLOCK:
                 block += 1
-                self.close(stack, {"p"}, SCOPE)
-                if stack[-1][0] == "head":
-                    stack.pop()
+                stack.close(("p",), SCOPE)
+                if stack.open[-1][0] == "head":
+                    stack.close(("head",), ())
             if tag in CLOSES:
-                self.close(stack, *CLOSES[tag])
-            opened = sum(t == "a" for t, _ in stack) + (tag == "a")
-            owner = stack[-1][1]
-            if tag in DROPPED or owner < 0 or _HIDDEN.search(m[3]):
+                stack.close(*CLOSES[tag])
+            owner = stack.owner
+            if tag in DROPPED or owner < 0 or hidden(attributes):
                 owner = -1
-            elif tag in BLOCK and self.depth[owner] < DEPTH_MAX:
+            elif tag in BLOCK:
                 self.tag.append(tag)
                 self.parent.append(owner)
-                self.depth.append(self.depth[owner] + 1)
-                self.tokens.append(self.named(m[3]))
+                self.tokens.append(self.named(attributes))
                 owner = len(self.tag) - 1
-            if not m[3].endswith("/") or tag in BLOCK:
-                if len(stack) < 4 * DEPTH_MAX:
-                    stack.append((tag, owner))
-
-    @staticmethod
-    def close(stack: list[tuple[str, int]], what: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in what:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
+            if not ended or tag in BLOCK:
+                stack.push(tag, owner)
 
     @staticmethod
-    def named(attributes: str) -> int:
+    def named(attributes: dict[str, str]) -> int:
         bits = 0
-        for m in _NAMED.finditer(attributes):
-            for t in _TOKENS_OF.findall(m[1] or m[2] or m[3] or ""):
-                bits |= _TOKEN.get(t.lower(), 0)
+        for name in _NAMING:
+            if value := attributes.get(name):
+                for t in _TOKENS_OF.findall(value):
+                    bits |= _TOKEN.get(t.lower(), 0)
         return bits
 
     def features(self) -> np.ndarray:
-        """One row per node; row 0 is the root."""
-        n = len(self.tag)
-        parent, depth, tokens = np.array(self.parent), np.array(self.depth, float), np.array(self.tokens)
-        chars, linked, marks, pieces = (np.zeros(n) for _ in range(4))
-        first, so_far = np.zeros(n), 0
-        opened = 0
+        """One row per node; row 0 is the root. A node that only wraps one other counts neither as depth nor as a tag, so that deeper wrapping changes nothing. Sets share, the part of a decision that a node has."""
+        n, parent = len(self.tag), self.parent
+        chars, linked, marks, pieces = ([0] * n for _ in range(4))
+        first, so_far, opened, blank = [0] * n, 0, 0, [True] * n
         for (node, _, text), link in zip(self.pieces, self.links, strict=True):
             while opened <= node:
                 first[opened] = so_far
@@ -177,39 +203,58 @@ class Page:
             size = len(text)
             chars[node] += size
             so_far += size
-            linked[node] += size * link
+            if link:
+                linked[node] += size
             marks[node] += text.count(".") + text.count(",")
             pieces[node] += size > 1
-        first[opened:] = so_far
-        own = chars.copy()
-        tags, kids, paragraphs = np.ones(n), np.zeros(n), np.zeros(n)
-        group = np.array([_TAG.get(t, 3) for t in self.tag])
-        paragraphs[group == 4] = chars[group == 4]
+            blank[node] = blank[node] and text.isspace()
+        first[opened:] = [so_far] * (n - opened)
+        own = chars[:]
+        group = [_TAG.get(t, 3) for t in self.tag]
+        paragraphs = [c if g == 4 else 0 for c, g in zip(chars, group, strict=True)]
+        kids, only = [0] * n, [0] * n
+        for i in range(1, n):
+            kids[parent[i]] += 1
+            only[parent[i]] = i
+        wraps = [i > 0 and kids[i] == 1 and blank[i] for i in range(n)]
+        tags = [0 if w else 1 for w in wraps]
         for i in range(n - 1, 0, -1):  # children stand after their parents
-            p = self.parent[i]
-            for a in (chars, linked, marks, pieces, tags, paragraphs):
-                a[p] += a[i]
-            kids[p] += 1
-        above, over = tokens.copy(), np.zeros(n, int)
+            p = parent[i]
+            chars[p] += chars[i]
+            linked[p] += linked[i]
+            marks[p] += marks[i]
+            pieces[p] += pieces[i]
+            tags[p] += tags[i]
+            paragraphs[p] += paragraphs[i]
+        tags = [max(t, 1) for t in tags]
+        above, over = self.tokens[:], [0] * n
         flags = [1 << _OVER.index(t) if t in _OVER else 0 for t in self.tag]
-        place, alike = np.zeros(n), np.zeros(n)
-        seen: dict[int, int] = {}
+        depth, place, seen = [0] * n, [0] * n, [0] * n
         same: dict[tuple[int, int], int] = {}
+        chain = [1] * n  # wrappers in a row, so far
         for i in range(1, n):
-            p = self.parent[i]
+            p = parent[i]
             above[i] |= above[p]
             over[i] = over[p] | flags[i]
-            place[i] = seen.get(p, 0)
-            seen[p] = seen.get(p, 0) + 1
+            depth[i] = depth[p] + (not wraps[p])
+            place[i] = seen[p]
+            seen[p] += 1
             same[p, group[i]] = same.get((p, group[i]), 0) + 1
-        for i in range(1, n):
-            alike[i] = same[self.parent[i], group[i]] / seen[self.parent[i]]
-        up = np.maximum(parent, 0)
+            if wraps[i] and wraps[p]:
+                chain[i] = chain[p] + 1
+        for i in range(n - 1, 0, -1):
+            if wraps[i] and wraps[only[i]]:
+                chain[i] = chain[only[i]]
+        self.share = [1 / c for c in chain]
+        alike = [1.0] + [same[parent[i], group[i]] / seen[parent[i]] for i in range(1, n)]
+        up = np.maximum(np.array(parent), 0)
+        chars, linked, marks, pieces, own, tags, paragraphs, first, kids, place = (np.array(a, float) for a in (chars, linked, marks, pieces, own, tags, paragraphs, first, kids, place))
+        group, tokens, above, over = np.array(group), np.array(self.tokens), np.array(above), np.array(over)
         total = max(so_far, 1)
         above[1:] = above[up[1:]]
         link_share = linked / np.maximum(chars, 1)
         columns = [
-            group, depth, kids, place, np.where(kids[up] > 0, place / np.maximum(kids[up], 1), 0), alike,
+            group, np.log1p(depth), kids, place, np.where(kids[up] > 0, place / np.maximum(kids[up], 1), 0), np.array(alike),
             np.log1p(chars), link_share, np.log1p(tags), chars / tags, paragraphs / np.maximum(chars, 1), chars / np.maximum(pieces, 1),
             marks / np.maximum(chars, 1), chars / total, first / total, (first + chars) / total, own / np.maximum(chars, 1), link_share[up], np.log1p(chars[up]), chars / np.maximum(chars[up], 1),
             *[(tokens >> k & 1) for k in range(len(TOKEN_GROUPS))], *[(above >> k & 1) for k in range(len(TOKEN_GROUPS))], *[(over >> k & 1) for k in range(len(_OVER))],
@@ -220,7 +265,8 @@ class Page:
     def decode(self, p: np.ndarray) -> np.ndarray:
         """Whether each node is inside: the labelling of greatest likelihood whose paths are outside, inside, cut, in this order, each part possibly empty."""
         p = np.clip(p, 1e-4, 1 - 1e-4)
-        yes, no = np.log(p).tolist(), np.log(1 - p).tolist()
+        share = np.array(self.share or [1.0] * len(p))
+        yes, no = (np.log(p) * share).tolist(), (np.log(1 - p) * share).tolist()
         n = len(yes)
         out, inside, gone = no[:], yes[:], no[:]  # of the whole subtree if its top is outside, inside or cut
         for i in range(n - 1, 0, -1):
@@ -263,7 +309,11 @@ class Writer:
     def tag(self, name: str, y: int, inner: str, tokens: str = "", open_p: bool = False) -> str:
         kind = self.r.choice(["class", "class", "id", "role" if tokens else "class"])
         attribute = f' {kind}="{tokens}"' if tokens else ""
-        return f"<{name} data-y={y}{attribute}>{inner}" + ("" if open_p and name in ("p", "li") else f"</{name}>")
+        made = f"<{name} data-y={y}{attribute}>{inner}" + ("" if open_p and name in ("p", "li") else f"</{name}>")
+        if name in ("li", "td", "tr", "legend", "figcaption") or self.r.random() > 0.04:
+            return made
+        times = self.r.choice([1, 1, 2, 3, 8])
+        return f"<div data-y={y}>" * times + made + "</div>" * times
 
     def link(self, low: int = 1, high: int = 4) -> str:
         return f'<a href="/{self.r.choice(self.words)}">{self.say(low, high)}</a>'
@@ -359,19 +409,14 @@ class Writer:
         return f"<!DOCTYPE html><html><head><title>{self.say(2, 8)}</title><style>p{{margin:0}}</style></head><body data-y=0>{body}{tail}"
 
 
-_LABEL = re.compile(r"\sdata-y=([01])")
-
-
 def labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a page by Writer."""
     ys: list[int] = [0]
     page = Page.__new__(Page)
-    keep = Page.named
 
-    def named(attributes: str) -> int:
-        m = _LABEL.search(attributes)
-        ys.append(int(m[1]) if m else 0)
-        return keep(_LABEL.sub("", attributes))
+    def named(attributes: dict[str, str]) -> int:
+        ys.append(int(attributes.get("data-y", "0")))
+        return Page.named(attributes)
 
     page.named = named  # type: ignore[method-assign]
     page.__init__(source)  # type: ignore[misc]
@@ -397,7 +442,13 @@ def main_texts(sources: list[str], model: gbt.Trees) -> list[str]:
 
 
 def extract(pages: DataFrame, model: gbt.Trees | None = None) -> DataFrame:
-    """(page_id, url, text, n_chars) per row of pages; n_chars counts code points. A null html is empty, and so is the text of a page without an article. A null page_id or url stays null."""
+    """(page_id, url, text, n_chars) per row of pages; n_chars counts code points.
+
+    A null html is empty, and so is the text of a page without an article. A null page_id or url stays null. Repeated rows give repeated
+    rows, an empty table none; other columns of pages, whatever their names, are left alone. Pages may be of any length and depth: time
+    grows with a page's length, and wrapping in further elements, however many, doesn't change its text. Markup is read as HTML's
+    tokeniser states have it; a tag or comment that never ends reaches to the end of the page.
+    """
     trees = model or fit()
     src = common.pick(pages, "page_id", "url", "html")
     schema = T.StructType([src.schema["page_id"], src.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

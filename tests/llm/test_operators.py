@@ -217,6 +217,56 @@ def test_main_text_of_written_pages():
     assert wrong / nodes < 0.02
 
 
+PLAIN = "<article><h1>Title here</h1><p>One paragraph of some length, with words in it.</p><p>Another paragraph follows, also with words.</p></article>"
+PLAIN_TEXT = "Title here\nOne paragraph of some length, with words in it.\nAnother paragraph follows, also with words."
+
+
+def site(body):
+    return f"<html><head><title>x</title></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul></nav>{body}<footer>&copy; someone</footer></body></html>"
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 250, 1_000, 10_000])
+def test_deep_pages_lose_no_text(n):
+    open_, shut = "<div>" * n, "</div>" * n
+    pages = [
+        open_ + PLAIN + shut,
+        PLAIN.replace("<article>", "<article>" + open_).replace("</article>", shut + "</article>"),
+        PLAIN.replace("<p>", open_ + "<p>").replace("</p>", "</p>" + shut),
+        "<span>" * n + PLAIN + "</span>" * n,
+        PLAIN.replace("<p>One", "<p>" + "<b>" * n + "One").replace("it.</p>", "it." + "</b>" * n + "</p>"),
+        PLAIN + open_ + "<nav><ul><li><a href=/c>Menu</a></li><li><a href=/d>More</a></li></ul></nav><button>Press</button>" + shut,
+    ]
+    for got in html_text.main_texts(list(map(site, pages)), html_text.fit()):
+        assert got == PLAIN_TEXT
+
+
+@pytest.mark.parametrize("tag", ["<p title=Don't>", '<p title=5">', "<p title=a\"b'c>", "<p title='it>s'>", "<p data-x=\"a > b\" title='\"'>", '<p title="is hidden here">', '<p title="a" " class=x>', "<p / class = x >", "<p title=>", "<p class=a/b>", "<!-- a > ' --><p>", "<!--><p>", "<!----!><p>", "</3 '><p>", "<?x '><p>"])
+def test_quotes_and_odd_markup_lose_no_text(tag):
+    assert html_text.main_texts([site(PLAIN.replace("<p>", tag))], html_text.fit()) == [PLAIN_TEXT]
+
+
+def test_attributes():
+    got = html_text.attributes_of(" class='a b' ID=x/ title=\"it's\" class=c hidden data-y=1 /")
+    assert got == ({"class": "a b", "id": "x/", "title": "it's", "hidden": "", "data-y": "1"}, True)
+    assert html_text.attributes_of(" href=a/") == ({"href": "a/"}, False)
+
+
+def test_main_text_equals_the_articles(data):
+    """Every page of the test table: the article element's blocks without adverts, cut out by patterns."""
+    import html
+
+    import pyarrow.parquet as pq
+
+    pages = [x or "" for x in pq.read_table(f"{data}/pages.parquet").column("html").to_pylist()]
+    got = html_text.main_texts(pages, html_text.fit())
+    for page, text in zip(pages, got, strict=True):
+        inner = "".join(re.findall(r"<article\b[^>]*>(.*?)(?:</article>|\Z)", page, re.S))
+        inner = re.sub(r"<!--.*?-->|<script.*?</script>|<style.*?</style>|<div class=\"?ad\b.*?</div>", "", inner, flags=re.S)
+        blocks = re.split(r"</?(?:p|h[1-6]|div|section|ul|ol|li|blockquote|article|table|tr|td|th|figure|figcaption|pre|header|footer)\b[^>]*>", inner)
+        blocks = [" ".join(html.unescape(re.sub(r"<[a-z/][^>]*>", "", re.sub(r"<br[^>]*>", " ", b))).split()) for b in blocks]
+        assert text == "\n".join(b for b in blocks if b)
+
+
 def test_decoding_is_consistent_and_best():
     """Against all labellings of a small tree: outside, inside, cut along every path."""
     from itertools import product
@@ -237,7 +287,11 @@ def test_pages_of_every_kind(spark):
     df = spark.createDataFrame(odd, "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = html_text.extract(df).collect()
     assert len(got) == len(odd) and all(r.text is not None and r.n_chars == len(r.text) for r in got)
-    assert {r.page_id: r.n_chars for r in got}[3] == 0
+    by = {r.page_id: r for r in got}
+    assert [by[k].n_chars for k in (2, 3, 7, 8, 9)] == [0] * 5
+    assert [by[6].text, by[4].text] == html_text.main_texts(["<div>x</div>", "no markup"], html_text.fit())
+    assert sum(r.page_id == 1 and r.text.startswith("Heading of & all\nFirst line") for r in got) == 2
+    assert by[10].text.count("\n") == 19_999 and by[10].text.count("long text of it.") == 20_000
     assert html_text.extract(df.limit(0)).count() == 0
 
 
