@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from itertools import combinations
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,11 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Documents that the machines are fitted on, at most, over all languages.
+#: Documents that the machines are fitted on, about, over all languages; but at least TRAIN_LEAST of each language that has so many.
 TRAIN_MAX = 4_000
-#: Languages that can be learned, at most: the most frequent ones.
-LANGS_MAX = 200
+TRAIN_LEAST = 20
+#: Classes that are told apart pair by pair. A larger family is split into so many groups first, and so on.
+SPLIT = 24
 DIMS = 2048
 #: Families of common languages by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -36,7 +38,7 @@ FAMILIES = {
     "malayic": "id ms",
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that aren't letters become spaces; digits and marks say nothing of the language.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -59,54 +61,92 @@ def grams(text: bytes) -> np.ndarray:
 
 
 def lettered(text: bytes) -> bool:
-    return any(_LETTER.search(part.decode()) for part in common.blocks(text))
+    """Whether the text has a letter (a character of Unicode's categories L; numerals like ² or Ⅳ aren't)."""
+    return any(m[0].isalpha() for part in common.blocks(text) for m in _MAYBE_LETTER.finditer(part.decode()))
 
 
 def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150, rate: float = 0.05) -> np.ndarray:
-    """A linear support vector machine with squared hinge loss, both classes weighted alike. y: 1 or -1. The last weight is the offset."""
-    w, m, v = np.zeros(x.shape[1] + 1, np.float32), np.float32(0), np.float32(0)
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    """Linear support vector machines with squared hinge loss, one for each column of y; both classes of a machine weigh alike. y: 1, -1, or 0 for rows that a machine leaves out. A row of weights per machine, the last of them the offset."""
     y = y.astype(np.float32)
+    w, m, v = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32), np.float32(0), np.float32(0)
+    share = (0.5 / np.maximum((y > 0).sum(0), 1) * (y > 0) + 0.5 / np.maximum((y < 0).sum(0), 1) * (y < 0)).astype(np.float32)
     for t in range(1, steps + 1):
         slack = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
         pull = -2 * share * slack * y
-        g = np.r_[pull @ x + ridge * w[:-1], pull.sum()]
+        g = np.concatenate([x.T @ pull + ridge * w[:-1], pull.sum(0)[None]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    return w.astype(np.float32)
+    return w.T.astype(np.float32)
+
+
+def certain(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-4 * np.clip(margin, -9, 9)))
+
+
+@dataclass
+class Duel:
+    """One-versus-one machines between parts, each a language or, in a family of many, a Duel of its own."""
+
+    parts: list[Any]
+    pairs: list[tuple[int, int]]
+    weights: np.ndarray
+
+    @classmethod
+    def fit(cls, x: np.ndarray, lang: np.ndarray, langs: list[str]) -> Duel | str:
+        """Fit on the rows whose lang is one of langs, which are sorted, so that variants of one language fall into one group."""
+        if len(langs) == 1:
+            return langs[0]
+        groups = [list(g) for g in np.array_split(np.array(langs, object), min(SPLIT, len(langs)))]
+        rows = np.isin(lang.astype(str), langs)
+        x, lang = x[rows], lang[rows]
+        of = {name: k for k, g in enumerate(groups) for name in g}
+        which = np.array([of[name] for name in lang])
+        pairs = list(combinations(range(len(groups)), 2))
+        weights = [svm(x[some], np.where(which[some] == i, 1, -1)[:, None]) for i, j in pairs for some in [(which == i) | (which == j)]]
+        return cls([cls.fit(x, lang, g) for g in groups], pairs, np.concatenate(weights))
+
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language and least margin of each row: most votes win, then the greater margins, then the first part."""
+        n = len(self.parts)
+        d = x @ self.weights[:, :-1].T + self.weights[:, -1]
+        votes, least = np.zeros((len(x), n)), np.full((len(x), n), np.inf)
+        for k, (i, j) in enumerate(self.pairs):
+            for at, s in ((i, d[:, k]), (j, -d[:, k])):
+                votes[:, at] += (s > 0) + 1e-3 * np.tanh(s)
+                least[:, at] = np.minimum(least[:, at], s)
+        best = votes.argmax(1)
+        lang, margin = np.empty(len(x), object), least[np.arange(len(x)), best]
+        for k, part in enumerate(self.parts):
+            rows = np.flatnonzero(best == k)
+            if isinstance(part, str):
+                lang[rows] = part
+            elif len(rows):
+                lang[rows], more = part.predict(x[rows])
+                margin[rows] = np.minimum(margin[rows], more)
+        return lang, margin
 
 
 @dataclass
 class Model:
-    """families: name -> languages. top: one-versus-rest machine of each family. pairs: family -> machines of pairs of its languages."""
+    """families: name -> languages. top: a one-versus-rest machine for each family. within: family -> its only language, or the machines of its languages."""
 
     families: dict[str, list[str]] = field(default_factory=dict)
     top: np.ndarray | None = None
-    pairs: dict[str, tuple[list[tuple[int, int]], np.ndarray]] = field(default_factory=dict)
+    within: dict[str, Duel | str] = field(default_factory=dict)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language and score of each row: the least certainty among the decisions that chose the language."""
-        names = list(self.families)
-        certain = lambda z: 1 / (1 + np.exp(-4 * np.clip(z, -9, 9)))
-        z = x @ self.top[:, :-1].T + self.top[:, -1] if self.top is not None else np.full((len(x), len(names)), 9.0)
-        chosen, score = z.argmax(1), certain(z.max(1))
+        """Language and score of each row: the least certainty among the decisions that chose the language. A score below 0.5 means that no family's machine claims the text, or that a language was chosen against a machine's vote."""
+        z = x @ self.top[:, :-1].T + self.top[:, -1] if self.top is not None else np.full((len(x), len(self.families)), 9.0)
+        chosen, margin = z.argmax(1), z.max(1)
         lang = np.empty(len(x), object)
-        for f, name in enumerate(names):
-            rows, langs = np.flatnonzero(chosen == f), self.families[name]
-            if name not in self.pairs:
-                lang[rows] = langs[0]
-                continue
-            pairs, w = self.pairs[name]
-            d = x[rows] @ w[:, :-1].T + w[:, -1]
-            votes, least = np.zeros((len(rows), len(langs))), np.full((len(rows), len(langs)), np.inf)
-            for k, (i, j) in enumerate(pairs):
-                for lang_at, s in ((i, d[:, k]), (j, -d[:, k])):
-                    votes[:, lang_at] += (s > 0) + 1e-3 * np.tanh(s)
-                    least[:, lang_at] = np.minimum(least[:, lang_at], s)
-            best = votes.argmax(1)
-            lang[rows] = np.array(langs, object)[best]
-            score[rows] = np.minimum(score[rows], certain(least[np.arange(len(rows)), best]))
-        return lang, score
+        for f, name in enumerate(self.families):
+            rows, inner = np.flatnonzero(chosen == f), self.within[name]
+            if isinstance(inner, str):
+                lang[rows] = inner
+            elif len(rows):
+                lang[rows], more = inner.predict(x[rows])
+                margin[rows] = np.minimum(margin[rows], more)
+        return lang, certain(margin)
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -114,22 +154,22 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, train_max: int = TRAIN_MAX) -> Model:
-    """Fit on the texts and non-null languages of about train_max documents at most that aren't held out: as many of each language as its share allows, chosen by a hash of their ids."""
+def fit(docs: DataFrame, train_max: int = TRAIN_MAX, train_least: int = TRAIN_LEAST) -> Model:
+    """Fit on texts and non-null languages of documents that aren't held out: of each language about train_max / (number of languages) and at least train_least documents, or all if it has fewer, chosen by a hash of their ids. Every language is learned that has a text with letters there."""
     known = common.pick(docs, "doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS_MAX).collect()]
+    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()]
     if not counts:
         return Model()
-    each, whole = train_max // len(counts), 1 << 30
-    share = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(whole, 1 + int(whole * each / n)))])
-    chosen = common.pick(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isin([lang for lang, _ in counts]))
-    # the expected number is train_max; the limit bounds what comes to the driver
-    chosen = chosen.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(whole)) < F.try_element_at(share, F.col("lang")))
+    each, whole = max(train_least, train_max // len(counts)), 1 << 30
+    share = docs.sparkSession.createDataFrame([(lang, min(whole, 1 + int(whole * each / n))) for lang, n in counts], "lang string, share long")
+    chosen = common.pick(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).join(F.broadcast(share), "lang")  # a row per language
+    # the expected number is each; the limit bounds what comes to the driver
+    chosen = chosen.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(whole)) < F.col("share"))
 
     def fn(rows: list[bytes]) -> list[pa.Array]:
         return [pa.array([grams(t).astype(np.float16).tobytes() for t in rows], pa.binary())]
 
-    got = common.append(chosen, "text", fn, [T.StructField("x", T.BinaryType())], ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * train_max).toArrow()
+    got = common.append(chosen, "text", fn, [T.StructField("x", T.BinaryType())], ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * each * len(counts)).toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
     lang = np.array(got.column("lang").to_pylist(), object)
     some = x.any(1)
@@ -142,20 +182,19 @@ def fit(docs: DataFrame, train_max: int = TRAIN_MAX) -> Model:
     which = np.array([family(n) for n in lang], object)
     model = Model(families)
     if len(families) > 1:
-        model.top = np.stack([svm(x, np.where(which == f, 1, -1)) for f in families])
-    for f, langs in families.items():
-        if len(langs) > 1:
-            pairs = list(combinations(range(len(langs)), 2))
-            machines = []
-            for i, j in pairs:
-                rows = (lang == langs[i]) | (lang == langs[j])
-                machines.append(svm(x[rows], np.where(lang[rows] == langs[i], 1, -1)))
-            model.pairs[f] = pairs, np.stack(machines)
+        model.top = svm(x, np.where(which[:, None] == np.array(list(families), object)[None], 1, -1))
+    model.within = {f: Duel.fit(x, lang, langs) for f, langs in families.items()}
     return model
 
 
 def apply(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns keep of docs, then lang_pred and score (0 to 1). A text that is null or has no letter, and any text where no language was learned, is `und` with score 0."""
+    """Columns keep of docs, then lang_pred and score (0 to 1), a row per row of docs, from the text alone.
+
+    A text that is null or has no letter, and any text where no language was learned, is `und` with score 0. Equal texts, and so
+    repeated rows, get equal results; ties of families go to the first in order, ties of languages to the first in order among those with
+    most votes and greatest margins. Very long texts are read whole, in blocks. An empty table gives no rows. Columns of docs that are
+    named lang_pred or score may be kept and stand before the new ones.
+    """
 
     def fn(rows: list[bytes]) -> list[pa.Array]:
         langs, scores = [], []

@@ -420,6 +420,63 @@ def test_language_families(spark, empty):
     assert {x.lang_pred for x in language.apply(alone, language.fit(alone), ["doc_id"]).collect()} == {"en", "und"}
 
 
+def test_letters():
+    assert not any(language.lettered(t.encode()) for t in ("", "² ½ ①", "Ⅳ ٣ _ 12", "!? \n", "\u0301"))
+    assert all(language.lettered(t.encode()) for t in ("²x", "ª", "日", "12 é", "ǅ", "½" * 1000 + "ß"))
+
+
+def test_three_hundred_languages(spark):
+    """None is left out: each has words of its own; half are variants of one family, more than are told apart pair by pair."""
+    r = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    langs = [f"q{letters[k // 26]}{letters[k % 26]}" for k in range(240)] + [f"en-{letters[k // 26]}{letters[k % 26]}" for k in range(60)]
+    own = {x: ["".join(r.choice(letters) for _ in range(6)) for _ in range(6)] for x in langs}
+    rows = [(i, " ".join(r.choice(own[x]) for _ in range(60)), x, "s", 1) for i, x in enumerate(langs * 12)]
+    df = spark.createDataFrame(rows + [(90_000 + k, "² ½ ①", langs[k], "s", 1) for k in range(9)], H.DOCS)
+    model = language.fit(df)
+    assert sorted(x for langs in model.families.values() for x in langs) == sorted(langs) and len(model.families["germanic"]) == 60
+    got = language.apply(df, model, ["doc_id", "lang"]).collect()
+    tested = [x for x in got if H.fold(x.doc_id, 4) == 2 and x.doc_id < 90_000]
+    assert sum(x.lang == x.lang_pred for x in tested) / len(tested) > 0.97
+    assert all((x.lang_pred, x.score) == ("und", 0.0) for x in got if x.doc_id >= 90_000)
+
+
+def test_language_against_a_plain_predictor(spark, rows):
+    """Row by row in plain Python: the family of greatest margin, then votes; repeated rows and ties included."""
+    r = random.Random(10)
+    langs = list(LANG)
+    df = spark.createDataFrame([(i, " ".join(r.choice(LANG[x].split()) for _ in range(25)), x, "s", 1) for i, x in enumerate(langs * 40)], H.DOCS)
+    model = language.fit(df)
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        x = language.grams(text.encode()).astype(float)
+        dot = lambda w: float(np.dot(w[:-1].astype(float), x) + w[-1])
+        names = list(model.families)
+        z = [dot(w) for w in model.top]
+        name, margin = names[z.index(max(z))], max(z)
+        inner = model.within[name]
+        if not isinstance(inner, str):
+            wins = [[] for _ in inner.parts]
+            for (i, j), w in zip(inner.pairs, inner.weights, strict=True):
+                wins[i].append(dot(w))
+                wins[j].append(-dot(w))
+            votes = [sum((s > 0) + 1e-3 * np.tanh(s) for s in w) for w in wins]
+            best = votes.index(max(votes))
+            inner, margin = inner.parts[best], min(margin, *wins[best])
+        return inner, 1 / (1 + np.exp(-4 * np.clip(margin, -9, 9)))
+
+    tied = [(800, "the les", None, "s", 1), (801, "the les", None, "s", 1), (802, "zzz", None, "s", 1)]
+    both = spark.createDataFrame(rows + tied, H.DOCS)
+    got = sorted((repr(x.doc_id), x.lang_pred, round(x.score, 3)) for x in language.apply(both, model, ["doc_id"]).collect())
+    want = sorted((repr(i), lang, round(float(score), 3)) for i, text, *_ in rows + tied for lang, score in [plain(text)])
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) < 0.01 for a, b in zip(got, want, strict=True))
+    empty_model = language.Model()
+    assert {(x.lang_pred, x.score) for x in language.apply(both, empty_model, ["doc_id"]).collect()} == {("und", 0.0)}
+
+
 def test_pu_classifier(spark, docs, empty):
     r = random.Random(11)
     good = [(i, ". ".join(H.say(r, 12) for _ in range(12)), "en", "s", 1) for i in range(300)]
