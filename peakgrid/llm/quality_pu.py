@@ -2,10 +2,9 @@
 
 Trusted positives are labelled documents of quality 1; the unlabelled sample is drawn from all documents of the learning fold,
 whatever their labels. A linear function over binned document statistics minimises the non-negative unbiased risk
-(Kiryo et al., Positive-Unlabeled Learning with Non-Negative Risk Estimator, 2017). The class prior is the share of quality 1
-among all labels of the learning fold; where only positives are labelled, it is estimated from the two samples alone, by the
-threshold above which unlabelled documents are scarcest against positives (Garg et al., Mixture Proportion Estimation and PU
-Learning, 2021), which errs to the high side. No document of quality 0 is used as a negative.
+(Kiryo et al., Positive-Unlabeled Learning with Non-Negative Risk Estimator, 2017). The class prior is estimated from these two
+samples alone, by the threshold above which unlabelled documents are scarcest against positives (Garg et al., Mixture Proportion
+Estimation and PU Learning, 2021), on scores of documents that the scoring function wasn't fitted on. Labels of quality 0 are not read.
 """
 
 from __future__ import annotations
@@ -74,11 +73,25 @@ def prior_of(p: np.ndarray, u: np.ndarray, sure: float = 0.1) -> float:
     return float(np.clip(qu[best] / max(qp[best], 1e-9), 0.05, 0.99))
 
 
+def estimated_prior(z: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 4) -> float:
+    """The class prior of the unlabelled rows of z: the mean of so many estimates. In each, rows are split into halves at random, each half is scored by what is fitted on the other, and the scores of both are put together."""
+    found = []
+    for seed in range(rounds):
+        half = np.random.default_rng(seed).random(len(z)) < 0.5
+        score = np.zeros(len(z))
+        for part in (half, ~half):
+            p, u = z[~part & positive], z[~part & unlabelled]
+            if len(p) and len(u):
+                w, b = nn_risk(p, u, 0.5, steps=200)
+                score[part] = z[part] @ w + b
+        found.append(prior_of(score[positive], score[unlabelled]))
+    return float(np.mean(found))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_max: int = TRAIN_MAX) -> Model:
-    """Fit on at most train_max trusted positives and train_max unlabelled documents outside the held-out fold, both chosen by a hash of their ids."""
+    """Fit on at most train_max trusted positives and train_max unlabelled documents outside the held-out fold, both chosen by a hash of their ids. With fewer than ten of either every document is predicted to be good."""
     fold = F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))
     learn = lambda df: df.where(fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_max).distinct()
-    marked = common.pick(labels, "doc_id", "quality").where(fold).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).first()
     good = learn(common.pick(labels, "doc_id", "quality").where("quality = 1").select("doc_id")).withColumn("kind", F.lit(1))
     web = learn(common.pick(docs, "doc_id")).withColumn("kind", F.lit(0))
     x, got = stat_rows(docs, good.unionByName(web).groupBy("doc_id").agg(F.bit_or(F.when(F.col("kind") == 1, 1).otherwise(2)).alias("kinds")))
@@ -86,21 +99,21 @@ def fit(docs: DataFrame, labels: DataFrame, train_max: int = TRAIN_MAX) -> Model
     x, kinds = x[order], got["kinds"][order].astype(int)
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])] if len(x) else []
     z = expand(x, edges)
-    p, u = z[kinds & 1 > 0], z[kinds & 2 > 0]
-    if len(p) < 10 or len(u) < 10:
+    positive, unlabelled = kinds & 1 > 0, kinds & 2 > 0
+    if positive.sum() < 10 or unlabelled.sum() < 10:
         return Model(edges, np.zeros(z.shape[1]), 1.0, 1.0)
-    if marked["bad"]:
-        prior = float(np.clip(marked["good"] / (marked["good"] + marked["bad"]), 0.05, 0.99))
-    else:
-        half = np.arange(len(p)) % 2 == 0, np.arange(len(u)) % 2 == 0
-        w, b = nn_risk(p[half[0]], u[half[1]], 0.5, steps=200)
-        prior = prior_of(p[~half[0]] @ w + b, u[~half[1]] @ w + b)
-    w, b = nn_risk(p, u, prior)
+    prior = estimated_prior(z, positive, unlabelled)
+    w, b = nn_risk(z[positive], z[unlabelled], prior)
     return Model(edges, w, b, prior)
 
 
 def apply(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns keep of docs, then score (0 to 1) and predicted (1 if score >= 0.5). A null or empty text is scored as one without words."""
+    """Columns keep of docs, then score (0 to 1) and predicted (1 if score >= 0.5), a row per row of docs, from the text alone.
+
+    A null or empty text is scored as one without words; equal texts, and so repeated rows, score alike; a score of just 0.5 is predicted
+    1. Very long texts are measured whole, in blocks. An empty table gives no rows. Columns of docs named score or predicted may be kept
+    and stand before the new ones.
+    """
 
     def fn(rows: list[bytes]) -> list[pa.Array]:
         score = 1 / (1 + np.exp(-np.clip(model.margin(textstats.measure_all(rows)[1]), -40, 40)))

@@ -44,7 +44,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_max: int = TRAIN_MAX) -> gbt.T
 
 
 def apply(docs: DataFrame, model: gbt.Trees | None, least: float = 0.5) -> DataFrame:
-    """Per row of docs: doc_id, the base counts, base_failed, score and kept (false if base_failed, else score >= least). A null text has no words and fails; without a model the base rules alone decide."""
+    """Per row of docs: doc_id, the base counts, base_failed, score and kept (false if base_failed, else score >= least).
+
+    A null text has no words and fails; without a model the base rules alone decide. Equal texts, and so repeated rows, get equal results
+    in a row each; a score of just `least` is kept; a null doc_id stays null. Very long texts are counted whole, in blocks. An empty table
+    gives no rows. Other columns of docs, whatever their names, are left alone.
+    """
 
     def fn(rows: list[bytes]) -> list[pa.Array]:
         base, x = textstats.measure_all(rows)

@@ -490,10 +490,56 @@ def test_pu_classifier(spark, docs, empty):
     assert all(x.predicted == int(x.doc_id < 1000) == int(x.score >= 0.5) for x in tested)
     assert len(quality_pu.apply(docs, model, ["doc_id"]).collect()) == docs.count()
     positives_only = quality_pu.fit(df, labels.where("quality = 1"))
-    assert 0.7 < positives_only.prior < 0.97
+    assert positives_only.prior == model.prior and np.array_equal(positives_only.weights, model.weights)
+    twice = quality_pu.apply(df.union(df).withColumn("score", F.lit(7)), model, ["doc_id", "score"])
+    assert twice.columns == ["doc_id", "score", "score", "predicted"] and twice.distinct().count() == df.count()
     assert quality_pu.apply(empty, quality_pu.fit(empty, labels.limit(0)), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.5, 0.7, 0.85, 0.95])
+def test_class_prior_from_positives_and_unlabelled(share):
+    """Off by 0.05 at most on overlapping classes of a known share."""
+    r = np.random.default_rng(int(100 * share))
+    y = r.random(6000) < share
+    x = r.normal(0, 1, (6000, 4)) + np.where(y[:, None], 1.2, -1.6)
+    more = r.normal(0, 1, (2000, 4)) + 1.2
+    z = np.r_[x, more]
+    edges = [np.quantile(z[:, f], np.linspace(0, 1, 17)[1:-1]) for f in range(4)]
+    positive = np.arange(8000) >= 6000
+    order = r.permutation(8000)
+    assert abs(quality_pu.estimated_prior(quality_pu.expand(z[order], edges), positive[order], ~positive[order]) - share) < 0.05
+
+
+def test_class_prior_of_the_documents(spark, data):
+    """The estimate lies near the share of good labels, which it doesn't see; predictions of held-out rows are right."""
+    import os
+
+    folder = data.replace("sf0.001", "sf0.01")
+    if not os.path.exists(folder):
+        pytest.skip("no larger tables")
+    docs, labels = (common.read(spark, folder, t) for t in ("documents", "labels"))
+    model = quality_pu.fit(docs, labels.where("quality = 1"))
+    assert abs(model.prior - labels.agg(F.avg("quality")).first()[0]) < 0.08
+    held = quality_pu.apply(docs, model, ["doc_id"]).where(quality_pu.in_fold(F.col("doc_id"))).join(labels, "doc_id").collect()
+    assert sum(x.predicted == x.quality for x in held) / len(held) > 0.97
+
+
+def test_quality_risk_against_plain_steps():
+    """The risk that nn_risk lowers, from its definition, is not above that of weights nearby."""
+    r = np.random.default_rng(5)
+    p, u = (r.random((200, 3)) < 0.7).astype(np.float32), (r.random((400, 3)) < 0.4).astype(np.float32)
+    w, b = quality_pu.nn_risk(p, u, 0.4, steps=2000, rate=0.02)
+
+    def risk(w, b):
+        sig = lambda z: 1 / (1 + np.exp(-z))
+        good = np.mean([sig(-(row @ w + b)) for row in p])
+        bad = np.mean([sig(row @ w + b) for row in u]) - 0.4 * np.mean([sig(row @ w + b) for row in p])
+        return 0.4 * good + max(0.0, bad) + 0.5e-4 * (w @ w + b * b)
+
+    best = risk(w, b)
+    assert all(risk(w + 0.5 * r.standard_normal(3), b + 0.5 * r.standard_normal()) > best - 1e-3 for _ in range(200))
+
+
 def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
