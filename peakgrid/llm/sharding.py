@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import running
 from . import common
 
 SHARDS = 16
@@ -54,32 +55,46 @@ def index(cells: list[F.Column], bits: int = BITS) -> F.Column:
 
 
 def ordinal(df: DataFrame, name: str) -> F.Column:
-    """A number that orders as the column does: itself, or the first seven bytes of a string."""
+    """A column that orders as the given one does: a string itself, else a number."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
+        return F.col(name)
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return F.unix_timestamp(name).cast("double")
     return F.col(name).cast("double")
 
 
+def string_quantiles(df: DataFrame, name: str, points: int) -> list[str]:
+    """Values of a string column at evenly spaced places in the order of all its non-null rows, whole strings being compared. Only they come to the driver."""
+    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    ordered = common.table(running(values, ["v"], {"upto": "n"}))
+    total = ordered.agg(F.max("upto")).first()[0] or 0
+    at = F.expr(f"transform(sequence(1, {points}), k -> cast(ceil(k * {total} / {points + 1}) as bigint))")
+    met = ordered.select("v", F.explode(F.filter(at, lambda x: (x > F.col("upto") - F.col("n")) & (x <= F.col("upto")))))
+    return sorted(r["v"] for r in met.select("v").collect())  # a row per point
+
+
 def place(docs: DataFrame, dims: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Per row of docs: doc_id, size (UTF-8 bytes of the text, and 1), text_crc32, hilbert, shard and slot.
 
-    Each dimension is cut at its approximate quantiles into 2^bits - 1 cells, null being a cell of its own. Rows in the order of the
-    curve, then of doc_id and checksum, are cut into runs whose counts differ by one at most. A null text has no bytes and checksum 0.
-    Repeated rows follow each other. An empty table gives no rows.
+    Each dimension is cut at its quantiles (approximate ones of numbers, exact ones of whole strings) into 2^bits - 1 cells, so that the
+    values of a column of few are spread over the cells by their shares of the rows; null is a cell of its own. Rows in the order of the
+    curve, then of doc_id and checksum, are cut into runs whose counts differ by one at most. A null text has no bytes and checksum 0;
+    texts of any length are read whole. Repeated rows follow each other. An empty table gives no rows. A column that isn't named in dims
+    is left alone, whatever its name.
     """
     src = common.pick(docs, "doc_id", "text", *[d for d in dims if d not in ("doc_id", "text")])
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     src = src.select("doc_id", F.octet_length(text).cast("long").alias("size"), F.crc32(text).alias("crc"), *[ordinal(src, d).alias(f"d{i}") for i, d in enumerate(dims)])
     meta = common.table(src.withColumn("size", F.col("size") + 1))
     points = (1 << bits) - 2
-    cuts = meta.agg(*[F.percentile_approx(f"d{i}", [(k + 1) / (points + 1) for k in range(points)], 10_000).alias(f"d{i}") for i in range(len(dims))]).first()
+    numbers = [i for i in range(len(dims)) if meta.schema[f"d{i}"].dataType.typeName() != "string"]
+    asked = [F.percentile_approx(f"d{i}", [(k + 1) / (points + 1) for k in range(points)], 10_000).alias(f"d{i}") for i in numbers]
+    cuts = dict(zip(numbers, meta.agg(*asked).first(), strict=True)) if numbers else {}
     cells = []
     for i in range(len(dims)):
-        bounds = sorted(set(cuts[i] or []))
-        above = sum((F.when(F.col(f"d{i}") > b, 1).otherwise(0) for b in bounds), F.lit(1))
+        bounds = (cuts[i] or []) if i in cuts else string_quantiles(meta, f"d{i}", points)
+        above = sum((F.when(F.col(f"d{i}") > b, bounds.count(b)).otherwise(0) for b in sorted(set(bounds))), F.lit(1))
         cells.append(F.when(F.col(f"d{i}").isNull(), 0).otherwise(above).cast("int"))
     curved = meta.select("doc_id", "size", "crc", *[c.alias(f"c{i}") for i, c in enumerate(cells)])
     curved = curved.select("doc_id", "size", "crc", index([F.col(f"c{i}") for i in range(len(dims))], bits).alias("hilbert"))

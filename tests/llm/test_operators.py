@@ -120,6 +120,50 @@ def test_hilbert_curve_visits_neighbours(spark, dims):
     assert all(sum(abs(a - b) for a, b in zip(x, y, strict=True)) == 1 for (_, x), (_, y) in zip(got, got[1:], strict=False))
 
 
+def test_shards_against_plain_cells(spark):
+    """Quantile cells, curve places, shards and slots of a small table, worked out in plain Python; ties, nulls and repeated rows included."""
+    r = random.Random(77)
+    rows = [(i, f"text {i}", r.choice(["en", "de", "fr", None]), f"https://example.org/a/long/common/prefix/{r.randint(0, 50):03d}", r.choice([None, 5, 5, *range(40)])) for i in range(400)]
+    rows += rows[:3] + [(None, None, None, None, None)]
+    got = sharding.place(spark.createDataFrame(rows, H.DOCS), ["lang", "source", "n_chars"], 7).collect()
+    points = 30
+
+    def cell(values, v):
+        some = sorted(x for x in values if x is not None)
+        bounds = [some[-(-k * len(some) // (points + 1)) - 1] for k in range(1, points + 1)]
+        return 0 if v is None else 1 + sum(v > b for b in bounds)
+
+    columns = [[x[k] for x in rows] for k in (2, 3, 4)]
+    digit, after = sharding.curve(3)
+
+    def place(x):
+        cells, state, h = [cell(c, x[k]) for c, k in zip(columns, (2, 3, 4), strict=True)], 0, 0
+        for level in reversed(range(sharding.BITS)):
+            bits = sum((c >> level & 1) << i for i, c in enumerate(cells))
+            h, state = h * 8 + digit[state * 8 + bits], after[state * 8 + bits]
+        return h
+
+    want = sorted((place(x), -1 if x[0] is None else x[0], zlib.crc32((x[1] or "").encode())) for x in rows)
+    at = lambda g: (g.hilbert, -1 if g.doc_id is None else g.doc_id, g.text_crc32)
+    assert sorted(map(at, got)) == want
+    assert list(map(at, sorted(got, key=lambda g: (g.shard, g.slot)))) == want
+    assert len({cell(columns[1], v) for v in columns[1]}) > 25
+
+
+def test_shards_prune(spark, data):
+    """Files of a shard hold about two of four languages, and half of the sources."""
+    import os
+
+    folder = data.replace("sf0.001", "sf0.1")
+    if not os.path.exists(folder):
+        pytest.skip("no larger tables")
+    docs = common.read(spark, folder, "documents")
+    found = sharding.place(docs, ["lang", "source", "n_chars"]).join(docs, "doc_id")
+    shards = found.groupBy("shard").agg(F.countDistinct("lang").alias("langs"), F.countDistinct("source").alias("sources")).collect()
+    assert sum(x.langs for x in shards) <= 33 and max(x.langs for x in shards) <= 3
+    assert sum(x.sources for x in shards) / 16 < 10
+
+
 def test_sharded_files(spark, rows, tmp_path):
     df = spark.createDataFrame(rows, H.DOCS)
     sharding.write(df, str(tmp_path / "s"), ["lang", "n_chars"])
