@@ -3,45 +3,28 @@
 A template is cut into segments of up to SEGMENT shingles and a document into blocks of BLOCK shingles, which overlap in their words;
 each gets one minimum per hash function. A band is one function: a block that holds the segment's least shingle retrieves it
 unless one of the block's few other shingles is smaller. For a segment with m >= 3 shingles present this happens with
-probability of at least 1/2 in each of BANDS bands, so that a segment is missed with probability 2^-BANDS at most. Around a retrieved
-segment the window of the template's size is compared shingle by shingle, as words, not as hashes.
+probability of at least 1/2 in each of BANDS bands, so that a segment is missed with probability 2^-BANDS at most. A document that
+holds LEAST of a template's shingles holds 3 or more in most of its segments, so that a document and a template become a candidate
+if a quarter of the segments are retrieved. Candidates are verified once, on shingles as words, not as hashes: each place of a
+shingle counts for the windows that begin in one range, and adding up the ranges' ends gives every window's containment.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, native
+from .license_texts import NOTICES, WHOLE
 
-WIDTH, BLOCK, SEGMENT, BANDS = 3, 4, 8, 12
-#: Templates that are broadcast in one scan.
-TEMPLATES_MAX = 500
+WIDTH, BLOCK, SEGMENT, BANDS = 3, 4, 8, 14
 #: Least share of a template's shingles in a window.
 LEAST = 0.8
-#: Names and texts of public licence notices.
-TEMPLATES = {
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT notice": "Released under the MIT License.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
-    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-}
+TEMPLATES = NOTICES | WHOLE
+#: Bytes of a row of the segments' keys, about, and of a template's shingles.
+KEY_BYTES, SHINGLE_BYTES = 96, 128
 
 
 def banded(df: DataFrame, size: int, bands: int) -> DataFrame:
@@ -61,49 +44,103 @@ def hashes(array: str, width: int) -> F.Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: native.shingle(array, i, width)))
 
 
-def templates(spark: SparkSession, texts: dict[str, str], width: int, segment: int, bands: int) -> DataFrame:
-    """(license, tset, tn, off, key): a row per segment and band; tset holds the template's distinct shingles as strings, tn is their number with repeats."""
-    named = F.explode(F.create_map(*[F.lit(x) for both in texts.items() for x in both]))
-    t = spark.range(1).select(named.alias("license", "text")).select("license", native.words("text").alias("tw")).where(F.size("tw") >= width)
-    t = t.withColumn("tn", F.size("tw") - width + 1)
-    t = t.withColumn("tset", F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("tn")), lambda i: F.array_join(F.slice("tw", i, width), " "))))
-    t = t.select("license", "tset", "tn", hashes("tw", width).alias("hs"))
-    return banded(t, segment, bands).select("license", "tset", "tn", F.col("at").alias("off"), "key")
+def template_words(spark: SparkSession, texts: dict[str, str], width: int) -> DataFrame:
+    """(license, tw, tn): words of each template and the number of its shingles."""
+    named = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for both in texts.items() for x in both])).alias("license", "text"))
+    return named.select("license", native.words("text").alias("tw")).withColumn("tn", F.size("tw") - width + 1).where("tn > 0")
 
 
-def scan(docs: DataFrame, texts: dict[str, str] | None = None, least: float = LEAST, width: int = WIDTH, block: int = BLOCK, segment: int = SEGMENT, bands: int = BANDS) -> DataFrame:
-    """Per document and template that it holds: doc_id, license, containment (the greatest share of the template's shingles in a window), first_word (where the first such window begins) and n_places.
+def segments(held: DataFrame, width: int, segment: int, bands: int) -> DataFrame:
+    """(license, need, off, key): a row per segment and band. need is the number of segments that make a candidate."""
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("tn") / segment) / 4)).cast("int")
+    return banded(held.select("license", need.alias("need"), hashes("tw", width).alias("hs")), segment, bands).select("license", "need", F.col("at").alias("off"), "key")
+
+
+def shingle_words(array: str, width: int) -> F.Column:
+    """All shingles of the words in a column, as text."""
+    n = F.size(array) - width + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(array, i, width), " ")))
+
+
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Licence texts of a folder of text files, by file name without its ending; one text per file."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", "").alias("name"), "value").collect()
+    return {r["name"]: r["value"] for r in rows}
+
+
+def scan(docs: DataFrame, texts: dict[str, str] | None = None, least: float = LEAST, width: int = WIDTH, block: int = BLOCK, segment: int = SEGMENT, bands: int = BANDS, broadcast_rows: int = native.BROADCAST_ROWS) -> DataFrame:
+    """Per document and template that it holds: doc_id, license, containment (the greatest share of the template's distinct shingles in a window of the template's length), first_word (where the first such window begins) and n_places (separate runs of window starts that reach `least`).
 
     Words are compared with A-Z lower-cased. A null or short text holds nothing; repeated rows are one document, and so are rows with a
-    null doc_id; ties in containment go to the first window. Templates must have width words at least.
+    null doc_id and equal texts; ties in containment go to the first window. Texts of any length are read whole. Other columns of docs,
+    whatever their names, are left alone; an empty table gives no rows. Templates must have width words at least. Their keys are broadcast,
+    as many at a time as are within the limits of rows and bytes; a single template beyond them is joined by a shuffle.
     """
     texts = TEMPLATES if texts is None else texts
-    texts = texts or {"": ""}
-    for name, text in texts.items():
-        if name and len(text.split()) < width:
+    sizes = {name: len(text.split()) for name, text in texts.items()}
+    for name, n in sizes.items():
+        if n < width:
             raise ValueError(f"template {name!r} has fewer than {width} words")
-    if len(texts) > TEMPLATES_MAX:
-        # so many at a time: each part is scanned on its own, since all parts of one template stand in the same scan
-        names = list(texts)
-        parts = [{n: texts[n] for n in names[k : k + TEMPLATES_MAX]} for k in range(0, len(names), TEMPLATES_MAX)]
-        return reduce(DataFrame.unionByName, [scan(docs, part, least, width, block, segment, bands) for part in parts])
-    held = F.broadcast(common.table(templates(docs.sparkSession, texts, width, segment, bands)))  # TEMPLATES_MAX bounds it
-    src = common.pick(docs, "doc_id", "text").select("doc_id", native.words("text").alias("w"))
-    keys = banded(src.select("doc_id", "w", hashes("w", width).alias("hs")), block, bands)
-    met = keys.join(held, "key").withColumn("n", F.size("hs"))
-    # the template's first shingle stands at most here, the segment's least being anywhere in block and segment; a fifth may be put in between
-    slack = F.ceil(F.col("tn") * (1 - least)).cast("int") + block
-    low = F.greatest(F.lit(0), F.col("at") - F.col("off") - segment + 1 - slack)
-    high = F.least(F.col("n"), F.col("at") + block + F.col("tn") - F.col("off") + slack)
-    span = met.select("doc_id", "license", "tset", "tn", low.cast("int").alias("low"), F.slice("w", low.cast("int") + 1, (high - low).cast("int") + width - 1).alias("v"))
-    span = span.withColumn("sh", F.transform(F.sequence(F.lit(1), F.size("v") - width + 1), lambda i: F.array_join(F.slice("v", i, width), " ")))
-    # every window of the template's own size that lies in the span
-    share = lambda i: F.size(F.array_intersect(F.slice("sh", i, F.col("tn")), "tset")) / F.size("tset")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("sh") - F.col("tn") + 1))
-    best = F.array_max(F.transform(starts, lambda i: F.struct(share(i).alias("share"), (-i).alias("i"))))
-    # the limit is put after grouping: before it, it would be pushed into the join and end code generation there
-    found = span.select("doc_id", "license", "low", best.alias("b"))
-    found = found.select("doc_id", "license", F.col("b.share").alias("share"), (F.col("low") - F.col("b.i") - 1).alias("first"))
-    places = found.groupBy("doc_id", "license").agg(F.max(F.struct("share", (-F.col("first")).alias("f"))).alias("b"), F.collect_set(F.when(F.col("share") >= least, F.col("first"))).alias("all"))
-    places = places.where(F.col("b.share") >= least)
-    return places.select("doc_id", "license", F.round("b.share", 6).alias("containment"), (-F.col("b.f")).cast("long").alias("first_word"), F.size("all").cast("long").alias("n_places"))
+    parts: list[dict[str, str]] = [{}]
+    rows = 0
+    most = min(broadcast_rows, native.BROADCAST_BYTES // KEY_BYTES)
+    for name, text in texts.items():
+        more = bands * (2 * sizes[name] // segment + 1)  # marks may part more words than white space does
+        if parts[-1] and rows + more > most:
+            parts.append({})
+            rows = 0
+        parts[-1][name] = text
+        rows += more
+    return reduce(DataFrame.unionByName, [scan_part(docs, part or {"none": " ".join(["-"] * width)}, least, width, block, segment, bands, broadcast_rows) for part in parts])
+
+
+def scan_part(docs: DataFrame, texts: dict[str, str], least: float, width: int, block: int, segment: int, bands: int, broadcast_rows: int) -> DataFrame:
+    held = common.table(template_words(docs.sparkSession, texts, width))
+    near = lambda df, size: F.broadcast(df) if native.few(df, size, broadcast_rows) else df
+    src = common.pick(docs, "doc_id", "text").withColumn("key", F.xxhash64("text"))
+    worded = src.select("doc_id", F.col("key").alias("text_key"), native.words("text").alias("w"))
+    keys = banded(worded.select("doc_id", "text_key", hashes("w", width).alias("hs")), block, bands)
+    met = keys.join(near(common.table(segments(held, width, segment, bands)), KEY_BYTES), "key").select("doc_id", "text_key", "license", "need", "off")
+    found = met.groupBy("doc_id", "text_key", "license", "need").agg(F.countDistinct("off").alias("n")).where("n >= need")
+    found = common.table(found.select(F.col("doc_id").alias("_id"), "text_key", "license"))
+    pairs = src.join(near(found, KEY_BYTES), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("text_key")))
+    placed = pairs.select("doc_id", "key", "license", native.words("text").alias("w"))
+    placed = placed.select("doc_id", "key", "license", (F.size("w") - width + 1).alias("n"), F.posexplode(shingle_words("w", width)).alias("p", "shingle"))
+    theirs = held.select("license", "tn", F.array_distinct(shingle_words("tw", width)).alias("s")).select("license", "tn", F.size("s").alias("distinct"), F.explode("s").alias("shingle"))
+    hits = placed.join(near(common.table(theirs), SHINGLE_BYTES), ["license", "shingle"])
+    one = ["doc_id", "key", "license"]  # one exchange by these serves all that follows
+    hits = hits.repartition(*one).dropDuplicates([*one, "p"])
+    before = F.lag("p").over(Window.partitionBy(*one, "shingle").orderBy("p"))
+    # the windows that begin from low to high hold this place of the shingle and none before it
+    last = F.greatest(F.lit(0), F.col("n") - F.col("tn"))
+    low = F.greatest(F.lit(0), F.col("p") - F.col("tn") + 1, F.coalesce(before + 1, F.lit(0)))
+    spans = hits.select(*one, "distinct", low.alias("low"), F.least("p", last).alias("high")).where("low <= high")
+    ends = spans.select(*one, "distinct", F.explode(F.array(F.struct(F.col("low").alias("at"), F.lit(1).alias("by")), F.struct((F.col("high") + 1).alias("at"), F.lit(-1).alias("by")))).alias("e"))
+    steps = ends.groupBy(*one, "distinct", "e.at").agg(F.sum("e.by").alias("by"))
+    line = Window.partitionBy(*one).orderBy("at")
+    shares = steps.withColumn("share", F.sum("by").over(line) / F.col("distinct"))
+    shares = shares.withColumn("begins", (F.col("share") >= least) & (F.coalesce(F.lag("share").over(line), F.lit(0.0)) < least))
+    best = shares.groupBy(*one).agg(F.max(F.struct("share", (-F.col("at")).alias("f"))).alias("b"), F.count_if("begins").alias("n_places")).where(F.col("b.share") >= least)
+    return best.select("doc_id", "license", F.round("b.share", 6).alias("containment"), (-F.col("b.f")).cast("long").alias("first_word"), F.col("n_places").cast("long").alias("n_places"))
+
+
+def sql(texts: dict[str, str], least: float = LEAST) -> str:
+    """scan() of documents with three-word shingles, straight from the definition, for all documents and templates."""
+    quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in both)) for both in texts.items())
+    words = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '') AS w"
+    return f"""
+WITH tw AS (SELECT license, {words} FROM (VALUES {quoted}) t(license, text)),
+ts AS (SELECT DISTINCT license, len(w) - 2 AS tn, array_to_string(w[s:s + 2], ' ') AS shingle FROM (SELECT license, w, unnest(range(1, len(w) - 1)) AS s FROM tw)),
+td AS (SELECT license, count(*) AS d FROM ts GROUP BY license),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {words} FROM (SELECT DISTINCT doc_id, text FROM documents)),
+pos AS (SELECT r, doc_id, n, p, array_to_string(w[p + 1:p + 3], ' ') AS shingle FROM (SELECT r, doc_id, w, len(w) - 2 AS n, unnest(range(0, len(w) - 2)) AS p FROM doc)),
+hit AS (SELECT r, doc_id, license, n, tn, p, lag(p) OVER (PARTITION BY r, license, shingle ORDER BY p) AS before FROM pos JOIN ts USING (shingle)),
+span AS (SELECT r, doc_id, license, greatest(0, p - tn + 1, coalesce(before + 1, 0)) AS low, least(p, greatest(0, n - tn)) AS high FROM hit),
+step AS (
+  SELECT r, doc_id, license, spot, sum(change) AS change
+  FROM (SELECT r, doc_id, license, low AS spot, 1 AS change FROM span WHERE low <= high UNION ALL SELECT r, doc_id, license, high + 1, -1 FROM span WHERE low <= high) GROUP BY ALL),
+share AS (SELECT r, doc_id, license, spot, sum(change) OVER (PARTITION BY r, license ORDER BY spot) / d::DOUBLE AS share FROM step JOIN td USING (license)),
+run AS (SELECT *, share >= {least}::DOUBLE AND coalesce(lag(share) OVER (PARTITION BY r, license ORDER BY spot), 0) < {least}::DOUBLE AS begins, max(share) OVER (PARTITION BY r, license) AS top FROM share)
+SELECT doc_id, license, round(max(share), 6) AS containment, cast(min(CASE WHEN share = top THEN spot END) AS BIGINT) AS first_word, cast(count(*) FILTER (begins) AS BIGINT) AS n_places
+FROM run GROUP BY r, doc_id, license HAVING max(share) >= {least}::DOUBLE
+"""

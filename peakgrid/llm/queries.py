@@ -65,4 +65,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hilbert_shards, op3_license_scan, op4_decontaminate, op5_html_text, op6_warc, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing)}
 
-SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op3_license_scan": licenses.sql(licenses.TEMPLATES), "op4_decontaminate": decontaminate.SQL}

@@ -175,7 +175,8 @@ def windows_of(words, n):
     return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
-def test_licences_against_brute_force(spark, rows, empty):
+@pytest.mark.parametrize("limit", [10**6, 3])
+def test_licences_against_brute_force(spark, rows, empty, limit):
     r = random.Random(2)
     extra = []
     for k, (_, text) in enumerate(licenses.TEMPLATES.items()):
@@ -185,17 +186,22 @@ def test_licences_against_brute_force(spark, rows, empty):
         broken[len(broken) // 2] = "otherwise"
         extra.append((2000 + k, f"{H.say(r, 9)} {' '.join(broken)} {H.say(r, 9)}", "en", "s", 1))
         extra.append((3000 + k, f"{H.say(r, 9)} {' '.join(words[: len(words) // 2])} {H.say(r, 9)}", "en", "s", 1))
-    extra += [(4000, None, "en", "s", 1), (4001, licenses.TEMPLATES["MIT notice"], None, None, None), (4002, "Released under", "en", "s", 1)]
-    df = spark.createDataFrame(extra + rows, H.DOCS)
-    got = {(x.doc_id, x.license): (x.containment, x.first_word) for x in licenses.scan(df).collect()}
+    extra += [(4000, None, "en", "s", 1), (4001, licenses.TEMPLATES["MIT line"], None, None, None), (4002, "Released under", "en", "s", 1)]
+    extra += [(4003, " and ".join([licenses.TEMPLATES["MIT"]] * 2) + H.say(r, 60) + licenses.TEMPLATES["MIT"], "en", "s", 1)]
+    extra += [(4000, licenses.TEMPLATES["MIT line"], "en", "s", 1)] + extra[5:6] * 3
+    df = spark.createDataFrame(extra + rows, H.DOCS).withColumn("w", F.lit(1)).withColumn("key", F.lit(1)).withColumn("license", F.lit(1))
+    found = licenses.scan(df, broadcast_rows=limit).collect()
+    got = {(x.doc_id, x.license): (x.containment, x.first_word, x.n_places) for x in found}
+    assert len(got) == len(found)
     want = {}
     for doc, text, *_ in extra:
         shingles = windows_of(H.item_words(text), 3)
         for name, body in licenses.TEMPLATES.items():
             t = windows_of(H.item_words(body), 3)
-            best = max(((len(set(shingles[i : i + len(t)]) & set(t)) / len(set(t)), -i) for i in range(max(1, len(shingles) - len(t) + 1))), default=(0, 0))
-            if best[0] >= licenses.LEAST:
-                want[doc, name] = (round(best[0], 6), -best[1])
+            shares = [len(set(shingles[i : i + len(t)]) & set(t)) / len(set(t)) for i in range(max(1, len(shingles) - len(t) + 1))]
+            if max(shares, default=0) >= licenses.LEAST:
+                runs = sum(x >= licenses.LEAST > y for x, y in zip(shares, [0, *shares], strict=False))
+                want[doc, name] = (round(max(shares), 6), shares.index(max(shares)), runs)
     assert {k: v for k, v in got.items() if k[0] is not None and k[0] >= 1000} == want
     assert not [k for k in got if k[0] is None or k[0] < 1000]
     assert licenses.scan(empty).count() == 0
@@ -204,11 +210,28 @@ def test_licences_against_brute_force(spark, rows, empty):
         licenses.scan(df, {"short": "two words"})
 
 
-def test_more_licences_than_one_broadcast(spark, monkeypatch):
-    df = spark.createDataFrame([(1, licenses.TEMPLATES["ISC"], "en", "s", 1), (2, licenses.TEMPLATES["MIT notice"], "en", "s", 1)], H.DOCS)
+def test_more_licences_than_one_broadcast(spark):
+    """Templates are dealt into several scans; a long one that no broadcast takes is joined by a shuffle."""
+    df = spark.createDataFrame([(1, licenses.TEMPLATES["ISC"], "en", "s", 1), (2, licenses.TEMPLATES["MIT line"], "en", "s", 1), (3, licenses.TEMPLATES["Apache-2.0"], "en", "s", 1)], H.DOCS)
     want = sorted(map(tuple, licenses.scan(df).collect()))
-    monkeypatch.setattr(licenses, "TEMPLATES_MAX", 5)
-    assert sorted(map(tuple, licenses.scan(df).collect())) == want and want
+    assert sorted(map(tuple, licenses.scan(df, broadcast_rows=300).collect())) == want and len(want) >= 3
+
+
+def test_long_template(spark, tmp_path):
+    """5,600 words: copies with and without changes, half of it, and a longer text that holds it; templates are read from files."""
+    r = random.Random(44)
+    words = H.say(r, 5_600).split()
+    (tmp_path / "long-licence.txt").write_text(" ".join(words))
+    texts = licenses.read_templates(spark, str(tmp_path))
+    assert list(texts) == ["long-licence"]
+    changed = [w if r.random() > 0.02 else "other" for w in words]
+    broken = [w if r.random() > 0.15 else "other" for w in words]
+    docs = [(1, H.say(r, 300) + " " + " ".join(words)), (2, " ".join(changed) + " " + H.say(r, 900)), (3, " ".join(words[:2_800])), (4, " ".join(broken)), (5, H.say(r, 6_000))]
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), texts).collect()}
+    assert sorted(got) == [1, 2] and got[1].first_word == 300 and got[1].containment == 1.0 and got[1].n_places == 1
+    t, d = windows_of(words, 3), windows_of(docs[1][1].split(), 3)
+    best = max((len(set(d[i : i + len(t)]) & set(t)) / len(set(t)), -i) for i in range(0, len(d) - len(t) + 1))
+    assert (got[2].containment, got[2].first_word) == (round(best[0], 6), -best[1])
 
 
 @pytest.mark.parametrize("limit", [10**6, 3])
