@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from peakgrid.llm import common, decontaminate, gbt, html_text, language, licenses, packing, quality_pu, quality_rules, sharding, simhash, textstats, warc
+from peakgrid.llm import common, decontaminate, gbt, html_text, language, licenses, near_duplicates, packing, quality_pu, quality_rules, sharding, simhash, textstats, warc
 from peakgrid.llm.queries import tokenizer
 from pyspark.sql import functions as F
 
@@ -94,6 +94,87 @@ def test_keep_one(docs, rows, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_flat_tree_and_forest():
+    r = np.random.default_rng(12)
+    base = r.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
+    values = np.unique(np.concatenate([base ^ (np.uint64(1) << r.integers(0, 64, (6, 4), dtype=np.uint64)) for _ in range(40)] + [base]), axis=0)
+    tree = near_duplicates.Tree(values)
+    distance = np.bitwise_count(values[:, None] ^ values[None]).sum(2, dtype=np.int64)
+    for radius in (0, 3, 8, 120):
+        q, at, d = tree.near(values, radius)
+        assert sorted(zip(q.tolist(), at.tolist(), d.tolist(), strict=True)) == [(i, j, distance[i, j]) for i, j in zip(*np.nonzero(distance <= radius), strict=True)]
+    x, y = np.nonzero(np.triu(distance <= 120, 1))
+    taken = near_duplicates.nearest_forest(x, y, distance[x, y], len(values))
+    assert len(set(taken.tolist())) == len(taken) == len(values) - 1
+    # as light as Kruskal's tree
+    up, total = list(range(len(values))), 0
+    for k in np.argsort(distance[x, y], kind="stable"):
+        a, b = x[k], y[k]
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        if a != b:
+            up[a], total = b, total + distance[x[k], y[k]]
+    assert distance[x[taken], y[taken]].sum() == total
+    assert len(near_duplicates.Tree(values[:0]).near(values, 3)[0]) == 0
+
+
+def similar_roots(rows):
+    """Brute force: the least document of each group of texts whose sets of five-word shingles overlap by 0.8."""
+    texts = sorted({t or "" for _, t, *_ in rows})
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    roots = H.components(list(range(len(texts))), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(roots[texts.index(t or "")], []).append(i)
+    return groups
+
+
+def near_copies(r, n):
+    """Texts with none to many changed words, some of which reach others only through a chain."""
+    out = []
+    for _ in range(n):
+        words = H.say(r, r.choice([6, 30, 120])).split()
+        for _ in range(r.choice([1, 2, 6])):
+            out.append(" ".join(words))
+            for _ in range(r.choice([0, 1, 1, 2, 4])):
+                words[r.randrange(len(words))] = "x" + str(r.randint(0, 99))
+    return out
+
+
+@pytest.mark.parametrize("tile", [4096, 5])
+def test_near_duplicates_against_brute_force(spark, rows, empty, tile):
+    r = random.Random(15)
+    more = [(10_000 + k, t, "en", "s", 1) for k, t in enumerate(near_copies(r, 50))]
+    more += [(20_000, more[0][1].upper(), "en", "s", 1), (20_001, "  ".join(more[0][1].split()), "en", "s", 1), (None, "nobody " * 9 + "knows", "en", "s", 1), (None, "nobody " * 9 + "knows it", "en", "s", 1), more[3], more[3], (more[4][0], more[4][1], "de", None, None)]
+    every = [x for x in rows + more if len(x[1] or "") < 5_000]
+    df = spark.createDataFrame(every, H.DOCS).withColumn("key", F.lit(1)).withColumn("group", F.lit(2)).withColumn("n", F.lit(4)).select("*", F.lit(3).alias("Doc_ID"))
+    got = near_duplicates.keep_one(df, tile=tile)
+    assert got.columns == df.columns
+    ids = [repr(x[0]) for x in got.collect()]
+    want = [repr(min((i for i in g if i is not None), default=None)) for g in similar_roots(every).values()]
+    assert sorted(ids) == sorted(want)
+    assert near_duplicates.keep_one(empty).count() == 0
+
+
+def test_near_duplicates_of_very_long_texts(spark, monkeypatch):
+    r = random.Random(16)
+    words = H.say(r, 60_000).split()
+    other = [w if r.random() > 0.01 else "other" for w in words]
+    far = [w if r.random() > 0.2 else "other" for w in words]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(x.doc_id for x in near_duplicates.keep_one(df).collect()) == [1, 3]
+    whole = near_duplicates.shingles(" ".join(words).encode())
+    from peakgrid.llm import simhash as parts
+
+    monkeypatch.setattr(parts, "BLOCK", 1_000)
+    assert np.array_equal(near_duplicates.shingles(" ".join(words).encode()), whole)
+
+
 def test_hilbert_shards(docs, rows, empty):
     got = sharding.place(docs, ["lang", "source", "n_chars"]).collect()
     assert len(got) == len(rows)
