@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,18 +38,36 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/peakgrid-{spark.sparkContext.applicationId}"
 
 
-def table(df: DataFrame) -> DataFrame:
-    """As cut(), but as compressed Parquet. release() deletes all such tables of the application."""
+#: Folders of the scopes that are open, the innermost last.
+_scopes: list[str] = []
+
+
+def table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """As cut(), but as compressed Parquet at path, or else in the innermost scope's folder. release() deletes all such tables of the application."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    path = path or f"{_scopes[-1] if _scopes else scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made inside are deleted at the end; what reads them must be written before, to a path of its own."""
+    _scopes.append(f"{scratch(spark)}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, _scopes.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the application's scratch tables. Results that still read them must have been written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, scratch(spark))
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
