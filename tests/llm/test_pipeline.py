@@ -19,7 +19,9 @@ def folder(spark, tmp_path_factory):
     copies = [(2000 + i, good[i % 4][1], "en", "s", 1) for i in range(30)]
     dirty = [(3000 + i, f"{H.say(r, 60)}. {items[i % 5][1]} {H.say(r, 60)}", "en", "s", 1) for i in range(10)]
     odd = [(4000, None, None, None, None), (4001, "", "en", "s", 0), good[7], good[7]]
-    rows = good + bad + copies + dirty + odd
+    almost = [(2500 + i, good[50 + i][1].replace(good[50 + i][1].split()[40], "changed", 1), "en", "s", 1) for i in range(20)]
+    unmarked = [(2700 + i, H.say(r, 120), None, "s", 1) for i in range(5)]
+    rows = good + bad + copies + almost + unmarked + dirty + odd
     spark.createDataFrame(rows, H.DOCS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     labels = [(x[0], 1, 0) for x in good[::2]] + [(x[0], 0, 0) for x in bad[::2]]
@@ -38,12 +40,14 @@ def test_stages_one_by_one(spark, folder, tmp_path):
         made.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         kept.append([x.doc_id for x in docs.select("doc_id").collect()])
+        if k == 1:
+            assert {x.lang for x in docs.select("lang").collect()} == {"en"}
     good, langs, near, clean, packed = kept
     assert not [i for i in good if i is not None and 1000 <= i < 2000] and set(range(200)) <= set(good)
     assert set(langs) == set(good) - {4000, 4001}
-    fps = {x[0]: H.fingerprint(x[1]) for x in rows if x[0] in set(langs)}
-    roots = H.components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
-    assert sorted(near) == sorted(set(roots.values()))
+    shingles = {x[0]: {tuple(w[i : i + 5]) for w in [x[1].lower().split()] for i in range(len(w) - 4)} for x in rows if x[0] in set(langs)}
+    roots = H.components(sorted(shingles), lambda a, b: 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]))
+    assert sorted(near) == sorted(set(roots.values())) and len(near) < len(set(langs)) - 30
     text = {x[0]: x[1] for x in rows}
     assert sorted(clean) == sorted(i for i in near if not H.contamination(text[i], items)[-1])
     assert set(packed) == set(clean)
