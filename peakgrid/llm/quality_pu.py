@@ -46,9 +46,9 @@ def in_fold(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def nn_risk(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and offset that minimise prior * R(p, +) + max(0, R(u, -) - prior * R(p, -)) with sigmoid loss; where the second term is negative, only it is pushed back up."""
-    w, m, v = np.zeros(p.shape[1] + 1), 0.0, 0.0
+def nn_risk(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 2.5) -> tuple[np.ndarray, float]:
+    """Weights and offset that minimise prior * R(p, +) + max(0, R(u, -) - prior * R(p, -)) with sigmoid loss; where the second term is negative, only it is pushed back up. The ridge weighs less the more positives there are."""
+    w, m, v, decay = np.zeros(p.shape[1] + 1), 0.0, 0.0, ridge / len(p)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     with_one = lambda a: np.c_[a, np.ones(len(a), np.float32)]
     p, u = with_one(p), with_one(u)

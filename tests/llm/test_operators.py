@@ -682,7 +682,7 @@ def test_quality_risk_against_plain_steps():
         sig = lambda z: 1 / (1 + np.exp(-z))
         good = np.mean([sig(-(row @ w + b)) for row in p])
         bad = np.mean([sig(row @ w + b) for row in u]) - 0.4 * np.mean([sig(row @ w + b) for row in p])
-        return 0.4 * good + max(0.0, bad) + 0.5e-4 * (w @ w + b * b)
+        return 0.4 * good + max(0.0, bad) + 0.5 * 2.5 / 200 * (w @ w + b * b)
 
     best = risk(w, b)
     assert all(risk(w + 0.5 * r.standard_normal(3), b + 0.5 * r.standard_normal()) > best - 1e-3 for _ in range(200))
