@@ -56,7 +56,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int
     """Per row of docs: doc_id, n_words, n_hit (words inside any occurrence of a window), items (sorted ids, as strings, of the items with occurring windows), n_items.
 
     A null text has no words. An item with a null id marks words but isn't listed. Repeated rows, and rows with a null doc_id, each
-    get a row of their own. The prefix is broadcast if its counted rows are within broadcast_rows and the byte limit. Beyond that only
+    get a row of their own. Texts of any length are read whole; an empty table of documents gives no rows, an empty benchmark no hits;
+    other columns of either, whatever their names, are left alone. The prefix is broadcast if its counted rows are within broadcast_rows and the byte limit. Beyond that only
     positions and hashes are shuffled to it, the bounds are applied, and the words of the few documents that are left are joined again.
     """
     win = common.table(windows(benchmark, window, width))
@@ -64,12 +65,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int
     src = common.pick(docs, "doc_id", "text")
     # how often each of the benchmark's shingles stands in the documents
     wanted = win.select("h").distinct()
-    wanted = F.broadcast(wanted) if native.few(wanted, 64, broadcast_rows) else wanted
-    often = positions(src.select("text"), widths).where("h is not null").select("h").join(wanted, "h").groupBy("h").agg(F.count("*").alias("df"))
+    every = positions(src.select("text"), widths).where("h is not null").select("h")
+    if native.few(wanted, 64, broadcast_rows):
+        often = every.join(F.broadcast(wanted), "h").groupBy("h").agg(F.count("*").alias("df"))
+    else:  # counted before joining, so that a common line's shingles are not dealt to one task
+        often = every.groupBy("h").agg(F.count("*").alias("df")).join(wanted, "h")
     ranked = win.join(common.table(often), "h").withColumn("rank", F.row_number().over(Window.partitionBy("win", "len").orderBy("df", "h", "at")))
     # a window one of whose shingles stands nowhere can't occur
     whole = win.groupBy("win", "len").agg(F.count("*").alias("all")).join(ranked.groupBy("win", "len").agg(F.count("*").alias("found")), ["win", "len"]).where("all = found").select("win", "len")
-    prefix = common.table(ranked.where("rank = 1").join(whole, ["win", "len"]).select("h", F.col("at").alias("off"), "len", "win", "items"))
+    prefix = common.table(ranked.where("rank = 1").join(whole, ["win", "len"]).select("h", F.col("at").alias("off"), "len", "win", "items", "df"))
     keyed = positions(src.withColumn("key", F.xxhash64("text")), widths)
     start = F.col("at") - F.col("off")
     begins = (start >= 0) & (start + F.col("len") <= F.col("n"))
@@ -82,7 +86,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int
         met = met.select("doc_id", "key", "n", own, hit.alias("hit"), start.alias("s"), "len", "items").where("own or hit")
     else:
         narrow = keyed.select("doc_id", "key", "n", "at", "h")
-        near = narrow.where("h is not null").join(prefix, "h").where(begins).select("doc_id", "key", "n", start.alias("s"), "len", "win", "items")
+        # the prefix's most frequent shingles are broadcast, as many as may be; the others are rare enough to be shuffled
+        rare = prefix.agg(F.percentile_approx("df", F.lit(max(0.0, 1 - broadcast_rows / 2 / max(prefix.count(), 1))), 10_000)).first()[0] or 0
+        placed = narrow.where("h is not null")
+        both = placed.join(F.broadcast(prefix.where(F.col("df") > rare)), "h").unionByName(placed.join(prefix.where(F.col("df") <= rare), "h"))
+        near = both.where(begins).select("doc_id", "key", "n", start.alias("s"), "len", "win", "items")
         words = src.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), native.words("text").alias("w")).dropDuplicates(["_id", "_key"])
         again = near.join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
         found = again.where(F.slice("w", F.col("s") + 1, F.col("len")) == F.col("win")).select("doc_id", "key", "n", F.lit(False).alias("own"), F.lit(True).alias("hit"), "s", "len", "items")

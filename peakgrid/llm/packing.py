@@ -220,7 +220,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def placed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of docs with their places."""
+    """Pieces of docs with their places: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
+
+    A null or empty text is one piece of the end id alone; a very long one is cut into pieces of capacity tokens; repeated rows give
+    repeated pieces, each with a place of its own; pieces of equal length, the ties, take places in the order of doc_id, piece and
+    checksum within salted parts. An empty table gives no rows. Other columns of docs, whatever their names, are left alone.
+    """
     return pack(common.table(pieces(docs, tokenizer, capacity, with_ids)), capacity)
 
 

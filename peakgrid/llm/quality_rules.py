@@ -59,3 +59,17 @@ def apply(docs: DataFrame, model: gbt.Trees | None, least: float = 0.5) -> DataF
 
     fields = [*[T.StructField(c, T.LongType()) for c in textstats.BASE], T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     return common.append(docs, "text", fn, fields, ["doc_id"])
+
+
+#: The base counts of documents, straight from the definition.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+line AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+win AS (SELECT r, p, w[p], w[p + 1], w[p + 2], count(*) OVER (PARTITION BY r, w[p], w[p + 1], w[p + 2]) AS times FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+rep AS (SELECT r, count(DISTINCT p + k) AS n_repeat_words FROM win, range(3) t(k) WHERE times > 1 GROUP BY r),
+c AS (
+  SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(length(array_to_string(w, '')) AS BIGINT) AS word_chars, cast(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    cast(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, cast(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN line USING (r) LEFT JOIN rep USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""

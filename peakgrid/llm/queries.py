@@ -63,6 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placed(read(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hilbert_shards, op3_license_scan, op4_decontaminate, op5_html_text, op6_warc, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing)}
+def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op7 alone, without its trees."""
+    return quality_rules.apply(read(spark, sf_dir, "documents"), None).drop("score", "kept")
 
-SQL: dict[str, str] = {"op3_license_scan": licenses.sql(licenses.TEMPLATES), "op4_decontaminate": decontaminate.SQL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hilbert_shards, op3_license_scan, op4_decontaminate, op5_html_text, op6_warc, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing, text_counts)}
+
+SQL: dict[str, str] = {"op3_license_scan": licenses.sql(licenses.TEMPLATES), "op4_decontaminate": decontaminate.SQL, "op6_warc": warc.SQL, "text_counts": quality_rules.SQL}

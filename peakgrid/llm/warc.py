@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, native
 
 #: Payload bytes of one WARC record.
 CHUNK = 1 << 20
@@ -55,18 +55,21 @@ def head(**fields: object) -> bytes:
     return ("WARC/1.0\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode()
 
 
-def records(page: str, uri: str | None, payload: bytes, refers: str | None, size: int = CHUNK) -> Iterator[bytes]:
-    """The WARC records of one page, each with its closing blank lines but for the last line feed, which the text sink adds."""
+def records(page: str, uri: str | None, payload: bytes, sha: str, refers: str | None, size: int = CHUNK) -> Iterator[bytes]:
+    """The WARC records of one page, each with its closing blank lines but for the last line feed, which the text sink adds. sha is the payload's SHA-1 in hexadecimal digits; segments carry the digest of all bytes up to their end."""
     name = lambda p, k=0: f"<urn:page:{p}>" if not k else f"<urn:page:{p}:{k + 1}>"
+    whole = bare_sha1(bytes.fromhex(sha))
     if refers is not None:
-        digest = hashlib.sha1(payload).digest()
-        yield head(WARC_Type="revisit", WARC_Record_ID=name(page), WARC_Date=DATE, WARC_Target_URI=clean(uri), WARC_Refers_To=name(refers), WARC_Payload_Digest=f"sha1:{bare_sha1(digest)}", WARC_Profile="http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", X_Payload_Length=len(payload), Content_Length=0) + b"\r\n\r"
+        yield head(WARC_Type="revisit", WARC_Record_ID=name(page), WARC_Date=DATE, WARC_Target_URI=clean(uri), WARC_Refers_To=name(refers), WARC_Payload_Digest=f"sha1:{whole}", WARC_Profile="http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", X_Payload_Length=len(payload), Content_Length=0) + b"\r\n\r"
         return
-    whole = f"sha1:{bare_sha1(hashlib.sha1(payload).digest())}"
-    for _, k, part, _, _, last in chunks(page, payload, size):
-        fields = {"WARC_Type": "continuation" if k else "response", "WARC_Record_ID": name(page, k), "WARC_Date": DATE, "WARC_Target_URI": clean(uri), "WARC_Payload_Digest": whole}
+    parts = chunks(page, payload, size) if len(payload) > size else [(page, 0, payload, whole, len(payload), True)]
+    for _, k, part, running, _, last in parts:
+        if last and running != whole:
+            raise ValueError(f"digest of record {page} differs")
+        fields = {"WARC_Type": "continuation" if k else "response", "WARC_Record_ID": name(page, k), "WARC_Date": DATE, "WARC_Target_URI": clean(uri), "WARC_Payload_Digest": f"sha1:{whole}"}
         if k or not last:
             fields["WARC_Segment_Number"] = k + 1
+            fields["X_Running_Digest"] = f"sha1:{running}"
         if k:
             fields["WARC_Segment_Origin_ID"] = name(page)
             if last:
@@ -74,7 +77,7 @@ def records(page: str, uri: str | None, payload: bytes, refers: str | None, size
         yield head(**fields, Content_Type="text/html;charset=utf-8", Content_Length=len(part)) + part + b"\r\n\r"
 
 
-def write(pages: DataFrame, path: str, least: int = 0, size: int = CHUNK) -> None:
+def write(pages: DataFrame, path: str, least: int = 0, size: int = CHUNK, broadcast_rows: int = native.BROADCAST_ROWS) -> None:
     """Archive pages (page_id, url, html) under path.
 
     Of pages with equal payloads of at least `least` bytes, that with the greatest page_id is a response and the others are revisits
@@ -84,16 +87,22 @@ def write(pages: DataFrame, path: str, least: int = 0, size: int = CHUNK) -> Non
     src = common.pick(pages, "page_id", "url", "html").withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     src = src.withColumn("n", F.coalesce(F.octet_length("html"), F.lit(0)))
     newest = src.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).where("copies > 1").select("sha", "n", "newest")
-    dealt = src.join(newest, ["sha", "n"], "left")
+    newest = common.table(newest)
+    if native.few(newest, 96, broadcast_rows):
+        dealt = src.join(F.broadcast(newest), ["sha", "n"], "left")
+    else:
+        # copies of one page would meet in one task: digests and ids alone are joined, and pages are found again by both
+        named = src.select("page_id", "sha", "n").join(newest, ["sha", "n"]).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "newest").distinct()
+        dealt = src.join(named, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
     refers = F.when(F.col("newest").isNotNull() & ~F.col("newest").eqNullSafe(F.col("page_id")), F.col("newest").cast("string"))
-    dealt = dealt.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "url", "html", refers.alias("refers"))
+    dealt = dealt.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "url", "html", refers.alias("refers"), "sha")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in common.slices(whole, 2):
                 made, held = [], 0
-                for page, uri, payload, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b.column(2)), b.column(3).to_pylist(), strict=True):
-                    for r in records(page, uri, payload, refers, size):
+                for page, uri, payload, refers, sha in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                    for r in records(page, uri, payload, sha, refers, size):
                         made.append(r)
                         held += len(r)
                         if held > common.SLICE_BYTES:
@@ -177,9 +186,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         digest, so_far, origin = hashlib.sha1(), 0, bare(f["WARC-Record-ID"])
                     digest.update(data)
                     so_far += len(data)
+                    running = bare_sha1(digest.digest())
+                    if f.get("X-Running-Digest", f"sha1:{running}") != f"sha1:{running}":
+                        raise ValueError(f"a segment of {origin} differs from its digest")
                     k = int(f.get("WARC-Segment-Number", 1))
                     last = "WARC-Segment-Number" not in f or "WARC-Segment-Total-Length" in f
-                    out.append((origin, k - 1, "response", f.get("WARC-Target-URI"), None, data, stated, bare_sha1(digest.digest()), so_far, last))
+                    out.append((origin, k - 1, "response", f.get("WARC-Target-URI"), None, data, stated, running, so_far, last))
                     held += len(data)
                     if held > common.SLICE_BYTES or len(out) >= 5000:
                         yield pack()
@@ -193,7 +205,9 @@ def roundtrip(pages: DataFrame, least: int = 0, size: int = CHUNK) -> DataFrame:
     """Archive pages in the shared folder and read the archives back: (page_id, payload_bytes, payload_digest, record_type, refers_to) per page.
 
     Bytes and digests are those of the payload that was read; where a response's differ from what its header states, the read fails. A
-    revisit has no payload of its own: its figures are those in its header. An empty page_id is null.
+    revisit has no payload of its own: its figures are those in its header. An empty page_id is null. Repeated rows and equal payloads
+    are as write() has them; payloads of any length are written and read in chunks; an empty table gives no rows, and other columns of
+    pages, whatever their names, are left alone.
     """
     path = f"{common.scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write(pages, path, least, size)
@@ -202,3 +216,14 @@ def roundtrip(pages: DataFrame, least: int = 0, size: int = CHUNK) -> DataFrame:
     digest = F.when(F.col("type") == "revisit", F.col("stated")).when(F.col("running") == F.col("stated"), F.col("running")).otherwise(broken)
     number = lambda c: F.when(F.col(c) != "", F.col(c)).cast("long")
     return ends.select(number("record").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), number("refers").alias("refers_to"))
+
+
+#: roundtrip() of pages with a page_id each, straight from the definition. Base 32 takes five hexadecimal digits to four letters.
+SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages),
+b AS (SELECT *, list_transform(range(8), lambda k: cast('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT)) AS five FROM p)
+SELECT page_id, cast(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((five[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM b
+"""

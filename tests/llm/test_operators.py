@@ -472,8 +472,19 @@ def test_warc_chunks_hold_the_payload(spark, tmp_path):
             assert all(len(p) <= 7 for _, p, _ in parts)
 
 
+def test_warc_copies_beyond_a_broadcast(spark, tmp_path):
+    """The way without a broadcast writes the same records."""
+    rows = [(i, "u", f"page {i % 7}" * 40) for i in range(60)] + [(None, "u", "page 3" * 40), (5, "u", "page 5" * 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = []
+    for k, limit in enumerate((10**6, 2)):
+        warc.write(df, str(tmp_path / str(k)), broadcast_rows=limit)
+        made.append(sorted(map(repr, warc.read(spark, str(tmp_path / str(k))).collect())))
+    assert made[0] == made[1] and len(made[0]) == len(rows)
+
+
 def test_warc_nulls_and_repeats(spark):
-    df = spark.createDataFrame([(None, "u", "q"), (1, "u", "q"), (1, "u", "q"), (2, "u", "r"), (2, "u", "r"), (None, None, None)], "page_id long, url string, html string")
+    df = spark.createDataFrame([(None, "u", "q"), (1, "u", "q"), (1, "u", "q"), (2, "u", "r"), (2, "u", "r"), (None, None, None)], "page_id long, url string, html string").withColumn("refers", F.lit(1)).withColumn("newest", F.lit(1)).withColumn("n", F.lit(1))
     got = sorted((repr(r.page_id), r.record_type, r.refers_to) for r in warc.roundtrip(df).collect())
     assert got == sorted([("None", "revisit", 1), ("1", "response", None), ("1", "response", None), ("2", "response", None), ("2", "response", None), ("None", "response", None)])
     assert warc.roundtrip(df.limit(0)).count() == 0
