@@ -5,9 +5,9 @@ differ in 39 places on average and seldom in more than RADIUS, and texts of simi
 tree stands over a small shard: texts that share the least shingle under one of MINIMA hash functions. Two texts of similarity s
 miss each other in all of them with probability (1 - s)^MINIMA.
 
-Links are found in two rounds, so that a group of many near copies never gives all its pairs. First each shard gives a spanning
-forest of its candidates, nearest pairs first; exact similarities turn these into components. Then each shard gives all candidates
-that lie in different components still, and these are verified too.
+Links are found in rounds, so that a group of many near copies never gives all its pairs. First each tile of a shard gives a spanning
+forest of its candidates, nearest pairs first; exact similarities turn these into components. Shards of several tiles then give a
+forest between the components of any two tiles. At last all candidates that lie in different components still are verified too.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .simhash import word_blocks
 WIDTH, LEAST = 5, 0.8
 BITS, RADIUS, MINIMA = 256, 56, 5
 #: Most fingerprints in one tree, and queries that are followed through it at once.
-TILE, QUERIES = 4096, 256
+TILE, QUERIES = 1024, 64
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = _ODD * np.arange(1, BITS // 64 + 1, dtype=np.uint64)
@@ -111,18 +111,18 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3  # type: ignore[return-value]
 
 
-def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
-    """Places of the edges (a, b, d) between n nodes that make a spanning forest of least distances: in each round every tree takes its shortest edge out."""
+def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b, d) that join trees, the nodes' numbers of trees, into a spanning forest of least distances: in each round every tree takes its shortest edge out."""
     order = np.lexsort((b, a, d))
-    tree, taken = np.arange(n), []
+    n, taken = int(tree.max()) + 1 if len(tree) else 0, []
     while True:
         order = order[tree[a[order]] != tree[b[order]]]
         if not len(order):
             return np.array(taken, np.int64)
-        ends = np.concatenate([tree[a[order]], tree[b[order]]])
-        rank = np.tile(np.arange(len(order)), 2)
+        rank = np.arange(len(order))
         best = np.full(n, len(order))
-        np.minimum.at(best, ends, rank)
+        for end in (a, b):
+            np.minimum.at(best, tree[end[order]], rank)
         up = list(range(n))
 
         def root(x: int, up: list[int] = up) -> int:
@@ -138,76 +138,95 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.nd
         tree = np.array([root(x) for x in range(n)])[tree]
 
 
-def candidates(keyed: DataFrame, radius: int, tile: int, all_pairs: bool) -> DataFrame:
-    """(a, b), a < b: texts of a shard within the radius. keyed has shard, key, fp and group; pairs of one group are left out. Without all_pairs a spanning forest of each tile. A shard over `tile` texts is dealt in blocks, each pair of blocks a tile."""
-    hot = keyed.groupBy("shard").count().where(F.col("count") > 1).select("shard", F.ceil(F.col("count") / tile).cast("int").alias("m"))
-    dealt = keyed.join(hot, "shard").withColumn("c", F.pmod(F.xxhash64("key", F.lit(7)), F.col("m")).cast("int"))
-    dealt = dealt.select("*", F.expr("explode(sequence(0, m - 1))").alias("o")).select("shard", "key", "fp", "group", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).alias("q"))
+def pairs_of_tile(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (u, v) of a tile within the radius whose groups differ, between its two sides if it has both: a spanning forest between groups, or every one. Rows are sorted by side and fingerprint; a node is all rows of one side and fingerprint."""
+    new = np.r_[True, (fps[1:] != fps[:-1]).any(1) | (side[1:] != side[:-1])]
+    first = np.flatnonzero(new)
+    size = np.diff(np.r_[first, len(fps)])
+    values, both = fps[first], bool(side[-1]) and not side[0]
+    left = np.flatnonzero(~side[first]) if both else np.arange(len(first))
+    right = np.flatnonzero(side[first]) if both else left
+    x, y, d = Tree(values[left]).near(values[right], radius)
+    x, y = left[y], right[x]
+    if not both:
+        some = x <= y
+        x, y, d = x[some], y[some], d[some]
+    if size.max() > 1:  # rows of equal fingerprints: each with each
+        times = size[x] * size[y]
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        wide = np.repeat(size[y], times)
+        u, v, d = first[np.repeat(x, times)] + at // wide, first[np.repeat(y, times)] + at % wide, np.repeat(d, times)
+    else:
+        u, v = first[x], first[y]
+    some = (u < v) & (group[u] != group[v])
+    u, v, d = u[some], v[some], d[some]
+    if every:
+        return u, v
+    taken = nearest_forest(u, v, d, group)
+    return u[taken], v[taken]
+
+
+def candidates(shared: DataFrame, radius: int, tile: int, across: bool, every: bool) -> DataFrame:
+    """(a, b), a < b: texts of a shard within the radius and in different groups; a spanning forest between each tile's groups, or every pair.
+
+    shared has shard, m, key, fp and group. A shard's texts are dealt into m blocks. A tile is a block, or, across, a block or a pair of blocks.
+    """
+    dealt = shared.withColumn("c", F.pmod(F.xxhash64("key", F.lit(7)), F.col("m")).cast("int"))
+    if across:
+        dealt = dealt.select("*", F.expr("explode(sequence(0, m - 1))").alias("o"))
+        dealt = dealt.select("shard", "key", "fp", "group", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).alias("q"))
+    else:
+        dealt = dealt.select("shard", "key", "fp", "group", F.col("c").alias("i"), F.col("c").alias("j"), F.lit(False).alias("q"))
     parts = dealt.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "q", "fp", "key")
 
-    def pairs(keys: np.ndarray, fps: np.ndarray, group: np.ndarray, q: np.ndarray, bipartite: bool) -> list[tuple[str, str]]:
-        """Within a tile: nodes are its distinct fingerprints on either side."""
-        side = q if bipartite else np.zeros(len(q), bool)
-        new = np.r_[True, (fps[1:] != fps[:-1]).any(1) | (side[1:] != side[:-1])]
-        node, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        values = fps[first]
-        left = np.flatnonzero(~side[first])
-        tree = Tree(values[left])
-        right = np.flatnonzero(side[first]) if bipartite else left
-        x, y, d = tree.near(values[right], radius)
-        x, y = right[x], left[y]
-        if not bipartite:
-            some = x < y
-            x, y, d = x[some], y[some], d[some]
-        ends = np.r_[first[1:], len(keys)]
-        if all_pairs:
-            met = [(u, v) for s, t in zip(x.tolist(), y.tolist(), strict=True) for u in range(first[s], ends[s]) for v in range(first[t], ends[t]) if group[u] != group[v]]
-            if not bipartite:
-                met += [(u, v) for s in np.flatnonzero(ends - first > 1) for u in range(first[s], ends[s]) for v in range(u + 1, ends[s]) if group[u] != group[v]]
-            return [(keys[u], keys[v]) for u, v in met]
-        taken = nearest_forest(x, y, d, len(first))
-        out = [(keys[first[s]], keys[first[t]]) for s, t in zip(x[taken].tolist(), y[taken].tolist(), strict=True)]
-        if not bipartite:
-            out += [(keys[u], keys[u + 1]) for u in np.flatnonzero(node[1:] == node[:-1]).tolist()]
-        return out
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
-        def solve(df: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+        def solve(df: pd.DataFrame, last: bool) -> tuple[list[pd.DataFrame], pd.DataFrame | None]:
             k = df[["shard", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1)])
             ends = np.r_[starts[1:], len(k)]
             tail = None
             if not last:
                 tail, starts, ends = df.iloc[starts[-1] :], starts[:-1], ends[:-1]
-            keys, q, group = df.key.to_numpy(), df.q.to_numpy(bool), df.group.to_numpy()
+            keys, side = df.key.to_numpy(), df.q.to_numpy(bool)
+            group = pd.factorize(df.group)[0]
             fps = np.frombuffer(b"".join(df.fp), np.uint64).reshape(len(df), -1)
-            found: set[tuple[str, str]] = set()
+            out = []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                found.update((min(x), max(x)) for x in pairs(keys[s:e], fps[s:e], group[s:e], q[s:e], bool(k[s, 1] != k[s, 2])))
-            return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=object), tail
+                own = group[s:e]
+                if (own == own[0]).all():
+                    continue
+                u, v = pairs_of_tile(fps[s:e], np.unique(own, return_inverse=True)[1], side[s:e], radius, every)
+                if len(u):
+                    x, y = keys[s:e][u], keys[s:e][v]
+                    turned = x > y
+                    out.append(pd.DataFrame({"a": np.where(turned, y, x), "b": np.where(turned, x, y)}))
+            return out, tail
 
         for b in batches:
             rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
             if len(rest):
                 out, rest = solve(rest, False)
-                yield out
+                yield from out
         if rest is not None and len(rest):
-            yield solve(rest, True)[0]
+            yield from solve(rest, True)[0]
 
     return parts.mapInPandas(run, "a string, b string").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float, width: int) -> DataFrame:
-    """The pairs with similar: whether the shingle sets' Jaccard similarity is at least `least`. Only texts in pairs are read again; docs has key and text."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def set_table(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(key, set): the shingles of the texts that keys names, a row per text. docs has key and text."""
 
     def sets(rows: list[bytes]) -> list[pa.Array]:
         return [pa.array([shingles(t, width).tobytes() for t in rows], pa.binary())]
 
-    texts = docs.join(needed, "key").dropDuplicates(["key"])
-    held = common.table(common.append(texts, "text", sets, [T.StructField("set", T.BinaryType())], ["key"]))
+    texts = docs.join(keys, "key").dropDuplicates(["key"])
+    return common.table(common.append(texts, "text", sets, [T.StructField("set", T.BinaryType())], ["key"]))
+
+
+def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The pairs with similar: whether the Jaccard similarity of their sets, in held, is at least `least`."""
     both = pairs.join(held.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(held.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +261,19 @@ def text_groups(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radiu
 
     made = common.append(src, "text", fn, [T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))], ["key"])
     keyed = common.table(made.select(F.explode("shards").alias("shard"), "key", "fp").distinct())
-    first = common.table(verified(candidates(keyed.withColumn("group", F.col("key")), radius, tile, False), src, least, width))
-    now = common.table(common.components(first.where("similar").select("a", "b")))
-    grouped = keyed.join(now.select(F.col("node").alias("key"), "root"), "key", "left").select("shard", "key", "fp", F.coalesce("root", "key").alias("group"))
-    more = common.table(candidates(grouped, radius, tile, True).join(first, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return now.select(F.col("node").alias("key"), "root")
-    again = common.table(verified(more, src, least, width).where("similar").select("a", "b"))
-    linked = now.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(again)
-    return common.components(linked).select(F.col("node").alias("key"), "root")
+    more = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard", F.ceil(F.col("n") / tile).cast("int").alias("m"))
+    shared = common.table(keyed.join(more, "shard"))
+    held = set_table(src, shared.select("key").distinct(), width)
+    found = common.table(verified(candidates(shared.withColumn("group", F.col("key")), radius, tile, False, False), held, least))
+    rounds = [True] if shared.where("m = 1").count() == shared.count() else [False, True]
+    for every in rounds:
+        roots = common.table(common.components(found.where("similar").select("a", "b")))
+        grouped = shared.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("group", F.coalesce("root", "key")).drop("root")
+        new = common.table(candidates(grouped, radius, tile, True, every).join(found, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            continue
+        found = common.table(found.unionByName(verified(new, held, least)))
+    return common.components(found.where("similar").select("a", "b")).select(F.col("node").alias("key"), "root")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

@@ -104,7 +104,7 @@ def test_flat_tree_and_forest():
         q, at, d = tree.near(values, radius)
         assert sorted(zip(q.tolist(), at.tolist(), d.tolist(), strict=True)) == [(i, j, distance[i, j]) for i, j in zip(*np.nonzero(distance <= radius), strict=True)]
     x, y = np.nonzero(np.triu(distance <= 120, 1))
-    taken = near_duplicates.nearest_forest(x, y, distance[x, y], len(values))
+    taken = near_duplicates.nearest_forest(x, y, distance[x, y], np.arange(len(values)))
     assert len(set(taken.tolist())) == len(taken) == len(values) - 1
     # as light as Kruskal's tree
     up, total = list(range(len(values))), 0
