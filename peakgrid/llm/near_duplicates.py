@@ -5,14 +5,14 @@ differ in 39 places on average and seldom in more than RADIUS, and texts of simi
 tree stands over a small shard: texts that share the least shingle under one of MINIMA hash functions. Two texts of similarity s
 miss each other in all of them with probability (1 - s)^MINIMA.
 
-Links are found in rounds, so that a group of many near copies never gives all its pairs. First each tile of a shard gives a spanning
-forest of its candidates, nearest pairs first; exact similarities turn these into components. Shards of several tiles then give a
-forest between the components of any two tiles. At last all candidates that lie in different components still are verified too.
+A shard is dealt into tiles, each a pair of blocks of bounded count and size. First the tiles show which texts have a candidate
+at all; only their sets are dealt to the tiles then. A tile goes through its candidates, nearest first, and compares the sets of two texts that no link
+joins yet. It returns a forest of links, so that a group of many near copies never gives all its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ WIDTH, LEAST = 5, 0.8
 BITS, RADIUS, MINIMA = 256, 56, 5
 #: Most fingerprints in one tree, and queries that are followed through it at once.
 TILE, QUERIES = 1024, 64
+#: Bytes of the sets of one block.
+TILE_BYTES = 16 << 20
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = _ODD * np.arange(1, BITS // 64 + 1, dtype=np.uint64)
@@ -111,98 +113,70 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3  # type: ignore[return-value]
 
 
-def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, tree: np.ndarray) -> np.ndarray:
-    """Places of the edges (a, b, d) that join trees, the nodes' numbers of trees, into a spanning forest of least distances: in each round every tree takes its shortest edge out."""
-    order = np.lexsort((b, a, d))
-    n, taken = int(tree.max()) + 1 if len(tree) else 0, []
-    while True:
-        order = order[tree[a[order]] != tree[b[order]]]
-        if not len(order):
-            return np.array(taken, np.int64)
-        rank = np.arange(len(order))
-        best = np.full(n, len(order))
-        for end in (a, b):
-            np.minimum.at(best, tree[end[order]], rank)
-        up = list(range(n))
-
-        def root(x: int, up: list[int] = up) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        for e in order[np.unique(best[best < len(order)])].tolist():
-            x, y = root(tree[a[e]]), root(tree[b[e]])
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                taken.append(e)
-        tree = np.array([root(x) for x in range(n)])[tree]
-
-
-def pairs_of_tile(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (u, v) of a tile within the radius whose groups differ, between its two sides if it has both: a spanning forest between groups, or every one. Rows are sorted by side and fingerprint; a node is all rows of one side and fingerprint."""
-    new = np.r_[True, (fps[1:] != fps[:-1]).any(1) | (side[1:] != side[:-1])]
-    first = np.flatnonzero(new)
+def pairs_of_tile(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (u, v, distance) of a tile within the radius, u < v, between its two sides if it has both. Rows are sorted by side and fingerprint; a node is all rows of one side and fingerprint."""
+    first = np.flatnonzero(np.r_[True, (fps[1:] != fps[:-1]).any(1) | (side[1:] != side[:-1])])
     size = np.diff(np.r_[first, len(fps)])
-    values, both = fps[first], bool(side[-1]) and not side[0]
+    both = bool(side[-1]) and not side[0]
     left = np.flatnonzero(~side[first]) if both else np.arange(len(first))
     right = np.flatnonzero(side[first]) if both else left
-    x, y, d = Tree(values[left]).near(values[right], radius)
+    x, y, d = Tree(fps[first[left]]).near(fps[first[right]], radius)
     x, y = left[y], right[x]
-    if not both:
-        some = x <= y
-        x, y, d = x[some], y[some], d[some]
-    if size.max() > 1:  # rows of equal fingerprints: each with each
-        times = size[x] * size[y]
-        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        wide = np.repeat(size[y], times)
-        u, v, d = first[np.repeat(x, times)] + at // wide, first[np.repeat(y, times)] + at % wide, np.repeat(d, times)
-    else:
-        u, v = first[x], first[y]
-    some = (u < v) & (group[u] != group[v])
-    u, v, d = u[some], v[some], d[some]
-    if every:
-        return u, v
-    taken = nearest_forest(u, v, d, group)
-    return u[taken], v[taken]
-
-
-def candidates(shared: DataFrame, radius: int, tile: int, across: bool, every: bool) -> DataFrame:
-    """(a, b), a < b: texts of a shard within the radius and in different groups; a spanning forest between each tile's groups, or every pair.
-
-    shared has shard, m, key, fp and group. A shard's texts are dealt into m blocks. A tile is a block, or, across, a block or a pair of blocks.
-    """
-    dealt = shared.withColumn("c", F.pmod(F.xxhash64("key", F.lit(7)), F.col("m")).cast("int"))
-    if across:
-        dealt = dealt.select("*", F.expr("explode(sequence(0, m - 1))").alias("o"))
-        dealt = dealt.select("shard", "key", "fp", "group", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).alias("q"))
-    else:
-        dealt = dealt.select("shard", "key", "fp", "group", F.col("c").alias("i"), F.col("c").alias("j"), F.lit(False).alias("q"))
-    parts = dealt.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "q", "fp", "key")
+    some = x <= y
+    x, y, d = x[some], y[some], d[some]
+    times = size[x] * size[y]  # rows of equal fingerprints: each with each
+    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    wide = np.repeat(size[y], times)
+    u, v, d = first[np.repeat(x, times)] + at // wide, first[np.repeat(y, times)] + at % wide, np.repeat(d, times)
+    return u[u < v], v[u < v], d[u < v]
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least `least`; that of two empty ones is 1."""
+    m, n = len(x), len(y)
+    if min(m, n) < least * max(m, n):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two sorted runs
+    met = int((both[1:] == both[:-1]).sum())
+    return met >= least * (m + n - met) - 1e-9
+
+
+def links_of_tile(fps: np.ndarray, sets: list[bytes], side: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """A forest of links between similar rows of a tile that joins all that its links join."""
+    u, v, d = pairs_of_tile(fps, side, radius)
+    order = np.lexsort((v, u, d))
+    up, out = list(range(len(fps))), []
+    held = [np.frombuffer(x, np.uint32) for x in sets]
+    for x, y in zip(u[order].tolist(), v[order].tolist(), strict=True):
+        a, b = x, y
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b and similar(held[x], held[y], least):
+            up[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def tiles(dealt: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fn of each tile's rows, sorted by side, fingerprint and key; many small tiles share an Arrow batch. Tiles of one row are left out."""
+    at = ["shard", "i", "j"]
+    parts = dealt.repartition(*at).sortWithinPartitions(*at, "q", "fp", "key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
         def solve(df: pd.DataFrame, last: bool) -> tuple[list[pd.DataFrame], pd.DataFrame | None]:
-            k = df[["shard", "i", "j"]].to_numpy()
+            k = df[at].to_numpy()
             starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1)])
             ends = np.r_[starts[1:], len(k)]
             tail = None
             if not last:
                 tail, starts, ends = df.iloc[starts[-1] :], starts[:-1], ends[:-1]
-            keys, side = df.key.to_numpy(), df.q.to_numpy(bool)
-            group = pd.factorize(df.group)[0]
-            fps = np.frombuffer(b"".join(df.fp), np.uint64).reshape(len(df), -1)
-            out = []
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                own = group[s:e]
-                if (own == own[0]).all():
-                    continue
-                u, v = pairs_of_tile(fps[s:e], np.unique(own, return_inverse=True)[1], side[s:e], radius, every)
-                if len(u):
-                    x, y = keys[s:e][u], keys[s:e][v]
-                    turned = x > y
-                    out.append(pd.DataFrame({"a": np.where(turned, y, x), "b": np.where(turned, x, y)}))
-            return out, tail
+            made = [fn(df.iloc[s:e]) for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True)]
+            return [pd.concat(made, ignore_index=True)] if made else [], tail
 
         for b in batches:
             rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
@@ -212,37 +186,36 @@ def candidates(shared: DataFrame, radius: int, tile: int, across: bool, every: b
         if rest is not None and len(rest):
             yield from solve(rest, True)[0]
 
-    return parts.mapInPandas(run, "a string, b string").distinct()
+    return parts.mapInPandas(run, schema)
 
 
-def set_table(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(key, set): the shingles of the texts that keys names, a row per text. docs has key and text."""
+def bits_of(df: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(df.fp), np.uint64).reshape(len(df), -1)
 
-    def sets(rows: list[bytes]) -> list[pa.Array]:
-        return [pa.array([shingles(t, width).tobytes() for t in rows], pa.binary())]
 
-    texts = docs.join(keys, "key").dropDuplicates(["key"])
-    return common.table(common.append(texts, "text", sets, [T.StructField("set", T.BinaryType())], ["key"]))
+def links(shared: DataFrame, src: DataFrame, radius: int, least: float, width: int) -> DataFrame:
+    """(a, b): links between similar texts, enough to join all that such links join. shared has shard, m (its blocks), key and fp of texts in shards of several; src has key and text."""
+    dealt = shared.withColumn("c", F.pmod(F.xxhash64("key", F.lit(7)), F.col("m")).cast("int")).select("*", F.expr("explode(sequence(0, m - 1))").alias("o"))
+    dealt = dealt.select("shard", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).alias("q"), "fp", "key")
+
+    def busy(df: pd.DataFrame) -> pd.DataFrame:
+        u, v, _ = pairs_of_tile(bits_of(df), df.q.to_numpy(bool), radius)
+        return df.iloc[np.unique(np.concatenate([u, v]))]
 
+    met = common.table(tiles(dealt, busy, "shard long, i int, j int, q boolean, fp binary, key string"))
+
+    def sets(rows: list[bytes]) -> list[pa.Array]:
+        return [pa.array([np.unique((shingles(t, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in rows], pa.binary())]
 
-def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """The pairs with similar: whether the Jaccard similarity of their sets, in held, is at least `least`."""
-    both = pairs.join(held.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(held.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    texts = src.join(met.select("key").distinct(), "key").dropDuplicates(["key"])
+    held = common.table(common.append(texts, "text", sets, [T.StructField("set", T.BinaryType())], ["key"]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (p for b in common.slices(batch, 2) for p in common.slices(b, 3)):
-                good = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    m, n = len(x) // 8, len(y) // 8
-                    if min(m, n) < least * max(m, n):
-                        good.append(False)
-                        continue
-                    common_ = m + n - len(np.unique(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])))
-                    good.append(common_ >= least * (m + n - common_) - 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(good, pa.bool_())], names=["a", "b", "similar"])
+    def link(df: pd.DataFrame) -> pd.DataFrame:
+        key = df.key.to_numpy()
+        found = links_of_tile(bits_of(df), df.set.tolist(), df.q.to_numpy(bool), radius, least)
+        return pd.DataFrame([(min(key[x], key[y]), max(key[x], key[y])) for x, y in found], columns=["a", "b"], dtype=object)
 
-    return both.mapInArrow(run, "a string, b string, similar boolean")
+    return tiles(met.join(held, "key").select("shard", "i", "j", "q", "fp", "key", "set"), link, "a string, b string").distinct()
 
 
 def text_key(text: str) -> F.Column:
@@ -250,30 +223,22 @@ def text_key(text: str) -> F.Column:
 
 
 def text_groups(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(key, root): for each distinct text that is similar to another one, by its MD5, the least key of its group."""
+    """(key, root): for each distinct text that is similar to another one, by its MD5, the least key of its group. Sets hold 32 bits of a shingle's hash, by which a text of 20,000 words is off by less than one shingle."""
     src = common.pick(docs, "text").withColumn("key", text_key("text"))
 
     def fn(rows: list[bytes]) -> list[pa.Array]:
         sets = [shingles(t, width) for t in rows]
         shards = np.concatenate([minima(h) for h in sets]) if sets else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * MINIMA, pa.int32()), pa.array(shards))
-        return [pa.array([fingerprint(h).tobytes() for h in sets], pa.binary()), lists]
-
-    made = common.append(src, "text", fn, [T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))], ["key"])
-    keyed = common.table(made.select(F.explode("shards").alias("shard"), "key", "fp").distinct())
-    more = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard", F.ceil(F.col("n") / tile).cast("int").alias("m"))
-    shared = common.table(keyed.join(more, "shard"))
-    held = set_table(src, shared.select("key").distinct(), width)
-    found = common.table(verified(candidates(shared.withColumn("group", F.col("key")), radius, tile, False, False), held, least))
-    rounds = [True] if shared.where("m = 1").count() == shared.count() else [False, True]
-    for every in rounds:
-        roots = common.table(common.components(found.where("similar").select("a", "b")))
-        grouped = shared.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("group", F.coalesce("root", "key")).drop("root")
-        new = common.table(candidates(grouped, radius, tile, True, every).join(found, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            continue
-        found = common.table(found.unionByName(verified(new, held, least)))
-    return common.components(found.where("similar").select("a", "b")).select(F.col("node").alias("key"), "root")
+        return [pa.array([fingerprint(h).tobytes() for h in sets], pa.binary()), lists, pa.array([4 * len(h) for h in sets], pa.int64())]
+
+    fields = [T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())]
+    made = common.append(src, "text", fn, fields, ["key"])
+    keyed = common.table(made.select(F.explode("shards").alias("shard"), "key", "fp", "size").distinct())
+    blocks = F.ceil(F.greatest(F.col("n") / tile, F.col("size") / TILE_BYTES)).cast("int")
+    more = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1").select("shard", blocks.alias("m"))
+    shared = common.table(keyed.drop("size").join(more, "shard"))
+    return common.components(links(shared, src, radius, least, width)).select(F.col("node").alias("key"), "root")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

@@ -94,7 +94,7 @@ def test_keep_one(docs, rows, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
-def test_flat_tree_and_forest():
+def test_flat_tree_and_tiles():
     r = np.random.default_rng(12)
     base = r.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
     values = np.unique(np.concatenate([base ^ (np.uint64(1) << r.integers(0, 64, (6, 4), dtype=np.uint64)) for _ in range(40)] + [base]), axis=0)
@@ -103,20 +103,13 @@ def test_flat_tree_and_forest():
     for radius in (0, 3, 8, 120):
         q, at, d = tree.near(values, radius)
         assert sorted(zip(q.tolist(), at.tolist(), d.tolist(), strict=True)) == [(i, j, distance[i, j]) for i, j in zip(*np.nonzero(distance <= radius), strict=True)]
-    x, y = np.nonzero(np.triu(distance <= 120, 1))
-    taken = near_duplicates.nearest_forest(x, y, distance[x, y], np.arange(len(values)))
-    assert len(set(taken.tolist())) == len(taken) == len(values) - 1
-    # as light as Kruskal's tree
-    up, total = list(range(len(values))), 0
-    for k in np.argsort(distance[x, y], kind="stable"):
-        a, b = x[k], y[k]
-        while up[a] != a:
-            a = up[a]
-        while up[b] != b:
-            b = up[b]
-        if a != b:
-            up[a], total = b, total + distance[x[k], y[k]]
-    assert distance[x[taken], y[taken]].sum() == total
+    side = np.arange(len(values)) >= 100
+    for some in (np.zeros(len(values), bool), side):
+        order = np.lexsort((*values.T[::-1], some))
+        twice = np.sort(np.concatenate([order, order[:7]]))
+        u, v, d = near_duplicates.pairs_of_tile(values[twice], some[twice], 90)
+        assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == [(i, j) for i in range(len(twice)) for j in range(i + 1, len(twice)) if distance[twice[i], twice[j]] <= 90 and (not some.any() or some[twice[i]] != some[twice[j]])]
+        assert (d == distance[twice[u], twice[v]]).all()
     assert len(near_duplicates.Tree(values[:0]).near(values, 3)[0]) == 0
 
 
