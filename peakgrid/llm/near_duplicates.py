@@ -28,7 +28,7 @@ from .simhash import word_blocks
 WIDTH, LEAST = 5, 0.8
 BITS, RADIUS, MINIMA = 256, 56, 5
 #: Most fingerprints in one tree, and queries that are followed through it at once.
-TILE, QUERIES = 1024, 64
+TILE, QUERIES = 512, 64
 #: Bytes of the sets of one block.
 TILE_BYTES = 16 << 20
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -105,7 +105,7 @@ class Tree:
             while len(q):
                 d = self.distance(queries[q], at)
                 hit = d <= radius
-                found.append((q[hit], at[hit], d[hit]))
+                found.append((q[hit].astype(np.int32), at[hit].astype(np.int32), d[hit].astype(np.int16)))
                 low = np.searchsorted(self.key, at * (BITS + 1) + np.maximum(d - radius, 0))
                 n = np.searchsorted(self.key, at * (BITS + 1) + np.minimum(d + radius, BITS), side="right") - low
                 q = np.repeat(q, n)
@@ -115,7 +115,7 @@ class Tree:
 
 def pairs_of_tile(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (u, v, distance) of a tile within the radius, u < v, between its two sides if it has both. Rows are sorted by side and fingerprint; a node is all rows of one side and fingerprint."""
-    first = np.flatnonzero(np.r_[True, (fps[1:] != fps[:-1]).any(1) | (side[1:] != side[:-1])])
+    first = np.flatnonzero(np.r_[True, (fps[1:] != fps[:-1]).any(1) | (side[1:] != side[:-1])]).astype(np.int32)
     size = np.diff(np.r_[first, len(fps)])
     both = bool(side[-1]) and not side[0]
     left = np.flatnonzero(~side[first]) if both else np.arange(len(first))
@@ -124,6 +124,8 @@ def pairs_of_tile(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.nd
     x, y = left[y], right[x]
     some = x <= y
     x, y, d = x[some], y[some], d[some]
+    if size.max() == 1:
+        return x[x < y], y[x < y], d[x < y]
     times = size[x] * size[y]  # rows of equal fingerprints: each with each
     at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     wide = np.repeat(size[y], times)
@@ -145,18 +147,17 @@ def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
 def links_of_tile(fps: np.ndarray, sets: list[bytes], side: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
     """A forest of links between similar rows of a tile that joins all that its links join."""
     u, v, d = pairs_of_tile(fps, side, radius)
-    order = np.lexsort((v, u, d))
-    up, out = list(range(len(fps))), []
+    order = np.argsort(d, kind="stable")
+    up, out = np.arange(len(fps)), []
     held = [np.frombuffer(x, np.uint32) for x in sets]
-    for x, y in zip(u[order].tolist(), v[order].tolist(), strict=True):
-        a, b = x, y
-        while up[a] != a:
-            up[a] = a = up[up[a]]
-        while up[b] != b:
-            up[b] = b = up[up[b]]
-        if a != b and similar(held[x], held[y], least):
-            up[max(a, b)] = min(a, b)
-            out.append((x, y))
+    for s in range(0, len(order), 1 << 14):
+        part = order[s : s + (1 << 14)]
+        part = part[up[u[part]] != up[v[part]]]  # most of a group's pairs are joined already
+        for x, y in zip(u[part].tolist(), v[part].tolist(), strict=True):
+            a, b = up[x], up[y]
+            if a != b and similar(held[x], held[y], least):
+                up[up == max(a, b)] = min(a, b)
+                out.append((x, y))
     return out
 
 
