@@ -6,6 +6,8 @@ representatives are compared with new spectra, through joins narrowed to the pre
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,15 +84,20 @@ def assign(new: DataFrame, history: DataFrame, p: Params, dim: int) -> DataFrame
     group with history but without a flagged representative the new spectra are clustered afresh, and none is an anomaly. History
     must be a table that reads the same each time.
     """
-    reps = table(representatives(history))
+    span = history.agg(F.min("precursor_mz").alias("_low"), F.max("precursor_mz").alias("_high"))
+    return assign_to(new.crossJoin(F.broadcast(span)), table(representatives(history)), p, dim)  # one row
+
+
+def assign_to(ranged: DataFrame, reps: DataFrame, p: Params, dim: int) -> DataFrame:
+    """As assign(), to representatives alone; ranged is the new spectra with _low and _high, the range of precursors so far."""
+    new = ranged.drop("_low", "_high")
     eps = thresholds(reps, p, dim)
     flagged = reps.groupBy(*GROUP).agg(F.max(F.col("flagged").cast("int")).alias("_flagged"))
-    found = distances.nearest_rep(new, reps, p.precursor_tol, dim).join(eps, GROUP, "left").join(flagged, GROUP, "left")
+    found = distances.nearest_rep(ranged, reps, p.precursor_tol, dim).join(eps, GROUP, "left").join(flagged, GROUP, "left")
     named = reps.select(F.col("rep_id").alias("best_rep"), F.col("cluster").alias("_joined"))
     found = found.join(named, "best_rep", "left")
     first = new.groupBy(*GROUP).agg(F.min(F.struct("spectrum_id", "precursor_mz")).alias("_f")).select(*GROUP, F.col("_f.precursor_mz").alias("_fmz"))
-    span = history.agg(F.min("precursor_mz").alias("_low"), F.max("precursor_mz").alias("_high"))
-    found = found.join(first, GROUP).crossJoin(F.broadcast(span))  # one row
+    found = found.join(first, GROUP)
     unknown = F.col("_flagged").isNull()
     is_new = ~unknown & (F.col("_flagged") == 1) & (F.col("best_dist") > F.col("anomaly_eps"))
     outside = (F.col("_fmz") > F.col("_high")) | (F.col("_fmz") < F.col("_low"))
@@ -115,19 +122,46 @@ def afresh(out: DataFrame, new: DataFrame, p: Params, dim: int) -> DataFrame:
     return rest.unionByName(made.select(*rest.columns))
 
 
+def merged(old: DataFrame, more: DataFrame) -> DataFrame:
+    """The representatives of two sets of spectra taken together, from those of each."""
+    both = old.withColumn("_side", F.lit(0)).unionByName(more.withColumn("_side", F.lit(1)))
+    size = lambda k: F.coalesce(F.max(F.when(F.col("_side") == k, F.col("size"))), F.lit(0))
+    known = both.groupBy(*GROUP, "cluster").agg((size(0) + size(1)).alias("_size"), F.max(F.col("flagged").cast("int")).alias("_has"), F.min("rep_id").alias("_first"))
+    kept = both.join(known, [*GROUP, "cluster"]).where("flagged or (_has = 0 and rep_id = _first)")
+    return kept.select(*[F.col("_size").alias(c) if c == "size" else F.col(c) for c in old.columns])
+
+
 def fold(batches: list[DataFrame], history: DataFrame, p: Params, dim: int) -> DataFrame:
-    """Results of all batches in turn, with their number: each batch is assigned to history and to what the batches before it made of it. Only spectra, their clusters and marks are carried; each step is cut off in the shared folder."""
-    keep = [*GROUP, "spectrum_id", "precursor_mz", "hv", "cluster", "is_representative"]
-    state = table(history.select(*keep))
+    """Results of all batches in turn, with their number; see fold_batches()."""
+    if not batches:
+        raise ValueError("no batches")
+    every = [b.withColumn("batch", F.lit(k)) for k, b in enumerate(batches)]
+    return fold_batches(reduce(DataFrame.unionByName, every), history, p, dim)
+
+
+def fold_batches(df: DataFrame, history: DataFrame, p: Params, dim: int) -> DataFrame:
+    """Results of the batches of df (column batch) in turn: each is assigned to history and to what the batches before it made of it.
+
+    Groups don't see each other but for the range of all precursors, which is known beforehand. So the n-th batches of all groups are
+    one step, whatever their numbers, and batches that are cut by bucket take one or two steps in all. Only representatives, which a
+    step adds to, are carried; spectra of history and of earlier batches aren't read again.
+    """
+    df = table(df)
+    turn = df.select(*GROUP, "batch").distinct().withColumn("_turn", F.dense_rank().over(Window.partitionBy(*GROUP).orderBy("batch")))
+    span = history.agg(F.min("precursor_mz").alias("low"), F.max("precursor_mz").alias("high")).withColumn("batch", F.lit(None).cast("int"))
+    span = span.unionByName(df.groupBy("batch").agg(F.min("precursor_mz").alias("low"), F.max("precursor_mz").alias("high")))
+    so_far = Window.orderBy(F.col("batch").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row per batch
+    span = span.select("batch", F.min("low").over(so_far).alias("_low"), F.max("high").over(so_far).alias("_high")).where("batch is not null")
+    ranged = table(df.join(turn, [*GROUP, "batch"]).join(span, "batch"))
+    steps = ranged.agg(F.max("_turn")).first()[0] or 0
+    state = table(representatives(history))
     out: DataFrame | None = None
-    for k, batch in enumerate(batches):
-        got = table(assign(batch, state, p, dim).withColumn("batch", F.lit(k)))
+    for k in range(max(steps, 1)):
+        got = table(assign_to(ranged.where(F.col("_turn") == k + 1).drop("_turn"), state, p, dim))
         out = got if out is None else out.unionByName(got)
-        state = state.unionByName(got.select(*keep))
-        if k % 16 == 15:  # many small tables become one
-            state = table(state)
-    if out is None:
-        raise ValueError("no batches")
+        if k + 1 < steps:
+            state = table(merged(state, representatives(got)))
+    assert out is not None
     return out
 
 

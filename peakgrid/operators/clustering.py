@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -213,18 +214,35 @@ def hierarchical_of_copies(df: DataFrame, pairs: Callable[[DataFrame], DataFrame
 def split_1d(values: np.ndarray, tol: float, mode: str | None = None) -> np.ndarray:
     """Groups of values on a line by complete linkage, cut at tol: neighbours with the least span are merged first. In ppm the span is measured against the group's least value. Labels rise with the values."""
     order = np.argsort(values, kind="stable")
-    low, high, first = list(values[order]), list(values[order]), list(range(len(values)))
-    while len(low) > 1:
-        span = np.array(high[1:]) - np.array(low[:-1])
-        if mode == "ppm":
-            span = span / np.array(low[:-1]) * 1e6
-        i = int(span.argmin())
-        if span[i] > tol:
-            break
-        high[i] = high[i + 1]
-        del low[i + 1], high[i + 1], first[i + 1]
-    label = np.empty(len(values), int)
-    label[order] = np.searchsorted(first, np.arange(len(values)), side="right") - 1
+    low = values[order].astype(float).tolist()
+    n = len(low)
+    high, after, before = low[:], list(range(1, n + 1)), list(range(-1, n - 1))  # of the group that begins at a place
+    first = [True] * n
+
+    def span(i: int) -> float:
+        if after[i] >= n:
+            return np.inf
+        gap = high[after[i]] - low[i]
+        return gap / low[i] * 1e6 if mode == "ppm" else gap
+
+    now = [span(i) for i in range(n)]
+    heap = [(s, i) for i, s in enumerate(now) if s <= tol]
+    heapq.heapify(heap)
+    while heap:
+        s, i = heapq.heappop(heap)
+        if not first[i] or s != now[i]:
+            continue  # one of the two has grown since
+        j = after[i]
+        high[i], after[i], first[j] = high[j], after[j], False
+        if after[i] < n:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0:
+                now[k] = span(k)
+                if now[k] <= tol:
+                    heapq.heappush(heap, (now[k], k))
+    label = np.empty(n, int)
+    label[order] = np.cumsum(first) - 1
     return label
 
 

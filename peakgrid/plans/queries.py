@@ -550,7 +550,7 @@ def event_batches(spark: SparkSession, d: str) -> DataFrame:
 def stream_anomaly_fold(spark: SparkSession, d: str) -> DataFrame:
     old, new = history(spark, d)
     batch = F.pmod(F.crc32(F.col("spectrum_id").cast("string")), F.lit(3))
-    return anomaly.fold([new.where(batch == k) for k in range(3)], old, P, 64).select("batch", "spectrum_id", "cluster", "anomaly")
+    return anomaly.fold_batches(new.withColumn("batch", batch.cast("int")), old, P, 64).select("batch", "spectrum_id", "cluster", "anomaly")
 
 
 @query("""WITH a AS (SELECT event_id, event_type AS cluster, value > 90 AS anomaly FROM events WHERE event_id % 4 <> 0), b AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'x' ELSE event_type END AS cluster, value > 80 AS anomaly FROM events WHERE event_id % 5 <> 0)

@@ -52,9 +52,8 @@ def detect_run(train: DataFrame, test: DataFrame, p: Params, out: str, truth: Da
     began = time.time()
     history = table(cluster(train, p))
     batches = table(anomaly.batches_of(test, ["bucket", "precursor_charge", "spectrum_id"], p.batch_size))
-    n = batches.agg(F.max("batch")).first()[0]
     clustered = time.time()
-    found = anomaly.fold([batches.where(F.col("batch") == k).drop("batch") for k in range((-1 if n is None else n) + 1)], history, p, p.hd_dim)
+    found = anomaly.fold_batches(batches, history, p, p.hd_dim)
     files.save_results(found, f"{out}/assigned")
     files.save_results(found.where("anomaly"), f"{out}/anomalies")
     done = time.time()
