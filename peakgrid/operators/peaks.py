@@ -170,3 +170,8 @@ def remass(df: DataFrame, low: float, high: float) -> DataFrame:
 def natural_key(df: DataFrame) -> DataFrame:
     """The key columns in canonical form: identifier trimmed, scan whole, retention time to four places."""
     return df.withColumn("identifier", F.trim("identifier")).withColumn("scan", F.col("scan").cast("int")).withColumn("retention_time", F.round("retention_time", 4))
+
+
+def overwrite_charge(df: DataFrame, marker: str, charge: int) -> DataFrame:
+    """df with this charge for spectra whose identifier contains the marker."""
+    return df.withColumn("precursor_charge", F.when(F.col("identifier").contains(marker), charge).otherwise(F.col("precursor_charge")))

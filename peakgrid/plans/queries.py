@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import registry
 from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks, separation, splits
 from ..params import Params
-from ..sources import mgf
+from ..sources import files, mgf
 from . import testdata
 from .scratch import scratch, table
 from .testdata import HV_SQL, SQL, read
@@ -205,7 +207,7 @@ def natural_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT spectrum_id, CASE WHEN contains(identifier, '99') THEN 1 ELSE precursor_charge END AS precursor_charge FROM spec")
 def charge_overwrite(spark: SparkSession, d: str) -> DataFrame:
-    return testdata.meta(spark, d).select("spectrum_id", F.when(F.col("identifier").contains("99"), 1).otherwise(F.col("precursor_charge")).alias("precursor_charge"))
+    return peaks.overwrite_charge(testdata.meta(spark, d), "99", 1).select("spectrum_id", "precursor_charge")
 
 
 # ---- encoding ---------------------------------------------------------------------------------------------------------------
@@ -743,12 +745,17 @@ def pca_projection(spark: SparkSession, d: str) -> DataFrame:
     return baselines.project(x, mean, parts).select("spectrum_id", F.get("x", F.lit(0)).alias("pc1"))
 
 
+def fresh(spark: SparkSession) -> str:
+    """A folder of its own in the scratch folder."""
+    return f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+
+
 # ---- files ------------------------------------------------------------------------------------------------------------------
 
 
 @query(f"{WITH} SELECT spectrum_id, count(*) AS n_peaks, round(sum(round(mz, 5)), 2) AS total_mz, round(precursor_mz, 6) AS precursor_mz, precursor_charge, scan FROM peak JOIN spec USING (spectrum_id) GROUP BY ALL")
 def mgf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{scratch(spark)}/mgf-{abs(hash(d))}"
+    path = fresh(spark)
     mgf.write(testdata.spectra(spark, d), path)
     got = mgf.read(spark, path, raw=True)
     total = F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["mz"])
@@ -758,8 +765,8 @@ def mgf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 4) AS intensity FROM lineitem")
 def peak_line_parse(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("  %d \t %.4f ", F.col("l_partkey"), F.col("l_extendedprice")).alias("line"))
-    f = F.split(F.trim(F.regexp_replace("line", "\\s+", " ")), " ")
-    return lines.select("l_orderkey", "l_linenumber", F.get(f, F.lit(0)).try_cast("long").alias("l_partkey"), F.round(F.get(f, F.lit(1)).try_cast("double"), 4).alias("intensity"))
+    found = lines.withColumn("p", mgf.peak_of_line(F.col("line")))
+    return found.select("l_orderkey", "l_linenumber", F.col("p.mz").cast("long").alias("l_partkey"), F.round("p.intensity", 4).alias("intensity"))
 
 
 @query(f"{WITH} SELECT precursor_charge, bucket, spectrum_id FROM (SELECT *, cast(floor(cast(trunc(precursor_mz * 10) AS BIGINT) / 80::DOUBLE) AS INTEGER) AS bucket FROM spec) QUALIFY row_number() OVER (PARTITION BY precursor_charge, bucket ORDER BY precursor_mz, spectrum_id) <= 2")
@@ -768,6 +775,161 @@ def first_in_bucket(spark: SparkSession, d: str) -> DataFrame:
     return peaks.by_bucket(peaks.assign_bucket(testdata.meta(spark, d), 80)).withColumn("_n", F.row_number().over(w)).where("_n <= 2").select(*GROUP, "spectrum_id")
 
 
+COUNTED = f"{WITH} SELECT spectrum_id, count(*) AS n_peaks, precursor_charge FROM peak JOIN spec USING (spectrum_id) GROUP BY ALL"
+
+
+@query(COUNTED)
+def mgf_strict(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh(spark)
+    mgf.write(testdata.spectra(spark, d), path)
+    got = mgf.read(spark, path, mode="strict", raw=True).where("title is null")
+    return got.select(F.col("scan").cast("long").alias("spectrum_id"), F.size("peaks").cast("long").alias("n_peaks"), "precursor_charge")
+
+
+@query(f"{COUNTED}")
+def mgf_capped_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Files of 100 kB at most; all spectra come back from the parts."""
+    path = fresh(spark)
+    mgf.write(testdata.spectra(spark, d), path, cap_bytes=100_000)
+    parts = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n"))
+    large = parts.groupBy("f").agg(F.max("n").alias("n")).where("n > 110000").count()
+    got = mgf.read(spark, f"{path}/*", raw=True).where(F.lit(large) == 0)
+    return got.select(F.col("scan").cast("long").alias("spectrum_id"), F.size("peaks").cast("long").alias("n_peaks"), "precursor_charge")
+
+
+@query(f"WITH RECURSIVE {MEDOID} SELECT spectrum_id, count(*) AS n_peaks FROM peak JOIN marked USING (spectrum_id) WHERE is_representative GROUP BY spectrum_id")
+def mgf_representatives(spark: SparkSession, d: str) -> DataFrame:
+    df, e = clustered(spark, d)
+    path = fresh(spark)
+    marked = clustering.medoids(df, e)
+    mgf.write_representatives(testdata.spectra(spark, d).drop("spectrum_id"), marked, path, ["identifier", "scan", "retention_time"])
+    return mgf.read(spark, path, raw=True).select(F.col("scan").cast("long").alias("spectrum_id"), F.size("peaks").cast("long").alias("n_peaks"))
+
+
+@query(f"{WITH} SELECT count(DISTINCT spectrum_id) AS n_spectra FROM peak JOIN spec USING (spectrum_id)")
+def mgf_count(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh(spark)
+    mgf.write(testdata.spectra(spark, d), f"{path}/text")
+    lines = spark.read.text(f"{path}/text")
+    lines.write.text(f"{path}/all.mgf")  # a folder of parts, each found by the pattern below
+    counted = mgf.count_of_lines(spark.read.text(f"{path}/all.mgf").select("value", F.col("_metadata.file_path").alias("source_file")))
+    return counted.agg(F.sum("n_spectra").alias("n_spectra"))
+
+
+@query(f"WITH {ENCODED} SELECT spectrum_id, precursor_charge, bucket, w0, w1 FROM enc")
+def checkpoint_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh(spark)
+    if files.load_checkpoint(spark, path) is None:
+        files.save_checkpoint(encoded(spark, d), path)
+    found = files.load_checkpoint(spark, path)
+    assert found is not None
+    return two_words(found, "spectrum_id", *GROUP)
+
+
+@query(f"{WITH_CLUSTERS} SELECT identifier, spectrum_id, cluster, '[' || w0 || ',' || w1 || ']' AS hv FROM clu")
+def results_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh(spark)
+    files.save_results(clustered(spark, d)[0], path)
+    both = spark.read.parquet(f"{path}/parquet").select("spectrum_id")
+    return spark.read.csv(f"{path}/csv", header=True).select("identifier", F.col("spectrum_id").cast("long"), F.col("cluster").cast("long"), "hv").join(both, "spectrum_id")
+
+
+@query("SELECT o_orderkey AS spectrum_id, CASE WHEN o_custkey % 7 = 0 THEN 'skipped' WHEN o_totalprice > 300000 THEN 'outlier' ELSE 'normal' END AS verdict FROM orders")
+def outlier_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh(spark)
+    flags = read(spark, d, "orders").select(F.col("o_orderkey").alias("spectrum_id"), F.when(F.col("o_custkey") % 7 != 0, F.col("o_totalprice") > 300000).alias("outlier"))
+    files.write_outliers(flags, path)
+    return spark.read.csv(path, header=True, schema="spectrum_id long, verdict string")
+
+
+@query("SELECT c_custkey, c_nationkey, round(c_acctbal, 2) AS c_acctbal FROM customer")
+def csv_to_parquet(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh(spark)
+    read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal").write.csv(f"{path}/csv", header=True)
+    files.csv_to_parquet(spark, f"{path}/csv", f"{path}/parquet", "c_custkey long, c_nationkey long, c_acctbal double")
+    return rounded(spark.read.parquet(f"{path}/parquet"), 2)
+
+
+@query("SELECT event_type, n, seconds FROM (SELECT event_type, count(*) AS n, round(sum(value), 2) AS seconds FROM events GROUP BY 1), range(2)")
+def timing_append(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh(spark)
+    rows = read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("seconds"))
+    for _ in range(2):
+        files.append_csv(rows, path)
+    return spark.read.csv(path, header=True, schema="event_type string, n long, seconds double")
+
+
+@query("SELECT cast(l_orderkey % 1000000 AS INTEGER) AS channel, round(l_partkey + l_linenumber / 100::DOUBLE, 2) AS mz, round(l_extendedprice, 2) AS intensity FROM lineitem WHERE round(l_extendedprice, 2) >= 50000")
+def text_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh(spark)
+    number = F.format_string("%d\t%.2f  %.2f", F.col("l_orderkey") % 1000000, F.col("l_partkey") + F.col("l_linenumber") / 100, F.col("l_extendedprice"))
+    read(spark, d, "lineitem").select(number.alias("value")).write.text(path)
+    return files.read_text_spectrum(spark, path, skip=0, least=50000.0).select("channel", "mz", "intensity")
+
+
+@query("SELECT event_type AS param, round(avg(value) / 100, 4) AS precision, count(*) AS n FROM events GROUP BY 1")
+def accuracy_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Rates in per cent are brought to shares; lines of text are left out."""
+    e = read(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    named = e.select("event_type", F.dense_rank().over(Window.orderBy("event_type")).alias("k"), "v", "n")  # a row per type
+    lines = named.select(F.format_string("%d,0,0,0,%d,0,0,%.6f,99.0,1.0", "k", "n", "v").alias("value")).unionByName(named.select(F.lit("param: text").alias("value")))
+    found = files.parse_accuracy(lines)
+    return found.join(named.select(F.col("k").cast("double").alias("param"), "event_type"), "param").select(F.col("event_type").alias("param"), F.round("precision", 4).alias("precision"), F.col("true_anomalies").cast("long").alias("n"))
+
+
+@query("SELECT event_type AS run, round(sum(value) FILTER (event_id % 2 = 0), 4) AS lof, round(sum(value) FILTER (event_id % 2 = 1), 4) AS gods FROM events GROUP BY 1")
+def timing_table(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select(F.col("event_type").alias("run"), F.when(F.col("event_id") % 2 == 0, "LOF").otherwise("GODS").alias("method"), F.lit(None).cast("double").alias("preproc_s"), F.lit(0.0).alias("pca_s"), F.col("value").alias("fit_s"))
+    return rounded(files.timing_table(e).select("run", F.col("LOF").alias("lof"), F.col("GODS").alias("gods")), 4)
+
+
+@query("SELECT (user_id % 9 + 1) / 10::DOUBLE AS run, 'LOF' AS method, round(value, 2) AS f1 FROM events")
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select("event_id", F.format_string("contamination = %.1f %%", (F.col("user_id") % 9 + 1) / F.lit(10.0)).alias("h"), F.format_string("LOF | 10.00%% | 20.00%% | %.2f", "value").alias("m"))
+    lines = e.select(F.explode(F.array(F.struct((2 * F.col("event_id")).alias("line"), F.col("h").alias("value")), F.struct((2 * F.col("event_id") + 1).alias("line"), F.col("m").alias("value")))).alias("x")).select("x.line", "x.value")
+    return files.parse_run_log(lines).select("run", "method", "f1")
+
+
+@query(f"WITH {EDGES} SELECT id_a, id_b, round(dist, 6) AS dist FROM edge")
+def distances_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh(spark)
+    files.write_distances(edges(encoded(spark, d)), path)
+    return rounded(files.read_distances(spark, path))
+
+
+@query(f"WITH {ENCODED} SELECT spectrum_id, cast(floor(cast(trunc(precursor_mz * 10) AS BIGINT) / 40::DOUBLE) AS INTEGER) AS part, round(abs(precursor_mz - 200) / 200 * 1e6, 4) AS gap, (bit_count(w0) + bit_count(w1)) / 64::DOUBLE AS ones FROM enc")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    registry.register(spark)
+    encoded(spark, d).createOrReplaceTempView("peakgrid_encoded")
+    return spark.sql("SELECT spectrum_id, mz_bucket(precursor_mz, 40D) AS part, round(ppm_gap(precursor_mz, 200D), 4) AS gap, hv_hamming(hv, array(0L, 0L)) AS ones FROM peakgrid_encoded")
+
+
+def weighted_sql(value: str, table: str, share: float) -> str:
+    return f"(SELECT precursor_charge, bucket, min({value}) AS at_share FROM (SELECT *, sum(size) OVER (PARTITION BY precursor_charge, bucket ORDER BY {value}) AS c, sum(size) OVER (PARTITION BY precursor_charge, bucket) AS t FROM {table}) WHERE c >= {share}::DOUBLE * t GROUP BY ALL)"
+
+
+CAPPED = "SELECT precursor_charge, bucket, round(coalesce(least({0}, 0.9::DOUBLE), 0.9::DOUBLE), 6) AS anomaly_eps FROM (SELECT DISTINCT precursor_charge, bucket FROM rep) LEFT JOIN {1} USING (precursor_charge, bucket)"
+
+
+def threshold(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return rounded(anomaly.thresholds(table(anomaly.representatives(history(spark, d)[0])), P.with_(anomaly_threshold=kind), 64))
+
+
+@query(f"WITH RECURSIVE {HISTORY}, med AS {weighted_sql('d', 'other', 0.5)} {CAPPED.format('at_share', 'med')}")
+def anomaly_median_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return threshold(spark, d, "median")
+
+
+@query(f"WITH RECURSIVE {HISTORY}, med AS {weighted_sql('d', 'other', 0.5)}, dev AS (SELECT other.*, abs(d - at_share) AS away FROM other JOIN med USING (precursor_charge, bucket)), mad AS (SELECT precursor_charge, bucket, med.at_share + 3 * 1.4826::DOUBLE * m.at_share AS edge_at FROM med JOIN {weighted_sql('away', 'dev', 0.5)} m USING (precursor_charge, bucket)) {CAPPED.format('edge_at', 'mad')}")
+def anomaly_mad_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return threshold(spark, d, "mad")
+
+
+@query(f"WITH RECURSIVE {HISTORY} SELECT DISTINCT precursor_charge, bucket, 0.42::DOUBLE AS anomaly_eps FROM rep")
+def anomaly_fixed_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return threshold(spark, d, "fixed")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Anomalies per charge and bucket of new spectra against clustered history."""
     return anomalies_per_bucket(spark, d)

@@ -43,6 +43,15 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str) -
     spark.read.csv(source, header=True, schema=schema).write.mode("overwrite").parquet(target)
 
 
+def write_distances(edges: DataFrame, path: str) -> None:
+    """Distances (id_a, id_b, dist) as CSV with a header. Pairs that aren't there have distance 1, so that a matrix is never written out."""
+    edges.select("id_a", "id_b", "dist").write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_distances(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema="id_a long, id_b long, dist double")
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """Append rows to a folder of CSV files; each has a header, which readers with header=True leave out."""
     df.write.mode("append").option("header", True).csv(path)

@@ -40,6 +40,12 @@ def resolve(spark: SparkSession, paths: str | list[str], recursive: bool = False
     return sorted(out)
 
 
+def peak_of_line(line: F.Column) -> F.Column:
+    """(mz, intensity) of a peak line: its first two numbers, parted by white space; what is no number is null."""
+    parts = F.split(F.trim(F.regexp_replace(line, "\\s+", " ")), " ")
+    return F.struct(F.get(parts, F.lit(0)).try_cast("double").alias("mz"), F.get(parts, F.lit(1)).try_cast("double").alias("intensity"))
+
+
 def read(spark: SparkSession, paths: str | list[str], mode: str = "tolerant", recursive: bool = False, anomaly_paths: list[str] | None = None, raw: bool = False) -> DataFrame:
     """Spectra of MGF files.
 
@@ -63,7 +69,7 @@ def read(spark: SparkSession, paths: str | list[str], mode: str = "tolerant", re
     after = F.slice("l", F.greatest(F.lit(1), F.coalesce(F.array_position(F.transform("l", lambda x: F.upper(x).startswith("CHARGE")), F.lit(True)), F.lit(0)).cast("int") + 1), F.size("l"))
     pool = after if mode == "strict" else F.col("l")
     pool = F.when(F.array_position(F.transform("l", lambda x: F.upper(x).startswith("CHARGE")), F.lit(True)) > 0, pool).otherwise(F.array().cast("array<string>")) if mode == "strict" else pool
-    pairs = F.transform(F.filter(pool, lambda x: ~x.contains("=")), lambda x: F.struct(F.element_at(F.split(x, " "), 1).try_cast("double").alias("mz"), F.try_element_at(F.split(x, " "), F.lit(2)).try_cast("double").alias("intensity")))
+    pairs = F.transform(F.filter(pool, lambda x: ~x.contains("=")), peak_of_line)
     out = rows.select(
         "identifier",
         (F.lit(None).cast("string") if mode == "strict" else head("TITLE")).alias("title"),
@@ -83,7 +89,11 @@ def read(spark: SparkSession, paths: str | list[str], mode: str = "tolerant", re
 
 def count_spectra(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(source_file, n_spectra): lines that begin a spectrum, per file."""
-    lines = spark.read.text(resolve(spark, paths)).select("value", F.col("_metadata.file_path").alias("source_file"))
+    return count_of_lines(spark.read.text(resolve(spark, paths)).select("value", F.col("_metadata.file_path").alias("source_file")))
+
+
+def count_of_lines(lines: DataFrame) -> DataFrame:
+    """As count_spectra(), of lines with value and source_file."""
     return lines.groupBy("source_file").agg(F.count_if(F.trim("value").startswith("BEGIN IONS")).alias("n_spectra"))
 
 
@@ -106,7 +116,7 @@ def write(df: DataFrame, path: str, title: F.Column | None = None, cluster: bool
         return
     from ..plans.scratch import running
 
-    sized = running(text.withColumn("_size", F.length("value") + 1), ["spectrum_id"], {"_upto": "_size"})
+    sized = running(text.withColumn("_size", F.octet_length("value") + 1), ["spectrum_id"], {"_upto": "_size"})
     parts = sized.withColumn("part", F.floor((F.col("_upto") - 1) / cap_bytes).cast("int"))
     parts.repartition("part").sortWithinPartitions("part", "spectrum_id").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
 
