@@ -80,8 +80,9 @@ def assign(new: DataFrame, history: DataFrame, p: Params, dim: int) -> DataFrame
 
     A spectrum joins the cluster of its group's nearest representative if that is within the group's threshold; else it is a cluster of
     its own, named by its id, its representative and an anomaly. In a group without history all spectra are noise and
-    representatives, and anomalies if the precursor of the group's least spectrum_id lies outside the range of all of history. In a
-    group with history but without a flagged representative the new spectra are clustered afresh, and none is an anomaly. History
+    representatives, and anomalies if the precursor of the group's least spectrum_id lies outside the range of all of history; or, with
+    p.no_history as `cluster`, they are clustered afresh, and none is an anomaly. So are the new spectra of a group with history but
+    without a flagged representative. History
     must be a table that reads the same each time.
     """
     span = history.agg(F.min("precursor_mz").alias("_low"), F.max("precursor_mz").alias("_high"))
@@ -94,6 +95,8 @@ def assign_to(ranged: DataFrame, reps: DataFrame, p: Params, dim: int) -> DataFr
     eps = thresholds(reps, p, dim)
     flagged = reps.groupBy(*GROUP).agg(F.max(F.col("flagged").cast("int")).alias("_flagged"))
     found = distances.nearest_rep(ranged, reps, p.precursor_tol, dim).join(eps, GROUP, "left").join(flagged, GROUP, "left")
+    if p.no_history == "cluster":
+        found = found.withColumn("_flagged", F.coalesce("_flagged", F.lit(0)))
     named = reps.select(F.col("rep_id").alias("best_rep"), F.col("cluster").alias("_joined"))
     found = found.join(named, "best_rep", "left")
     first = new.groupBy(*GROUP).agg(F.min(F.struct("spectrum_id", "precursor_mz")).alias("_f")).select(*GROUP, F.col("_f.precursor_mz").alias("_fmz"))
@@ -107,7 +110,8 @@ def assign_to(ranged: DataFrame, reps: DataFrame, p: Params, dim: int) -> DataFr
         (unknown | is_new).alias("is_representative"),
         F.coalesce(F.when(unknown, outside).otherwise(is_new), F.lit(False)).alias("anomaly"),
     )
-    return afresh(out, new, p, dim) if flagged.where("_flagged = 0").limit(1).count() else out.drop("_flagged")
+    lost = p.no_history == "cluster" or not flagged.where("_flagged = 0").isEmpty()
+    return afresh(out, new, p, dim) if lost else out.drop("_flagged")
 
 
 def afresh(out: DataFrame, new: DataFrame, p: Params, dim: int) -> DataFrame:

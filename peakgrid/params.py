@@ -36,6 +36,7 @@ class Params:
     anomaly_margin: float = 0.01
     anomaly_cap: float = 0.9
     anomaly_eps: float = 0.42
+    no_history: str = "noise"
     batch_size: int = 10_000
 
     def __post_init__(self) -> None:
@@ -45,6 +46,8 @@ class Params:
             raise ValueError(f"unknown scaling {self.scaling!r}")
         if self.cluster_alg not in ("dbscan", "hc_single", "hc_complete", "hc_average"):
             raise ValueError(f"unknown cluster_alg {self.cluster_alg!r}")
+        if self.no_history not in ("noise", "cluster"):
+            raise ValueError(f"unknown no_history {self.no_history!r}")
         if self.precursor_tol_mode not in ("ppm", "Da"):
             raise ValueError(f"unknown precursor_tol_mode {self.precursor_tol_mode!r}")
 

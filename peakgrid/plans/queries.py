@@ -930,6 +930,23 @@ def anomaly_fixed_threshold(spark: SparkSession, d: str) -> DataFrame:
     return threshold(spark, d, "fixed")
 
 
+@query(f"WITH RECURSIVE {MEDOID} SELECT spectrum_id, cluster, is_representative, FALSE AS anomaly FROM marked WHERE bucket % 2 = 1")
+def anomaly_without_history(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets without history are clustered afresh, by choice."""
+    df = encoded(spark, d)
+    old = df.where("bucket % 2 = 0").withColumn("cluster", F.col("spectrum_id")).withColumn("is_representative", F.lit(True))
+    found = anomaly.assign(df.where("bucket % 2 = 1"), table(old), P.with_(no_history="cluster"), 64)
+    return found.select("spectrum_id", "cluster", "is_representative", "anomaly")
+
+
+@query(f"WITH RECURSIVE {MEDOID} SELECT spectrum_id, cluster, is_representative, FALSE AS anomaly FROM marked")
+def anomaly_without_representatives(spark: SparkSession, d: str) -> DataFrame:
+    """History holds every group, but no spectrum of it is marked as a representative."""
+    df = encoded(spark, d)
+    old = df.withColumn("spectrum_id", -F.col("spectrum_id") - 1).withColumn("cluster", F.col("spectrum_id")).withColumn("is_representative", F.lit(False))
+    return anomaly.assign(df, table(old), P, 64).select("spectrum_id", "cluster", "is_representative", "anomaly")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Anomalies per charge and bucket of new spectra against clustered history."""
     return anomalies_per_bucket(spark, d)
