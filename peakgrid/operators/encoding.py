@@ -1,13 +1,13 @@
 """Hyperdimensional encoding of spectra as binary vectors, packed into 32-bit words held in longs, least bit first.
 
 Two codebooks exist. The portable one draws bits from md5 and is built and used by column expressions alone; any SQL engine gives the
-same vectors. The production one correlates neighbouring levels and m/z as the method wants, in numpy over Arrow batches.
+same vectors. The production one correlates neighbouring levels and m/z as the method wants, in numpy over Arrow batches; its draws come from md5 too.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -86,19 +86,31 @@ def codebook_length(low: float, high: float, width: float) -> tuple[int, float,
     return int(np.ceil((end - start) / width)), start, end
 
 
+def digests(names: Iterable[str]) -> np.ndarray:
+    """The four unsigned 32-bit numbers in each name's md5, as rows."""
+    return np.frombuffer(b"".join(hashlib.md5(n.encode()).digest() for n in names), ">u4").reshape(-1, 4).astype(np.int64)
+
+
 @lru_cache(maxsize=4)
-def codebooks(dim: int, q: int, bins: int, flip: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Level and m/z vectors as int8 of -1 and 1. Level 0 has as many of each; level i has the sign of its first int(i/q * dim) // 2 dimensions turned. Each m/z vector is the one before with dim // flip positions, drawn with replacement, turned."""
-    rng = np.random.default_rng(seed)
-    base = rng.permutation(np.r_[-np.ones(dim // 2, np.int8), np.ones(dim - dim // 2, np.int8)])
+def codebooks(dim: int, q: int, bins: int, flip: float) -> tuple[np.ndarray, np.ndarray]:
+    """Level and m/z vectors as int8 of -1 and 1, all draws by md5, so that any engine makes the same ones.
+
+    Level 0 is -1 in the half of the dimensions whose md5('level:d') come first; level i has the sign of its first int(i/q * dim) // 2
+    dimensions turned. Bit d of the first m/z vector is the first number of md5('mz:d') modulo 2; each further vector i is the one before
+    with dim // flip positions, drawn with replacement as the numbers of md5('flip:i:0'), md5('flip:i:1'), ... modulo dim, turned.
+    """
+    rank = sorted(range(dim), key=lambda d: hashlib.md5(f"level:{d}".encode()).digest())
+    base = np.ones(dim, np.int8)
+    base[rank[: dim // 2]] = -1
     levels = np.repeat(base[None], q + 1, 0)
     for i in range(q + 1):
         levels[i, : int(i / q * dim) // 2] *= -1
     ids = np.empty((bins, dim), np.int8)
-    ids[0] = np.where(rng.standard_normal(dim) > 0, 1, -1)
+    ids[0] = 2 * (digests(f"mz:{d}" for d in range(dim))[:, 0] & 1) - 1
+    turns = int(dim // flip)
     for i in range(1, bins):
         ids[i] = ids[i - 1]
-        at = np.unique(rng.integers(0, dim, int(dim // flip)))
+        at = np.unique(digests(f"flip:{i}:{k}" for k in range(-(-turns // 4))).ravel()[:turns] % dim)
         ids[i, at] *= -1
     return levels, ids
 

@@ -244,10 +244,31 @@ def hv_encode(spark: SparkSession, d: str) -> DataFrame:
     return two_words(encoding.encode_portable(table(chain(spark, d)), 64, 16), "spectrum_id")
 
 
-@query()
+#: The production codebook by SQL: sides of level 0, turned prefixes, a walk of m/z vectors whose signs are the parity of their turns.
+FULL = 2048
+WIDE = f"""{CHAIN},
+pk AS (SELECT spectrum_id, cast(floor(mz) AS INTEGER) AS m, cast(floor(intensity * 16) AS INTEGER) AS l FROM last),
+base AS (SELECT d, row_number() OVER (ORDER BY md5('level:' || d)) > {FULL // 2} AS up, cast(('0x' || substr(md5('mz:' || d), 1, 8)) AS BIGINT) & 1 = 1 AS first FROM range({FULL}) r(d)),
+turn AS (SELECT DISTINCT i, cast(('0x' || substr(md5('flip:' || i || ':' || k), cast(8 * j + 1 AS BIGINT), 8)) AS BIGINT) % {FULL} AS d FROM range(1, 1502) a(i), range({FULL // 8}) b(k), range(4) c(j)),
+walk AS (SELECT i, d, row_number() OVER (PARTITION BY d ORDER BY i) AS n, lead(i, 1, 1502) OVER (PARTITION BY d ORDER BY i) AS until FROM turn UNION ALL SELECT 0, d, 0, min(i) FROM turn GROUP BY d),
+mzs AS (SELECT m, d, first = (n % 2 = 0) AS up FROM (SELECT DISTINCT m FROM pk) JOIN walk ON m >= i AND m < until JOIN base USING (d)),
+lvs AS (SELECT l, d, up = (d >= cast(floor(l / 16::DOUBLE * {FULL}) AS BIGINT) // 2) AS up FROM (SELECT DISTINCT l FROM pk), base),
+prod AS (SELECT l, m, d, lvs.up = mzs.up AS up FROM (SELECT DISTINCT l, m FROM pk) JOIN lvs USING (l) JOIN mzs USING (m, d)),
+bit AS (SELECT spectrum_id, d FROM pk JOIN prod USING (l, m) GROUP BY spectrum_id, d HAVING 2 * count(CASE WHEN up THEN 1 END) > count(*)),
+word AS (SELECT spectrum_id, d // 32 AS w, cast(sum(1::BIGINT << (d % 32)) AS BIGINT) AS word FROM bit GROUP BY ALL),
+wide AS (SELECT spectrum_id, w, coalesce(word, 0) AS word FROM (SELECT DISTINCT spectrum_id FROM pk) CROSS JOIN range({FULL // 32}) r(w) LEFT JOIN word USING (spectrum_id, w))"""
+
+
+def encoded_full(spark: SparkSession, d: str) -> DataFrame:
+    """The chain's spectra with vectors of the production codebook and size."""
+    return table(encoding.encode(chain(spark, d), P.with_(hd_dim=FULL)).drop("peaks"))
+
+
+@query(f"WITH {WIDE} SELECT spectrum_id, cast(count(*) AS INTEGER) AS n_words, cast(sum(bit_count(word)) AS INTEGER) AS n_ones, md5(string_agg(word, ',' ORDER BY w)) AS hv_md5 FROM wide GROUP BY spectrum_id")
 def hv_encode_production(spark: SparkSession, d: str) -> DataFrame:
-    got = encoding.encode(chain(spark, d), P.with_(hd_dim=2048))
-    return got.select("spectrum_id", F.size("hv").alias("n_words"), F.aggregate(F.transform("hv", F.bit_count), F.lit(0), lambda a, n: a + n).alias("n_ones"))
+    got = encoding.encode(chain(spark, d), P.with_(hd_dim=FULL))
+    ones = F.aggregate(F.transform("hv", F.bit_count), F.lit(0), lambda a, n: a + n)
+    return got.select("spectrum_id", F.size("hv").alias("n_words"), ones.alias("n_ones"), F.md5(F.array_join(F.col("hv").cast("array<string>"), ",")).alias("hv_md5"))
 
 
 def bundle_sql(on: str) -> str:
