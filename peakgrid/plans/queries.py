@@ -385,6 +385,21 @@ def dbscan_components(spark: SparkSession, d: str) -> DataFrame:
     return clustering.dbscan(df, edges(df), P.eps, 2).select("spectrum_id", "cluster")
 
 
+WIDE_CLUSTERS = f"""WITH RECURSIVE {WIDE},
+pair AS (SELECT a.spectrum_id AS id_a, b.spectrum_id AS id_b FROM clean a JOIN clean b ON a.precursor_charge = b.precursor_charge AND a.bucket = b.bucket AND a.spectrum_id < b.spectrum_id WHERE abs(a.precursor_mz - b.precursor_mz) / b.precursor_mz < {TOL!r}),
+near AS (SELECT id_a, id_b FROM pair JOIN wide a ON a.spectrum_id = id_a JOIN wide b ON b.spectrum_id = id_b AND a.w = b.w GROUP BY ALL HAVING sum(bit_count(xor(a.word, b.word))) <= {P.eps} * {FULL}),
+both_ways AS (SELECT id_a AS a, id_b AS b FROM near UNION ALL SELECT id_b, id_a FROM near),
+reach AS (SELECT a AS n, a AS r FROM both_ways UNION SELECT b.b, reach.r FROM reach JOIN both_ways b ON b.a = reach.n),
+comp AS (SELECT n AS spectrum_id, min(r) AS cluster FROM reach GROUP BY n)"""
+
+
+@query(f"{WIDE_CLUSTERS} SELECT spectrum_id, cluster FROM clean JOIN (SELECT DISTINCT spectrum_id FROM pk) USING (spectrum_id) LEFT JOIN comp USING (spectrum_id)")
+def dbscan_production(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship's clusters on vectors of the production codebook and size."""
+    df = encoded_full(spark, d)
+    return clustering.dbscan(df, table(distances.masked_pairs(df, P.precursor_tol, FULL)), P.eps, 2).select("spectrum_id", "cluster")
+
+
 @query(f"{WITH_CLUSTERS} SELECT spectrum_id, coalesce(cluster, spectrum_id) AS cluster FROM clu")
 def hcluster_single(spark: SparkSession, d: str) -> DataFrame:
     df = encoded(spark, d)
