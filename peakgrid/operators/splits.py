@@ -55,10 +55,11 @@ def balanced_split(df: DataFrame, parts: int, width: float = 50.0, mz: str = "mz
     return binned.withColumn("part", F.ntile(parts).over(Window.partitionBy("_bin").orderBy(*order))).drop("_bin")
 
 
-def spatial_mass(df: DataFrame, low: float, high: float) -> DataFrame:
-    """df of pixels (x, y) with pseudo_mass: low + ((ny + nx / max(w + 1, 1)) mod 1) * (high - low), with nx and ny scaled to 0..1 over the image and w its width."""
-    span = df.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+def spatial_mass(df: DataFrame, low: float, high: float, image: str | None = None) -> DataFrame:
+    """df of pixels (x, y) with pseudo_mass: low + ((ny + nx / max(w + 1, 1)) mod 1) * (high - low), with nx and ny scaled to 0..1 over the image and w its width. image: the column that tells images apart; without it all rows are one."""
+    span = df.groupBy(*[image] if image else []).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
     w, h = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
     nx, ny = (F.col("x") - F.col("_x0")) / F.greatest(w, F.lit(1)), (F.col("y") - F.col("_y0")) / F.greatest(h, F.lit(1))
     mass = low + F.pmod(ny + nx / F.greatest(w + 1, F.lit(1)), F.lit(1.0)) * (high - low)
-    return df.crossJoin(F.broadcast(span)).withColumn("pseudo_mass", mass).drop("_x0", "_x1", "_y0", "_y1")  # one row
+    placed = df.join(span, image) if image else df.crossJoin(F.broadcast(span))  # one row without image
+    return placed.withColumn("pseudo_mass", mass).drop("_x0", "_x1", "_y0", "_y1")
