@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import anomaly
 from ..params import Params
 
+BLOCK = 1 << 22  # distances held at once
 KEEP = ["precursor_charge", "bucket", "spectrum_id", "precursor_mz", "hv", "cluster", "is_representative"]
 
 
@@ -39,7 +40,8 @@ def stateful(stream: DataFrame, p: Params, dim: int, low: float, high: float) ->
     """(precursor_charge, bucket, spectrum_id, cluster, best_dist, anomaly_eps, anomaly) as a stream, with the group's representatives as state.
 
     low and high are the range of precursors of the history, which decides about groups that have none. Within a micro-batch a group's
-    spectra are compared with the state as it was before the batch. State holds representatives only and never expires.
+    spectra are compared with the state as it was before the batch. State holds representatives, each with the distance to the nearest
+    other one, so that a batch costs new spectra times representatives; it never expires.
     """
     width = dim // 32
 
@@ -51,43 +53,69 @@ def stateful(stream: DataFrame, p: Params, dim: int, low: float, high: float) ->
             outside = bool(mz[0] > high or mz[0] < low)
             cluster, dist, eps, flag = [None] * len(ids), [None] * len(ids), [None] * len(ids), [outside] * len(ids)
             new = np.ones(len(ids), bool)
-            reps = ([], [], [])
+            rid, rmz, rhv, near = ids[:0], mz[:0], hv[:0], mz[:0]
         else:
-            r_id, r_mz, r_hv = (list(x) for x in state.get)
-            reps = (r_id, r_mz, r_hv)
-            rid, rmz, rhv = np.array(r_id), np.array(r_mz), np.array(r_hv, np.int64).reshape(-1, width)
-            eps_at = threshold(rid, rmz, rhv, p, dim)
-            d = masked(rhv, rmz, hv, mz, p.precursor_tol, dim)  # new rows, known columns
-            best = np.lexsort((np.broadcast_to(rid, d.shape), d), axis=1)[:, 0]
-            least = d[np.arange(len(d)), best]
+            rid, rmz, rhv, near = (np.array(x, t) for x, t in zip(state.get, (np.int64, np.float64, np.int64, np.float64), strict=True))
+            rhv = rhv.reshape(-1, width)
+            eps_at = threshold(near, p)
+            best, least = closest(rid, rmz, rhv, mz, hv, p.precursor_tol, dim)
             new = least > eps_at
             cluster = [int(i) if n else int(rid[b]) for i, n, b in zip(ids, new, best, strict=True)]
             dist, eps, flag = least.tolist(), [eps_at] * len(ids), new.tolist()
-        state.update(([*reps[0], *ids[new].tolist()], [*reps[1], *mz[new].tolist()], [*reps[2], *hv[new].ravel().tolist()]))
+        if new.any():
+            all_id, all_mz, all_hv = np.concatenate([rid, ids[new]]), np.concatenate([rmz, mz[new]]), np.concatenate([rhv, hv[new]])
+            near = nearest(near, all_id, all_mz, all_hv, p.precursor_tol, dim)
+            state.update((all_id.tolist(), all_mz.tolist(), all_hv.ravel().tolist(), near.tolist()))
         yield pd.DataFrame({"precursor_charge": key[0], "bucket": key[1], "spectrum_id": ids, "cluster": pd.array(cluster, "Int64"), "best_dist": pd.array(dist, "Float64"), "anomaly_eps": pd.array(eps, "Float64"), "anomaly": flag})
 
     out = "precursor_charge int, bucket int, spectrum_id long, cluster long, best_dist double, anomaly_eps double, anomaly boolean"
     keyed = stream.select("precursor_charge", "bucket", "spectrum_id", "precursor_mz", "hv").groupBy("precursor_charge", "bucket")
-    return keyed.applyInPandasWithState(step, out, "ids array<long>, mzs array<double>, hvs array<long>", "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(step, out, "ids array<long>, mzs array<double>, hvs array<long>, nears array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def masked(a_hv: np.ndarray, a_mz: np.ndarray, b_hv: np.ndarray, b_mz: np.ndarray, tol: float, dim: int) -> np.ndarray:
     """Distances, a row per b and a column per a; 1 beyond the tolerance, in ppm of b."""
-    d = np.bitwise_count(b_hv[:, None, :] ^ a_hv[None]).sum(2) / dim
-    return np.where(np.abs(a_mz[None] - b_mz[:, None]) / b_mz[:, None] < tol * 1e-6, d, 1.0)
-
-
-def threshold(ids: np.ndarray, mz: np.ndarray, hv: np.ndarray, p: Params, dim: int) -> float:
-    """As anomaly.thresholds for one group, by percentile."""
-    if len(ids) < 2:
+    return np.where(np.abs(a_mz[None] - b_mz[:, None]) / b_mz[:, None] < tol * 1e-6, hamming(a_hv, b_hv, dim), 1.0)
+
+
+def closest(rid: np.ndarray, rmz: np.ndarray, rhv: np.ndarray, mz: np.ndarray, hv: np.ndarray, tol: float, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each new spectrum the place of the nearest representative, that of the least id among equals, and its distance."""
+    order, step = np.argsort(rid), max(1, BLOCK // len(rid))
+    best, least = np.empty(len(mz), np.int64), np.empty(len(mz))
+    for at in range(0, len(mz), step):
+        d = masked(rhv[order], rmz[order], hv[at : at + step], mz[at : at + step], tol, dim)
+        first = d.argmin(1)
+        best[at : at + step], least[at : at + step] = order[first], d[np.arange(len(d)), first]
+    return best, least
+
+
+def hamming(a: np.ndarray, b: np.ndarray, dim: int) -> np.ndarray:
+    """Shares of differing bits, a row per b and a column per a; word by word, so that no array has more than len(a) * len(b) entries."""
+    d = np.zeros((len(b), len(a)), np.int32)
+    for word in range(a.shape[1]):
+        d += np.bitwise_count(b[:, None, word] ^ a[None, :, word])
+    return d / dim
+
+
+def nearest(near: np.ndarray, ids: np.ndarray, mz: np.ndarray, hv: np.ndarray, tol: float, dim: int) -> np.ndarray:
+    """The distance from each to the nearest other one (infinity if there is none), where near has it for the first len(near) among themselves. Tolerances are in ppm of the one with the larger id."""
+    n, out = len(near), np.concatenate([near, np.full(len(ids) - len(near), np.inf)])
+    step = max(1, BLOCK // len(ids))
+    for at in range(n, len(ids), step):
+        b = np.arange(at, min(at + step, len(ids)))
+        of = np.where(ids[b, None] > ids[None], mz[b, None], mz[None])
+        d = np.where(np.abs(mz[None] - mz[b, None]) / of < tol * 1e-6, hamming(hv, hv[b], dim), 1.0)
+        d[np.arange(len(b)), b] = np.inf
+        out[b] = np.minimum(out[b], d.min(1))
+        out = np.minimum(out, d.min(0))
+    return out
+
+
+def threshold(near: np.ndarray, p: Params) -> float:
+    """As anomaly.thresholds for one group, by percentile of the nearest distances."""
+    if len(near) < 2:
         return p.anomaly_cap
-    order = np.argsort(ids)
-    mz, hv = mz[order], hv[order]
-    d = masked(hv, mz, hv, mz, p.precursor_tol, dim)
-    d = np.tril(d, -1)
-    d = d + d.T
-    np.fill_diagonal(d, np.inf)
-    return float(min(np.percentile(d.min(1), p.anomaly_percentile) + p.anomaly_margin, p.anomaly_cap))
+    return float(min(np.percentile(near, p.anomaly_percentile) + p.anomaly_margin, p.anomaly_cap))
 
 
 def labelled(results: DataFrame) -> DataFrame:

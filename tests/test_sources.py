@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from peakgrid import functions
 from peakgrid.operators import anomaly
@@ -184,3 +185,21 @@ def test_state_per_bucket(spark, tmp_path):
     got = {r.spectrum_id: (r.cluster, r.anomaly) for r in incremental.labelled(spark.table("state_out")).collect()}
     assert got[10] == (10, False) and got[12] == (12, True) and got[14] == (12, False)
     assert got[13][0] == 11
+
+
+def test_nearest_of_state_equals_all_pairs(monkeypatch):
+    """Distances kept from batch to batch are those of all pairs; of blocks of any size."""
+    rng = np.random.default_rng(3)
+    ids, mz, hv = rng.permutation(60), 100 + rng.integers(0, 9, 60) * 0.001, rng.integers(0, 1 << 32, (60, 2))
+    for block in (1, 100, 1 << 22):
+        monkeypatch.setattr(incremental, "BLOCK", block)
+        near = np.empty(0)
+        for upto in (1, 2, 20, 60):
+            near = incremental.nearest(near, ids[:upto], mz[:upto], hv[:upto], 20.0, 64)
+            for k in range(upto):
+                others = [j for j in range(upto) if j != k]
+                wanted = [int(np.bitwise_count(hv[k] ^ hv[j]).sum()) / 64 if abs(mz[k] - mz[j]) / (mz[k] if ids[k] > ids[j] else mz[j]) < 20e-6 else 1.0 for j in others]
+                assert near[k] == min(wanted, default=np.inf)
+        best, least = incremental.closest(ids[:40], mz[:40], hv[:40], mz[40:], hv[40:], 20.0, 64)
+        d = incremental.masked(hv[:40], mz[:40], hv[40:], mz[40:], 20.0, 64)
+        assert best.tolist() == [min(range(40), key=lambda j: (row[j], ids[j])) for row in d] and least.tolist() == d.min(1).tolist()
