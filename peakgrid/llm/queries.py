@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, licenses, packing, quality_pu, quality_rules, sharding, simhash, warc
+from . import curve_packing, decontaminate, html_text, language, licenses, merkle, packing, quality_pu, quality_rules, sharding, simhash, warc
 from .common import read
 
 
@@ -59,15 +59,29 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placed(read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.placed(read(spark, sf_dir, "documents"), byte_tokenizer())
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts of op7 alone, without its trees."""
     return quality_rules.apply(read(spark, sf_dir, "documents"), None).drop("score", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hilbert_shards, op3_license_scan, op4_decontaminate, op5_html_text, op6_warc, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing, text_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hilbert_shards, op3_license_scan, op4_decontaminate, op5_html_text, op6_warc, op7_quality_rules, op8_language_id, op9_quality_pu, op10_packing, op11_curve_packing, op12_merkle_manifest, text_counts)}
 
-SQL: dict[str, str] = {"op3_license_scan": licenses.sql(licenses.TEMPLATES), "op4_decontaminate": decontaminate.SQL, "op6_warc": warc.SQL, "text_counts": quality_rules.SQL}
+SQL: dict[str, str] = {"op3_license_scan": licenses.sql(licenses.TEMPLATES), "op4_decontaminate": decontaminate.SQL, "op6_warc": warc.SQL, "op12_merkle_manifest": merkle.SQL, "text_counts": quality_rules.SQL}
