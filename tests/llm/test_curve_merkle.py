@@ -46,12 +46,21 @@ def key(row):
     return tuple((x is not None, x) for x in row)
 
 
-def test_words_are_encoded_as_whole_texts_are():
+def test_ids_are_those_of_the_file():
     r = random.Random(2)
     parts = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "'s", "1", "é", "中", "\xa0", " ", "<|endoftext|>", "!", ".", "\x1c", "\0", "\x0b", " the", " word."]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(4_000)]
     made = curve_packing.ByteEncoder(byte_tokenizer())
-    got = [np.frombuffer(x, made.kind).tolist() for x in made.encode([t.encode() for t in texts])]
+    texts += ["long" * 3_000, " " * 9_000 + "x", "\n" * 5_000]
+    got = [np.frombuffer(made.encode(t.encode()), made.kind).tolist() for t in texts]
+    assert got == [x[:-1] for x in plain_ids(texts)]
+
+
+def test_every_character_is_parted_alike():
+    """Both encoders agree on which characters are letters, numbers and spaces: one text for each."""
+    made = curve_packing.ByteEncoder(byte_tokenizer())
+    texts = [f"a{c}b {c}{c}1{c}" for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000, 3)])]
+    got = [np.frombuffer(made.encode(t.encode()), made.kind).tolist() for t in texts]
     assert got == [x[:-1] for x in plain_ids(texts)]
 
 
