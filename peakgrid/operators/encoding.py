@@ -174,6 +174,20 @@ def bundle(df: DataFrame, keys: list[str], dim: int, ties: int = 0) -> DataFrame
     return summed.select(*keys, F.array(*words).alias("hv"), "members")
 
 
+def bit_counts(df: DataFrame, keys: list[str], dim: int) -> DataFrame:
+    """(keys, members, ones): of each group the vectors, nulls left out, and for each bit how many of them have it. Counts of parts of a group add up to the group's."""
+    summed = df.groupBy(*keys).agg(F.count("hv").alias("members"), *lane_sums([F.get("hv", F.lit(w)) for w in range(dim // 32)], 2))
+    one = lambda d: F.shiftright(F.coalesce(F.col(f"s{d // 2}"), F.lit(0).cast("long")), 32 * (d % 2)).bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+    return summed.select(*keys, "members", F.array(*[one(d) for d in range(dim)]).alias("ones"))
+
+
+def majority_of_counts(ones: F.Column, members: F.Column, dim: int) -> F.Column:
+    """The vector that bundle() makes, from bit_counts(): a bit is 1 if more than half of the members, rounded down, have it."""
+    bit = lambda d, i: F.when(F.get(ones, d) > F.floor(members / 2), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))
+    word = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda a, i: a + bit(i + 32 * w, i))
+    return F.array(*[word(w) for w in range(dim // 32)])
+
+
 def cluster_bundles(df: DataFrame, keys: list[str], dim: int) -> DataFrame:
     """Majority vectors with the precursor of one member, the least spectrum_id's."""
     one = df.groupBy(*keys).agg(F.min_by("precursor_mz", "spectrum_id").alias("precursor_mz"))
