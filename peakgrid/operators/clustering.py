@@ -15,8 +15,10 @@ from ..plans.scratch import cut, table
 from .graph import components
 
 GROUP = ["precursor_charge", "bucket"]
-#: Spectra in one linkage matrix, 32 MB. Larger components are linked by joins.
+#: Spectra in one linkage matrix, 32 MB. Larger components are linked by joins, with the same result.
 LINKAGE_MAX = 2_000
+#: Steps of a similarity in average linkage; exact for shares of a power of two of bits.
+STEPS = 1 << 24
 
 
 def dbscan(df: DataFrame, edges: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
@@ -34,47 +36,56 @@ def dbscan(df: DataFrame, edges: DataFrame, eps: float, min_samples: int = 2) ->
 def linkage_labels(dist: np.ndarray, eps: float, how: str, copies: np.ndarray | None = None) -> np.ndarray:
     """Flat clusters of a dense distance matrix by single, complete or average linkage, cut at eps (a merge at exactly eps still counts). Labels are the least member's place. copies: how many equal members a place stands for.
 
-    Nearest-neighbour chains; distances are kept up by Lance and Williams' formulas.
+    The pair of clusters that merges next is that with the least (distance, least place, other place), a cluster's place being its least
+    member's. Nearest-neighbour chains in that order find the same merges, since no merge brings a third cluster forward in it.
+    Averages are quotients of whole numbers (similarities in steps of 2^-24), so that equal ones are equal however they come about.
     """
     n = len(dist)
-    d = dist.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(n) if copies is None else copies.astype(float)
-    label = np.arange(n)
+    size = np.ones(n, np.int64) if copies is None else copies.astype(np.int64)
+    if how == "average":
+        d = similarity(dist) * size[:, None] * size[None]
+        np.fill_diagonal(d, 0)
+    else:
+        d = dist.astype(float).copy()
+        np.fill_diagonal(d, np.inf)
     live = np.ones(n, bool)
     chain: list[int] = []
     merges: list[tuple[float, int, int]] = []
+
+    def row(a: int) -> np.ndarray:
+        far = 1.0 - d[a] / (size[a] * size * STEPS) if how == "average" else d[a]
+        far = np.where(live, far, np.inf)
+        far[a] = np.inf
+        return far
+
     for _ in range(n - 1):
         if not chain:
             chain.append(int(np.flatnonzero(live)[0]))
         while True:
             a = chain[-1]
-            row = np.where(live, d[a], np.inf)
-            b = int(row.argmin())
-            if len(chain) > 1 and row[chain[-2]] <= row[b]:
-                b = chain[-2]
+            far = row(a)
+            b = int(far.argmin())  # the least place of equally near ones, which makes the least pair
+            if len(chain) > 1 and b == chain[-2]:
                 break
-            if not np.isfinite(row[b]):
+            if not np.isfinite(far[b]):
                 return flat(merges, n, eps)
             chain.append(b)
         chain = chain[:-2]
-        merges.append((float(d[a, b]), a, b))
-        if how == "single":
-            new = np.minimum(d[a], d[b])
-        elif how == "complete":
-            new = np.maximum(d[a], d[b])
-        else:
-            new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        merges.append((float(far[b]), min(a, b), max(a, b)))
         keep, gone = min(a, b), max(a, b)
-        d[keep], d[:, keep] = new, new
-        d[keep, keep] = np.inf
-        size[keep] = size[a] + size[b]
+        d[keep] = d[a] + d[b] if how == "average" else np.maximum(d[a], d[b]) if how == "complete" else np.minimum(d[a], d[b])
+        d[:, keep] = d[keep]
+        d[keep, keep] = 0 if how == "average" else np.inf
+        size[keep] += size[gone]
         live[gone] = False
-        label[label == gone] = keep
-        chain = [keep if c == gone else c for c in chain]
     return flat(merges, n, eps)
 
 
+def similarity(dist: np.ndarray) -> np.ndarray:
+    """1 less the distance in whole steps of 1 / STEPS."""
+    return np.rint((1.0 - dist) * STEPS).astype(np.int64)
+
+
 def flat(merges: list[tuple[float, int, int]], n: int, eps: float) -> np.ndarray:
     up = list(range(n))
 
@@ -123,8 +134,8 @@ def hierarchical(df: DataFrame, edges: DataFrame, eps: float, how: str = "comple
     """df with cluster: hierarchical linkage of the group's masked distances, cut at eps < 1; the cluster is its least spectrum_id.
 
     A merge at height up to eps needs at least one pair within eps, so that no cluster leaves its component of the graph of such pairs.
-    Each component is linked on its own, in one task, instead of each bucket; one of over LINKAGE_MAX is linked by joins. Single linkage
-    is the component itself. Pairs that edges doesn't hold have distance 1. A column copies of df counts how many spectra a row stands for.
+    Each component is linked on its own, in one task, instead of each bucket; one of over LINKAGE_MAX is linked by joins, in the same
+    order of merges: by (distance, least id, other id). Single linkage is the component itself. Pairs that edges doesn't hold have distance 1. A column copies of df counts how many spectra a row stands for.
     """
     if eps >= 1:
         raise ValueError("eps must be less than 1, the distance of masked pairs")
@@ -141,7 +152,9 @@ def hierarchical(df: DataFrame, edges: DataFrame, eps: float, how: str = "comple
             sized = sized.withColumn("m", F.lit(1).cast("long"))
         sized = cut(sized)
         more = sized.where("n > 2")
-        inner = edges.join(more.select(F.col("node").alias("id_a"), F.col("root").alias("part"), "n", F.col("m").alias("m_a")), "id_a").join(more.select(F.col("node").alias("id_b"), F.col("root").alias("_p"), F.col("m").alias("m_b")), "id_b").where("part = _p")
+        # for complete linkage a pair beyond eps is as good as none
+        given = edges.where(F.col("dist") <= F.lit(eps + 1e-12)) if how == "complete" else edges
+        inner = given.join(more.select(F.col("node").alias("id_a"), F.col("root").alias("part"), "n", F.col("m").alias("m_a")), "id_a").join(more.select(F.col("node").alias("id_b"), F.col("root").alias("_p"), F.col("m").alias("m_b")), "id_b").where("part = _p")
 
         def link(pdf: pd.DataFrame) -> pd.DataFrame:
             ids = np.unique(np.r_[pdf.id_a.to_numpy(), pdf.id_b.to_numpy()])
@@ -162,10 +175,10 @@ def hierarchical(df: DataFrame, edges: DataFrame, eps: float, how: str = "comple
 def link_by_joins(pairs: DataFrame, nodes: DataFrame, eps: float, how: str) -> DataFrame:
     """(spectrum_id, cluster) of nodes by complete or average linkage of pairs (a < b, dist, na and nb spectra), cut at eps; absent pairs have distance 1.
 
-    In each round all pairs of clusters that are each other's nearest merge. Neither linkage brings a third cluster nearer by a merge,
-    so that this makes the same tree as one merge at a time, up to ties, which go to the least ids. The steps are joins and grouped
-    sums: no task holds a component. Complete linkage needs only pairs within eps, and a pair of clusters stays while all its pairs
-    are there; average linkage adds up the similarities of the pairs.
+    In each round all pairs of clusters that are each other's nearest in the order of (distance, least id, other id) merge. Neither
+    linkage brings a third cluster forward in that order, so that this makes the same tree as one merge at a time and as linkage_labels().
+    The steps are joins and grouped sums: no task holds a component. Complete linkage needs only pairs within eps, and a pair of
+    clusters stays while all its pairs are there; average linkage adds up the similarities of the pairs, in whole steps.
     """
     top = F.lit(eps + 1e-12)
     complete = how == "complete"
@@ -173,8 +186,8 @@ def link_by_joins(pairs: DataFrame, nodes: DataFrame, eps: float, how: str) -> D
         now = cut(pairs.where(F.col("dist") <= top).withColumnRenamed("dist", "s"))
         dist = F.col("s")
     else:
-        now = cut(pairs.withColumn("s", (F.lit(1.0) - F.col("dist")) * F.col("na") * F.col("nb")).drop("dist"))
-        dist = F.lit(1.0) - F.col("s") / (F.col("na") * F.col("nb"))
+        now = cut(pairs.withColumn("s", F.rint((F.lit(1.0) - F.col("dist")) * STEPS).cast("long") * F.col("na") * F.col("nb")).drop("dist"))
+        dist = F.lit(1.0) - F.col("s") / (F.col("na") * F.col("nb") * STEPS)
     named = cut(nodes.withColumn("cluster", F.col("spectrum_id")))
     while True:
         pair = F.struct(dist.alias("d"), "a", "b", (F.col("na") + F.col("nb")).alias("n"))

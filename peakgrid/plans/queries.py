@@ -406,12 +406,38 @@ def hcluster_single(spark: SparkSession, d: str) -> DataFrame:
     return clustering.hierarchical(df, edges(df), P.eps, "single").select("spectrum_id", "cluster")
 
 
-@query()
+def linkage_sql(how: str) -> str:
+    """Linkage in rounds: all pairs of clusters that are each other's nearest, in the order of (distance, least id, other id), merge. Spectra of equal group, precursor and vector are one weighted point. A row of st is a pair of clusters in a round, or (gone) that b became part of a."""
+    first = "dist AS s" if how == "complete" else f"cast(round_even((1 - dist) * {clustering.STEPS}, 0) AS BIGINT) * a.n * b.n AS s"
+    d = "s" if how == "complete" else f"1 - s / (na * nb * {clustering.STEPS})::DOUBLE"
+    new = "max(s) AS s" if how == "complete" else "cast(sum(s) AS BIGINT) AS s"
+    whole = "HAVING count(*) = max(w)" if how == "complete" else ""
+    return f"""WITH RECURSIVE {ENCODED},
+point AS (SELECT precursor_charge, bucket, precursor_mz, w0, w1, min(spectrum_id) AS spectrum_id, count(*) AS n FROM enc GROUP BY ALL),
+edge AS (SELECT a.spectrum_id AS a, b.spectrum_id AS b, a.n AS na, b.n AS nb, {DIST.format(a='a', b='b')} AS dist, a.n * b.n AS n, {first} FROM point a JOIN point b ON a.precursor_charge = b.precursor_charge AND a.bucket = b.bucket AND a.spectrum_id < b.spectrum_id WHERE abs(a.precursor_mz - b.precursor_mz) / b.precursor_mz < {TOL!r}),
+st AS (SELECT 0 AS it, a, b, s, na, nb, false AS gone FROM edge{f" WHERE dist <= {P.eps}" if how == "complete" else ""}
+ UNION ALL (WITH cur AS (SELECT *, {d} AS d FROM st WHERE NOT gone),
+  ends AS (SELECT a AS e, struct_pack(d := d, a := a, b := b) AS p FROM cur WHERE d <= {P.eps} + 1e-12 UNION ALL SELECT b, struct_pack(d := d, a := a, b := b) FROM cur WHERE d <= {P.eps} + 1e-12),
+  mg AS (SELECT p.a AS a, p.b AS b, count(*) AS c FROM (SELECT e, min(p) AS p FROM ends GROUP BY e) GROUP BY p HAVING count(*) = 2),
+  grown AS (SELECT a AS id, a AS tgt FROM mg UNION ALL SELECT b, a FROM mg),
+  size AS (SELECT a AS id, max(na) AS n FROM cur GROUP BY a UNION SELECT b, max(nb) FROM cur GROUP BY b),
+  total AS (SELECT tgt, sum(n) AS n FROM grown JOIN size USING (id) GROUP BY tgt),
+  moved AS (SELECT it, s, coalesce(ga.tgt, cur.a) AS x, coalesce(gb.tgt, cur.b) AS y, coalesce(ta.n, na) AS nx, coalesce(tb.n, nb) AS ny, CASE WHEN ga.tgt IS NULL THEN 1 ELSE 2 END * CASE WHEN gb.tgt IS NULL THEN 1 ELSE 2 END AS w
+   FROM cur LEFT JOIN grown ga ON ga.id = cur.a LEFT JOIN grown gb ON gb.id = cur.b LEFT JOIN total ta ON ta.tgt = ga.tgt LEFT JOIN total tb ON tb.tgt = gb.tgt)
+  SELECT it + 1, least(x, y), greatest(x, y), {new}, cast(max(CASE WHEN x < y THEN nx ELSE ny END) AS BIGINT), cast(max(CASE WHEN x < y THEN ny ELSE nx END) AS BIGINT), false FROM moved WHERE x <> y AND EXISTS (SELECT 1 FROM mg) GROUP BY it, least(x, y), greatest(x, y) {whole}
+  UNION ALL SELECT (SELECT max(it) FROM cur) + 1, a, b, 0, 0, 0, true FROM mg)),
+up AS (SELECT b AS id, a AS tgt FROM st WHERE gone),
+path AS (SELECT spectrum_id AS id, spectrum_id AS tgt FROM point UNION ALL SELECT path.id, up.tgt FROM path JOIN up ON up.id = path.tgt),
+top AS (SELECT id, min(tgt) AS cluster FROM path GROUP BY id)
+SELECT enc.spectrum_id, cluster FROM enc JOIN point USING (precursor_charge, bucket, precursor_mz, w0, w1) JOIN top ON top.id = point.spectrum_id"""
+
+
+@query(linkage_sql("complete"))
 def hcluster_complete(spark: SparkSession, d: str) -> DataFrame:
     return clustering.hierarchical_of_copies(encoded(spark, d), edges, P.eps, "complete").select("spectrum_id", "cluster")
 
 
-@query()
+@query(linkage_sql("average"))
 def hcluster_average(spark: SparkSession, d: str) -> DataFrame:
     return clustering.hierarchical_of_copies(encoded(spark, d), edges, P.eps, "average").select("spectrum_id", "cluster")
 
