@@ -54,7 +54,7 @@ SELECT spectrum_id, bucket, round(precursor_mz, 6) AS precursor_mz, clu.cluster,
   coalesce(n, 1) AS n_spectra, clu.cluster IS NULL OR rep = spectrum_id AS is_representative, precursor_charge
 FROM clu LEFT JOIN size USING (cluster) LEFT JOIN rep USING (cluster)""",
     "job2_text_watch": f"""WITH letter AS (SELECT unnest(string_split('{_S.letters}', '')) AS letter, {text_watch.FIRST_MZ} + generate_subscripts(string_split('{_S.letters}', ''), 1) - 1 AS m),
-doc AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(lang, 'und') AS lang, lower(coalesce(text, '')) AS t FROM documents),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(nullif(lang, ''), 'und') AS lang, lower(coalesce(text, '')) AS t FROM documents),
 cnt AS (SELECT rid, lang, m, (length(t) - length(replace(t, letter, '')))::DOUBLE AS x FROM doc, letter),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY x DESC, m) AS r, max(x) OVER (PARTITION BY rid) AS top FROM cnt WHERE x > 0),
 kept AS (SELECT rid, lang, m, x / sqrt(sum(x * x) OVER (PARTITION BY rid)) AS x FROM ranked WHERE r <= {_S.p.max_peaks_used} AND x > {_S.p.min_intensity}::DOUBLE * top),

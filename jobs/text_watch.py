@@ -56,11 +56,11 @@ class Settings:
 
 
 def vectors(texts: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, source, lang, hv) of documents; hv is null for a text without any of the letters, lang is und for null."""
+    """(doc_id, source, lang, hv) of documents; hv is null for a text without any of the letters, lang is und for null and empty ones."""
     low = F.lower(F.coalesce("text", F.lit("")))
     count = lambda letter: (F.length("_low") - F.length(F.replace("_low", F.lit(letter)))).cast("double")
     all_peaks = F.array(*[F.struct(F.lit(float(FIRST_MZ + i)).alias("mz"), count(letter).alias("intensity")) for i, letter in enumerate(s.letters)])
-    spectra = texts.select("doc_id", "source", F.coalesce("lang", F.lit("und")).alias("lang"), low.alias("_low")).withColumn("peaks", F.filter(all_peaks, lambda x: x["intensity"] > 0)).drop("_low")
+    spectra = texts.select("doc_id", "source", F.coalesce(F.nullif("lang", F.lit("")), F.lit("und")).alias("lang"), low.alias("_low")).withColumn("peaks", F.filter(all_peaks, lambda x: x["intensity"] > 0)).drop("_low")
     clean = peaks.normalize(peaks.top_peaks(spectra, s.p.max_peaks_used, s.p.min_intensity))
     return encoding.encode(clean, s.p, portable=True).select("doc_id", "source", "lang", F.when(F.size("peaks") > 0, F.col("hv")).alias("hv"))
 

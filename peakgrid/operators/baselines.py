@@ -9,16 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.scratch import table
+from . import knn, quantiles
 from .splits import draw
 
 #: Rows that models are fitted on, at most.
@@ -27,10 +27,6 @@ SAMPLE = 10_000
 SUBSPACE_SAMPLE = 20_000
 #: Columns of the kernel that are kept, 80 MB of SAMPLE rows.
 COLUMNS = 1_000
-#: Points of one block of the neighbour search.
-BLOCK = 2_000
-#: Candidates beyond k whose distances are worked out anew.
-SPARE = 16
 
 
 def features(binned: DataFrame, bins: int, value: str = "intensity") -> DataFrame:
@@ -67,8 +63,8 @@ def scored(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
 
 def flag_share(df: DataFrame, contamination: float) -> DataFrame:
     """df with outlier: whether the score is below the linear percentile of this share."""
-    cut = df.agg(F.percentile("score", contamination).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("outlier", F.col("score") < F.col("_cut")).drop("_cut")  # one row
+    df = table(df)  # scored once
+    return df.withColumn("outlier", F.col("score") < F.lit(quantiles.percentile(df, "score", contamination)))
 
 
 # ---- principal components ---------------------------------------------------------------------------------------------------
@@ -216,45 +212,6 @@ def one_class_svm(df: DataFrame, contamination: float, most: int = SAMPLE, steps
 # ---- local outlier factor ---------------------------------------------------------------------------------------------------
 
 
-def neighbours(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(point, other, d): the k nearest other points of each, by distance, then id. Exact and quadratic: each pair of blocks of `block` points is one task, which returns k rows per point, so that no task holds more than two blocks."""
-    n = points.count()
-    parts = max(1, -(-n // block))
-    dealt = points.withColumn("_b", F.pmod(F.xxhash64("point"), F.lit(parts)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    rows = dealt.select("point", "x", F.lit(True).alias("query"), F.col("_b").alias("q"), others.alias("t")).unionByName(dealt.select("point", "x", F.lit(False).alias("query"), others.alias("q"), F.col("_b").alias("t")))
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, t = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("point")
-        if not len(q) or not len(t):
-            return pd.DataFrame({"point": [], "other": [], "d": []})
-        a, b = np.array(q.x.tolist()), np.array(t.x.tolist())
-        out = []
-        ids = t.point.to_numpy()
-        for s in range(0, len(a), 512):
-            some, mine = a[s : s + 512], q.point.to_numpy()[s : s + 512]
-            same = mine[:, None] == ids[None]
-            if a.shape[1] <= 8:
-                d = np.sqrt(((some[:, None, :] - b[None]) ** 2).sum(2))
-                d[same] = np.inf
-                at = np.argsort(d, axis=1, kind="stable")[:, :k]
-                d = np.take_along_axis(d, at, 1)
-            else:  # candidates by the products, whose rounding is made good on them
-                d = (some**2).sum(1)[:, None] + (b**2).sum(1) - 2 * some @ b.T
-                d[same] = np.inf
-                at = np.sort(np.argpartition(d, k + SPARE, axis=1)[:, : k + SPARE] if d.shape[1] > k + SPARE else np.broadcast_to(np.arange(d.shape[1]), d.shape), axis=1)
-                d = np.where(np.take_along_axis(same, at, 1), np.inf, np.sqrt(((some[:, None, :] - b[at]) ** 2).sum(2)))
-                first = np.argsort(d, axis=1, kind="stable")[:, :k]
-                at, d = np.take_along_axis(at, first, 1), np.take_along_axis(d, first, 1)
-            out.append(pd.DataFrame({"point": np.repeat(mine, at.shape[1]), "other": ids[at].ravel(), "d": d.ravel()}))
-        got = pd.concat(out)
-        return got[np.isfinite(got.d)]
-
-    found = rows.groupBy("q", "t").applyInPandas(near, "point long, other long, d double")
-    w = Window.partitionBy("point").orderBy("d", "other")
-    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
-
-
 def local_outlier_factor(df: DataFrame, contamination: float, k: int = 20) -> DataFrame:
     """Local outlier factor of the distinct vectors (rounded to 6 places), given back to all rows; score is minus the factor. k is at most the number of distinct vectors less 1; a single one has score -1."""
     rounded = df.withColumn("_key", F.transform("x", lambda v: F.round(v, 6) + 0.0))
@@ -262,14 +219,14 @@ def local_outlier_factor(df: DataFrame, contamination: float, k: int = 20) -> Da
     k = min(k, points.count() - 1)
     if k < 1:
         return df.withColumn("score", F.lit(-1.0)).withColumn("outlier", F.lit(False))
-    near = table(neighbours(points, k))
+    near = table(knn.nearest(points, k))
     reach = near.groupBy("point").agg(F.max("d").alias("kd"))
     dist = near.join(reach.select(F.col("point").alias("other"), F.col("kd").alias("_okd")), "other").withColumn("_r", F.greatest("d", "_okd"))
     lrd = dist.groupBy("point").agg((F.lit(1.0) / (F.avg("_r") + 1e-10)).alias("lrd"))
     factor = near.join(lrd.select(F.col("point").alias("other"), F.col("lrd").alias("_olrd")), "other").groupBy("point").agg(F.avg("_olrd").alias("_m")).join(lrd, "point")
     by_key = points.join(factor.select("point", (-F.col("_m") / F.col("lrd")).alias("score")), "point").select(F.col("x").alias("_key"), "score")
-    cut = by_key.agg(F.percentile("score", contamination).alias("_cut"))
-    return rounded.join(by_key, "_key").crossJoin(F.broadcast(cut)).withColumn("outlier", F.col("score") < F.col("_cut")).drop("_key", "_cut")  # one row
+    by_key = table(by_key)
+    return rounded.join(by_key, "_key").withColumn("outlier", F.col("score") < F.lit(quantiles.percentile(by_key, "score", contamination))).drop("_key")
 
 
 # ---- pairs of orthonormal subspaces -----------------------------------------------------------------------------------------

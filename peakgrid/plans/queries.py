@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks, separation, splits
+from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks, quantiles, separation, splits
 from ..params import Params
 from ..sources import files, mgf
 from . import testdata
@@ -730,7 +730,8 @@ def best_by_contamination(spark: SparkSession, d: str) -> DataFrame:
 def peak_stats(spark: SparkSession, d: str) -> DataFrame:
     both = testdata.peaks(spark, d).join(testdata.meta(spark, d).select("spectrum_id", "precursor_charge"), "spectrum_id")
     i = F.col("intensity")
-    return both.groupBy("precursor_charge").agg(F.count("*").alias("n_peaks"), F.countDistinct("spectrum_id").alias("n_spectra"), F.round(F.min(i), 6).alias("min_intensity"), F.round(F.max(i), 6).alias("max_intensity"), F.round(F.avg(i), 4).alias("mean_intensity"), F.round(F.percentile(i, 0.5), 6).alias("median_intensity"))
+    counts = both.groupBy("precursor_charge").agg(F.count("*").alias("n_peaks"), F.countDistinct("spectrum_id").alias("n_spectra"), F.round(F.min(i), 6).alias("min_intensity"), F.round(F.max(i), 6).alias("max_intensity"), F.round(F.avg(i), 4).alias("mean_intensity"))
+    return counts.join(quantiles.percentile_by(both, ["precursor_charge"], "intensity", 0.5).select("precursor_charge", F.round("at", 6).alias("median_intensity")), "precursor_charge")
 
 
 @query("SELECT n_suppliers, count(*) AS n_parts FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1) GROUP BY 1 ORDER BY n_parts DESC, n_suppliers LIMIT 10")

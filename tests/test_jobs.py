@@ -15,7 +15,7 @@ from .test_queries import TABLES, plain
 
 
 def rows(df):
-    return sorted(tuple(map(plain, r)) for r in df.select(sorted(df.columns)).collect())
+    return sorted((tuple(map(plain, r)) for r in df.select(sorted(df.columns)).collect()), key=repr)
 
 
 def texts(spark, folder, made):

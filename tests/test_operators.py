@@ -402,12 +402,6 @@ def test_detectors_rank_planted_outliers_low(spark, detect, request):
     assert metrics.auroc(got, "s", "t").first().auroc > (0.6 if "gods" in request.node.name else 0.8)  # frames see directions alone
 
 
-def test_neighbours_in_blocks_are_exact(spark):
-    df = planted(spark, 90).select(F.col("spectrum_id").alias("point"), "x")
-    whole = sorted(map(tuple, baselines.neighbours(df, 5, 10_000).collect()))
-    assert [t[:2] for t in sorted(map(tuple, baselines.neighbours(df, 5, 13).collect()))] == [t[:2] for t in whole]
-
-
 def test_svm_outlier_share_is_about_nu(spark):
     got = baselines.one_class_svm(planted(spark, 500), 0.1, 1000)
     share = got.where("outlier").count() / got.count()
@@ -431,6 +425,41 @@ def test_subspaces_see_the_length_of_rows(spark):
     assert all(abs(got[1000 + i] - got[i]) > 1e-3 for i in range(5))
 
 
+def test_linkage_both_ways_on_many_tied_matrices(spark, monkeypatch):
+    """500 components with few different distances, some of weighted points: by matrices, by joins and by a loop over the least pair."""
+    r = np.random.default_rng(7)
+    pairs, nodes, want = [], [], {"complete": {}, "average": {}}
+    for t in range(500):
+        n = 9
+        bits = r.integers(0, 2, (n, 32))
+        dist = (bits[:, None] != bits[None]).mean(2)
+        copies = r.integers(1, 4, n) if t % 3 == 0 else np.ones(n, int)
+        base = 100 * t
+        nodes += [(base + i, int(copies[i])) for i in range(n)]
+        pairs += [(base + i, base + j, float(dist[i, j])) for i in range(n) for j in range(i + 1, n)]
+        for how, found in want.items():
+            held = {i: [i] for i in range(n)}
+            weight = np.rint((1 - dist) * clustering.STEPS).astype(int) * copies[:, None] * copies[None]
+
+            def far(a, b, held=held, weight=weight, how=how, dist=dist, copies=copies):
+                at = np.ix_(held[a], held[b])
+                return dist[at].max() if how == "complete" else 1.0 - weight[at].sum() / (copies[held[a]].sum() * copies[held[b]].sum() * clustering.STEPS)
+
+            while len(held) > 1:
+                d, a, b = min((far(a, b), a, b) for a in held for b in held if a < b)
+                if d > 0.4 + 1e-12:
+                    break
+                held[a] += held.pop(b)
+            found.update({base + i: base + k for k, v in held.items() for i in v})
+    df = spark.createDataFrame(nodes, "spectrum_id long, copies long").cache()
+    edges = spark.createDataFrame(pairs, "id_a long, id_b long, dist double").cache()
+    for how in want:
+        for most in (2_000, 2):
+            monkeypatch.setattr(clustering, "LINKAGE_MAX", most)
+            got = {x.spectrum_id: x.cluster for x in clustering.hierarchical(df, edges, 0.4, how).collect()}
+            assert got == want[how], (how, most)
+
+
 def test_small_groups_share_batches(spark):
     df = spark.range(2000).select((F.col("id") % 300).alias("k"), "id")
     import pandas as pd
