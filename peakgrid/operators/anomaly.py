@@ -6,13 +6,14 @@ representatives are compared with new spectra, through joins narrowed to the pre
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..plans.scratch import table
+from ..plans.scratch import scratch, table
 from . import clustering, distances
 
 GROUP = ["precursor_charge", "bucket"]
@@ -49,12 +50,12 @@ def thresholds(reps: DataFrame, p: Params, dim: int) -> DataFrame:
 
     p.anomaly_threshold: percentile (linear percentile of the nearest distances, plus the margin), weighted (percentile weighted by
     cluster size), mean (weighted mean plus one weighted standard deviation), median (weighted), mad (weighted median plus 3 * 1.4826
-    weighted median deviations), or fixed (anomaly_eps). All but fixed are capped.
+    weighted median deviations), or fixed (anomaly_eps). All but fixed are capped. Where reps has near, as nearest_other() makes it, it is used.
     """
     groups = reps.select(*GROUP).distinct()
     if p.anomaly_threshold == "fixed":
         return groups.withColumn("anomaly_eps", F.lit(float(p.anomaly_eps)))
-    near = nearest_other(reps, p.precursor_tol, dim).where("near is not null")
+    near = (reps if "near" in reps.columns else nearest_other(reps, p.precursor_tol, dim)).where("near is not null")
     if p.anomaly_threshold == "percentile":
         at = near.groupBy(*GROUP).agg((F.percentile("near", p.anomaly_percentile / 100.0) + p.anomaly_margin).alias("at"))
     elif p.anomaly_threshold == "weighted":
@@ -90,8 +91,9 @@ def assign(new: DataFrame, history: DataFrame, p: Params, dim: int) -> DataFrame
 
 
 def assign_to(ranged: DataFrame, reps: DataFrame, p: Params, dim: int) -> DataFrame:
-    """As assign(), to representatives alone; ranged is the new spectra with _low and _high, the range of precursors so far."""
+    """As assign(), to representatives alone; ranged is the new spectra with _low and _high, the range of precursors so far. Only groups that have new spectra are looked at."""
     new = ranged.drop("_low", "_high")
+    reps = table(reps.join(new.select(*GROUP).distinct(), GROUP, "left_semi"))
     eps = thresholds(reps, p, dim)
     flagged = reps.groupBy(*GROUP).agg(F.max(F.col("flagged").cast("int")).alias("_flagged"))
     found = distances.nearest_rep(ranged, reps, p.precursor_tol, dim).join(eps, GROUP, "left").join(flagged, GROUP, "left")
@@ -135,6 +137,29 @@ def merged(old: DataFrame, more: DataFrame) -> DataFrame:
     return kept.select(*[F.col("_size").alias(c) if c == "size" else F.col(c) for c in old.columns])
 
 
+def start_state(history: DataFrame, p: Params, dim: int) -> DataFrame:
+    """A table of the representatives of history with their nearest distances: the state of a run in steps."""
+    return table(nearest_other(table(representatives(history)), p.precursor_tol, dim))
+
+
+def grown(state: DataFrame, got: DataFrame, p: Params, dim: int) -> DataFrame:
+    """The state with what assign_to() made of new spectra: representatives of both, and nearest distances, for which only the new representatives are compared with others."""
+    kept = table(merged(state.drop("near"), representatives(got)))
+    if not state.join(kept, "rep_id", "left_anti").isEmpty():
+        return nearest_other(kept, p.precursor_tol, dim)  # an unmarked one gave way to a lesser id, so that distances to it don't count any more
+    added = kept.join(state.select("rep_id"), "rep_id", "left_anti")
+    here = distances.band(F.col("precursor_mz"), p.precursor_tol)
+    one = kept.select(*GROUP, "rep_id", F.col("precursor_mz").alias("_mz"), F.col("hv").alias("_hv"), here.alias("_band"))
+    two = added.select(*GROUP, F.col("rep_id").alias("_new"), F.col("precursor_mz").alias("_nmz"), F.col("hv").alias("_nhv"), F.explode(F.array(here - 1, here, here + 1)).alias("_band"))
+    of = F.when(F.col("rep_id") > F.col("_new"), F.col("_mz")).otherwise(F.col("_nmz"))  # tolerances are in ppm of the one with the larger id
+    pair = one.join(two, [*GROUP, "_band"]).where((F.col("rep_id") != F.col("_new")) & (F.abs(F.col("_mz") - F.col("_nmz")) / of < p.precursor_tol * 1e-6))
+    pair = pair.select("rep_id", "_new", distances.hamming("_hv", "_nhv", dim).alias("_d"))
+    least = pair.select(F.explode(F.array("rep_id", "_new")).alias("rep_id"), "_d").groupBy("rep_id").agg(F.min("_d").alias("_d"))
+    n = kept.groupBy(*GROUP).agg(F.count("*").alias("_n"))
+    both = kept.join(state.select("rep_id", "near"), "rep_id", "left").join(least, "rep_id", "left").join(n, GROUP)
+    return both.select(*kept.columns, F.when(F.col("_n") > 1, F.coalesce(F.least("near", "_d"), F.lit(1.0))).alias("near"))
+
+
 def fold(batches: list[DataFrame], history: DataFrame, p: Params, dim: int) -> DataFrame:
     """Results of all batches in turn, with their number; see fold_batches()."""
     if not batches:
@@ -147,24 +172,31 @@ def fold_batches(df: DataFrame, history: DataFrame, p: Params, dim: int) -> Data
     """Results of the batches of df (column batch) in turn: each is assigned to history and to what the batches before it made of it.
 
     Groups don't see each other but for the range of all precursors, which is known beforehand. So the n-th batches of all groups are
-    one step, whatever their numbers, and batches that are cut by bucket take one or two steps in all. Only representatives, which a
-    step adds to, are carried; spectra of history and of earlier batches aren't read again.
+    one step, whatever their numbers, and batches that are cut by bucket take one or two steps in all. A step reads its own spectra, which
+    lie in a partition of their own, and the representatives of the groups that have a batch left; spectra of history and of earlier batches
+    aren't read again, and of nearest distances only those to new representatives are worked out.
     """
-    df = table(df)
+    spark, df = df.sparkSession, table(df)
     turn = df.select(*GROUP, "batch").distinct().withColumn("_turn", F.dense_rank().over(Window.partitionBy(*GROUP).orderBy("batch")))
     span = history.agg(F.min("precursor_mz").alias("low"), F.max("precursor_mz").alias("high")).withColumn("batch", F.lit(None).cast("int"))
     span = span.unionByName(df.groupBy("batch").agg(F.min("precursor_mz").alias("low"), F.max("precursor_mz").alias("high")))
     so_far = Window.orderBy(F.col("batch").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row per batch
     span = span.select("batch", F.min("low").over(so_far).alias("_low"), F.max("high").over(so_far).alias("_high")).where("batch is not null")
-    ranged = table(df.join(turn, [*GROUP, "batch"]).join(span, "batch"))
-    steps = ranged.agg(F.max("_turn")).first()[0] or 0
-    state = table(representatives(history))
+    turn = table(turn)
+    ranged = df.join(turn, [*GROUP, "batch"]).join(span, "batch")
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    ranged.write.partitionBy("_turn").parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    steps = turn.agg(F.max("_turn")).first()[0] or 0
+    last = turn.groupBy(*GROUP).agg(F.max("_turn").alias("_last"))
+    state = start_state(history.join(turn.select(*GROUP).distinct(), GROUP, "left_semi"), p, dim)
     out: DataFrame | None = None
     for k in range(max(steps, 1)):
         got = table(assign_to(ranged.where(F.col("_turn") == k + 1).drop("_turn"), state, p, dim))
         out = got if out is None else out.unionByName(got)
         if k + 1 < steps:
-            state = table(merged(state, representatives(got)))
+            left = last.where(F.col("_last") > k + 1)
+            state = table(grown(table(state.join(left, GROUP, "left_semi")), got.join(left, GROUP, "left_semi"), p, dim))
     assert out is not None
     return out
 

@@ -147,46 +147,6 @@ def test_sql_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM mgf_peaks('BEGIN IONS\\nPEPMASS=3\\n1 2\\n# x\\n3.5 4 z\\nEND IONS')").collect()] == [(1.0, 2.0), (3.5, 4.0)]
 
 
-VECTORS = "spectrum_id long, precursor_mz double, precursor_charge int, bucket int, hv array<long>"
-
-
-def stream_rows():
-    hv = lambda *ones: [sum(1 << i for i in ones), 0]
-    old = [(1, 100.0, 1, 0, hv(1, 2), 1, True), (2, 100.0, 1, 0, hv(*range(20, 31)), 2, True)]
-    batches = [[(10, 100.0, 1, 0, hv(1, 2)), (11, 100.0, 1, 0, hv(*range(32))), (12, 300.0, 1, 4, hv(1))], [(13, 100.0, 1, 0, hv(*range(31))), (14, 300.0, 1, 4, hv(1)), (15, 300.0, 1, 4, hv(*range(30)))]]
-    return old, batches
-
-
-def test_stream_equals_fold(spark, tmp_path):
-    old, batches = stream_rows()
-    history = spark.createDataFrame(old, VECTORS + ", cluster long, is_representative boolean")
-    p = Params(hd_dim=64)
-    want = sorted((r.spectrum_id, r.cluster, r.anomaly) for r in anomaly.fold([spark.createDataFrame(b, VECTORS) for b in batches], history, p, 64).collect())
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for b in batches:
-        spark.createDataFrame(b, VECTORS).coalesce(1).write.mode("append").parquet(source)
-        q = incremental.start(spark.readStream.schema(VECTORS).parquet(source), history, p, 64, out, str(tmp_path / "cp"))
-        q.processAllAvailable()
-        q.stop()
-    got = spark.read.option("basePath", out).parquet(f"{out}/batch=0", f"{out}/batch=1")
-    assert sorted((r.spectrum_id, r.cluster, r.anomaly) for r in got.collect()) == want
-
-
-def test_state_per_bucket(spark, tmp_path):
-    """Groups that the stream itself founds: the second batch joins or flags against the first."""
-    _, batches = stream_rows()
-    source = str(tmp_path / "in")
-    stream = incremental.stateful(spark.readStream.schema(VECTORS).parquet(source) if spark.createDataFrame(batches[0], VECTORS).coalesce(1).write.parquet(source) is None else None, Params(hd_dim=64), 64, 50.0, 250.0)
-    q = stream.writeStream.format("memory").queryName("state_out").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    spark.createDataFrame(batches[1], VECTORS).coalesce(1).write.mode("append").parquet(source)
-    q.processAllAvailable()
-    q.stop()
-    got = {r.spectrum_id: (r.cluster, r.anomaly) for r in incremental.labelled(spark.table("state_out")).collect()}
-    assert got[10] == (10, False) and got[12] == (12, True) and got[14] == (12, False)
-    assert got[13][0] == 11
-
-
 def test_nearest_of_state_equals_all_pairs(monkeypatch):
     """Distances kept from batch to batch are those of all pairs; of blocks of any size."""
     rng = np.random.default_rng(3)
