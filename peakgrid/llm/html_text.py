@@ -120,9 +120,9 @@ class Page:
     """Block elements of a page in page order and its pieces of text: (node, block number, text)."""
 
     def __init__(self, source: str) -> None:
-        self.tag: list[str] = ["html"]
-        self.parent: list[int] = [-1]
-        self.tokens: list[int] = [0]
+        self.tag: list[str] = ["html", "body"]  # a page without a body tag has a body
+        self.parent: list[int] = [-1, 0]
+        self.tokens: list[int] = [0, 0]
         self.pieces: list[tuple[int, int, str]] = []
         self.links: list[bool] = []
         self.share: list[float] = []  # set by features()
@@ -130,12 +130,13 @@ class Page:
 
     def parse(self, source: str) -> None:
         stack = Stack()
+        stack.push("body", 1)
         block, at, end = 0, 0, len(source)
         while at < end:
             m = _MARKUP.search(source, at)
             text = source[at : m.start() if m else end]
             owner = stack.owner
-            if text and owner >= 0 and (owner or not text.isspace()):
+            if text and owner >= 0:
                 self.pieces.append((owner, block, html.unescape(text) if "&" in text else text))
                 self.links.append(bool(stack.places.get("a")))
             if not m:
@@ -144,10 +145,16 @@ class Page:
             if m[2] is None:
                 continue
             tag = m[2].lower()
+            if tag in ("html", "body"):  # what comes after their ends still belongs to the body
+                block += 1
+                if tag == "body" and not m[1]:
+                    stack.close(("head",), ())
+                    self.enter_body(attributes_of(m[3])[0] if m[3] else {})
+                continue
             if m[1]:
                 if tag in BLOCK:
                     block += 1
-                stack.close((tag,), () if tag in SCOPE or tag == "body" else SCOPE)
+                stack.close((tag,), () if tag in SCOPE else SCOPE)
                 continue
             if tag == "br" or tag == "wbr":
                 if tag == "br" and owner >= 0:
@@ -161,8 +168,6 @@ class Page:
                 close = _RAW_END[tag].search(source, at)
                 at = close.end() if close else end
                 continue
-            if tag == "html" or tag == "body" and stack.places.get(tag):
-                continue
             attributes, ended = attributes_of(m[3]) if m[3] else ({}, False)
             if tag in BLOCK:
                 block += 1
@@ -182,6 +187,9 @@ class Page:
             if not ended or tag in BLOCK:
                 stack.push(tag, owner)
 
+    def enter_body(self, attributes: dict[str, str]) -> None:
+        self.tokens[1] |= Page.named(attributes)
+
     @staticmethod
     def named(attributes: dict[str, str]) -> int:
         bits = 0
@@ -246,17 +254,37 @@ class Page:
             if wraps[i] and wraps[only[i]]:
                 chain[i] = chain[only[i]]
         self.share = [1 / c for c in chain]
+        before, after, last = [-1] * n, [-1] * n, [-1] * n
+        for i in range(1, n):
+            q = last[parent[i]]
+            if q >= 0:
+                before[i], after[q] = q, i
+            last[parent[i]] = i
+        long_p = [0] * n  # children that are paragraphs of some length
+        for i in range(1, n):
+            long_p[parent[i]] += group[i] == 4 and chars[i] > 60
         alike = [1.0] + [same[parent[i], group[i]] / seen[parent[i]] for i in range(1, n)]
         up = np.maximum(np.array(parent), 0)
         chars, linked, marks, pieces, own, tags, paragraphs, first, kids, place = (np.array(a, float) for a in (chars, linked, marks, pieces, own, tags, paragraphs, first, kids, place))
         group, tokens, above, over = np.array(group), np.array(self.tokens), np.array(above), np.array(over)
         total = max(so_far, 1)
+        whole = np.array([1 << 20 if t in ("article", "main") else 0 for t in self.tag]) | np.array(self.tokens) & 1
+        for i in range(1, n):
+            whole[i] |= whole[parent[i]]
+        sure = own[whole > 0].sum() / total  # of the page's text, what lies in elements that are named as content
         above[1:] = above[up[1:]]
         link_share = linked / np.maximum(chars, 1)
+        before, after, long_p = np.array(before), np.array(after), np.array(long_p, float)
+        beside = lambda at, values: np.where(at >= 0, values[np.maximum(at, 0)], -1)
+        rest = np.maximum(chars[up] - chars - own[up], 0)
+        dense = chars / np.maximum(tags, 1) * (1 - link_share)
         columns = [
             group, np.log1p(depth), kids, place, np.where(kids[up] > 0, place / np.maximum(kids[up], 1), 0), np.array(alike),
             np.log1p(chars), link_share, np.log1p(tags), chars / tags, paragraphs / np.maximum(chars, 1), chars / np.maximum(pieces, 1),
             marks / np.maximum(chars, 1), chars / total, first / total, (first + chars) / total, own / np.maximum(chars, 1), link_share[up], np.log1p(chars[up]), chars / np.maximum(chars[up], 1),
+            # siblings: what stands before and after, how dense their text is, and how much of it there is
+            beside(before, group), beside(after, group), beside(before, np.log1p(chars)), beside(after, np.log1p(chars)), beside(before, link_share), beside(after, link_share),
+            beside(before, np.log1p(dense)), beside(after, np.log1p(dense)), np.log1p(rest / np.maximum(kids[up] - 1, 1)), np.log1p(long_p), np.log1p(long_p[up]), np.log1p(own), own[up] / total, np.full(n, sure), np.full(n, np.log1p(total)), dense / max(float(dense.max()), 1.0),
             *[(tokens >> k & 1) for k in range(len(TOKEN_GROUPS))], *[(above >> k & 1) for k in range(len(TOKEN_GROUPS))], *[(over >> k & 1) for k in range(len(_OVER))],
             *[group == k for k in range(len(TAG_GROUPS))],
         ]
@@ -362,14 +390,17 @@ class Writer:
         word = self.r.choice(TOKEN_GROUPS[group].split())
         return self.r.choice([word, word, f"{self.r.choice(self.words)}-{word}", f"{word}-{self.r.choice(self.words)}", f"{word} {self.r.choice(self.words)}"])
 
-    def article(self) -> str:
+    def parts(self, plain: bool = False) -> list[str]:
+        """The article's blocks. plain: as of an article that nothing names, which has paragraphs of some length."""
         r, parts = self.r, []
-        if r.random() < 0.8:
+        if r.random() < (0.6 if plain else 0.8):
             h = self.tag("h1", 1, self.say(2, 14))
-            parts.append(self.tag("header", 1, h) if r.random() < 0.1 else h)
-        for _ in range(r.choice([1, 1, 2, 3, 5, 9, 14])):
+            parts.append(self.tag("header", 1, h) if r.random() < 0.1 and not plain else h)
+        for _ in range(r.choice([2, 3, 5, 9]) if plain else r.choice([1, 1, 2, 3, 5, 9, 14])):
             kind = r.random()
-            if kind < 0.62:
+            if plain and kind < 0.75:
+                parts.append(self.paragraphs(1, 1, 3, 12, r.choice([25, 40, 90, 200])))
+            elif kind < 0.62:
                 parts.append(self.paragraphs(1, 1, 3, 1, r.choice([6, 30, 90, 200])))
             elif kind < 0.7:
                 parts.append(self.tag(r.choice(["h2", "h3"]), 1, self.say(1, 8)))
@@ -390,41 +421,77 @@ class Writer:
                 parts.append(self.junk(r.choice([4, 5, 6, 6, 7, 9])))
         if r.random() < 0.25:
             parts.append(self.junk(r.choice([8, 9, 7])))
+        return parts
+
+    def article(self) -> str:
+        r = self.r
         wrap = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         token = self.pick(0) if wrap in ("article", "main") else r.choice(TOKEN_GROUPS[0].split())
-        return self.tag(wrap, 1, "".join(parts), token)
+        return self.tag(wrap, 1, "".join(self.parts()), token)
+
+    def unnamed(self) -> tuple[str, int]:
+        """An article in no element that says so, and whether it is the body's own text."""
+        r, kind = self.r, self.r.random()
+        if kind < 0.3:
+            return "<div data-y=1>" + "".join(self.parts(True)) + "</div>", 0
+        if kind < 0.55:
+            return "".join(self.parts(True)), 0
+        if kind < 0.7:
+            side = f"<td data-y=0>{r.choice([self.list(0), self.junk(1), self.junk(4)])}</td>" if r.random() < 0.6 else ""
+            cell = f"<td data-y=1>{''.join(self.parts(True))}</td>"
+            return "<table data-y=0><tbody data-y=0><tr data-y=0>" + r.choice([side + cell, cell + side]) + "</tr></tbody></table>", 0
+        if kind < 0.8:
+            return "".join(f"<{t} data-y=1>" + "".join(self.parts(True)) + f"</{t}>" for t in [r.choice(["section", "div"])] * r.randint(2, 4)), 0
+        if kind < 0.9:
+            text = [self.say(15, 90) for _ in range(r.randint(1, 5))]
+            return r.choice(["<br>", "<br><br>", " "]).join(text), 1
+        # texts in blocks of their own that aren't paragraphs
+        return "<div data-y=1>" + "".join(f"<div data-y=1>{self.inline(12, 60)}</div>" for _ in range(r.randint(2, 6))) + "</div>", 0
 
     def page(self) -> str:
         r = self.r
-        before = [self.junk(k) for k in (2, 1, 5, 6, 7, 4) if r.random() < (0.6 if k in (1, 2) else 0.25)]
-        after = [self.junk(k) for k in (8, 9, 4, 6, 3, 5) if r.random() < (0.7 if k == 3 else 0.3)]
-        middle = self.article()
-        if r.random() < 0.3:
+        plain = r.random() < 0.35
+        few = r.random() < 0.4 if plain else False  # as on pages that have hardly anything else
+        before = [self.junk(k) for k in (2, 1, 5, 6, 7, 4) if r.random() < ((0.6 if k in (1, 2) else 0.25) * (0.5 if few else 1))]
+        after = [self.junk(k) for k in (8, 9, 4, 6, 3, 5) if r.random() < ((0.7 if k == 3 else 0.3) * (0.3 if few else 1))]
+        own = 0
+        if plain:
+            middle, own = self.unnamed()
+        else:
+            middle = self.article()
+            if r.random() < 0.08:
+                middle += self.tag("article", 1, "".join(self.parts()), self.pick(0))
+        if r.random() < 0.3 and not own:
             beside = self.junk(4) if r.random() < 0.5 else ""
-            middle = self.tag(r.choice(["main", "div", "div"]), 0, (beside if r.random() < 0.5 else "") + middle + beside, r.choice(["", "wrapper", "container", "page", "row"]))
+            middle = self.tag(r.choice(["main", "div", "div"]) if not plain else "div", 0, (beside if r.random() < 0.5 else "") + middle + beside, r.choice(["", "wrapper", "container", "page", "row"]))
         body = "".join(before) + middle + "".join(after)
-        if r.random() < 0.2:
+        if r.random() < 0.2 and not own:
             body = self.tag("div", 0, body, r.choice(["wrapper", "page", "site", "container", ""]))
+        if r.random() < 0.1 and not own:
+            body = f'<form data-y=0 id="{r.choice(["aspnetForm", "form1", "mainForm", self.r.choice(self.words)])}">{body}</form>'
         tail = "</body></html>" if r.random() < 0.8 else ""
-        return f"<!DOCTYPE html><html><head><title>{self.say(2, 8)}</title><style>p{{margin:0}}</style></head><body data-y=0>{body}{tail}"
+        return f"<!DOCTYPE html><html><head><title>{self.say(2, 8)}</title><style>p{{margin:0}}</style></head><body data-y={own}>{body}{tail}"
 
 
 def labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a page by Writer."""
-    ys: list[int] = [0]
+    ys: list[int] = [0, 0]
     page = Page.__new__(Page)
 
+    def enter_body(attributes: dict[str, str]) -> None:
+        ys[1] = int(attributes.get("data-y", "0"))
+
     def named(attributes: dict[str, str]) -> int:
         ys.append(int(attributes.get("data-y", "0")))
         return Page.named(attributes)
 
-    page.named = named  # type: ignore[method-assign]
+    page.named, page.enter_body = named, enter_body  # type: ignore[method-assign]
     page.__init__(source)  # type: ignore[misc]
     return page.features(), np.array(ys)
 
 
 @lru_cache(maxsize=2)
-def fit(pages: int = 1000, seed: int = 7) -> gbt.Trees:
+def fit(pages: int = 1500, seed: int = 7) -> gbt.Trees:
     """Trees fitted on so many written pages."""
     both = [labelled(Writer(seed * 100_003 + k).page()) for k in range(pages)]
     return gbt.fit(np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both]).astype(float), trees=60, depth=6, rate=0.2, bins=32)
