@@ -18,6 +18,8 @@ from . import common
 #: Documents that the machines are fitted on, about, over all languages; but at least TRAIN_LEAST of each language that has so many.
 TRAIN_MAX = 4_000
 TRAIN_LEAST = 20
+#: Rows of 4 KB that come to the driver, at most, while there are at least two for each language.
+TRAIN_ALL = 40_000
 #: Classes that are told apart pair by pair. A larger family is split into so many groups first, and so on.
 SPLIT = 24
 DIMS = 2048
@@ -155,12 +157,12 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def fit(docs: DataFrame, train_max: int = TRAIN_MAX, train_least: int = TRAIN_LEAST) -> Model:
-    """Fit on texts and non-null languages of documents that aren't held out: of each language about train_max / (number of languages) and at least train_least documents, or all if it has fewer, chosen by a hash of their ids. Every language is learned that has a text with letters there."""
+    """Fit on texts and non-null languages of documents that aren't held out: of each language about train_max / (number of languages) and at least train_least documents, or all if it has fewer, chosen by a hash of their ids; fewer for each where all would be over TRAIN_ALL. Repeated rows are learned from as often as they are there; a null id isn't held out. Every language is learned that has a text with letters there."""
     known = common.pick(docs, "doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()]
     if not counts:
         return Model()
-    each, whole = max(train_least, train_max // len(counts)), 1 << 30
+    each, whole = min(max(train_least, train_max // len(counts)), max(2, TRAIN_ALL // (2 * len(counts)))), 1 << 30
     share = docs.sparkSession.createDataFrame([(lang, min(whole, 1 + int(whole * each / n))) for lang, n in counts], "lang string, share long")
     chosen = common.pick(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).join(F.broadcast(share), "lang")  # a row per language
     # the expected number is each; the limit bounds what comes to the driver

@@ -1,16 +1,18 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
 A template is cut into segments of up to SEGMENT shingles and a document into blocks of BLOCK shingles, which overlap in their words;
-each gets one minimum per hash function. A band is one function: a block that holds the segment's least shingle retrieves it
-unless one of the block's few other shingles is smaller. For a segment with m >= 3 shingles present this happens with
-probability of at least 1/2 in each of BANDS bands, so that a segment is missed with probability 2^-BANDS at most. A document that
-holds LEAST of a template's shingles holds 3 or more in most of its segments, so that a document and a template become a candidate
-if a quarter of the segments are retrieved. Candidates are verified once, on shingles as words, not as hashes: each place of a
-shingle counts for the windows that begin in one range, and adding up the ranges' ends gives every window's containment.
+each gets one minimum per hash function. A band is one function: a block that holds the segment's least shingle retrieves it unless one
+of the block's at most BLOCK - 1 foreign shingles is smaller. So a segment of s shingles of which m are present is retrieved by a band
+with a probability of at least m / (s + BLOCK - 1): one of the m must be the least of all of them. A text that holds LEAST of a
+template has most of it in most segments (see bands_for), and as many bands are taken as bring the chance to miss a segment of these
+to MISS at most. A document and a template become a candidate if a quarter of the segments are retrieved. Candidates are verified once, on
+shingles as words, not as hashes: each place of a shingle counts for the windows that begin in one range, and adding up the ranges' ends
+gives every window's containment.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from . import common, native
 from .license_texts import NOTICES, WHOLE
 
-WIDTH, BLOCK, SEGMENT, BANDS = 3, 4, 8, 14
+WIDTH, BLOCK, SEGMENT = 3, 4, 8
+#: Chance to miss a segment that holds enough, at most.
+MISS = 2.0**-14
 #: Least share of a template's shingles in a window.
 LEAST = 0.8
 TEMPLATES = NOTICES | WHOLE
@@ -27,6 +31,22 @@ TEMPLATES = NOTICES | WHOLE
 KEY_BYTES, SHINGLE_BYTES = 96, 128
 
 
+def bands_for(shingles: int, least: float = LEAST, segment: int = SEGMENT, block: int = BLOCK, miss: float = MISS) -> int:
+    """Bands that a template of so many shingles needs.
+
+    A template of one segment has at least least * shingles present. Of a longer one at most (1 - least) of the shingles are missing; a
+    segment with less than m present lacks over segment - m, so that there are at most (1 - least) * segment / (segment + 1 - m) such segments
+    of all: the greatest m is taken that leaves half of them, twice as many as make a candidate.
+    """
+    if shingles <= segment:
+        present, size = math.ceil(least * shingles - 1e-9), shingles
+    else:
+        present = max((m for m in range(1, segment + 1) if (1 - least) * segment / (segment + 1 - m) <= 0.5 + 1e-9), default=1)
+        size = segment
+    hit = present / (size + block - 1)
+    return 1 if hit >= 1 else math.ceil(math.log(miss) / math.log(1 - hit))
+
+
 def banded(df: DataFrame, size: int, bands: int) -> DataFrame:
     """df with a row per block of so many of the hashes in column hs, and per band: at is the block's place, key the least of its hashes under the band's hash function, marked with the band's number. An empty or null hs gives no row."""
     n = F.size("hs")
@@ -63,24 +83,26 @@ def shingle_words(array: str, width: int) -> F.Column:
 
 
 def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
-    """Licence texts of a folder of text files, by file name without its ending; one text per file."""
+    """Licence texts of a folder of text files, by file name without its ending; one text per file, of files of equal names one. They come to the driver, which is to hold them all: some hundreds of texts of up to 100 KB. A folder without files gives no texts."""
     rows = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", "").alias("name"), "value").collect()
     return {r["name"]: r["value"] for r in rows}
 
 
-def scan(docs: DataFrame, texts: dict[str, str] | None = None, least: float = LEAST, width: int = WIDTH, block: int = BLOCK, segment: int = SEGMENT, bands: int = BANDS, broadcast_rows: int = native.BROADCAST_ROWS) -> DataFrame:
+def scan(docs: DataFrame, texts: dict[str, str] | None = None, least: float = LEAST, width: int = WIDTH, block: int = BLOCK, segment: int = SEGMENT, bands: int | None = None, broadcast_rows: int = native.BROADCAST_ROWS) -> DataFrame:
     """Per document and template that it holds: doc_id, license, containment (the greatest share of the template's distinct shingles in a window of the template's length), first_word (where the first such window begins) and n_places (separate runs of window starts that reach `least`).
 
     Words are compared with A-Z lower-cased. A null or short text holds nothing; repeated rows are one document, and so are rows with a
     null doc_id and equal texts; ties in containment go to the first window. Texts of any length are read whole. Other columns of docs,
     whatever their names, are left alone; an empty table gives no rows. Templates must have width words at least. Their keys are broadcast,
-    as many at a time as are within the limits of rows and bytes; a single template beyond them is joined by a shuffle.
+    as many at a time as are within the limits of rows and bytes; a single template beyond them is joined by a shuffle. bands are those that
+    the templates need if not given.
     """
     texts = TEMPLATES if texts is None else texts
     sizes = {name: len(text.split()) for name, text in texts.items()}
     for name, n in sizes.items():
         if n < width:
             raise ValueError(f"template {name!r} has fewer than {width} words")
+    bands = bands or max((bands_for(n - width + 1, least, segment, block) for n in sizes.values()), default=1)
     parts: list[dict[str, str]] = [{}]
     rows = 0
     most = min(broadcast_rows, native.BROADCAST_BYTES // KEY_BYTES)
@@ -103,11 +125,16 @@ def scan_part(docs: DataFrame, texts: dict[str, str], least: float, width: int,
     met = keys.join(near(common.table(segments(held, width, segment, bands)), KEY_BYTES), "key").select("doc_id", "text_key", "license", "need", "off")
     found = met.groupBy("doc_id", "text_key", "license", "need").agg(F.countDistinct("off").alias("n")).where("n >= need")
     found = common.table(found.select(F.col("doc_id").alias("_id"), "text_key", "license"))
-    pairs = src.join(near(found, KEY_BYTES), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("text_key")))
-    placed = pairs.select("doc_id", "key", "license", native.words("text").alias("w"))
-    placed = placed.select("doc_id", "key", "license", (F.size("w") - width + 1).alias("n"), F.posexplode(shingle_words("w", width)).alias("p", "shingle"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("text_key"))
+    few = native.few(found, KEY_BYTES, broadcast_rows)
+    pairs = src.join(F.broadcast(found), same).select("doc_id", "key", "license", "text") if few else src
+    marked = ["license"] if few else []
+    placed = pairs.select("doc_id", "key", *marked, native.words("text").alias("w"))
+    placed = placed.select("doc_id", "key", *marked, (F.size("w") - width + 1).alias("n"), F.posexplode(shingle_words("w", width)).alias("p", "shingle"))
     theirs = held.select("license", "tn", F.array_distinct(shingle_words("tw", width)).alias("s")).select("license", "tn", F.size("s").alias("distinct"), F.explode("s").alias("shingle"))
-    hits = placed.join(near(common.table(theirs), SHINGLE_BYTES), ["license", "shingle"])
+    hits = placed.join(near(common.table(theirs), SHINGLE_BYTES), [*marked, "shingle"])
+    if not few:  # so many candidates aren't broadcast, and texts aren't shuffled to meet them: hits alone are
+        hits = hits.join(found.withColumnRenamed("license", "_license"), same & (F.col("license") == F.col("_license")), "left_semi")
     one = ["doc_id", "key", "license"]  # one exchange by these serves all that follows
     hits = hits.repartition(*one).dropDuplicates([*one, "p"])
     before = F.lag("p").over(Window.partitionBy(*one, "shingle").orderBy("p"))

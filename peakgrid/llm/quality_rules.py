@@ -19,9 +19,9 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 
 
 def stat_rows(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """FEATURES and the other columns of the documents that the bounded frame ids (doc_id, ...) names. ids is broadcast; its size is its caller's limit."""
+    """FEATURES and the other columns of the documents that the bounded frame ids (doc_id, ...) names. ids is broadcast; its size is its caller's limit. Of repeated ids the least text is taken, so that no more rows than ids come to the driver."""
     rest = [c for c in ids.columns if c != "doc_id"]
-    few = common.pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id")
+    few = common.pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", *rest).agg(F.min("text").alias("text"))
 
     def fn(rows: list[bytes]) -> list[pa.Array]:
         return [pa.array([x.tobytes() for x in textstats.measure_all(rows)[1]], pa.binary())]

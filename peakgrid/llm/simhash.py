@@ -181,22 +181,3 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 3, tree_max: int = TRE
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, tree_max: int = TREE_MAX) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id names it, once if its row is repeated. Of documents without a doc_id, one for each fingerprint stays where no document of the group has a doc_id."""
-    cols, at = docs.columns, f"_{docs.columns.index('doc_id')}"
-    found = common.table(groups(docs, width, radius, tree_max))
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = common.numbered(docs).join(stay, F.col(at) == F.col("doc_id")).drop("doc_id")
-    out = kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates([at])).drop("n")
-    lone = found.where("component_id is null").select("fingerprint").distinct()
-    if lone.limit(1).count():
-        nameless = common.numbered(docs).where(F.col(at).isNull())
-
-        def fn(rows: list[bytes]) -> list[pa.Array]:
-            return [pa.array([f"{fingerprint(t, width):016x}" for t in rows])]
-
-        held = common.append(nameless, f"_{cols.index('text')}", fn, [T.StructField("fingerprint", T.StringType())], nameless.columns)
-        out = out.unionByName(held.join(lone, "fingerprint").dropDuplicates(["fingerprint"]).drop("fingerprint"))
-    return out.toDF(*cols)

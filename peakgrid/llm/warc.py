@@ -149,12 +149,18 @@ class Parser:
         self.begin()
         yield fields, data
 
+    def end(self) -> None:
+        """To be called at the end of a file: a record that isn't whole is an error."""
+        if self.header or self.left >= 0:
+            raise ValueError(f"a file ends inside a record, {max(self.left, 0)} bytes before the end of its content")
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The chunked record table of the archives under path: (record, chunk, type, uri, refers, data, stated, running, bytes_so_far, last).
 
     stated is the record's bare payload digest as its header states it, running the digest of the chunks so far; both are null where
-    the record has no payload of its own (revisits keep stated). Chunks of a record stand in one file, in order.
+    the record has no payload of its own (revisits keep stated). Chunks of a record stand in one file, in order. A file that ends inside a
+    record, and a segmented record whose last segment is missing, are errors. A file without records, or no file, gives no rows.
     """
     schema = "record string, chunk int, type string, uri string, refers string, data binary, stated string, running string, bytes_so_far long, last boolean"
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
@@ -164,18 +170,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, file = Parser(), None
-        digest, so_far, origin = hashlib.sha1(), 0, None
+        digest, so_far, origin, whole = hashlib.sha1(), 0, None, True
         out: list[tuple] = []
         held = 0
         names = ["record", "chunk", "type", "uri", "refers", "data", "stated", "running", "bytes_so_far", "last"]
         types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(names), types, strict=True)], names=names)
+
+        def complete() -> None:
+            if not whole:
+                raise ValueError(f"the last segment of {origin} is missing")
+
         for b in batches:
             for line, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if name != file:
+                    parser.end()
+                    complete()
                     parser, file = Parser(), name
                 for f, data in parser.feed(line):
                     kind, stated = f["WARC-Type"], f.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+                    if kind != "continuation":
+                        complete()
                     if kind == "revisit":
                         out.append((bare(f["WARC-Record-ID"]), 0, kind, f.get("WARC-Target-URI"), bare(f.get("WARC-Refers-To")), b"", stated, None, int(f["X-Payload-Length"]), True))
                         continue
@@ -190,12 +205,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     if f.get("X-Running-Digest", f"sha1:{running}") != f"sha1:{running}":
                         raise ValueError(f"a segment of {origin} differs from its digest")
                     k = int(f.get("WARC-Segment-Number", 1))
-                    last = "WARC-Segment-Number" not in f or "WARC-Segment-Total-Length" in f
-                    out.append((origin, k - 1, "response", f.get("WARC-Target-URI"), None, data, stated, running, so_far, last))
+                    whole = "WARC-Segment-Number" not in f or "WARC-Segment-Total-Length" in f
+                    out.append((origin, k - 1, "response", f.get("WARC-Target-URI"), None, data, stated, running, so_far, whole))
                     held += len(data)
                     if held > common.SLICE_BYTES or len(out) >= 5000:
                         yield pack()
                         out, held = [], 0
+        parser.end()
+        complete()
         yield pack()
 
     return lines.mapInArrow(run, schema)

@@ -84,16 +84,6 @@ def test_long_text_in_blocks(monkeypatch):
     assert simhash.fingerprint(text) == whole == H.fingerprint(text.decode())
 
 
-def test_keep_one(docs, rows, empty):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    got = [r[0] for r in kept.collect()]
-    want = {r.component_id for r in simhash.groups(docs).collect()} - {None}
-    assert sorted(x for x in got if x is not None) == sorted(want)
-    assert got.count(None) == 1
-    assert simhash.keep_one(empty).count() == 0
-
-
 def test_flat_tree_and_tiles():
     r = np.random.default_rng(12)
     base = r.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
@@ -483,6 +473,62 @@ def test_warc_nulls_and_repeats(spark):
     assert warc.roundtrip(df.limit(0)).count() == 0
 
 
+def archive(folder, blocks):
+    import gzip
+
+    folder.mkdir()
+    with gzip.open(folder / "a.warc.gz", "wb") as f:
+        f.write(b"".join(b + b"\n" for b in blocks))
+    return str(folder)
+
+
+@pytest.mark.parametrize("cut", [1, 20, 150])
+def test_warc_cut_record_is_an_error(spark, tmp_path, cut):
+    """A file that ends in the middle of its last record, in the content or in the header."""
+    import gzip
+
+    blocks = [b for k in range(3) for b in warc.records(str(k), "u", b"payload %d" % k, hashlib.sha1(b"payload %d" % k).hexdigest(), None, 1 << 20)]
+    assert warc.read(spark, archive(tmp_path / "whole", blocks)).where("last").count() == 3
+    whole = gzip.decompress((tmp_path / "whole" / "a.warc.gz").read_bytes()).rstrip(b"\r\n")
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc.gz").write_bytes(gzip.compress(whole[:-cut]))
+    with pytest.raises(Exception, match="ends inside a record|doesn't end where"):
+        warc.read(spark, str(tmp_path / "cut")).collect()
+
+
+@pytest.mark.parametrize("followed", [True, False])
+def test_warc_missing_last_segment_is_an_error(spark, tmp_path, followed):
+    blocks = list(warc.records("1", "u", b"abcdefgh", hashlib.sha1(b"abcdefgh").hexdigest(), None, 3))
+    assert len(blocks) == 3
+    more = list(warc.records("2", "u", b"x", hashlib.sha1(b"x").hexdigest(), None, 3)) if followed else []
+    assert warc.read(spark, archive(tmp_path / "whole", blocks + more)).where("last").count() == 1 + followed
+    with pytest.raises(Exception, match="last segment of 1 is missing"):
+        warc.read(spark, archive(tmp_path / "cut", blocks[:2] + more)).collect()
+
+
+def test_license_bands_keep_their_guarantee():
+    """Simulated: m of a segment's s shingles stand in a row among foreign ones. A band hits at least as often as the bound says, and the bands together miss no more than MISS."""
+    r = np.random.default_rng(0)
+    for s, m in ((8, 5), (8, 7), (5, 4), (3, 3), (4, 4)):
+        low, hits, n = m / (s + licenses.BLOCK - 1), 0, 20_000
+        theirs, ours = r.random((n, s)), r.random((n, m + 2 * licenses.BLOCK))
+        start = r.integers(0, licenses.BLOCK, n)  # of the run, within its first block
+        first = r.integers(0, s - m + 1, n)
+        for k in range(m):
+            ours[np.arange(n), start + k] = theirs[np.arange(n), first + k]
+        blocks = [ours[:, b : b + licenses.BLOCK].min(1) for b in range(0, ours.shape[1] - licenses.BLOCK + 1, licenses.BLOCK)]
+        hits = np.any([b == theirs.min(1) for b in blocks], axis=0).mean()
+        assert hits >= low - 0.01, (s, m, hits, low)
+    assert licenses.bands_for(3) == 14 and licenses.bands_for(8) == 10 and licenses.bands_for(300) == 17
+    assert (1 - 5 / 11) ** licenses.bands_for(300) <= licenses.MISS
+
+
+def test_repeated_ids_are_one_row_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "some text here")] * 50 + [(1, "another text")] * 50 + [(2, None)], "doc_id long, text string")
+    x, got = quality_rules.stat_rows(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, y int"))
+    assert len(x) == 2 and sorted(got["y"].tolist()) == [0, 1]
+
+
 def test_warc_parser_rejects_a_wrong_length():
     parser = warc.Parser()
     lines = [b"WARC/1.0\r", b"WARC-Type: response\r", b"Content-Length: 2\r", b"\r", b"abc\r", b"\r"]
