@@ -20,7 +20,7 @@ if __name__ == "__main__":
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from peakgrid.operators import clustering, distances, encoding, peaks
+from peakgrid.operators import clustering, distances, encoding, peaks, tiles
 from peakgrid.params import Params
 from peakgrid.plans import scratch, testdata
 
@@ -32,12 +32,13 @@ log = logging.getLogger("jobs.spectral_library")
 def library(spectra: DataFrame, p: Params) -> DataFrame:
     """A row per clean spectrum: its cluster (null: noise), the cluster's number over the whole library and size, and whether it stands for it. Repeated spectrum ids are an error of the input."""
     known = scratch.table(encoding.encode(peaks.preprocess(spectra, p), p).drop("peaks"))
-    edges = scratch.table(distances.masked_pairs(known, p.precursor_tol, p.hd_dim, p.precursor_tol_mode))
     if p.cluster_alg == "dbscan":
-        found = clustering.dbscan(known, edges, p.eps, 2)
+        found = tiles.dbscan(known, p.precursor_tol, p.hd_dim, p.eps, p.precursor_tol_mode)
     else:
-        found = clustering.hierarchical(known, edges, p.eps, p.cluster_alg.removeprefix("hc_"))
-    marked = scratch.table(clustering.global_labels(clustering.medoids(found.drop("hv"), edges)))
+        pairs = lambda points: scratch.table(distances.masked_pairs(points, p.precursor_tol, p.hd_dim, p.precursor_tol_mode))
+        found = clustering.hierarchical_of_copies(known, pairs, p.eps, p.cluster_alg.removeprefix("hc_"))
+    marked = tiles.medoids(scratch.table(found), p.precursor_tol, p.hd_dim, p.precursor_tol_mode)
+    marked = scratch.table(clustering.global_labels(marked.drop("hv")))
     size = marked.groupBy("label").agg(F.count("*").alias("n_spectra"))
     return marked.join(size, "label").select("spectrum_id", "bucket", "precursor_mz", "cluster", "label", "n_spectra", "is_representative", "precursor_charge")
 

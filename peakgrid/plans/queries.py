@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks, quantiles, separation, splits
+from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks, quantiles, separation, splits, tiles
 from ..params import Params
 from ..sources import files, mgf
 from . import testdata
@@ -373,16 +373,17 @@ clu AS (SELECT enc.*, cluster FROM enc LEFT JOIN comp USING (spectrum_id))"""
 WITH_CLUSTERS = f"WITH RECURSIVE {CLUSTERS}"
 
 
-def clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    df = encoded(spark, d)
-    e = edges(df)
-    return table(clustering.dbscan(df, e, P.eps, 2)), e
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    return table(tiles.dbscan(encoded(spark, d), P.precursor_tol, 64, P.eps))
+
+
+def with_medoids(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.medoids(clustered(spark, d), P.precursor_tol, 64)
 
 
 @query(f"{WITH_CLUSTERS} SELECT spectrum_id, cluster FROM clu")
 def dbscan_components(spark: SparkSession, d: str) -> DataFrame:
-    df = encoded(spark, d)
-    return clustering.dbscan(df, edges(df), P.eps, 2).select("spectrum_id", "cluster")
+    return tiles.dbscan(encoded(spark, d), P.precursor_tol, 64, P.eps).select("spectrum_id", "cluster")
 
 
 WIDE_CLUSTERS = f"""WITH RECURSIVE {WIDE},
@@ -396,8 +397,7 @@ comp AS (SELECT n AS spectrum_id, min(r) AS cluster FROM reach GROUP BY n)"""
 @query(f"{WIDE_CLUSTERS} SELECT spectrum_id, cluster FROM clean JOIN (SELECT DISTINCT spectrum_id FROM pk) USING (spectrum_id) LEFT JOIN comp USING (spectrum_id)")
 def dbscan_production(spark: SparkSession, d: str) -> DataFrame:
     """The flagship's clusters on vectors of the production codebook and size."""
-    df = encoded_full(spark, d)
-    return clustering.dbscan(df, table(distances.masked_pairs(df, P.precursor_tol, FULL)), P.eps, 2).select("spectrum_id", "cluster")
+    return tiles.dbscan(encoded_full(spark, d), P.precursor_tol, FULL, P.eps).select("spectrum_id", "cluster")
 
 
 @query(f"{WITH_CLUSTERS} SELECT spectrum_id, coalesce(cluster, spectrum_id) AS cluster FROM clu")
@@ -452,20 +452,19 @@ marked AS (SELECT clu.*, clu.cluster IS NULL OR rep = spectrum_id AS is_represen
 
 @query(f"WITH RECURSIVE {MEDOID} SELECT spectrum_id, cluster, is_representative FROM marked")
 def medoids(spark: SparkSession, d: str) -> DataFrame:
-    df, e = clustered(spark, d)
-    return clustering.medoids(df, e).select("spectrum_id", "cluster", "is_representative")
+    return with_medoids(spark, d).select("spectrum_id", "cluster", "is_representative")
 
 
 @query(f"{WITH_CLUSTERS} SELECT spectrum_id, dense_rank() OVER (ORDER BY precursor_charge, bucket, cluster IS NULL, coalesce(cluster, spectrum_id)) - 1 AS label FROM clu")
 def global_labels(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.global_labels(clustered(spark, d)[0]).select("spectrum_id", "label")
+    return clustering.global_labels(clustered(spark, d)).select("spectrum_id", "label")
 
 
 @query(f"""{WITH_CLUSTERS}, sz AS (SELECT cluster, count(*) AS n FROM clu WHERE cluster IS NOT NULL GROUP BY cluster)
 SELECT count(*) AS n_clusters, max(n) AS max_size, min(n) AS min_size, round(avg(n), 6) AS mean_size, round(quantile_cont(n, 0.5), 6) AS median_size,
   (SELECT count(DISTINCT (precursor_charge, bucket)) FROM clu) AS n_buckets, (SELECT count(*) FROM clu WHERE cluster IS NULL) AS n_noise FROM sz""")
 def cluster_size_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(clustering.cluster_summary(clustered(spark, d)[0]))
+    return rounded(clustering.cluster_summary(clustered(spark, d)))
 
 
 @query(f"{BUCKETED}, n AS (SELECT count(*) AS n FROM b GROUP BY precursor_charge, bucket), e(low, high) AS (VALUES (0, 25), (25, 50), (50, 75), (75, 100), (100, 200)) SELECT low, high, (SELECT count(*) FROM n WHERE n >= low AND (n < high OR high = 200 AND n = 200)) AS n_buckets FROM e")
@@ -482,18 +481,17 @@ def charges_with_enough(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT *, sum(c) OVER (PARTITION BY cluster ORDER BY precursor_mz, spectrum_id) AS part FROM g)
 SELECT spectrum_id, min(spectrum_id) OVER (PARTITION BY cluster, part) AS cluster FROM p UNION ALL SELECT spectrum_id, NULL FROM clu WHERE cluster IS NULL""")
 def refine_by_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.refine_by_gaps(clustered(spark, d)[0], 8).select("spectrum_id", "cluster")
+    return clustering.refine_by_gaps(clustered(spark, d), 8).select("spectrum_id", "cluster")
 
 
 @query()
 def refine_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.refine(clustered(spark, d)[0], 20, rt_tol=400.0).select("spectrum_id", "cluster")
+    return clustering.refine(clustered(spark, d), 20, rt_tol=400.0).select("spectrum_id", "cluster")
 
 
 @query(f"WITH RECURSIVE {MEDOID} SELECT m.cluster, m.spectrum_id, o_totalprice FROM marked m JOIN orders ON o_orderkey = spectrum_id WHERE is_representative AND cluster IS NOT NULL")
 def representative_join(spark: SparkSession, d: str) -> DataFrame:
-    df, e = clustered(spark, d)
-    reps = clustering.medoids(df, e).where("is_representative and cluster is not null").select("cluster", "spectrum_id")
+    reps = with_medoids(spark, d).where("is_representative and cluster is not null").select("cluster", "spectrum_id")
     return reps.join(read(spark, d, "orders").select(F.col("o_orderkey").alias("spectrum_id"), "o_totalprice"), "spectrum_id")
 
 
@@ -514,8 +512,7 @@ stats AS (SELECT cluster, bucket, size, round(avg_intra, 6) AS avg_intra, round(
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    df, e = clustered(spark, d)
-    got = separation.separation(table(clustering.medoids(df, e)), P.precursor_tol, 64)
+    got = separation.separation(table(with_medoids(spark, d)), P.precursor_tol, 64)
     return got.select(*[F.when(F.col(c) == float("inf"), F.col(c)).otherwise(F.round(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes])
 
 
@@ -547,7 +544,7 @@ eps AS (SELECT precursor_charge, bucket, coalesce(least(quantile_cont(d, 0.9) +
 
 def history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     old, new = halves(encoded(spark, d))
-    found = clustering.dbscan(old, edges(old), P.eps, 2)
+    found = tiles.dbscan(old, P.precursor_tol, 64, P.eps)
     marked = found.withColumn("is_representative", F.col("cluster").isNull() | (F.col("cluster") == F.col("spectrum_id")))
     return table(marked), new
 
@@ -862,9 +859,8 @@ def mgf_capped_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {MEDOID} SELECT spectrum_id, count(*) AS n_peaks FROM peak JOIN marked USING (spectrum_id) WHERE is_representative GROUP BY spectrum_id")
 def mgf_representatives(spark: SparkSession, d: str) -> DataFrame:
-    df, e = clustered(spark, d)
     path = fresh(spark)
-    marked = clustering.medoids(df, e)
+    marked = with_medoids(spark, d)
     mgf.write_representatives(testdata.spectra(spark, d).drop("spectrum_id"), marked, path, ["identifier", "scan", "retention_time"])
     return mgf.read(spark, path, raw=True).select(F.col("scan").cast("long").alias("spectrum_id"), F.size("peaks").cast("long").alias("n_peaks"))
 
@@ -892,7 +888,7 @@ def checkpoint_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{WITH_CLUSTERS} SELECT identifier, spectrum_id, cluster, '[' || w0 || ',' || w1 || ']' AS hv FROM clu")
 def results_csv(spark: SparkSession, d: str) -> DataFrame:
     path = fresh(spark)
-    files.save_results(clustered(spark, d)[0], path)
+    files.save_results(clustered(spark, d), path)
     both = spark.read.parquet(f"{path}/parquet").select("spectrum_id")
     return spark.read.csv(f"{path}/csv", header=True).select("identifier", F.col("spectrum_id").cast("long"), F.col("cluster").cast("long"), "hv").join(both, "spectrum_id")
 

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks
+from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks, tiles
 from ..params import Params
 from ..sources import files, mgf
 from .scratch import table
@@ -27,14 +27,14 @@ def load(spark: SparkSession, paths: str | list[str], p: Params, checkpoint: str
 
 def cluster(df: DataFrame, p: Params) -> DataFrame:
     """Spectra with cluster, is_representative, label and anomaly (false), by p.cluster_alg, refined by precursor and retention time."""
-    kept = clustering.enough(df)
-    edges = table(distances.masked_pairs(kept, p.precursor_tol, p.hd_dim))
+    kept = table(clustering.enough(df))
     if p.cluster_alg == "dbscan":
-        found = clustering.dbscan(kept, edges, p.eps, 2)
+        found = tiles.dbscan(kept, p.precursor_tol, p.hd_dim, p.eps)
     else:
-        found = clustering.hierarchical(kept, edges, p.eps, p.cluster_alg.removeprefix("hc_"))
+        pairs = lambda points: table(distances.masked_pairs(points, p.precursor_tol, p.hd_dim))
+        found = clustering.hierarchical_of_copies(kept, pairs, p.eps, p.cluster_alg.removeprefix("hc_"))
     refined = table(clustering.refine(found, p.precursor_tol, p.precursor_tol_mode, p.rt_tol))
-    return clustering.global_labels(clustering.medoids(refined, edges)).withColumn("anomaly", F.lit(False))
+    return clustering.global_labels(tiles.medoids(refined, p.precursor_tol, p.hd_dim)).withColumn("anomaly", F.lit(False))
 
 
 def cluster_run(spark: SparkSession, paths: str | list[str], p: Params, out: str, checkpoint: str | None = None, representatives: bool = False) -> DataFrame:

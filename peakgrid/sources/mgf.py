@@ -1,7 +1,8 @@
 """MGF text as a source and a sink.
 
 Reading goes through Spark's text source, split at END IONS: any file system that Spark reads will do, and large files are dealt over
-tasks. Parsing is column expressions alone. `mgf` is also registered as a Python data source for spark.read.format("mgf").
+tasks. Parsing is column expressions alone, in batches and on streams. `mgf` is also registered as a Python data source for
+spark.read.format("mgf").
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 SCHEMA = "identifier string, title string, scan int, retention_time double, precursor_mz double, precursor_charge int, peaks array<struct<mz:double,intensity:double>>, source_file string"
 
@@ -55,7 +57,25 @@ def read(spark: SparkSession, paths: str | list[str], mode: str = "tolerant", re
     there is a label, 1 for spectra of these files.
     """
     files = [paths] if raw and isinstance(paths, str) else list(paths) if raw else resolve(spark, paths, recursive)
-    text = spark.read.option("lineSep", "END IONS").text(files).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("_name"))
+    out = parse(spark.read.option("lineSep", "END IONS").text(files), mode)
+    if anomaly_paths is not None:
+        marked = resolve(spark, anomaly_paths, recursive)
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        out = out.withColumn("label", plain(F.col("source_file")).isin([m.replace("file:", "", 1) if m.startswith("file:/") else m for m in marked]).cast("int"))
+    return out
+
+
+def read_stream(spark: SparkSession, folder: str, mode: str = "tolerant", recursive: bool = False, max_files: int | None = None) -> DataFrame:
+    """Spectra of the MGF files of a folder, as read() gives them, as a stream: each new *.mgf file, in either case, is read once, at most max_files of them in a batch. Which ones have been read is kept in the query's checkpoint. Files are to be moved into the folder whole."""
+    source = spark.readStream.option("lineSep", "END IONS").option("pathGlobFilter", "*.[mM][gG][fF]").option("recursiveFileLookup", recursive)
+    if max_files:
+        source = source.option("maxFilesPerTrigger", max_files)
+    return parse(source.text(folder), mode)
+
+
+def parse(blocks: DataFrame, mode: str = "tolerant") -> DataFrame:
+    """Spectra of text read with END IONS as its line's end, by a batch or a stream; see read()."""
+    text = blocks.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("_name"))
     body = text.where(F.col("value").contains("BEGIN IONS"))
     lines = F.filter(F.transform(F.split(F.element_at(F.split("value", "BEGIN IONS"), -1), "\\r?\\n"), lambda x: F.trim(F.regexp_replace(x, "\\s+", " "))), lambda x: (x != "") & ~x.startswith("#"))
     rows = body.select("source_file", F.regexp_replace("_name", "(?i)\\.mgf$", "").alias("identifier"), lines.alias("l"))
@@ -70,7 +90,7 @@ def read(spark: SparkSession, paths: str | list[str], mode: str = "tolerant", re
     pool = after if mode == "strict" else F.col("l")
     pool = F.when(F.array_position(F.transform("l", lambda x: F.upper(x).startswith("CHARGE")), F.lit(True)) > 0, pool).otherwise(F.array().cast("array<string>")) if mode == "strict" else pool
     pairs = F.transform(F.filter(pool, lambda x: ~x.contains("=")), peak_of_line)
-    out = rows.select(
+    return rows.select(
         "identifier",
         (F.lit(None).cast("string") if mode == "strict" else head("TITLE")).alias("title"),
         F.coalesce(F.regexp_extract(head("SCANS"), "([0-9]+)", 1).try_cast("int"), F.lit(-1)).alias("scan"),
@@ -80,11 +100,6 @@ def read(spark: SparkSession, paths: str | list[str], mode: str = "tolerant", re
         F.filter(pairs, lambda p: p["mz"].isNotNull() & p["intensity"].isNotNull()).alias("peaks"),
         "source_file",
     )
-    if anomaly_paths is not None:
-        marked = resolve(spark, anomaly_paths, recursive)
-        plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        out = out.withColumn("label", plain(F.col("source_file")).isin([m.replace("file:", "", 1) if m.startswith("file:/") else m for m in marked]).cast("int"))
-    return out
 
 
 def count_spectra(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -121,6 +136,11 @@ def write(df: DataFrame, path: str, title: F.Column | None = None, cluster: bool
     parts.repartition("part").sortWithinPartitions("part", "spectrum_id").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
 
 
+def write_stream(df: DataFrame, path: str, checkpoint: str, title: F.Column | None = None, cluster: bool = False) -> DataStreamWriter:
+    """A writer of a stream of spectra as MGF text files under path, to be started with any trigger. Files of a batch count once the batch is whole: what a task that failed has left isn't seen by read(..., raw=True) of the folder, and a batch that is run again is written once."""
+    return as_text(df, title, cluster).select("value").writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
 def write_representatives(raw: DataFrame, clusters: DataFrame, path: str, key: list[str]) -> None:
     """Write the representatives' spectra: raw spectra joined with flagged cluster rows by the natural key. Raw spectra without a spectrum_id take that of the cluster row."""
     own = [] if "spectrum_id" in raw.columns else ["spectrum_id"]

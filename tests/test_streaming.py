@@ -139,3 +139,33 @@ def test_fold_reads_each_step_alone(spark, history):
     a = rows(anomaly.fold_batches(df.withColumn("batch", number), history, p, DIM))
     b = rows(anomaly.fold_batches(df.withColumn("batch", number * 10 + 3), history, p, DIM))
     assert a == b and len(a) == len(every)
+
+
+def test_files_to_files_by_streams(spark, data, tmp_path):
+    """MGF files come one after the other; a stream cleans and encodes them and keeps state, another writes them as MGF again. A second run takes only the new file."""
+    from peakgrid.operators import encoding, peaks
+    from peakgrid.plans import testdata
+    from peakgrid.sources import mgf
+
+    p = Params(min_peaks=2, min_mz_range=50, mz_interval=80, hd_dim=DIM, anomaly_threshold="fixed", anomaly_eps=0.3)
+    source, out = tmp_path / "in", str(tmp_path / "mgf")
+    source.mkdir()
+    spectra_of = testdata.spectra(spark, data).limit(60).cache()
+    parts = [spectra_of.where(f"spectrum_id % 2 = {k}") for k in (0, 1)]
+    seen = []
+    for k, part in enumerate(parts):
+        mgf.write(part.coalesce(1), str(tmp_path / f"text{k}"))
+        next((tmp_path / f"text{k}").glob("part-*")).rename(source / f"batch{k}.{'MGF' if k else 'mgf'}")
+        (source / f"notes{k}.txt").write_text("BEGIN IONS\nPEPMASS=1\n1 1\nEND IONS\n")
+        again = mgf.write_stream(mgf.read_stream(spark, str(source)).withColumn("spectrum_id", F.col("scan").cast("long")), out, str(tmp_path / "c1")).trigger(availableNow=True).start()
+        assert again.awaitTermination(90)
+        raw = mgf.read_stream(spark, str(source), max_files=1).withColumn("spectrum_id", F.xxhash64("source_file", "scan"))
+        clean = encoding.encode(peaks.preprocess(raw, p), p).drop("peaks")
+        with incremental.keyed_state(spark):
+            query = incremental.stateful(clean, None, p, DIM, 0.0, 1e9).writeStream.format("parquet").option("path", str(tmp_path / "found")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+            assert query.awaitTermination(90)
+        seen.append(spark.read.parquet(str(tmp_path / "found")).count())
+    want = peaks.preprocess(mgf.read(spark, str(source)).withColumn("spectrum_id", F.xxhash64("source_file", "scan")), p)
+    assert seen[0] < seen[1] == want.count()
+    key = lambda df: sorted((r.scan, r.precursor_mz, len(r.peaks)) for r in df.collect())
+    assert key(mgf.read(spark, out, raw=True)) == key(mgf.read(spark, str(source))) and mgf.read(spark, out, raw=True).count() == 60
