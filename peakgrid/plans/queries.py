@@ -484,7 +484,25 @@ def refine_by_gaps(spark: SparkSession, d: str) -> DataFrame:
     return clustering.refine_by_gaps(clustered(spark, d), 8).select("spectrum_id", "cluster")
 
 
-@query()
+def split_sql(name: str, value: str, tol: float, ppm: bool) -> str:
+    """CTEs that end in (spectrum_id, part): each cluster's values on a line, neighbours of least span merged first, up to a span of tol. A row of {name}_g is a group in a round; in a round all pairs merge that come before both neighbouring pairs in the order of (span, place)."""
+    span = f"({name}_hi - low){' / low * 1e6' if ppm else ''}"
+    key = "struct_pack(s := span, i := id)"
+    return f"""{name}_p AS (SELECT spectrum_id, cluster, {value} AS v, row_number() OVER (PARTITION BY cluster ORDER BY {value}, spectrum_id) AS id FROM clu WHERE cluster IS NOT NULL),
+{name}_g AS (SELECT 0 AS it, cluster, id, v AS low, v AS high FROM {name}_p
+ UNION ALL (WITH pair AS (SELECT *, CASE WHEN {span} <= {tol} THEN {span} END AS span FROM (SELECT *, lead(high) OVER (PARTITION BY cluster ORDER BY id) AS {name}_hi FROM {name}_g)),
+  keyed AS (SELECT *, CASE WHEN span IS NOT NULL THEN {key} END AS k FROM pair),
+  judged AS (SELECT *, k IS NOT NULL AND coalesce(k < lag(k) OVER w, true) AND coalesce(k < lead(k) OVER w, true) AS joins FROM keyed WINDOW w AS (PARTITION BY cluster ORDER BY id)),
+  gone AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY cluster ORDER BY id), false) AS taken FROM judged)
+  SELECT it + 1, cluster, id, low, CASE WHEN joins THEN {name}_hi ELSE high END FROM gone WHERE NOT taken AND EXISTS (SELECT 1 FROM judged WHERE joins))),
+{name}_f AS (SELECT cluster, id, coalesce(lead(id) OVER (PARTITION BY cluster ORDER BY id), 9223372036854775807) AS upto FROM {name}_g WHERE it = (SELECT max(it) FROM {name}_g)),
+{name} AS (SELECT spectrum_id, f.id AS part FROM {name}_p p JOIN {name}_f f ON f.cluster = p.cluster AND p.id >= f.id AND p.id < f.upto)"""
+
+
+@query(f"""{WITH_CLUSTERS}, {split_sql("by_mz", "precursor_mz", 20, True)}, {split_sql("by_rt", "retention_time", 400, False)},
+parts AS (SELECT spectrum_id, cluster, struct_pack(a := by_mz.part, b := by_rt.part) AS part FROM clu JOIN by_mz USING (spectrum_id) JOIN by_rt USING (spectrum_id)),
+sized AS (SELECT *, count(*) OVER (PARTITION BY cluster, part) AS n, min(spectrum_id) OVER (PARTITION BY cluster, part) AS least FROM parts)
+SELECT spectrum_id, CASE WHEN n >= 2 THEN least END AS cluster FROM sized UNION ALL SELECT spectrum_id, NULL FROM clu WHERE cluster IS NULL""")
 def refine_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clustering.refine(clustered(spark, d), 20, rt_tol=400.0).select("spectrum_id", "cluster")
 
@@ -607,7 +625,29 @@ def event_batches(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query()
+def fold_sql(batches: int) -> str:
+    """The batches one after the other: thresholds of the representatives so far, nearest representatives, and the representatives after."""
+    crc = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(spectrum_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+    later = "greatest(struct_pack(i := a.spectrum_id, m := a.precursor_mz), struct_pack(i := b.spectrum_id, m := b.precursor_mz)).m"
+    masked = f"CASE WHEN abs(a.precursor_mz - b.precursor_mz) / {later} < {TOL!r} THEN {DIST.format(a='a', b='b')} ELSE 1.0::DOUBLE END"
+    parts = [f"{HISTORY}, dealt AS MATERIALIZED (SELECT *, {crc} % {batches} AS batch FROM new), rep0 AS (SELECT precursor_charge, bucket, spectrum_id, cluster, precursor_mz, w0, w1, size FROM rep), span0 AS (SELECT min(precursor_mz) AS low, max(precursor_mz) AS high FROM hist)"]
+    for k in range(batches):
+        parts.append(f"""n{k} AS MATERIALIZED (SELECT * FROM dealt WHERE batch = {k}),
+other{k} AS (SELECT a.precursor_charge, a.bucket, a.spectrum_id, min({masked}) AS d FROM rep{k} a JOIN rep{k} b ON a.precursor_charge = b.precursor_charge AND a.bucket = b.bucket AND a.spectrum_id <> b.spectrum_id GROUP BY ALL),
+eps{k} AS (SELECT precursor_charge, bucket, coalesce(least(quantile_cont(d, 0.9) + 0.01::DOUBLE, 0.9::DOUBLE), 0.9::DOUBLE) AS anomaly_eps FROM (SELECT DISTINCT precursor_charge, bucket FROM rep{k}) LEFT JOIN other{k} USING (precursor_charge, bucket) GROUP BY ALL),
+best{k} AS (SELECT b.*, a.spectrum_id AS rep, a.cluster, CASE WHEN a.spectrum_id IS NOT NULL THEN CASE WHEN abs(a.precursor_mz - b.precursor_mz) / b.precursor_mz < {TOL!r} THEN {DIST.format(a='a', b='b')} ELSE 1.0::DOUBLE END END AS dist
+ FROM n{k} b LEFT JOIN rep{k} a USING (precursor_charge, bucket) QUALIFY row_number() OVER (PARTITION BY b.spectrum_id ORDER BY dist, a.spectrum_id) = 1),
+first{k} AS (SELECT precursor_charge, bucket, arg_min(precursor_mz, spectrum_id) AS fmz FROM n{k} GROUP BY ALL),
+res{k} AS MATERIALIZED (SELECT batch, precursor_charge, bucket, spectrum_id, precursor_mz, w0, w1, CASE WHEN rep IS NULL THEN NULL WHEN dist > anomaly_eps THEN spectrum_id ELSE cluster END AS cluster,
+  CASE WHEN rep IS NULL THEN fmz > (SELECT high FROM span{k}) OR fmz < (SELECT low FROM span{k}) ELSE dist > anomaly_eps END AS anomaly, rep IS NULL OR dist > anomaly_eps AS own
+  FROM best{k} JOIN first{k} USING (precursor_charge, bucket) LEFT JOIN eps{k} USING (precursor_charge, bucket)),
+rep{k + 1} AS MATERIALIZED (SELECT r.precursor_charge, r.bucket, r.spectrum_id, r.cluster, r.precursor_mz, r.w0, r.w1, r.size + coalesce(m.n, 0) AS size FROM rep{k} r LEFT JOIN (SELECT cluster, count(*) AS n FROM res{k} WHERE NOT own GROUP BY cluster) m USING (cluster)
+  UNION ALL SELECT precursor_charge, bucket, spectrum_id, spectrum_id, precursor_mz, w0, w1, 1 FROM res{k} WHERE own),
+span{k + 1} AS (SELECT least((SELECT low FROM span{k}), min(precursor_mz)) AS low, greatest((SELECT high FROM span{k}), max(precursor_mz)) AS high FROM n{k})""")
+    return f"WITH RECURSIVE {', '.join(parts)} " + " UNION ALL ".join(f"SELECT cast(batch AS INTEGER) AS batch, spectrum_id, cluster, anomaly FROM res{k}" for k in range(batches))
+
+
+@query(fold_sql(3))
 def stream_anomaly_fold(spark: SparkSession, d: str) -> DataFrame:
     old, new = history(spark, d)
     batch = F.pmod(F.crc32(F.col("spectrum_id").cast("string")), F.lit(3))
