@@ -12,7 +12,7 @@ from ..functions import registry
 from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks, quantiles, separation, splits, tiles
 from ..params import Params
 from ..sources import files, mgf
-from . import testdata
+from . import runs, testdata
 from .scratch import scratch, table
 from .testdata import HV_SQL, SQL, read
 
@@ -663,6 +663,75 @@ def recluster_diff(spark: SparkSession, d: str) -> DataFrame:
     return anomaly.recluster_diff(a, b, ["event_id"])
 
 
+# ---- whole runs -------------------------------------------------------------------------------------------------------------
+
+
+def run_sql(source: str) -> str:
+    """CTEs of a clustering run over the rows of a CTE `source`: clu (clusters), marked (clusters refined by precursor, with their medoids)."""
+    return f"""few AS (SELECT * FROM {source} WHERE precursor_charge IN (SELECT precursor_charge FROM {source} GROUP BY 1 HAVING count(*) >= 5)),
+edge AS (SELECT a.spectrum_id AS id_a, b.spectrum_id AS id_b, {DIST.format(a='a', b='b')} AS dist FROM few a JOIN few b ON a.precursor_charge = b.precursor_charge AND a.bucket = b.bucket AND a.spectrum_id < b.spectrum_id WHERE abs(a.precursor_mz - b.precursor_mz) / b.precursor_mz < {TOL!r}),
+both_ways AS (SELECT id_a AS a, id_b AS b FROM edge WHERE dist <= {P.eps} UNION ALL SELECT id_b, id_a FROM edge WHERE dist <= {P.eps}),
+reach AS (SELECT a AS n, a AS r FROM both_ways UNION SELECT b.b, reach.r FROM reach JOIN both_ways b ON b.a = reach.n),
+comp AS (SELECT n AS spectrum_id, min(r) AS cluster FROM reach GROUP BY n),
+clu AS (SELECT few.*, cluster FROM few LEFT JOIN comp USING (spectrum_id)),
+{split_sql("by_mz", "precursor_mz", P.precursor_tol, True)},
+sized AS (SELECT spectrum_id, count(*) OVER (PARTITION BY clu.cluster, part) AS n, min(spectrum_id) OVER (PARTITION BY clu.cluster, part) AS least FROM clu JOIN by_mz USING (spectrum_id)),
+fine AS (SELECT clu.* EXCLUDE (cluster), CASE WHEN n >= 2 THEN least END AS cluster FROM clu LEFT JOIN sized USING (spectrum_id)),
+size AS (SELECT cluster, count(*) AS n, min(spectrum_id) AS first FROM fine WHERE cluster IS NOT NULL GROUP BY cluster),
+close AS (SELECT e.id_a AS spectrum_id, sum(1 - dist) AS near FROM (SELECT id_a, id_b, dist FROM edge UNION ALL SELECT id_b, id_a, dist FROM edge) e JOIN fine a ON a.spectrum_id = e.id_a JOIN fine b ON b.spectrum_id = e.id_b WHERE a.cluster = b.cluster GROUP BY 1),
+mean AS (SELECT fine.spectrum_id, fine.cluster, n, first, round((n - 1 - coalesce(near, 0)) / n, 9) AS m FROM fine JOIN size USING (cluster) LEFT JOIN close USING (spectrum_id)),
+best_of AS (SELECT cluster, CASE WHEN n <= 2 THEN first ELSE spectrum_id END AS medoid FROM mean QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY m, spectrum_id) = 1),
+marked AS (SELECT fine.*, fine.cluster IS NULL OR medoid = spectrum_id AS is_representative FROM fine LEFT JOIN best_of USING (cluster))"""
+
+
+@query(f"""WITH RECURSIVE {ENCODED}, {run_sql("enc")}
+SELECT spectrum_id, precursor_charge, bucket, cluster, dense_rank() OVER (ORDER BY precursor_charge, bucket, cluster IS NULL, coalesce(cluster, spectrum_id)) - 1 AS label, is_representative FROM marked""")
+def cluster_run(spark: SparkSession, d: str) -> DataFrame:
+    """A clustering run: charges with enough spectra, clusters, refinement, medoids and labels, saved and read back."""
+    path = fresh(spark)
+    files.save_results(runs.cluster(encoded(spark, d), P), path)
+    return spark.read.parquet(f"{path}/parquet").select("spectrum_id", *GROUP, "cluster", "label", "is_representative")
+
+
+#: A detection run: half of the spectra are clustered, the others are assigned to them as one batch.
+DETECTED = f"""{ENCODED}, old AS (SELECT * FROM enc WHERE {HALF}), new AS (SELECT * FROM enc WHERE NOT ({HALF})), {run_sql("old")},
+rep AS (SELECT m.precursor_charge, m.bucket, m.spectrum_id, coalesce(m.cluster, m.spectrum_id) AS cluster, m.precursor_mz, w0, w1 FROM marked m WHERE is_representative),
+other AS (SELECT a.precursor_charge, a.bucket, a.spectrum_id, min(CASE WHEN abs(a.precursor_mz - b.precursor_mz) / greatest(struct_pack(i := a.spectrum_id, m := a.precursor_mz), struct_pack(i := b.spectrum_id, m := b.precursor_mz)).m < {TOL!r} THEN {DIST.format(a='a', b='b')} ELSE 1.0::DOUBLE END) AS d
+  FROM rep a JOIN rep b ON a.precursor_charge = b.precursor_charge AND a.bucket = b.bucket AND a.spectrum_id <> b.spectrum_id GROUP BY ALL),
+eps AS (SELECT precursor_charge, bucket, coalesce(least(quantile_cont(d, 0.9) + 0.01::DOUBLE, 0.9::DOUBLE), 0.9::DOUBLE) AS anomaly_eps FROM (SELECT DISTINCT precursor_charge, bucket FROM rep) LEFT JOIN other USING (precursor_charge, bucket) GROUP BY ALL),
+best AS (SELECT n.*, r.spectrum_id AS rep, r.cluster, CASE WHEN r.spectrum_id IS NOT NULL THEN CASE WHEN abs(r.precursor_mz - n.precursor_mz) / n.precursor_mz < {TOL!r} THEN {DIST.format(a='n', b='r')} ELSE 1.0::DOUBLE END END AS dist
+  FROM new n LEFT JOIN rep r USING (precursor_charge, bucket) QUALIFY row_number() OVER (PARTITION BY n.spectrum_id ORDER BY dist, r.spectrum_id) = 1),
+firsts AS (SELECT precursor_charge, bucket, arg_min(precursor_mz, spectrum_id) AS fmz FROM new GROUP BY ALL),
+res AS (SELECT spectrum_id, precursor_charge, bucket, CASE WHEN rep IS NULL THEN NULL WHEN dist > anomaly_eps THEN spectrum_id ELSE cluster END AS cluster,
+  CASE WHEN rep IS NULL THEN fmz > (SELECT max(precursor_mz) FROM marked) OR fmz < (SELECT min(precursor_mz) FROM marked) ELSE dist > anomaly_eps END AS anomaly
+  FROM best JOIN firsts USING (precursor_charge, bucket) LEFT JOIN eps USING (precursor_charge, bucket))"""
+
+
+def detected(spark: SparkSession, d: str) -> str:
+    """Folder of a detection run; every seventh new spectrum is said to be an anomaly."""
+    path = fresh(spark)
+    old, new = halves(encoded(spark, d))
+    runs.detect_run(old, new, P.with_(batch_size=1 << 40), path, new.where("spectrum_id % 7 = 0"))
+    return path
+
+
+@query(f"WITH RECURSIVE {DETECTED} SELECT spectrum_id, precursor_charge, bucket, cluster, anomaly FROM res")
+def detect_run(spark: SparkSession, d: str) -> DataFrame:
+    """The assigned spectra of a detection run, read back."""
+    return spark.read.parquet(f"{detected(spark, d)}/assigned/parquet").select("spectrum_id", *GROUP, "cluster", "anomaly")
+
+
+@query(f"""WITH RECURSIVE {DETECTED}, n AS (SELECT cast(count_if(anomaly AND spectrum_id % 7 = 0) AS BIGINT) AS tp, cast(count_if(anomaly AND spectrum_id % 7 <> 0) AS BIGINT) AS fp, cast(count_if(spectrum_id % 7 = 0) AS BIGINT) AS t FROM res)
+SELECT tp AS true_anomalies, fp AS false_anomalies, t AS expected_total_anomalies, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp)::DOUBLE, 4) ELSE 0 END AS precision, CASE WHEN t > 0 THEN round(tp / t::DOUBLE, 4) ELSE 0 END AS recall, (SELECT count(*) FROM new) AS n_spectra, (SELECT count(*) FROM res WHERE anomaly) AS n_exported FROM n""")
+def detect_run_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a detection run appends: its accuracy, how many spectra it timed and how many anomalies it exported."""
+    path = detected(spark, d)
+    told = spark.read.csv(f"{path}/accuracy", header=True, inferSchema=True)
+    timed = spark.read.csv(f"{path}/timing", header=True, inferSchema=True).where("spectra_per_s > 0").agg(F.sum("n_spectra").cast("long").alias("n_spectra"))
+    out = spark.read.parquet(f"{path}/anomalies/parquet").agg(F.count("*").alias("n_exported"))
+    return told.select(*[F.col(c).cast("long").alias(c) for c in ("true_anomalies", "false_anomalies", "expected_total_anomalies")], F.col("precision").cast("double").alias("precision"), F.col("recall").cast("double").alias("recall")).crossJoin(timed).crossJoin(out)  # single rows
+
+
 # ---- splits -----------------------------------------------------------------------------------------------------------------
 
 DRAW = "md5(cast({} AS VARCHAR))"
