@@ -235,8 +235,9 @@ def local_outlier_factor(df: DataFrame, contamination: float, k: int = 20) -> Da
 def subspace_pair(df: DataFrame, k: int = 5, eta: float = 0.01, ridge: float = 0.1, most: int = SUBSPACE_SAMPLE, steps: int = 1_000, seed: int = 42) -> DataFrame:
     """One-class classifier by two orthonormal frames: rows, at their own length, should lie above the first and below the second. score: the lesser margin; outliers are at or beyond either.
 
-    The cost (squared hinge of the least and of the greatest projection, and a ridge) is lowered on `most` sampled rows by gradient
-    steps along the manifold of frames: the gradient's tangent part, then back by QR.
+    The cost (squared hinge of the least and of the greatest projection, and a ridge) is lowered on `most` sampled rows by conjugate
+    gradients on the manifold of pairs of frames: the last direction is carried to the new place by projection, its share is the
+    non-negative one of Polak and Ribiere, a step is halved until the cost falls enough, and QR leads back to frames.
     """
     x = sample(df, most)
     n, d = x.shape if len(x) else (0, 1)
@@ -259,22 +260,43 @@ def subspace_pair(df: DataFrame, k: int = 5, eta: float = 0.01, ridge: float = 0
             gb.append(g.sum(0) / max(n, 1))
         return total / max(n, 1), gw, gb
 
-    rate = 0.5
+    def tangent(w: list[np.ndarray], v: list[np.ndarray]) -> list[np.ndarray]:
+        """The parts of v along the manifold at w: of the frames without what would stretch them, of the offsets all."""
+        return [*[g - f @ (f.T @ g + g.T @ f) / 2 for f, g in zip(w, v, strict=False)], *v[2:]]
+
+    def dot(u: list[np.ndarray], v: list[np.ndarray]) -> float:
+        return float(sum((a * b).sum() for a, b in zip(u, v, strict=True)))
+
+    def moved(w: list[np.ndarray], b: list[np.ndarray], way: list[np.ndarray], t: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        out = []
+        for f, g in zip(w, way, strict=False):
+            q, r = np.linalg.qr(f + t * g)
+            out.append(q * np.where(np.diag(r) < 0, -1.0, 1.0))
+        return out, [v + t * g for v, g in zip(b, way[2:], strict=True)]
+
     now, gw, gb = cost(w, b)
+    g = tangent(w, [*gw, *gb])
+    way, rate = [-v for v in g], 0.5
     for _ in range(steps if n else 0):
-        tangent = [g - v @ (v.T @ g + g.T @ v) / 2 for g, v in zip(gw, w, strict=True)]
-        trial_w = []
-        for v, g in zip(w, tangent, strict=True):
-            q, r = np.linalg.qr(v - rate * g)
-            trial_w.append(q * np.where(np.diag(r) < 0, -1.0, 1.0))
-        trial_b = [v - rate * g for v, g in zip(b, gb, strict=True)]
-        then, gw2, gb2 = cost(trial_w, trial_b)
-        if then < now:
-            w, b, now, gw, gb, rate = trial_w, trial_b, then, gw2, gb2, rate * 1.2
-        else:
-            rate /= 2
-            if rate < 1e-12:
+        slope = dot(g, way)
+        if slope >= 0:  # no way down any more: begin again with the gradient
+            way, slope = [-v for v in g], -dot(g, g)
+        if -slope < 1e-12:
+            break
+        t = rate
+        while True:
+            trial_w, trial_b = moved(w, b, way, t)
+            then, gw, gb = cost(trial_w, trial_b)
+            if then <= now + 1e-4 * t * slope or t < 1e-14:
                 break
+            t /= 2
+        if then >= now:
+            break
+        w, b, now, rate = trial_w, trial_b, then, min(2 * t, 1e3)
+        new = tangent(w, [*gw, *gb])
+        old, carried = tangent(w, g), tangent(w, way)  # transported to the new place
+        beta = max(0.0, (dot(new, new) - dot(new, old)) / max(dot(g, g), 1e-300))
+        way, g = [-v + beta * c for v, c in zip(new, carried, strict=True)], new
 
     def fn(v: np.ndarray) -> np.ndarray:
         return np.minimum((v @ w[0] + b[0]).min(1), -(v @ w[1] + b[1]).max(1))

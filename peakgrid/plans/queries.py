@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks, quantiles, separation, splits, tiles
+from ..operators import anomaly, baselines, clustering, distances, encoding, kmajority, metrics, peaks, quantiles, separation, splits, tiles
 from ..params import Params
 from ..sources import files, mgf
 from . import runs, testdata
@@ -513,6 +514,24 @@ def representative_join(spark: SparkSession, d: str) -> DataFrame:
     return reps.join(read(spark, d, "orders").select(F.col("o_orderkey").alias("spectrum_id"), "o_totalprice"), "spectrum_id")
 
 
+#: Eight first centres: the vectors of the least ids.
+SEEDS = f"{HV_SQL}, seed AS (SELECT w0, w1, row_number() OVER (ORDER BY vec_id) - 1 AS centre FROM vec ORDER BY vec_id LIMIT 8)"
+NEAREST = "SELECT v.*, s.centre, cast(bit_count(xor(v.w0, s.w0)) + bit_count(xor(v.w1, s.w1)) AS INTEGER) AS far FROM vec v, {} s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, s.centre) = 1"
+
+
+@query(f"""WITH {SEEDS}, one AS ({NEAREST.format("seed")}),
+c AS (SELECT centre, d, sum(CASE WHEN d < 32 THEN (w0 >> d) & 1 ELSE (w1 >> (d - 32)) & 1 END) AS c, count(*) AS n FROM one, range(64) r(d) GROUP BY ALL),
+moved AS (SELECT centre, {PACK.format(on='c > n // 2')} FROM c GROUP BY centre),
+now AS (SELECT centre, coalesce(moved.w0, seed.w0) AS w0, coalesce(moved.w1, seed.w1) AS w1 FROM seed LEFT JOIN moved USING (centre)), two AS ({NEAREST.format("now")})
+SELECT vec_id, cast(centre AS INTEGER) AS centre, far FROM two""")
+def kmajority_round(spark: SparkSession, d: str) -> DataFrame:
+    """One round of k-majority: centres become their members' majority vectors, and all vectors are assigned again."""
+    v = table(testdata.hypervectors(spark, d).select(F.col("vec_id").alias("spectrum_id"), "hv"))
+    start = np.array([r["hv"] for r in v.orderBy("spectrum_id").limit(8).collect()], np.int64)
+    got, _, _ = kmajority.cluster(v, 8, 64, rounds=1, start=start)
+    return got.select(F.col("spectrum_id").alias("vec_id"), "centre", "far")
+
+
 # ---- separation -------------------------------------------------------------------------------------------------------------
 
 SEPARATION = f"""{MEDOID},
