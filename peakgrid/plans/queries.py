@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import anomaly, baselines, clustering, distances, encoding, kmajority, metrics, peaks, quantiles, separation, splits, tiles
+from ..operators import anomaly, baselines, clustering, demotion, distances, encoding, kmajority, metrics, peaks, quantiles, separation, splits, tiles
 from ..params import Params
 from ..sources import files, mgf
 from . import runs, testdata
@@ -456,6 +456,25 @@ def medoids(spark: SparkSession, d: str) -> DataFrame:
     return with_medoids(spark, d).select("spectrum_id", "cluster", "is_representative")
 
 
+def medoid_sql(name: str, cond: str) -> str:
+    """A CTE (cluster, rep): the medoids of the clustered spectra for which cond holds."""
+    return f"""{name}_m AS (SELECT * FROM clu WHERE cluster IS NOT NULL AND {cond}), {name}_n AS (SELECT cluster, count(*) AS n FROM {name}_m GROUP BY cluster),
+{name}_s AS (SELECT e.id_a AS spectrum_id, sum(1 - dist) AS near FROM (SELECT id_a, id_b, dist FROM edge UNION ALL SELECT id_b, id_a, dist FROM edge) e JOIN {name}_m a ON a.spectrum_id = e.id_a JOIN {name}_m b ON b.spectrum_id = e.id_b WHERE a.cluster = b.cluster GROUP BY 1),
+{name} AS (SELECT cluster, spectrum_id AS rep FROM (SELECT m.cluster, m.spectrum_id, CASE WHEN n > 2 THEN round((n - 1 - coalesce(near, 0)) / n, 9) ELSE 0 END AS far FROM {name}_m m JOIN {name}_n USING (cluster) LEFT JOIN {name}_s USING (spectrum_id)) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY far, spectrum_id) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS}, {medoid_sql("early", "spectrum_id % 3 = 0")}, {medoid_sql("late", "true")}
+SELECT cluster, early.rep AS first_rep, late.rep AS last_rep, coalesce(early.rep <> late.rep, false) AS demoted FROM late LEFT JOIN early USING (cluster)""")
+def medoid_demotion(spark: SparkSession, d: str) -> DataFrame:
+    """Members come in three batches; medoids are kept up by increments: each cluster's representative after the first batch and after the last."""
+    df, state, first = clustered(spark, d), None, None
+    for k in range(3):
+        state = table(demotion.grow(state, df.where(F.col("spectrum_id") % 3 == k), P.precursor_tol, 64))
+        first = first or demotion.representatives(state).withColumnRenamed("rep", "first_rep")
+    last = demotion.representatives(state).withColumnRenamed("rep", "last_rep")
+    return last.join(first, "cluster", "left").select("cluster", "first_rep", "last_rep", F.coalesce(F.col("first_rep") != F.col("last_rep"), F.lit(False)).alias("demoted"))
+
+
 @query(f"{WITH_CLUSTERS} SELECT spectrum_id, dense_rank() OVER (ORDER BY precursor_charge, bucket, cluster IS NULL, coalesce(cluster, spectrum_id)) - 1 AS label FROM clu")
 def global_labels(spark: SparkSession, d: str) -> DataFrame:
     return clustering.global_labels(clustered(spark, d)).select("spectrum_id", "label")
