@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import anomaly, baselines, clustering, demotion, distances, encoding, kmajority, metrics, peaks, quantiles, separation, splits, tiles
+from ..operators import anomaly, baselines, clustering, demotion, distances, encoding, kmajority, leaders, metrics, peaks, quantiles, separation, splits, tiles
 from ..params import Params
 from ..sources import files, mgf
 from . import runs, testdata
@@ -657,6 +657,23 @@ def out_of_range_anomaly(spark: SparkSession, d: str) -> DataFrame:
     return anomaly.assign(unseen, old, P, 64).groupBy(*GROUP).agg(F.count("*").alias("n"), F.first("anomaly").alias("anomaly"))
 
 
+@query(f"""WITH RECURSIVE {HISTORY},
+known AS (SELECT n.spectrum_id AS id, {DIST.format(a='n', b='r')} AS dist, r.spectrum_id AS rep, r.cluster FROM new n JOIN rep r USING (precursor_charge, bucket) WHERE abs(r.precursor_mz - n.precursor_mz) / n.precursor_mz < {TOL!r} AND {DIST.format(a='n', b='r')} <= 0.31),
+e AS (SELECT a.spectrum_id AS a, b.spectrum_id AS b, {DIST.format(a='a', b='b')} AS dist FROM new a JOIN new b ON a.precursor_charge = b.precursor_charge AND a.bucket = b.bucket AND a.spectrum_id < b.spectrum_id WHERE abs(a.precursor_mz - b.precursor_mz) / b.precursor_mz < {TOL!r} AND {DIST.format(a='a', b='b')} <= 0.31),
+st AS (SELECT 0 AS it, spectrum_id AS id, false AS leads FROM new WHERE spectrum_id NOT IN (SELECT id FROM known)
+ UNION ALL (WITH cur AS (SELECT * FROM st WHERE NOT leads), inside AS (SELECT e.a, e.b FROM e JOIN cur x ON x.id = e.a JOIN cur y ON y.id = e.b),
+  more AS (SELECT it, id FROM cur WHERE id NOT IN (SELECT b FROM inside)), taken AS (SELECT id FROM more UNION SELECT b FROM inside JOIN more ON more.id = inside.a)
+  SELECT it + 1, id, true FROM more UNION ALL SELECT it + 1, id, false FROM cur WHERE id NOT IN (SELECT id FROM taken))),
+founder AS (SELECT id FROM st WHERE leads),
+cand AS (SELECT * FROM known UNION ALL SELECT e.b, e.dist, e.a, e.a FROM e JOIN founder ON founder.id = e.a),
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, rep) = 1)
+SELECT spectrum_id, CASE WHEN founder.id IS NOT NULL THEN spectrum_id ELSE best.cluster END AS cluster, founder.id IS NOT NULL AS founded FROM new LEFT JOIN founder ON founder.id = spectrum_id LEFT JOIN best ON best.id = spectrum_id""")
+def bucket_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """New spectra in the order of their ids, each joining what is within 0.31 by then or founding a cluster."""
+    old, new = history(spark, d)
+    return leaders.assign_in_order(new, table(anomaly.representatives(old)), 0.31, P.precursor_tol, 64).select("spectrum_id", "cluster", "founded")
+
+
 @query("SELECT event_id // 1000 AS batch, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def event_batches(spark: SparkSession, d: str) -> DataFrame:
     got = anomaly.batches_of(read(spark, d, "events").select("event_id", "value"), ["event_id"], 1000)
