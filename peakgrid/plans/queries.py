@@ -1127,6 +1127,52 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT spectrum_id, mz_bucket(precursor_mz, 40D) AS part, round(ppm_gap(precursor_mz, 200D), 4) AS gap, hv_hamming(hv, array(0L, 0L)) AS ones FROM peakgrid_encoded")
 
 
+@query(bundle_sql("c > n // 2"))
+def sql_hv_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """The aggregate function in SQL text."""
+    registry.register(spark)
+    testdata.hypervectors(spark, d).createOrReplaceTempView("peakgrid_vectors")
+    return two_words(spark.sql("SELECT * FROM (SELECT label, hv_bundle(hv) AS hv FROM peakgrid_vectors GROUP BY label) JOIN (SELECT label, count(*) AS members FROM peakgrid_vectors GROUP BY label) USING (label)"), "label", "members")
+
+
+@query(f"{WITH} SELECT spectrum_id, count(*) AS n_peaks, round(sum(mz), 2) AS total_mz FROM peak JOIN spec USING (spectrum_id) GROUP BY spectrum_id")
+def sql_mgf_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """The table function in SQL text, on a block of text for each spectrum."""
+    registry.register(spark)
+    mgf.as_text(testdata.spectra(spark, d)).createOrReplaceTempView("peakgrid_blocks")
+    return spark.sql("SELECT spectrum_id, count(*) AS n_peaks, round(sum(mz), 2) AS total_mz FROM peakgrid_blocks, LATERAL mgf_peaks(value) GROUP BY spectrum_id")
+
+
+def mgf_folder(spark: SparkSession, d: str) -> str:
+    """MGF files named as instruments name them: runs/*.mgf, runs/odd/*.MGF with every fifth spectrum, and files of other kinds beside them."""
+    path, at = fresh(spark), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    s = table(testdata.spectra(spark, d))
+    for part, folder, end in ((s.where("scan % 5 <> 0"), "runs", "mgf"), (s.where("scan % 5 = 0"), "runs/odd", "MGF"), (s.where("scan % 5 = 1"), "runs", "txt")):
+        made = f"{path}/text-{uuid.uuid4().hex}"
+        mgf.write(part, made)
+        fs.mkdirs(at(f"{path}/{folder}"))
+        for k, f in enumerate(x for x in fs.listStatus(at(made)) if x.getPath().getName().startswith("part-")):
+            fs.rename(f.getPath(), at(f"{path}/{folder}/run{k}.{end}"))
+    return path
+
+
+@query(f"{WITH} SELECT CASE WHEN scan % 5 = 0 THEN 1 ELSE 0 END AS label, CASE WHEN scan % 5 = 0 THEN 'MGF' ELSE 'mgf' END AS kind, count(*) AS n_spectra, cast(sum(scan) AS BIGINT) AS scans FROM spec WHERE spectrum_id IN (SELECT spectrum_id FROM peak) GROUP BY ALL")
+def mgf_folder_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Paths are resolved through folders, and spectra of the folder of anomalies are labelled."""
+    path = mgf_folder(spark, d)
+    got = mgf.read(spark, f"{path}/runs", recursive=True, anomaly_paths=[f"{path}/runs/odd"])
+    return got.groupBy("label", F.substring_index("source_file", ".", -1).alias("kind")).agg(F.count("*").alias("n_spectra"), F.sum("scan").cast("long").alias("scans"))
+
+
+@query(f"WITH {CHAIN} SELECT scan, precursor_charge, bucket, 2 AS n_words FROM clean WHERE scan % 5 <> 0")
+def load_run(spark: SparkSession, d: str) -> DataFrame:
+    """Files are loaded, cleaned and encoded, and then restored from the checkpoint that this left."""
+    path = mgf_folder(spark, d)
+    runs.load(spark, f"{path}/runs", P, f"{path}/checkpoint")
+    return runs.load(spark, "/nowhere", P, f"{path}/checkpoint").select("scan", "precursor_charge", "bucket", F.size("hv").alias("n_words"))
+
+
 def weighted_sql(value: str, table: str, share: float) -> str:
     return f"(SELECT precursor_charge, bucket, min({value}) AS at_share FROM (SELECT *, sum(size) OVER (PARTITION BY precursor_charge, bucket ORDER BY {value}) AS c, sum(size) OVER (PARTITION BY precursor_charge, bucket) AS t FROM {table}) WHERE c >= {share}::DOUBLE * t GROUP BY ALL)"
 
