@@ -78,7 +78,7 @@ DETECTORS = {
     "Isolation Forest": (lambda x: baselines.log_features(x), lambda x, c: baselines.isolation_forest(x, c)),
     "LOF": (lambda x: x, lambda x, c: baselines.local_outlier_factor(x, c)),
     "One-Class SVM": (lambda x: baselines.log_features(x, magnitude=True), lambda x, c: baselines.one_class_svm(x, c)),
-    "OC-PCA": (lambda x: baselines.log_features(x), lambda x, c: baselines.one_class_pca(x, c)),
+    "OC-PCA": (lambda x: baselines.log_features(x), lambda x, c: baselines.one_class_pca(x, c, 10)),
     "GODS": (lambda x: baselines.log_features(x), lambda x, c: baselines.subspace_pair(x)),
 }
 

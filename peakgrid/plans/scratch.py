@@ -91,3 +91,25 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     own = part.select(*df.columns, "_part", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
     lift = lambda n: F.coalesce(F.col(n), F.lit(0)) + F.get(F.array(*[F.lit(b) for b in before[n] or [0]]), F.col("_part"))
     return own.select(*df.columns, *[lift(n).alias(n) for n in names])
+
+
+def carried(df: DataFrame, order: list[str], value: str, name: str, key: str | None = None) -> DataFrame:
+    """df with name: the last value that isn't null up to a row, in the order of columns that identify a row; with key, which then comes first in the order, of rows of equal key alone.
+
+    As in running(), no task sees more than its range of rows, and the driver one row per range.
+    """
+    order = ([key] if key else []) + order
+    part = table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    last = part.where(F.col(value).isNotNull()).groupBy("_part").agg(F.max(F.struct(*order, F.col(value).alias("_value"))).alias("_last")).collect()
+    at = {r["_part"]: r["_last"] for r in last}
+    values, keys, now = [], [], None
+    for k in range((part.agg(F.max("_part")).first()[0] or 0) + 1):
+        values.append(now and now["_value"])
+        keys.append(now and key and now[key])
+        now = at.get(k, now)
+    kind = df.schema[value].dataType
+    own = F.last(value, True).over(Window.partitionBy("_part", *([key] if key else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before = F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_part"))
+    if key:
+        before = F.when(F.col(key) == F.get(F.array(*[F.lit(v).cast(df.schema[key].dataType) for v in keys]), F.col("_part")), before)
+    return part.select(*df.columns, F.coalesce(own, before).alias(name))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import carried
+
 #: Columns of accuracy lines, in order.
 ACCURACY = ["param", "true_pos_rate", "false_pos_rate", "detection_rate", "true_anomalies", "false_anomalies", "expected_total_anomalies", "precision", "recall", "f1_score", "auroc", "auprc"]
 
@@ -78,8 +80,7 @@ def parse_tradeoff(lines: DataFrame) -> DataFrame:
     """(mz_interval, line, value): each line of numbers with the mz_interval of the last header above it. lines has line (its place) and value."""
     head = F.regexp_extract("value", "mz_interval\\s*=\\s*([0-9.]+)", 1)
     filled = lines.withColumn("_h", F.when(head != "", head.cast("double")))
-    w = Window.orderBy("line") if "source_file" not in lines.columns else Window.partitionBy("source_file").orderBy("line")
-    out = filled.withColumn("mz_interval", F.last("_h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = carried(filled, ["line"], "_h", "mz_interval", "source_file" if "source_file" in lines.columns else None)
     return out.where(F.col("_h").isNull() & F.col("value").rlike("^\\s*[0-9.]+")).drop("_h")
 
 
@@ -90,8 +91,7 @@ METHODS = ["Isolation Forest", "LOF", "One-Class SVM", "OC-PCA", "GODS"]
 def parse_run_log(lines: DataFrame) -> DataFrame:
     """(run, method, precision, recall, f1): metric lines of run logs, `method precision recall f1` parted by white space or bars after a line that names the run's contamination in per cent. lines has line and value."""
     pct = F.regexp_extract("value", "contamination\\s*[=:]\\s*([0-9.]+)", 1)
-    w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    filled = lines.withColumn("run", F.last(F.when(pct != "", pct.cast("double")), ignorenulls=True).over(w))
+    filled = carried(lines.withColumn("_run", F.when(pct != "", pct.cast("double"))), ["line"], "_run", "run")
     pattern = "^\\s*(" + "|".join(METHODS) + ")[\\s|:]+([0-9.]+)%?[\\s|]+([0-9.]+)%?[\\s|]+([0-9.]+)"
     hit = filled.where(F.col("value").rlike(pattern))
     return hit.select("run", F.regexp_extract("value", pattern, 1).alias("method"), *[F.regexp_extract("value", pattern, i).cast("double").alias(c) for i, c in ((2, "precision"), (3, "recall"), (4, "f1"))])

@@ -139,6 +139,28 @@ def test_logs(spark):
     assert row["LOF"] == 6.0 and row["GODS"] == 2.0 and row["OC-PCA"] is None
 
 
+def test_headers_are_carried_over_ranges(spark):
+    """Many ranges, some of them without a header of their own; nothing is carried from file to file."""
+    from peakgrid.plans.scratch import carried
+
+    rows = [(f, i, float(10 * i) if i in (3, 40) and f == "a" or i == 90 else None) for f in "abc" for i in range(120)]
+    df = spark.createDataFrame(rows, "f string, i int, h double").repartition(7)
+    want, now = {}, {}
+    for f, i, h in rows:
+        now[f] = h if h is not None else now.get(f)
+        want[f, i] = now[f]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {(r.f, r.i): r.x for r in carried(df, ["i"], "h", "x", "f").collect()} == want
+        one = df.where("f = 'a'").drop("f")
+        assert {r.i: r.x for r in carried(one, ["i"], "h", "x").collect()} == {i: want["a", i] for i in range(120)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_sql_functions(spark):
     functions.register(spark)
     row = spark.sql("SELECT hv_hamming(array(3L, 0L), array(1L, 1L)) AS h, mz_bucket(500.07D, 80D) AS b, round(ppm_gap(100.001D, 100D), 6) AS g").first()
