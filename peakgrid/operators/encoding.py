@@ -132,12 +132,17 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words.astype("<u4")).view(np.uint8), axis=1, bitorder="little").astype(bool)
 
 
-def encode(df: DataFrame, p: Params, portable: bool = False) -> DataFrame:
+def encode(df: DataFrame, p: Params, portable: bool = False, width: float | None = None) -> DataFrame:
     """df with hv, of hd_dim bits from the production codebook, or from the portable one. m/z beyond the codebook take its last vector; a spectrum without peaks has only zeros.
 
+    An m/z is looked up by its whole part, or with width by its bin between p.min_mz and p.max_mz, moved out to whole bins.
+
     Arrow batches pass through numpy without a shuffle; each Python worker builds the codebook once.
     """
-    bins = int(p.max_mz) + 2  # vectors are looked up by whole m/z
+    bins, start, step = int(p.max_mz) + 2, 0.0, 1.0
+    if width:
+        bins, start, _ = codebook_length(p.min_mz, p.max_mz, width)
+        step = width
     dim, q, flip = p.hd_dim, p.hd_q, p.hd_id_flip_factor
     n = len(df.columns)
     schema = T.StructType([*df.schema.fields, T.StructField("hv", T.ArrayType(T.LongType()))])
@@ -149,15 +154,15 @@ def encode(df: DataFrame, p: Params, portable: bool = False) -> DataFrame:
             ends = np.diff(peaks.offsets.to_numpy()).cumsum()
             flat = peaks.flatten()
             mz, level = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            m = np.clip(mz.astype(np.int64), 0, bins - 1)
+            m = np.clip(((mz - start) / step).astype(np.int64) if width else mz.astype(np.int64), 0, bins - 1)
             lv = np.clip((level * q).astype(np.int64), 0, q)
             out = np.zeros((b.num_rows, dim // 32), np.int64)
-            start = 0
+            at = 0
             for i, end in enumerate(ends):
-                if end > start:
-                    s = (levels[lv[start:end]] * ids[m[start:end]]).sum(0, dtype=np.int32)
+                if end > at:
+                    s = (levels[lv[at:end]] * ids[m[at:end]]).sum(0, dtype=np.int32)
                     out[i] = pack((s > 0)[None])[0]
-                start = end
+                at = end
             hv = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (dim // 32), pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], hv], names=schema.names)
 

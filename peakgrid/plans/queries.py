@@ -245,6 +245,15 @@ def hv_encode(spark: SparkSession, d: str) -> DataFrame:
     return two_words(encoding.encode_portable(table(chain(spark, d)), 64, 16), "spectrum_id")
 
 
+BINNED = ENCODED.replace("cast(floor(mz) AS INTEGER) AS m", "cast(floor((mz - 100) / 5::DOUBLE) AS INTEGER) AS m")
+
+
+@query(f"WITH {BINNED} SELECT spectrum_id, w0, w1 FROM hv")
+def hv_encode_bins(spark: SparkSession, d: str) -> DataFrame:
+    """m/z looked up by bins of 5 instead of whole numbers; 101 to 1,500 are moved out to 100 to 1,505."""
+    return two_words(encoding.encode(chain(spark, d), P, portable=True, width=5.0), "spectrum_id")
+
+
 #: The production codebook by SQL: sides of level 0, turned prefixes, a walk of m/z vectors whose signs are the parity of their turns.
 FULL = 2048
 WIDE = f"""{CHAIN},
