@@ -113,10 +113,19 @@ def place(docs: DataFrame, dims: list[str], shards: int = SHARDS, bits: int = BI
 
 
 def write(docs: DataFrame, path: str, dims: list[str], shards: int = SHARDS) -> None:
-    """The documents themselves, in one folder per shard, along the curve. Rows are found again by doc_id and checksum; repeated rows are written once for each."""
+    """The documents themselves under path, in one folder per shard, along the curve.
+
+    The folders' column is _shard, with as many more underscores as make it differ from all columns of docs. Rows are found again by doc_id and
+    checksum, nulls included; a null text stays null. Repeated rows, which are told apart by nothing, all lie in the first shard that has one.
+    Tasks take ranges of the curve, so that a shard may be several files, and none holds more than its range. An empty table writes no folder.
+    Names of columns must differ by more than case, as Parquet files want it.
+    """
     at = place(docs, dims, shards).groupBy("doc_id", "text_crc32").agg(F.min("hilbert").alias("hilbert"), F.min("shard").alias("shard"))
-    cols = docs.columns
+    cols, name = docs.columns, "_shard"
+    while name in {c.lower() for c in cols}:
+        name += "_"
     keyed = common.numbered(docs).withColumn("crc", F.crc32(F.coalesce(F.col(f"_{cols.index('text')}"), F.lit("")).cast("binary")))
     both = keyed.join(at, F.col(f"_{cols.index('doc_id')}").eqNullSafe(F.col("doc_id")) & (F.col("crc") == F.col("text_crc32")))
-    out = both.repartition(shards, "shard").sortWithinPartitions("shard", "hilbert").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(cols)], F.col("shard").alias("_shard"))
-    out.write.partitionBy("_shard").parquet(path)
+    line = ["shard", "hilbert", "doc_id", "crc"]
+    out = common.table(both).repartitionByRange(*line).sortWithinPartitions(*line)
+    out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(cols)], F.col("shard").alias(name)).write.partitionBy(name).parquet(path)

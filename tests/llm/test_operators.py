@@ -473,6 +473,18 @@ def test_warc_nulls_and_repeats(spark):
     assert warc.roundtrip(df.limit(0)).count() == 0
 
 
+def test_sharded_files_hold_all_rows(spark, docs, rows, empty, tmp_path):
+    df = spark.createDataFrame(rows, H.DOCS).select("*", *[F.lit(i).alias(c) for i, c in enumerate(["fp", "key", "shard", "_0", "_Shard"])])
+    sharding.write(df, str(tmp_path / "a"), ["lang", "n_chars"], 4)
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(back.columns) == sorted([*df.columns, "_shard_"]) and back.count() == len(rows)
+    assert sorted(map(repr, back.select("doc_id", "text", "lang").collect())) == sorted(map(repr, df.select("doc_id", "text", "lang").collect()))
+    placed = {(r.doc_id, r.text_crc32): r.shard for r in sharding.place(docs, ["lang", "n_chars"], 4).orderBy(F.desc("shard")).collect()}
+    for r in back.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), "_shard_").collect():
+        assert placed[r.doc_id, r.crc] == r["_shard_"]
+    sharding.write(empty, str(tmp_path / "b"), ["lang"], 4)
+
+
 def archive(folder, blocks):
     import gzip
 
