@@ -90,3 +90,44 @@ def test_one_class_fits_ask_for_the_references_rows(spark, data, monkeypatch, na
     monkeypatch.setattr(baselines, "sample", lambda df, n=baselines.SAMPLE: (asked.append(n), sample(df, n))[1])
     queries.QUERIES[name](spark, data)
     assert asked == [rows]
+
+
+def dense(spark, data):
+    rows = sorted(queries.vectors(spark, data).collect(), key=lambda r: r.spectrum_id)
+    return [r.spectrum_id for r in rows], np.array([list(r.x) for r in rows])
+
+
+def test_ocpca_is_the_distance_to_a_plane_of_components(spark, data):
+    ids, x = dense(spark, data)
+    z = x - x.mean(0)
+    parts = np.linalg.svd(z, full_matrices=False)[2][:5]
+    want = -np.linalg.norm(z - z @ parts.T @ parts, axis=1)
+    got = {r.spectrum_id: r for r in queries.QUERIES["ocpca"](spark, data).collect()}
+    assert len(got) == len(ids) and np.allclose([got[i].score for i in ids], want, atol=1e-8)
+    assert [got[i].outlier for i in ids] == (np.array([got[i].score for i in ids]) < np.percentile([got[i].score for i in ids], 1)).tolist()
+
+
+def test_projection_is_on_the_first_component(spark, data):
+    got = {r.spectrum_id: r.pc1 for r in queries.QUERIES["pca_projection"](spark, data).collect()}
+    ids, x = dense(spark, data)
+    z = x - x.mean(0)
+    want = z @ np.linalg.svd(z, full_matrices=False)[2][0]
+    mine = np.array([got[i] for i in ids])
+    assert np.allclose(mine, want, atol=1e-6) or np.allclose(-mine, want, atol=1e-6)
+
+
+def test_svm_meets_the_conditions_of_its_dual(spark, data):
+    """On the rows that it was fitted on about nu are outliers, and scores are higher where the kernel's density is."""
+    got = queries.QUERIES["ocsvm"](spark, data).collect()
+    share = sum(r.outlier for r in got) / len(got)
+    assert all(r.outlier == (r.score < 0) for r in got) and abs(share - 0.05) < 0.02
+
+
+def test_forest_isolates_as_its_depths_say(spark, data):
+    ids, x = dense(spark, data)
+    got = {r.spectrum_id: r for r in queries.QUERIES["isolation_forest"](spark, data).collect()}
+    score = np.array([got[i].score for i in ids])
+    assert ((score < 0) & (score >= -1)).all()
+    assert [got[i].outlier for i in ids] == (score < np.percentile(score, 1)).tolist()
+    far = np.linalg.norm(x - np.median(x, 0), axis=1)
+    assert score[np.argsort(far)[-30:]].mean() < score[np.argsort(far)[:300]].mean()  # what lies far is isolated sooner
