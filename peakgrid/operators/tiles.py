@@ -1,9 +1,10 @@
-"""DBSCAN and medoids without a row per pair: pairs are compared inside tiles of a precursor band, which return links of a forest or sums.
+"""DBSCAN and medoids without a row per pair where a precursor band is hot: pairs are compared inside tiles, which return links of a forest or sums.
 
-Spectra of equal group, precursor and vector are one weighted point. A band's points are dealt into chunks of TILE; a tile is two chunks
-of one band, or of a band and the next, and holds every pair within tolerance once. So a band may hold any share of the spectra: a task
-sees two chunks at most, each point goes to as many tiles as its band and its neighbours have chunks, and what comes out of a tile is in
-proportion to its points.
+Pairs of bands of up to HOT points are made by the join of distances.masked_pairs(), a few hundred rows a point at most. Points of a hotter
+band, and of the bands beside it, are dealt into chunks of TILE; a tile is two chunks of one band, or of a band and the next, and holds every
+pair within tolerance once. So a band may hold any share of the spectra: a task sees two chunks at most, each point goes to as many tiles as
+its band and its neighbours have chunks, and what comes out of a tile is in proportion to its points. Where a band is hot, spectra of equal
+group, precursor and vector are one weighted point.
 """
 
 from __future__ import annotations
@@ -14,30 +15,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import table
+from . import clustering
 from .clustering import GROUP, by_group, collapse
-from .distances import band
+from .distances import band, masked_pairs
 from .graph import components
 
-#: Points in one chunk.
-TILE = 1_024
+#: Points of a band whose pairs are made by a join, and points in one chunk of a larger one.
+HOT, TILE = 128, 1_024
 #: Distances that are held at once.
 BLOCK = 1 << 20
 
 
-def dealt(points: DataFrame, tol: float, mode: str, tile: int, *more: str) -> DataFrame:
-    """(tile, side, group, spectrum_id, precursor_mz, hv, *more): points in their tiles. Tiles of one chunk have side 0 alone."""
-    src = points.where(F.col("hv").isNotNull() & (F.col("precursor_mz") > 0) & ~F.isnan("precursor_mz"))
-    src = src.select(*GROUP, "spectrum_id", "precursor_mz", "hv", *more, band(F.col("precursor_mz"), tol, mode).alias("_band"))
-    size = table(src.groupBy(*GROUP, "_band").agg(F.ceil(F.count("*") / tile).cast("int").alias("_m")))
-    at = lambda k, name: size.select(*GROUP, (F.col("_band") + k).alias("_band"), F.col("_m").alias(name))
+def usable() -> F.Column:
+    return F.col("hv").isNotNull() & (F.col("precursor_mz") > 0) & ~F.isnan("precursor_mz")
+
+
+def hot_bands(df: DataFrame, tol: float, mode: str, hot: int) -> DataFrame | None:
+    """(group, _band, _m): bands of over `hot` rows; None if there is none."""
+    size = df.where(usable()).groupBy(*GROUP, band(F.col("precursor_mz"), tol, mode).alias("_band")).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    return None if size.isEmpty() else table(size)
+
+
+def cold(points: DataFrame, hot: DataFrame, tol: float, mode: str) -> DataFrame:
+    """The points of bands that aren't hot."""
+    keyed = points.where(usable()).withColumn("_band", band(F.col("precursor_mz"), tol, mode))
+    return keyed.join(hot.select(*GROUP, "_band"), [*GROUP, "_band"], "left_anti").drop("_band")
+
+
+def dealt(points: DataFrame, hot: DataFrame, tol: float, mode: str, tile: int, *more: str) -> DataFrame:
+    """(tile, side, group, spectrum_id, precursor_mz, hv, *more): the points of hot bands and of those beside them in their tiles. Tiles of one chunk have side -1."""
+    src = points.where(usable()).select(*GROUP, "spectrum_id", "precursor_mz", "hv", *more, band(F.col("precursor_mz"), tol, mode).alias("_band"))
+    near_hot = hot.select(*GROUP, F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band")).distinct()
+    src = table(src.join(near_hot, [*GROUP, "_band"], "left_semi"))
+    size = src.groupBy(*GROUP, "_band").agg(F.ceil(F.count("*") / tile).cast("int").alias("_m"))
+    size = table(size.join(hot.select(*GROUP, "_band", F.lit(True).alias("_hot")), [*GROUP, "_band"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False))))
+    at = lambda k, name: size.select(*GROUP, (F.col("_band") + k).alias("_band"), F.col("_m").alias(name), F.col("_hot").alias(f"{name}_hot"))
     both = src.join(size, [*GROUP, "_band"]).join(at(-1, "_up"), [*GROUP, "_band"], "left").join(at(1, "_down"), [*GROUP, "_band"], "left")
     both = both.withColumn("_c", F.pmod(F.xxhash64("spectrum_id"), F.col("_m")).cast("int"))
     one = lambda b, kind, i, j, side: F.struct(b.cast("long").alias("b"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side"))
     upto = lambda n: F.when(n.isNotNull() & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     here, c = F.col("_band"), F.col("_c")
-    same = F.transform(upto(F.col("_m")), lambda k: F.when(k >= c, one(here, "same", c, k, 0)).otherwise(one(here, "same", k, c, 1)))
-    left = F.transform(upto(F.col("_up")), lambda k: one(here, "next", c, k, 0))
-    right = F.transform(upto(F.col("_down")), lambda k: one(here - 1, "next", k, c, 1))
+    some = lambda n, flag: F.when(flag, n)
+    same = F.transform(upto(some(F.col("_m"), F.col("_hot"))), lambda k: F.when(k >= c, one(here, "same", c, k, 0)).otherwise(one(here, "same", k, c, 1)))
+    left = F.transform(upto(some(F.col("_up"), F.col("_hot") | F.col("_up_hot"))), lambda k: one(here, "next", c, k, 0))
+    right = F.transform(upto(some(F.col("_down"), F.col("_hot") | F.col("_down_hot"))), lambda k: one(here - 1, "next", k, c, 1))
     rows = both.select(*GROUP, "spectrum_id", "precursor_mz", "hv", *more, F.explode(F.concat(same, left, right)).alias("t"))
     key = F.xxhash64(*GROUP, "t.b", "t.kind", "t.i", "t.j")
     whole = (F.col("t.kind") == "same") & (F.col("t.i") == F.col("t.j"))
@@ -70,8 +91,8 @@ def near(pdf: pd.DataFrame, tol: float, dim: int, mode: str):  # noqa: ANN201
             yield r, b, np.where(good, d / dim, np.inf)
 
 
-def links(points: DataFrame, tol: float, dim: int, eps: float, mode: str = "ppm", tile: int = TILE) -> DataFrame:
-    """(a, b): links of pairs within eps, enough of each tile to join what its pairs join."""
+def links(points: DataFrame, hot: DataFrame, tol: float, dim: int, eps: float, mode: str = "ppm", tile: int = TILE) -> DataFrame:
+    """(a, b): links of pairs within eps: those between bands that aren't hot, and enough of each tile to join what its pairs join."""
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, up, out = pdf.spectrum_id.to_numpy(), np.arange(len(pdf)), []
@@ -95,24 +116,31 @@ def links(points: DataFrame, tol: float, dim: int, eps: float, mode: str = "ppm"
         ab = np.array(out, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
-    return by_group(dealt(points, tol, mode, tile), "tile", forest, "a long, b long")
+    few = masked_pairs(cold(points, hot, tol, mode), tol, dim, mode).where(F.col("dist") <= eps).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return few.unionByName(by_group(dealt(points, hot, tol, mode, tile), "tile", forest, "a long, b long"))
 
 
-def dbscan(df: DataFrame, tol: float, dim: int, eps: float, mode: str = "ppm", min_samples: int = 2, tile: int = TILE) -> DataFrame:
-    """As clustering.dbscan() with the pairs that distances.masked_pairs() makes, without making them."""
+def dbscan(df: DataFrame, tol: float, dim: int, eps: float, mode: str = "ppm", min_samples: int = 2, tile: int = TILE, hot: int = HOT) -> DataFrame:
+    """As clustering.dbscan() with the pairs that distances.masked_pairs() makes; those of hot bands aren't made."""
     if min_samples not in (1, 2):
         raise ValueError("min_samples must be 1 or 2")
+    bands = hot_bands(df, tol, mode, hot)
+    if bands is None:
+        return clustering.dbscan(df, masked_pairs(df, tol, dim, mode), eps, min_samples)
     points, member = collapse(df)
     points = table(points)
-    roots = components(links(points, tol, dim, eps, mode, tile))
+    roots = components(links(points, bands, tol, dim, eps, mode, tile))
     named = points.select(F.col("spectrum_id").alias("point"), "copies").join(roots.withColumnRenamed("node", "point"), "point", "left")
     alone = F.when(F.col("copies") > 1, F.col("point"))  # copies are each other's neighbours
     named = named.select("point", F.coalesce("root", alone if min_samples == 2 else F.col("point")).alias("cluster"))
     return df.join(member.join(named, "point").select("spectrum_id", "cluster"), "spectrum_id")
 
 
-def medoids(df: DataFrame, tol: float, dim: int, mode: str = "ppm", tile: int = TILE) -> DataFrame:
-    """As clustering.medoids() with the pairs that distances.masked_pairs() makes, without making them: each point's similarities to its cluster are added up tile by tile."""
+def medoids(df: DataFrame, tol: float, dim: int, mode: str = "ppm", tile: int = TILE, hot: int = HOT) -> DataFrame:
+    """As clustering.medoids() with the pairs that distances.masked_pairs() makes; those of hot bands aren't made: each point's similarities to its cluster are added up tile by tile."""
+    bands = hot_bands(df, tol, mode, hot)
+    if bands is None:
+        return clustering.medoids(df, masked_pairs(df, tol, dim, mode))
     noise = df.where("cluster is null").withColumn("is_representative", F.lit(True))
     held = df.where("cluster is not null")
     # copies that lie in different clusters are different points
@@ -129,7 +157,12 @@ def medoids(df: DataFrame, tol: float, dim: int, mode: str = "ppm", tile: int =
         some = np.flatnonzero(total)
         return pd.DataFrame({"spectrum_id": pdf.spectrum_id.to_numpy()[some], "s": total[some]})
 
-    sums = by_group(dealt(points, tol, mode, tile, "cluster", "copies"), "tile", add_up, "spectrum_id long, s double").groupBy("spectrum_id").agg(F.sum("s").alias("_s"))
+    few = masked_pairs(cold(points, bands, tol, mode), tol, dim, mode)
+    of = lambda c: points.select(F.col("spectrum_id").alias(f"id_{c}"), F.col("cluster").alias(f"_{c}"), F.col("copies").alias(f"_n{c}"))
+    few = few.join(of("a"), "id_a").join(of("b"), "id_b").where("_a = _b").withColumn("_s", F.lit(1.0) - F.col("dist"))
+    ends = F.explode(F.array(F.struct(F.col("id_a").alias("spectrum_id"), (F.col("_s") * F.col("_nb")).alias("s")), F.struct(F.col("id_b").alias("spectrum_id"), (F.col("_s") * F.col("_na")).alias("s")))).alias("e")
+    sums = by_group(dealt(points, bands, tol, mode, tile, "cluster", "copies"), "tile", add_up, "spectrum_id long, s double")
+    sums = sums.unionByName(few.select(ends).select("e.*")).groupBy("spectrum_id").agg(F.sum("s").alias("_s"))
     size = points.groupBy("cluster").agg(F.sum("copies").alias("n"), F.min("spectrum_id").alias("_first"))
     good = F.col("hv").isNotNull() & (F.col("precursor_mz") > 0)
     near_own = F.coalesce("_s", F.lit(0.0)) + F.when(good, F.col("copies") - 1).otherwise(0)

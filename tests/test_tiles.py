@@ -28,24 +28,25 @@ def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).fillna(-1).collect())
 
 
-@pytest.mark.parametrize("tile", [16, 1024])
+@pytest.mark.parametrize("hot, tile", [(0, 16), (20, 16), (20, 1024), (10_000, 16)])
 @pytest.mark.parametrize("mode, tol", [("ppm", 20), ("Da", 0.01)])
-def test_tiles_equal_pairs(spark, tile, mode, tol):
+def test_tiles_equal_pairs(spark, hot, tile, mode, tol):
     df = spark.createDataFrame(spectra(5, 220), SCHEMA).cache()
     edges = distances.masked_pairs(df, tol, 64, mode).cache()
     for least in (1, 2):
         want = clustering.dbscan(df, edges, 0.13, least)
-        got = tiles.dbscan(df, tol, 64, 0.13, mode, least, tile)
+        got = tiles.dbscan(df, tol, 64, 0.13, mode, least, tile, hot)
         assert rows(got, "spectrum_id", "cluster") == rows(want, "spectrum_id", "cluster")
     assert len({c for _, c in rows(got, "spectrum_id", "cluster")}) > 5
-    marks = rows(tiles.medoids(want, tol, 64, mode, tile), "spectrum_id", "cluster", "is_representative")
+    marks = rows(tiles.medoids(want, tol, 64, mode, tile, hot), "spectrum_id", "cluster", "is_representative")
     assert marks == rows(clustering.medoids(want, edges), "spectrum_id", "cluster", "is_representative")
 
 
 def test_spectra_without_vectors_stand_alone(spark):
     df = spark.createDataFrame([(1, 1, 1, 500.0, None), (2, 1, 1, None, [1, 1]), (3, 1, 1, 500.0, [1, 1]), (4, 1, 1, 500.0, [1, 1])], SCHEMA)
-    got = {r.spectrum_id: r.cluster for r in tiles.dbscan(df, 20, 64, 0.1).collect()}
-    assert got == {1: None, 2: None, 3: 3, 4: 3}
+    for hot in (0, 100):
+        got = {r.spectrum_id: r.cluster for r in tiles.dbscan(df, 20, 64, 0.1, hot=hot).collect()}
+        assert got == {1: None, 2: None, 3: 3, 4: 3}
     assert tiles.dbscan(df.limit(0), 20, 64, 0.1).count() == 0
 
 
