@@ -1,6 +1,6 @@
-"""DBSCAN and medoids without a row per pair where a precursor band is hot: pairs are compared inside tiles, which return links of a forest or sums.
+"""DBSCAN and medoids without a row per pair: pairs are compared inside strips of precursor bands, or inside tiles where a band is hot, which return labels, links of a forest or sums.
 
-Pairs of bands of up to HOT points are made by the join of distances.masked_pairs(), a few hundred rows a point at most. Points of a hotter
+Pairs of bands of up to HOT points are looked at in strips (see there). Points of a hotter
 band, and of the bands beside it, are dealt into chunks of TILE; a tile is two chunks of one band, or of a band and the next, and holds every
 pair within tolerance once. So a band may hold any share of the spectra: a task sees two chunks at most, each point goes to as many tiles as
 its band and its neighbours have chunks, and what comes out of a tile is in proportion to its points. Where a band is hot, spectra of equal
@@ -15,19 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import table
-from . import clustering
+from . import strips
 from .clustering import GROUP, by_group, collapse
-from .distances import band, masked_pairs
+from .distances import band
 from .graph import components
 
-#: Points of a band whose pairs are made by a join, and points in one chunk of a larger one.
-HOT, TILE = 128, 1_024
+#: Points of a band that lies in a strip, at most, and points in one chunk of a larger one.
+HOT, TILE = 4_096, 1_024
 #: Distances that are held at once.
 BLOCK = 1 << 20
 
 
 def usable() -> F.Column:
-    return F.col("hv").isNotNull() & (F.col("precursor_mz") > 0) & ~F.isnan("precursor_mz")
+    good = (F.col("precursor_mz") > 0) & ~F.isnan("precursor_mz") & F.col("hv").isNotNull() & F.col(GROUP[0]).isNotNull() & F.col(GROUP[1]).isNotNull()
+    return F.coalesce(good, F.lit(False))
 
 
 def hot_bands(df: DataFrame, tol: float, mode: str, hot: int) -> DataFrame | None:
@@ -36,10 +37,13 @@ def hot_bands(df: DataFrame, tol: float, mode: str, hot: int) -> DataFrame | Non
     return None if size.isEmpty() else table(size)
 
 
-def cold(points: DataFrame, hot: DataFrame, tol: float, mode: str) -> DataFrame:
-    """The points of bands that aren't hot."""
-    keyed = points.where(usable()).withColumn("_band", band(F.col("precursor_mz"), tol, mode))
-    return keyed.join(hot.select(*GROUP, "_band"), [*GROUP, "_band"], "left_anti").drop("_band")
+def parted(df: DataFrame, hot: DataFrame | None, tol: float, mode: str) -> tuple[DataFrame, DataFrame]:
+    """The usable rows of bands that aren't hot, and those of hot ones."""
+    good = df.where(usable())
+    if hot is None:
+        return good, good.limit(0)
+    keyed, key = good.withColumn("_band", band(F.col("precursor_mz"), tol, mode)), [*GROUP, "_band"]
+    return tuple(keyed.join(hot.select(*key), key, how).select(*df.columns) for how in ("left_anti", "left_semi"))  # type: ignore[return-value]
 
 
 def dealt(points: DataFrame, hot: DataFrame, tol: float, mode: str, tile: int, *more: str) -> DataFrame:
@@ -92,7 +96,7 @@ def near(pdf: pd.DataFrame, tol: float, dim: int, mode: str):  # noqa: ANN201
 
 
 def links(points: DataFrame, hot: DataFrame, tol: float, dim: int, eps: float, mode: str = "ppm", tile: int = TILE) -> DataFrame:
-    """(a, b): links of pairs within eps: those between bands that aren't hot, and enough of each tile to join what its pairs join."""
+    """(a, b): links of pairs within eps of which one lies in a hot band: enough of each tile to join what its pairs join."""
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, up, out = pdf.spectrum_id.to_numpy(), np.arange(len(pdf)), []
@@ -116,57 +120,88 @@ def links(points: DataFrame, hot: DataFrame, tol: float, dim: int, eps: float, m
         ab = np.array(out, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
-    few = masked_pairs(cold(points, hot, tol, mode), tol, dim, mode).where(F.col("dist") <= eps).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return few.unionByName(by_group(dealt(points, hot, tol, mode, tile), "tile", forest, "a long, b long"))
+    return by_group(dealt(points, hot, tol, mode, tile), "tile", forest, "a long, b long")
 
 
 def dbscan(df: DataFrame, tol: float, dim: int, eps: float, mode: str = "ppm", min_samples: int = 2, tile: int = TILE, hot: int = HOT) -> DataFrame:
-    """As clustering.dbscan() with the pairs that distances.masked_pairs() makes; those of hot bands aren't made."""
+    """As clustering.dbscan() with the pairs that distances.masked_pairs() makes, which aren't made here. Strips are labelled on their own; only labels that meet at their edges, or in tiles, are joined over the whole table."""
     if min_samples not in (1, 2):
         raise ValueError("min_samples must be 1 or 2")
     bands = hot_bands(df, tol, mode, hot)
-    if bands is None:
-        return clustering.dbscan(df, masked_pairs(df, tol, dim, mode), eps, min_samples)
-    points, member = collapse(df)
-    points = table(points)
-    roots = components(links(points, bands, tol, dim, eps, mode, tile))
-    named = points.select(F.col("spectrum_id").alias("point"), "copies").join(roots.withColumnRenamed("node", "point"), "point", "left")
-    alone = F.when(F.col("copies") > 1, F.col("point"))  # copies are each other's neighbours
-    named = named.select("point", F.coalesce("root", alone if min_samples == 2 else F.col("point")).alias("cluster"))
-    return df.join(member.join(named, "point").select("spectrum_id", "cluster"), "spectrum_id")
+    few, many = parted(df, bands, tol, mode)
+    marked = strips.labelled(few, tol, dim, eps, mode)
+    edges = strips.crossing(marked)
+    named = marked.where("_own > 0").select(*df.columns, "_label", "_lone")
+    if bands is not None:
+        points, member = collapse(many)
+        points = table(points)
+        beside = named.select(*GROUP, "precursor_mz", "hv", "spectrum_id", F.lit(1).cast("long").alias("copies"))
+        found = table(links(points.unionByName(beside), bands, tol, dim, eps, mode, tile))
+        for c in "ab":
+            found = found.join(named.select(F.col("spectrum_id").alias(c), F.col("_label").alias(f"_{c}")), c, "left")
+        edges = edges.unionByName(found.select(*[F.coalesce(f"_{c}", c).alias(c) for c in "ab"]))
+        copies = points.select(F.col("spectrum_id").alias("_label"), (F.col("copies") == 1).alias("_lone"))
+        named = named.unionByName(many.join(member.withColumnRenamed("point", "_label"), "spectrum_id").join(copies, "_label").select(*named.columns))
+    edges = table(edges)
+    # a label that meets itself is reached from beside, but has no edge
+    same = edges.where("a = b").select(F.col("a").alias("_label"), F.col("a").alias("root"))
+    roots = table(components(edges).select(F.col("node").alias("_label"), "root").unionByName(same).groupBy("_label").agg(F.min("root").alias("root")))
+    alone = F.lit(None).cast("long") if min_samples == 2 else F.col("_label")
+    named = named.join(roots, "_label", "left").withColumn("cluster", F.coalesce("root", F.when(F.col("_lone"), alone).otherwise(F.col("_label"))))
+    rest = df.where(~usable()).withColumn("cluster", F.lit(None).cast("long") if min_samples == 2 else F.col("spectrum_id"))
+    return named.select(*df.columns, "cluster").unionByName(rest)
 
 
 def medoids(df: DataFrame, tol: float, dim: int, mode: str = "ppm", tile: int = TILE, hot: int = HOT) -> DataFrame:
-    """As clustering.medoids() with the pairs that distances.masked_pairs() makes; those of hot bands aren't made: each point's similarities to its cluster are added up tile by tile."""
+    """As clustering.medoids() with the pairs that distances.masked_pairs() makes, which aren't made here: each spectrum's similarities to its cluster are added up along its strip, or tile by tile."""
+    held = df.where("cluster is not null")
+    bands = hot_bands(held, tol, mode, hot)
+    few, many = parted(held, bands, tol, mode)
+    sums = strips.sums(few, tol, dim, mode)
+    rest = held.where(~usable()).select("spectrum_id", "cluster", F.lit(0.0).alias("s"))
+    if bands is not None:
+
+        def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+            cluster, copies = pdf.cluster.to_numpy(), pdf.copies.to_numpy(float)
+            total = np.zeros(len(pdf))
+            for r, b, d in near(pdf, tol, dim, mode):
+                s = np.where((cluster[r, None] == cluster[None, b]) & np.isfinite(d), 1.0 - np.where(np.isfinite(d), d, 1.0), 0.0)
+                total[r] += s @ copies[b]
+                total[b] += s.T @ copies[r]
+            some = np.flatnonzero(total)
+            return pd.DataFrame({"spectrum_id": pdf.spectrum_id.to_numpy()[some], "cluster": cluster[some], "s": total[some]})
+
+        # copies that lie in different clusters are different points
+        key = [*GROUP, "precursor_mz", "hv", "cluster"]
+        points = table(many.groupBy(*key).agg(F.min("spectrum_id").alias("spectrum_id"), F.count("*").alias("copies")))
+        both = points.unionByName(few.select(*key, "spectrum_id", F.lit(1).cast("long").alias("copies")))
+        tiled = by_group(dealt(both, bands, tol, mode, tile, "cluster", "copies"), "tile", add_up, "spectrum_id long, cluster long, s double")
+        copied = points.select("spectrum_id", "cluster", (F.col("copies") - 1).cast("double").alias("s"))
+        sums = sums.unionByName(tiled).unionByName(copied).groupBy("spectrum_id", "cluster").agg(F.sum("s").alias("s"))
+    sums = table(sums.unionByName(rest))
+    size = table(held.groupBy("cluster").agg(F.count("*").alias("n")))
+    mean = F.when(F.col("n") > 2, F.round((F.col("n") - 1 - F.col("s")) / F.col("n"), 9)).otherwise(0.0)
+    best = sums.join(size, "cluster").groupBy("cluster").agg(F.min(F.struct(mean.alias("m"), "spectrum_id")).alias("_b"))
+    reps = table(best.select(F.col("_b.spectrum_id").alias("spectrum_id"), F.lit(True).alias("_rep")))
+    marked = df.join(reps, "spectrum_id", "left")
+    return marked.withColumn("is_representative", F.col("cluster").isNull() | F.coalesce("_rep", F.lit(False))).select(*df.columns, "is_representative")
+
+
+def nearest(df: DataFrame, tol: float, dim: int, mode: str = "ppm", tile: int = TILE, hot: int = HOT) -> DataFrame:
+    """(spectrum_id, d): of each usable spectrum the least distance of the pairs that distances.masked_pairs() makes, which aren't made here; null, or no row, if there is none."""
     bands = hot_bands(df, tol, mode, hot)
+    few, many = parted(df, bands, tol, mode)
+    found = strips.least(few, tol, dim, mode)
     if bands is None:
-        return clustering.medoids(df, masked_pairs(df, tol, dim, mode))
-    noise = df.where("cluster is null").withColumn("is_representative", F.lit(True))
-    held = df.where("cluster is not null")
-    # copies that lie in different clusters are different points
-    key = [*GROUP, "precursor_mz", "hv", "cluster"]
-    points = table(held.groupBy(*key).agg(F.min("spectrum_id").alias("spectrum_id"), F.count("*").alias("copies")))
+        return found
 
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        cluster, copies = pdf.cluster.to_numpy(), pdf.copies.to_numpy(float)
-        total = np.zeros(len(pdf))
+    def closest(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = np.full(len(pdf), np.inf)
         for r, b, d in near(pdf, tol, dim, mode):
-            s = np.where((cluster[r, None] == cluster[None, b]) & np.isfinite(d), 1.0 - np.where(np.isfinite(d), d, 1.0), 0.0)
-            total[r] += s @ copies[b]
-            total[b] += s.T @ copies[r]
-        some = np.flatnonzero(total)
-        return pd.DataFrame({"spectrum_id": pdf.spectrum_id.to_numpy()[some], "s": total[some]})
-
-    few = masked_pairs(cold(points, bands, tol, mode), tol, dim, mode)
-    of = lambda c: points.select(F.col("spectrum_id").alias(f"id_{c}"), F.col("cluster").alias(f"_{c}"), F.col("copies").alias(f"_n{c}"))
-    few = few.join(of("a"), "id_a").join(of("b"), "id_b").where("_a = _b").withColumn("_s", F.lit(1.0) - F.col("dist"))
-    ends = F.explode(F.array(F.struct(F.col("id_a").alias("spectrum_id"), (F.col("_s") * F.col("_nb")).alias("s")), F.struct(F.col("id_b").alias("spectrum_id"), (F.col("_s") * F.col("_na")).alias("s")))).alias("e")
-    sums = by_group(dealt(points, bands, tol, mode, tile, "cluster", "copies"), "tile", add_up, "spectrum_id long, s double")
-    sums = sums.unionByName(few.select(ends).select("e.*")).groupBy("spectrum_id").agg(F.sum("s").alias("_s"))
-    size = points.groupBy("cluster").agg(F.sum("copies").alias("n"), F.min("spectrum_id").alias("_first"))
-    good = F.col("hv").isNotNull() & (F.col("precursor_mz") > 0)
-    near_own = F.coalesce("_s", F.lit(0.0)) + F.when(good, F.col("copies") - 1).otherwise(0)
-    scored = points.join(size, "cluster").join(sums, "spectrum_id", "left").withColumn("_mean", F.round((F.col("n") - 1 - near_own) / F.col("n"), 9))
-    rep = scored.groupBy("cluster").agg(F.min(F.struct(F.when(F.col("n") > 2, F.col("_mean")).otherwise(0.0).alias("m"), "spectrum_id")).alias("_b")).select("cluster", F.col("_b.spectrum_id").alias("_rep"))
-    marked = held.join(rep, "cluster").withColumn("is_representative", F.col("spectrum_id") == F.col("_rep")).drop("_rep")
-    return marked.select(*df.columns, "is_representative").unionByName(noise.select(*df.columns, "is_representative"))
+            best[r] = np.minimum(best[r], d.min(1))
+            best[b] = np.minimum(best[b], d.min(0))
+        some = np.isfinite(best)
+        return pd.DataFrame({"spectrum_id": pdf.spectrum_id.to_numpy()[some], "d": best[some]})
+
+    tiled = by_group(dealt(few.unionByName(many), bands, tol, mode, tile), "tile", closest, "spectrum_id long, d double")
+    return found.unionByName(tiled).groupBy("spectrum_id").agg(F.min("d").alias("d"))

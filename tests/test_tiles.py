@@ -42,6 +42,46 @@ def test_tiles_equal_pairs(spark, hot, tile, mode, tol):
     assert marks == rows(clustering.medoids(want, edges), "spectrum_id", "cluster", "is_representative")
 
 
+@pytest.mark.parametrize("mode, tol", [("ppm", 20), ("Da", 0.01)])
+def test_strips_meet_at_their_edges(spark, mode, tol):
+    """Pairs and chains on both sides of the edges of strips, with rising and falling ids."""
+    r = np.random.default_rng(3)
+    mz = np.cumsum(r.uniform(0, 0.011, 2_000)) + 500.0
+    ids = r.permutation(2_000)
+    base = r.integers(0, 1 << 32, (2, 2))
+    df = spark.createDataFrame([(int(i), 1, 4, float(m), base[r.integers(0, 2)].tolist()) for i, m in zip(ids, mz, strict=True)], SCHEMA).cache()
+    edges = distances.masked_pairs(df, tol, 64, mode).cache()
+    want = clustering.dbscan(df, edges, 0.13).cache()
+    assert rows(tiles.dbscan(df, tol, 64, 0.13, mode), "spectrum_id", "cluster") == rows(want, "spectrum_id", "cluster")
+    marks = rows(tiles.medoids(want, tol, 64, mode), "spectrum_id", "cluster", "is_representative")
+    assert marks == rows(clustering.medoids(want, edges), "spectrum_id", "cluster", "is_representative")
+
+
+@pytest.mark.parametrize("hot", [0, 20, 4_096])
+def test_nearest_equals_pairs(spark, hot):
+    df = spark.createDataFrame(spectra(7, 150) + [(1_000_000, 1, 4, 900.0, [1, 1])], SCHEMA).cache()
+    ends = distances.masked_pairs(df, 20, 64).select(F.explode(F.array("id_a", "id_b")).alias("spectrum_id"), "dist")
+    want = {r[0]: r[1] for r in ends.groupBy("spectrum_id").agg(F.min("dist")).collect()}
+    got = tiles.nearest(df, 20, 64, tile=16, hot=hot).where("d is not null").collect()
+    assert {r.spectrum_id: r.d for r in got} == want and len(got) == len(want) > 100
+
+
+def test_pairs_of_a_band_are_not_rows(spark):
+    """3,000 spectra in reach of each other make labels and sums in proportion, though no band counts as hot."""
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, 1, 4, 500.0 + i * 1e-6, r.integers(0, 1 << 32, 2).tolist()) for i in range(3_000)], SCHEMA).cache()
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    made: list[str] = []
+    keep = tiles.strips.table
+    tiles.strips.table = lambda d: made.append(plan(d)) or keep(d)
+    try:
+        found = tiles.dbscan(df, 20, 64, 0.3)
+    finally:
+        tiles.strips.table = keep
+    assert len(made) == 1 and "Join" not in made[0]
+    assert found.count() == 3_000
+
+
 def test_spectra_without_vectors_stand_alone(spark):
     df = spark.createDataFrame([(1, 1, 1, 500.0, None), (2, 1, 1, None, [1, 1]), (3, 1, 1, 500.0, [1, 1]), (4, 1, 1, 500.0, [1, 1])], SCHEMA)
     for hot in (0, 100):
