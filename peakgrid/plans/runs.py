@@ -18,7 +18,8 @@ def load(spark: SparkSession, paths: str | list[str], p: Params, checkpoint: str
     if checkpoint and (found := files.load_checkpoint(spark, checkpoint)) is not None:
         return found
     raw = peaks.natural_key(mgf.read(spark, paths)).withColumn("spectrum_id", F.xxhash64("source_file", "scan", "retention_time", "precursor_mz", "peaks"))
-    made = encoding.encode(peaks.preprocess(raw, p), p).drop("peaks", "title")
+    # parsed once: filters of the cleaning would be pushed into the parsing, and lines be parsed again for each
+    made = encoding.encode(peaks.preprocess(table(raw), p), p).drop("peaks", "title")
     if not checkpoint:
         return table(made)
     files.save_checkpoint(made, checkpoint)

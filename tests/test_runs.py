@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from peakgrid.operators import encoding
 from peakgrid.params import Params
 from peakgrid.plans import runs, testdata
 from peakgrid.sources import mgf
@@ -51,3 +52,12 @@ def test_baselines_side_by_side(spark, data):
     assert all(r.tp + r.fp + r.tn + r.fn == rows[0].tp + rows[0].fp + rows[0].tn + rows[0].fn and 0 <= r.auroc <= 1 for r in rows)
     with pytest.raises(ValueError):
         runs.baseline_run(spectra, spectra, 0.05, skip=tuple(runs.DETECTORS))
+
+
+def test_files_are_parsed_once(spark, tmp_path, monkeypatch):
+    """What is cleaned reads parsed spectra; filters on peaks aren't pushed into the parsing of text."""
+    (tmp_path / "a.mgf").write_text("BEGIN IONS\nTITLE=x\nSCANS=1\nRTINSECONDS=2\nPEPMASS=500.5\nCHARGE=2+\n200.5 10\n300.5 20\n700.5 30\nEND IONS\n")
+    plans, keep = [], encoding.encode
+    monkeypatch.setattr(encoding, "encode", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, *a))
+    assert runs.load(spark, str(tmp_path), Params(min_peaks=2, hd_dim=64)).count() == 1
+    assert len(plans) == 1 and "BEGIN IONS" not in plans[0]
