@@ -80,6 +80,10 @@ def encode_portable(df: DataFrame, dim: int = 64, q: int = 16) -> DataFrame:
 # ---- production codebook ----------------------------------------------------------------------------------------------------
 
 
+#: Counts that are held at once.
+BLOCK = 1 << 20
+
+
 def codebook_length(low: float, high: float, width: float) -> tuple[int, float, float]:
     """Number of m/z bins and the range that they cover: low and high are moved out to whole bins."""
     start, end = low - low % width, high + width - high % width
@@ -132,6 +136,17 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words.astype("<u4")).view(np.uint8), axis=1, bitorder="little").astype(bool)
 
 
+def signs(levels: np.ndarray, ids: np.ndarray, lv: np.ndarray, m: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Per spectrum, whose peaks are `count` places from `start` on, the sum of level vector times m/z vector: first peaks of all spectra, then second ones, and so on."""
+    most = int(count.max(initial=0))
+    out = np.zeros((len(count), levels.shape[1]), np.int16 if most < 1 << 15 else np.int32)
+    for k in range(most):
+        some = np.flatnonzero(count > k)
+        at = start[some] + k
+        out[some] += levels[lv[at]] * ids[m[at]]
+    return out
+
+
 def encode(df: DataFrame, p: Params, portable: bool = False, width: float | None = None) -> DataFrame:
     """df with hv, of hd_dim bits from the production codebook, or from the portable one. m/z beyond the codebook take its last vector; a spectrum without peaks has only zeros.
 
@@ -151,18 +166,17 @@ def encode(df: DataFrame, p: Params, portable: bool = False, width: float | None
         levels, ids = md5_codebooks(dim, q, bins) if portable else codebooks(dim, q, bins, flip)
         for b in batches:
             peaks = b.column(n)
-            ends = np.diff(peaks.offsets.to_numpy()).cumsum()
+            count = np.diff(peaks.offsets.to_numpy())
+            ends = count.cumsum()
             flat = peaks.flatten()
             mz, level = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             m = np.clip(((mz - start) / step).astype(np.int64) if width else mz.astype(np.int64), 0, bins - 1)
             lv = np.clip((level * q).astype(np.int64), 0, q)
             out = np.zeros((b.num_rows, dim // 32), np.int64)
-            at = 0
-            for i, end in enumerate(ends):
-                if end > at:
-                    s = (levels[lv[at:end]] * ids[m[at:end]]).sum(0, dtype=np.int32)
-                    out[i] = pack((s > 0)[None])[0]
-                at = end
+            rows = max(1, BLOCK // dim)
+            for s in range(0, b.num_rows, rows):
+                part = slice(s, s + rows)
+                out[part] = pack(signs(levels, ids, lv, m, (ends - count)[part], count[part]) > 0)
             hv = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (dim // 32), pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], hv], names=schema.names)
 

@@ -1,13 +1,20 @@
 """Peak cleaning, scaling and bucketing as column expressions over spectra.
 
 A spectrum is a row with spectrum_id, precursor_mz, precursor_charge, retention_time, identifier, scan and peaks, an array of
-struct<mz, intensity> in order of m/z. None of these operators shuffles.
+struct<mz, intensity> in order of m/z. None of these operators shuffles. The whole chain, preprocess(), takes the same steps over Arrow
+batches instead, since the optimizer copies what makes the peaks into each filter that follows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..params import Params
 
@@ -119,14 +126,87 @@ def by_bucket(df: DataFrame) -> DataFrame:
     return df.repartition("precursor_charge", "bucket").sortWithinPartitions("bucket", "precursor_charge", "spectrum_id")
 
 
-def preprocess(df: DataFrame, p: Params) -> DataFrame:
-    """The whole chain: range, validity, precursor removal, validity, strongest peaks, validity, scaling, norm, charges, bucket."""
+PEAKS = T.ArrayType(T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())]))
+
+
+def clean(b: pa.RecordBatch, p: Params) -> pa.RecordBatch:
+    """Range, validity, precursor removal, validity, strongest peaks, validity and, if nothing is to be scaled, norm, of a batch at once. Nulls and NaN are judged as the expressions above judge them."""
+    n, peaks = b.num_rows, b.column("peaks")
+    flat = peaks.flatten()
+    mzs, strength = flat.flatten()
+    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(peaks), 0).to_numpy(zero_copy_only=False))
+    # a null m/z becomes NaN, which lies in no range
+    mz, x, unknown = (c.to_numpy(zero_copy_only=False) for c in (mzs, strength, strength.is_null()))
+    mz, x = mz.astype(float), x.astype(float)
+    good = np.ones(n, bool)
+
+    def keep(which: np.ndarray) -> None:
+        """Only these peaks, and of them those of valid spectra."""
+        nonlocal row, mz, x, unknown, good
+        row, mz, x, unknown = row[which], mz[which], x[which], unknown[which]
+        count = np.bincount(row, minlength=n)
+        end = count.cumsum()
+        good = good & (count >= max(p.min_peaks, 1))
+        some = np.flatnonzero(good)
+        good[some] = mz[end[some] - 1] - mz[(end - count)[some]] >= p.min_mz_range
+        which = good[row]
+        row, mz, x, unknown = row[which], mz[which], x[which], unknown[which]
+
+    keep((mz >= p.min_mz) & (mz <= p.max_mz))
+    charge, precursor = b.column("precursor_charge"), b.column("precursor_mz")
+    z = np.maximum(pc.fill_null(charge, 0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+    neutral = (pc.fill_null(precursor, np.nan).to_numpy(zero_copy_only=False) - HYDROGEN) * z
+    near = (precursor.is_null().to_numpy(zero_copy_only=False) & (z > 0))[row]
+    for c in range(1, int(z.max(initial=0)) + 1):
+        near |= (z[row] >= c) & (np.abs((neutral / c + HYDROGEN)[row] - mz) <= p.remove_precursor_tol)
+    keep(~near)
+    good[row[unknown]] = False  # a null would be the first in the order of intensity
+    order = np.lexsort((mz, -x, row))
+    row, mz, x, unknown = row[order], mz[order], x[order], unknown[order]
+    count = np.bincount(row, minlength=n)
+    first = (count.cumsum() - count)[row]
+    least = x[first] * p.min_intensity
+    strong = good[row] & ((x > least) | (np.isnan(x) & ~np.isnan(least)))
+    if p.max_peaks_used is not None:
+        strong &= np.arange(len(row)) - first < p.max_peaks_used
+    order = np.lexsort((x, mz, row))
+    row, mz, x, unknown, strong = row[order], mz[order], x[order], unknown[order], strong[order]
+    keep(strong)
+    if p.scaling == "off":
+        norm = np.sqrt(np.bincount(row, x * x, n))[row]  # added up in order
+        x = np.where(norm <= 0, x, np.divide(x, norm, where=norm != 0, out=x.copy()))
+    at = np.r_[0, np.bincount(row, minlength=n)[good].cumsum()]
+    made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(mz), pa.array(x)], ["mz", "intensity"]))
+    kept = b.filter(pa.array(good))
+    return pa.RecordBatch.from_arrays([made if c == "peaks" else kept.column(c) for c in b.schema.names], names=b.schema.names)
+
+
+def by_expressions(df: DataFrame, p: Params) -> DataFrame:
+    """The steps of clean() by the operators above, for peaks or precursors of other types."""
     check = lambda d: valid_spectra(d, p.min_peaks, p.min_mz_range)
     df = check(filter_mz_range(df, p.min_mz, p.max_mz))
     df = check(remove_precursor(df, p.remove_precursor_tol))
     df = check(top_peaks(df, p.max_peaks_used, p.min_intensity))
-    df = normalize(scale_intensity(df, p.scaling))
-    return assign_bucket(filter_charges(df, p.cluster_charges), p.mz_interval)
+    return normalize(scale_intensity(df, p.scaling))
+
+
+def preprocess(df: DataFrame, p: Params) -> DataFrame:
+    """The whole chain: range, validity, precursor removal, validity, strongest peaks, validity, scaling, norm, charges, bucket."""
+    kinds = dict(df.dtypes)
+    plain = (kinds["peaks"], kinds["precursor_mz"], kinds["precursor_charge"]) == (PEAKS.simpleString(), "double", "int")
+    if not plain or p.min_mz is None or p.max_mz is None:
+        return assign_bucket(filter_charges(by_expressions(df, p), p.cluster_charges), p.mz_interval)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            for b in batches:
+                yield clean(b, p)
+
+    schema = T.StructType([T.StructField("peaks", PEAKS) if f.name == "peaks" else f for f in df.schema.fields])
+    made = filter_charges(df, p.cluster_charges).mapInArrow(run, schema)
+    if p.scaling != "off":
+        made = normalize(scale_intensity(made, p.scaling))
+    return assign_bucket(made, p.mz_interval)
 
 
 def baseline_filter(df: DataFrame, low: float = 0.0, high: float = 1500.0, least_range: float = 5.0) -> DataFrame:

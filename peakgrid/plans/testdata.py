@@ -36,7 +36,7 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra with their peaks in order of m/z. An order has a few dozen lines at most, so that a group is small."""
-    grouped = peaks(spark, sf_dir).groupBy("spectrum_id").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
+    grouped = peaks(spark, sf_dir).groupBy("spectrum_id").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
     return meta(spark, sf_dir).join(grouped, "spectrum_id")
 
 
