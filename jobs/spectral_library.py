@@ -20,7 +20,7 @@ if __name__ == "__main__":
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from peakgrid.operators import clustering, distances, encoding, peaks, tiles
+from peakgrid.operators import clustering, encoding, peaks, tiles
 from peakgrid.params import Params
 from peakgrid.plans import scratch, testdata
 
@@ -35,8 +35,7 @@ def library(spectra: DataFrame, p: Params) -> DataFrame:
     if p.cluster_alg == "dbscan":
         found = tiles.dbscan(known, p.precursor_tol, p.hd_dim, p.eps, p.precursor_tol_mode)
     else:
-        pairs = lambda points: scratch.table(distances.masked_pairs(points, p.precursor_tol, p.hd_dim, p.precursor_tol_mode))
-        found = clustering.hierarchical_of_copies(known, pairs, p.eps, p.cluster_alg.removeprefix("hc_"))
+        found = tiles.hierarchical(known, p.precursor_tol, p.hd_dim, p.eps, p.cluster_alg.removeprefix("hc_"), p.precursor_tol_mode)
     marked = tiles.medoids(scratch.table(found), p.precursor_tol, p.hd_dim, p.precursor_tol_mode)
     marked = scratch.table(clustering.global_labels(marked.drop("hv")))
     size = marked.groupBy("label").agg(F.count("*").alias("n_spectra"))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import table
 from . import strips
-from .clustering import GROUP, by_group, collapse
-from .distances import band
+from .clustering import GROUP, by_group, collapse, link_by_joins
+from .distances import band, masked_pairs
 from .graph import components
 
 #: Points of a band that lies in a strip, at most, and points in one chunk of a larger one.
@@ -152,6 +152,42 @@ def dbscan(df: DataFrame, tol: float, dim: int, eps: float, mode: str = "ppm", m
     return named.select(*df.columns, "cluster").unionByName(rest)
 
 
+#: Pairs within tolerance of a component that one task links, at most.
+PAIRS = 1 << 25
+
+
+def hierarchical(df: DataFrame, tol: float, dim: int, eps: float, how: str = "complete", mode: str = "ppm", most: int = PAIRS) -> DataFrame:
+    """As clustering.hierarchical_of_copies() with the pairs that distances.masked_pairs() makes, which aren't made here: points of a component of pairs within eps lie in one task, which compares and links them.
+
+    Of a component of too many pairs, by its points in each band, a table of pairs is made, and it is linked by joins.
+    """
+    if eps >= 1:
+        raise ValueError("eps must be less than 1, the distance of masked pairs")
+    if how == "single":
+        return dbscan(df, tol, dim, eps, mode, min_samples=1)
+    points, member = collapse(df)
+    points = table(dbscan(points, tol, dim, eps, mode, min_samples=1).withColumnRenamed("cluster", "part"))
+    in_band = points.groupBy("part", band(F.col("precursor_mz"), tol, mode).alias("_band")).agg(F.count("*").alias("_c"))
+    # of c points in a band and k in the next at most c * c / 2 + c * k pairs, and c * k is at most half of both squares
+    bound = in_band.groupBy("part").agg(F.sum("_c").alias("n"), F.ceil(1.5 * F.sum(F.col("_c") * F.col("_c"))).cast("long").alias("pairs")).where("n > 2")
+    bound = table(bound)
+    sized = points.join(bound, "part")
+    named = strips.linked(sized.where(F.col("pairs") <= most), tol, dim, eps, how, mode, most)
+    if not bound.where(F.col("pairs") > most).isEmpty():
+        large = table(sized.where(F.col("pairs") > most))
+        edges = masked_pairs(large, tol, dim, mode, [*GROUP, "part"])
+        if how == "complete":
+            edges = edges.where(F.col("dist") <= F.lit(eps + 1e-12))
+        m = large.select("spectrum_id", "copies")
+        for end, id_col in (("a", "id_a"), ("b", "id_b")):
+            edges = edges.join(m.select(F.col("spectrum_id").alias(id_col), F.col("copies").alias(f"n{end}")), id_col)
+        edges = edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "dist", "na", "nb")
+        named = named.unionByName(link_by_joins(edges, large.select("spectrum_id"), eps, how))
+    few = points.join(bound, "part", "left_anti").select("spectrum_id", F.col("part").alias("cluster"))
+    found = table(named.unionByName(few)).select(F.col("spectrum_id").alias("point"), "cluster")
+    return df.join(member.join(found, "point").select("spectrum_id", "cluster"), "spectrum_id").select(*df.columns, "cluster")
+
+
 def medoids(df: DataFrame, tol: float, dim: int, mode: str = "ppm", tile: int = TILE, hot: int = HOT) -> DataFrame:
     """As clustering.medoids() with the pairs that distances.masked_pairs() makes, which aren't made here: each spectrum's similarities to its cluster are added up along its strip, or tile by tile."""
     held = df.where("cluster is not null")

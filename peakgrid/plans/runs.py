@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, baselines, clustering, distances, encoding, metrics, peaks, tiles
+from ..operators import anomaly, baselines, clustering, encoding, metrics, peaks, tiles
 from ..params import Params
 from ..sources import files, mgf
 from .scratch import table
@@ -32,8 +32,7 @@ def cluster(df: DataFrame, p: Params) -> DataFrame:
     if p.cluster_alg == "dbscan":
         found = tiles.dbscan(kept, p.precursor_tol, p.hd_dim, p.eps)
     else:
-        pairs = lambda points: table(distances.masked_pairs(points, p.precursor_tol, p.hd_dim))
-        found = clustering.hierarchical_of_copies(kept, pairs, p.eps, p.cluster_alg.removeprefix("hc_"))
+        found = tiles.hierarchical(kept, p.precursor_tol, p.hd_dim, p.eps, p.cluster_alg.removeprefix("hc_"))
     refined = table(clustering.refine(found, p.precursor_tol, p.precursor_tol_mode, p.rt_tol))
     return clustering.global_labels(tiles.medoids(refined, p.precursor_tol, p.hd_dim)).withColumn("anomaly", F.lit(False))
 
