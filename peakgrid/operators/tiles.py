@@ -188,36 +188,55 @@ def hierarchical(df: DataFrame, tol: float, dim: int, eps: float, how: str = "co
     return df.join(member.join(found, "point").select("spectrum_id", "cluster"), "spectrum_id").select(*df.columns, "cluster")
 
 
-def medoids(df: DataFrame, tol: float, dim: int, mode: str = "ppm", tile: int = TILE, hot: int = HOT) -> DataFrame:
-    """As clustering.medoids() with the pairs that distances.masked_pairs() makes, which aren't made here: each spectrum's similarities to its cluster are added up along its strip, or tile by tile."""
-    held = df.where("cluster is not null")
+def sums(held: DataFrame, tol: float, dim: int, mode: str = "ppm", tile: int = TILE, hot: int = HOT, fresh: str | None = None) -> DataFrame:
+    """(spectrum_id, cluster, s): each clustered spectrum's similarities to its cluster within tolerance, added up along its strip, or tile by tile; 0 or no row if there is none. Of copies in a hot band the least alone has a row.
+
+    With fresh, a column of booleans, only pairs of which one is count, and all copies have rows.
+    """
     bands = hot_bands(held, tol, mode, hot)
     few, many = parted(held, bands, tol, mode)
-    sums = strips.sums(few, tol, dim, mode)
-    rest = held.where(~usable()).select("spectrum_id", "cluster", F.lit(0.0).alias("s"))
-    if bands is not None:
+    found = strips.sums(few, tol, dim, mode, fresh)
+    if bands is None:
+        return found
 
-        def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-            cluster, copies = pdf.cluster.to_numpy(), pdf.copies.to_numpy(float)
-            total = np.zeros(len(pdf))
-            for r, b, d in near(pdf, tol, dim, mode):
-                s = np.where((cluster[r, None] == cluster[None, b]) & np.isfinite(d), 1.0 - np.where(np.isfinite(d), d, 1.0), 0.0)
-                total[r] += s @ copies[b]
-                total[b] += s.T @ copies[r]
-            some = np.flatnonzero(total)
-            return pd.DataFrame({"spectrum_id": pdf.spectrum_id.to_numpy()[some], "cluster": cluster[some], "s": total[some]})
-
-        # copies that lie in different clusters are different points
-        key = [*GROUP, "precursor_mz", "hv", "cluster"]
-        points = table(many.groupBy(*key).agg(F.min("spectrum_id").alias("spectrum_id"), F.count("*").alias("copies")))
-        both = points.unionByName(few.select(*key, "spectrum_id", F.lit(1).cast("long").alias("copies")))
-        tiled = by_group(dealt(both, bands, tol, mode, tile, "cluster", "copies"), "tile", add_up, "spectrum_id long, cluster long, s double")
-        copied = points.select("spectrum_id", "cluster", (F.col("copies") - 1).cast("double").alias("s"))
-        sums = sums.unionByName(tiled).unionByName(copied).groupBy("spectrum_id", "cluster").agg(F.sum("s").alias("s"))
-    sums = table(sums.unionByName(rest))
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        cluster, copies = pdf.cluster.to_numpy(), pdf.copies.to_numpy(float)
+        total = np.zeros(len(pdf))
+        new = pdf[fresh].to_numpy(bool) if fresh else None
+        for r, b, d in near(pdf, tol, dim, mode):
+            good = (cluster[r, None] == cluster[None, b]) & np.isfinite(d)
+            if fresh:
+                good &= new[r, None] | new[None, b]
+            s = np.where(good, 1.0 - np.where(np.isfinite(d), d, 1.0), 0.0)
+            total[r] += s @ copies[b]
+            total[b] += s.T @ copies[r]
+        some = np.flatnonzero(total)
+        return pd.DataFrame({"spectrum_id": pdf.spectrum_id.to_numpy()[some], "cluster": cluster[some], "s": total[some]})
+
+    # copies that lie in different clusters are different points, and so are old and fresh ones
+    more = ["cluster", *([fresh] if fresh else [])]
+    key = [*GROUP, "precursor_mz", "hv", *more]
+    points = table(many.groupBy(*key).agg(F.min("spectrum_id").alias("spectrum_id"), F.count("*").alias("copies")))
+    both = points.unionByName(few.select(*key, "spectrum_id", F.lit(1).cast("long").alias("copies")))
+    tiled = by_group(dealt(both, bands, tol, mode, tile, *more, "copies"), "tile", add_up, "spectrum_id long, cluster long, s double")
+    copied = points.select("spectrum_id", "cluster", (F.col("copies") - 1).cast("double").alias("s"), *more[1:])
+    if fresh:
+        copied = copied.withColumn("s", F.when(F.col(fresh), F.col("s")).otherwise(0.0)).drop(fresh)
+    found = found.unionByName(tiled).unionByName(copied).groupBy("spectrum_id", "cluster").agg(F.sum("s").alias("s"))
+    if not fresh:
+        return found
+    member = many.select(F.col("spectrum_id").alias("_id"), *key).join(points.select(*key, "spectrum_id"), key).select("spectrum_id", "_id")
+    return found.join(member, "spectrum_id", "left").select(F.coalesce("_id", "spectrum_id").alias("spectrum_id"), "cluster", "s")
+
+
+def medoids(df: DataFrame, tol: float, dim: int, mode: str = "ppm", tile: int = TILE, hot: int = HOT) -> DataFrame:
+    """As clustering.medoids() with the pairs that distances.masked_pairs() makes, which aren't made here: each spectrum's similarities to its cluster come from sums()."""
+    held = df.where("cluster is not null")
+    rest = held.where(~usable()).select("spectrum_id", "cluster", F.lit(0.0).alias("s"))
+    near_all = table(sums(held, tol, dim, mode, tile, hot).unionByName(rest))
     size = table(held.groupBy("cluster").agg(F.count("*").alias("n")))
     mean = F.when(F.col("n") > 2, F.round((F.col("n") - 1 - F.col("s")) / F.col("n"), 9)).otherwise(0.0)
-    best = sums.join(size, "cluster").groupBy("cluster").agg(F.min(F.struct(mean.alias("m"), "spectrum_id")).alias("_b"))
+    best = near_all.join(size, "cluster").groupBy("cluster").agg(F.min(F.struct(mean.alias("m"), "spectrum_id")).alias("_b"))
     reps = table(best.select(F.col("_b.spectrum_id").alias("spectrum_id"), F.lit(True).alias("_rep")))
     marked = df.join(reps, "spectrum_id", "left")
     return marked.withColumn("is_representative", F.col("cluster").isNull() | F.coalesce("_rep", F.lit(False))).select(*df.columns, "is_representative")
