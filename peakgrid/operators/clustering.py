@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -259,6 +260,42 @@ def split_1d(values: np.ndarray, tol: float, mode: str | None = None) -> np.ndar
     return label
 
 
+def spans(low: np.ndarray, high: np.ndarray, line: np.ndarray, tol: float, mode: str | None) -> np.ndarray:
+    """Of neighbours on a line the span of both, infinite if it is over tol or they lie on different lines."""
+    with np.errstate(all="ignore"):
+        span = high[1:] - low[:-1]
+        span = span / low[:-1] * 1e6 if mode == "ppm" else span
+    return np.where((line[1:] == line[:-1]) & (span <= tol), span, np.inf)
+
+
+def split_lines(values: np.ndarray, group: np.ndarray, tol: float, mode: str | None = None, rounds: int = 100) -> np.ndarray:
+    """Labels of split_1d() of the values of each group, all groups at once and no label in two of them; group ascends.
+
+    In a round all pairs of neighbours merge that come before both neighbouring pairs in the order of (span, place); lines that
+    take more rounds are left to split_1d().
+    """
+    n, order = len(values), np.lexsort((values, group))
+    first, line = np.arange(n), group[order]
+    low = values[order]
+    high = low.copy()
+    for _ in range(rounds):
+        span = spans(low, high, line, tol, mode)
+        joins = np.flatnonzero((span < np.inf) & (span < np.r_[np.inf, span][:-1]) & (span <= np.r_[span, np.inf][1:]))
+        if not len(joins):
+            break
+        high[joins] = high[joins + 1]
+        first, line, low, high = (np.delete(x, joins + 1) for x in (first, line, low, high))
+    begins = np.zeros(n, bool)
+    begins[first] = True
+    for g in np.unique(line[:-1][spans(low, high, line, tol, mode) < np.inf]):
+        s, e = np.searchsorted(group, [g, g + 1])
+        label = split_1d(values[order[s:e]], tol, mode)
+        begins[s:e] = np.r_[True, label[1:] != label[:-1]]
+    out = np.empty(n, np.int64)
+    out[order] = begins.cumsum() - 1
+    return out
+
+
 def refine(df: DataFrame, mz_tol: float, mode: str = "ppm", rt_tol: float | None = None, min_samples: int = 2) -> DataFrame:
     """df with cluster split where precursors, and if rt_tol is given retention times, lie too far apart.
 
@@ -266,27 +303,24 @@ def refine(df: DataFrame, mz_tol: float, mode: str = "ppm", rt_tol: float | None
     least spectrum_id of its part. A cluster is one group; long ones are sorted lines, not matrices. With rt_tol a part is a pair of
     one part by m/z and one by retention time.
     """
+    from .strips import by_strip
+
     schema = T.StructType([*[f for f in df.schema.fields if f.name != "cluster"], T.StructField("cluster", T.LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.copy()
-        if pdf.cluster.isna().any() or len(pdf) < min_samples:
-            out["cluster"] = pd.array([None] * len(pdf), "Int64")
-            return out[schema.names]
-        part = split_1d(pdf.precursor_mz.to_numpy(), mz_tol, mode)
+    def run(b: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        values = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)
+        part = split_lines(values("precursor_mz"), group, mz_tol, mode)
         if rt_tol is not None:
-            part = np.unique(np.stack([part, split_1d(pdf.retention_time.to_numpy(), rt_tol)], 1), axis=0, return_inverse=True)[1].ravel()
-        ids = pdf.spectrum_id.to_numpy()
-        least = pd.Series(ids).groupby(part).transform("min").to_numpy()
-        count = pd.Series(ids).groupby(part).transform("size").to_numpy()
-        alone = count < min_samples
-        if len(np.unique(part)) == 1:
-            alone[:] = False
-        out["cluster"] = pd.array(np.where(alone, 0, least), "Int64")
-        out.loc[alone, "cluster"] = pd.NA
-        return out[schema.names]
-
-    some = by_group(df.where("cluster is not null"), "cluster", run, schema)
+            two = split_lines(values("retention_time"), group, rt_tol)
+            part = np.unique(part * (two.max(initial=0) + 1) + two, return_inverse=True)[1].ravel()
+        ids, count = b.column("spectrum_id").to_numpy(), np.bincount(part)
+        least, of = np.full(len(count), np.iinfo(np.int64).max), np.zeros(len(count), np.int64)
+        np.minimum.at(least, part, ids)
+        of[part] = group
+        alone = (count[part] < min_samples) & (np.bincount(of)[group] > 1) | (np.bincount(group)[group] < min_samples)
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in schema.names[:-1]], pa.array(least[part], mask=alone)], names=schema.names)
+
+    some = by_strip(df.where("cluster is not null"), run, schema, ["cluster"])
     none = df.where("cluster is null").select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
     return some.unionByName(none)
 
