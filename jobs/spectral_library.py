@@ -31,8 +31,10 @@ log = logging.getLogger("jobs.spectral_library")
 
 def library(spectra: DataFrame, p: Params) -> DataFrame:
     """A row per clean spectrum: its cluster (null: noise), the cluster's number over the whole library and size, and whether it stands for it. Repeated spectrum ids are an error of the input."""
-    known = scratch.table(encoding.encode(peaks.preprocess(spectra, p), p).drop("peaks"))
-    if p.cluster_alg == "dbscan":
+    dbscan = p.cluster_alg == "dbscan"
+    columns = ["spectrum_id", "precursor_mz", "precursor_charge", "bucket", "hv"]
+    known = scratch.table(encoding.encode(peaks.preprocess(spectra, p), p, packed=dbscan).select(*columns))
+    if dbscan:
         found = tiles.dbscan(known, p.precursor_tol, p.hd_dim, p.eps, p.precursor_tol_mode)
     else:
         found = tiles.hierarchical(known, p.precursor_tol, p.hd_dim, p.eps, p.cluster_alg.removeprefix("hc_"), p.precursor_tol_mode)

@@ -80,8 +80,8 @@ def encode_portable(df: DataFrame, dim: int = 64, q: int = 16) -> DataFrame:
 # ---- production codebook ----------------------------------------------------------------------------------------------------
 
 
-#: Counts that are held at once.
-BLOCK = 1 << 20
+#: Words of vectors that are added up at once.
+LANES = 1 << 16
 
 
 def codebook_length(low: float, high: float, width: float) -> tuple[int, float, float]:
@@ -147,10 +147,44 @@ def signs(levels: np.ndarray, ids: np.ndarray, lv: np.ndarray, m: np.ndarray, st
     return out
 
 
-def encode(df: DataFrame, p: Params, portable: bool = False, width: float | None = None) -> DataFrame:
+def lanes(bits: np.ndarray) -> np.ndarray:
+    """Rows of 1 and other values as rows of 64-bit words (32-bit ones if these don't come out even), bit 1 where it is 1."""
+    return np.packbits(bits == 1, axis=1, bitorder="little").view("<u4" if bits.shape[1] % 64 else "<u8")
+
+
+def majorities(levels: np.ndarray, ids: np.ndarray, lv: np.ndarray, m: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Where signs() are positive, in lanes. A peak's product is 1 where its two vectors agree; the peaks' bits are added up in binary numbers that lie across words, for all spectra of as many peaks at once."""
+    out = np.zeros((len(count), levels.shape[1]), levels.dtype)
+    step = max(1, LANES // levels.shape[1])
+    order = np.argsort(count, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(count[order])) + 1):
+        c = int(count[group[0]]) if len(group) else 0
+        for s in range(0, len(group) if c else 0, step):
+            rows = group[s : s + step]
+            digits: list[np.ndarray] = []
+            for k in range(c):
+                at = start[rows] + k
+                carry = ~(levels[lv[at]] ^ ids[m[at]])
+                for n, digit in enumerate(digits):
+                    digits[n], carry = digit ^ carry, digit & carry
+                if k + 1 == 1 << len(digits):  # as high a sum was not possible before
+                    digits.append(carry)
+            more, same = np.zeros_like(digits[0]), ~np.zeros_like(digits[0])
+            for n in reversed(range(len(digits))):  # more than half
+                if c // 2 >> n & 1:
+                    same &= digits[n]
+                else:
+                    more |= same & digits[n]
+                    same &= ~digits[n]
+            out[rows] = more
+    return out
+
+
+def encode(df: DataFrame, p: Params, portable: bool = False, width: float | None = None, packed: bool = False) -> DataFrame:
     """df with hv, of hd_dim bits from the production codebook, or from the portable one. m/z beyond the codebook take its last vector; a spectrum without peaks has only zeros.
 
-    An m/z is looked up by its whole part, or with width by its bin between p.min_mz and p.max_mz, moved out to whole bins.
+    An m/z is looked up by its whole part, or with width by its bin between p.min_mz and p.max_mz, moved out to whole bins. With packed hv is
+    the words' bytes, a quarter to a half of the size, which strips and tiles read as well.
 
     Arrow batches pass through numpy without a shuffle; each Python worker builds the codebook once.
     """
@@ -160,10 +194,10 @@ def encode(df: DataFrame, p: Params, portable: bool = False, width: float | None
         step = width
     dim, q, flip = p.hd_dim, p.hd_q, p.hd_id_flip_factor
     n = len(df.columns)
-    schema = T.StructType([*df.schema.fields, T.StructField("hv", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*df.schema.fields, T.StructField("hv", T.BinaryType() if packed else T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, ids = md5_codebooks(dim, q, bins) if portable else codebooks(dim, q, bins, flip)
+        levels, ids = (lanes(b) for b in (md5_codebooks(dim, q, bins) if portable else codebooks(dim, q, bins, flip)))
         for b in batches:
             peaks = b.column(n)
             count = np.diff(peaks.offsets.to_numpy())
@@ -172,12 +206,12 @@ def encode(df: DataFrame, p: Params, portable: bool = False, width: float | None
             mz, level = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             m = np.clip(((mz - start) / step).astype(np.int64) if width else mz.astype(np.int64), 0, bins - 1)
             lv = np.clip((level * q).astype(np.int64), 0, q)
-            out = np.zeros((b.num_rows, dim // 32), np.int64)
-            rows = max(1, BLOCK // dim)
-            for s in range(0, b.num_rows, rows):
-                part = slice(s, s + rows)
-                out[part] = pack(signs(levels, ids, lv, m, (ends - count)[part], count[part]) > 0)
-            hv = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (dim // 32), pa.int32()), pa.array(out.ravel()))
+            out = majorities(levels, ids, lv, m, ends - count, count)
+            if packed:
+                ends = pa.py_buffer((np.arange(b.num_rows + 1) * (dim // 8)).astype(np.int32))
+                hv = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(out)])
+            else:
+                hv = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (dim // 32), pa.int32()), pa.array(out.view("<u4").astype(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], hv], names=schema.names)
 
     return df.select("*", F.coalesce("peaks", F.array().cast(df.schema["peaks"].dataType)).alias("_peaks")).mapInArrow(run, schema)

@@ -72,7 +72,8 @@ def dealt(points: DataFrame, hot: DataFrame, tol: float, mode: str, tile: int, *
 def near(pdf: pd.DataFrame, tol: float, dim: int, mode: str):  # noqa: ANN201
     """Of a tile's rows blocks (rows, columns, distances), places among the rows; pairs that aren't within tolerance, of one group or of this tile have infinity. A pair is in one block once."""
     ids, mz, group = pdf.spectrum_id.to_numpy(), pdf.precursor_mz.to_numpy(float), pdf.group.to_numpy()
-    hv = np.array(pdf.hv.tolist(), np.int64).reshape(len(pdf), dim // 32)
+    packed = len(pdf) and isinstance(pdf.hv.iloc[0], bytes | bytearray)
+    hv = (np.frombuffer(b"".join(pdf.hv), np.uint32) if packed else np.array(pdf.hv.tolist(), np.int64)).reshape(len(pdf), dim // 32)
     side = pdf.side.to_numpy()
     for a, b, own in ((np.flatnonzero(side == -1),) * 2 + (True,), (np.flatnonzero(side == 0), np.flatnonzero(side == 1), False)):
         step = max(1, BLOCK // max(len(b), 1))

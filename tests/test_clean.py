@@ -51,3 +51,32 @@ def test_sums_over_peaks_are_those_of_a_loop():
     lv, m = rng.integers(0, 17, end[-1]), rng.integers(0, 40, end[-1])
     want = [(levels[lv[e - c : e]] * ids[m[e - c : e]]).sum(0, dtype=int) for c, e in zip(count, end, strict=True)]
     assert (encoding.signs(levels, ids, lv, m, end - count, count) == np.array(want)).all()
+
+
+@pytest.mark.parametrize("dim", [32, 64, 2048])
+def test_vectors_are_added_up_in_lanes(dim):
+    """No counter per bit and spectrum: sums of up to 70 peaks in binary digits across words, ties and spectra without peaks included."""
+    r = np.random.default_rng(5)
+    levels, ids = (r.choice([-1, 1], (n, dim)).astype(np.int8) for n in (17, 40))
+    count = np.r_[0, 1, 2, 3, 4, 7, 8, 70, r.integers(0, 20, 200)]
+    end = count.cumsum()
+    lv, m = r.integers(0, 17, end[-1]), r.integers(0, 40, end[-1])
+    want = encoding.pack(encoding.signs(levels, ids, lv, m, end - count, count) > 0)
+    got = encoding.majorities(encoding.lanes(levels), encoding.lanes(ids), lv, m, end - count, count)
+    assert (got.view("<u4").astype(np.int64) == want).all()
+
+
+@pytest.mark.parametrize("hot", [4_096, 3])
+def test_packed_vectors_give_the_same_clusters(spark, data, hot):
+    from peakgrid.operators import tiles
+    from peakgrid.plans import testdata
+
+    p = Params(min_peaks=2, min_mz_range=50, mz_interval=80, hd_dim=128, eps=0.45, precursor_tol=2000)
+    clean = peaks.preprocess(testdata.spectra(spark, data), p)
+    found = []
+    for packed in (False, True):
+        df = encoding.encode(clean, p, packed=packed).drop("peaks")
+        assert dict(df.dtypes)["hv"] == ("binary" if packed else "array<bigint>")
+        marked = tiles.medoids(tiles.dbscan(df, 2000, 128, 0.45, hot=hot).cache(), 2000, 128, hot=hot)
+        found.append(sorted((r.spectrum_id, r.cluster or -1, r.is_representative) for r in marked.collect()))
+    assert found[0] == found[1] and len({c for _, c, _ in found[0]}) > 1
