@@ -81,7 +81,7 @@ def encode_portable(df: DataFrame, dim: int = 64, q: int = 16) -> DataFrame:
 
 
 #: Words of vectors that are added up at once.
-LANES = 1 << 16
+WORDS = 1 << 16
 
 
 def codebook_length(low: float, high: float, width: float) -> tuple[int, float, float]:
@@ -155,7 +155,7 @@ def lanes(bits: np.ndarray) -> np.ndarray:
 def majorities(levels: np.ndarray, ids: np.ndarray, lv: np.ndarray, m: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Where signs() are positive, in lanes. A peak's product is 1 where its two vectors agree; the peaks' bits are added up in binary numbers that lie across words, for all spectra of as many peaks at once."""
     out = np.zeros((len(count), levels.shape[1]), levels.dtype)
-    step = max(1, LANES // levels.shape[1])
+    step = max(1, WORDS // levels.shape[1])
     order = np.argsort(count, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(count[order])) + 1):
         c = int(count[group[0]]) if len(group) else 0
