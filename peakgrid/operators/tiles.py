@@ -153,14 +153,14 @@ def dbscan(df: DataFrame, tol: float, dim: int, eps: float, mode: str = "ppm", m
     return named.select(*df.columns, "cluster").unionByName(rest)
 
 
-#: Pairs within tolerance of a component that one task links, at most.
-PAIRS = 1 << 25
+#: Pairs within tolerance of a component that one task links, at most: these take it minutes. Its memory grows with the square of a band, of HOT points at most.
+PAIRS = 1 << 31
 
 
 def hierarchical(df: DataFrame, tol: float, dim: int, eps: float, how: str = "complete", mode: str = "ppm", most: int = PAIRS) -> DataFrame:
     """As clustering.hierarchical_of_copies() with the pairs that distances.masked_pairs() makes, which aren't made here: points of a component of pairs within eps lie in one task, which compares and links them.
 
-    Of a component of too many pairs, by its points in each band, a table of pairs is made, and it is linked by joins.
+    Of a component of too many pairs, by its points in each band, or with a band of over HOT points, a table of pairs is made, and it is linked by joins.
     """
     if eps >= 1:
         raise ValueError("eps must be less than 1, the distance of masked pairs")
@@ -170,12 +170,13 @@ def hierarchical(df: DataFrame, tol: float, dim: int, eps: float, how: str = "co
     points = table(dbscan(points, tol, dim, eps, mode, min_samples=1).withColumnRenamed("cluster", "part"))
     in_band = points.groupBy("part", band(F.col("precursor_mz"), tol, mode).alias("_band")).agg(F.count("*").alias("_c"))
     # of c points in a band and k in the next at most c * c / 2 + c * k pairs, and c * k is at most half of both squares
-    bound = in_band.groupBy("part").agg(F.sum("_c").alias("n"), F.ceil(1.5 * F.sum(F.col("_c") * F.col("_c"))).cast("long").alias("pairs")).where("n > 2")
+    bound = in_band.groupBy("part").agg(F.sum("_c").alias("n"), F.ceil(1.5 * F.sum(F.col("_c") * F.col("_c"))).cast("long").alias("pairs"), F.max("_c").alias("widest")).where("n > 2")
     bound = table(bound)
+    fits = (F.col("pairs") <= most) & (F.col("widest") <= HOT)
     sized = points.join(bound, "part")
-    named = strips.linked(sized.where(F.col("pairs") <= most), tol, dim, eps, how, mode, most)
-    if not bound.where(F.col("pairs") > most).isEmpty():
-        large = table(sized.where(F.col("pairs") > most))
+    named = strips.linked(sized.where(fits), tol, dim, eps, how, mode)
+    if not bound.where(~fits).isEmpty():
+        large = table(sized.where(~fits))
         edges = masked_pairs(large, tol, dim, mode, [*GROUP, "part"])
         if how == "complete":
             edges = edges.where(F.col("dist") <= F.lit(eps + 1e-12))
