@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import strips, tiles
 from ..plans.scratch import carried
 
 #: Columns of accuracy lines, in order.
@@ -54,6 +55,16 @@ def read_distances(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="id_a long, id_b long, dist double")
 
 
+def write_distance_lines(df: DataFrame, path: str, tol: float, dim: int, mode: str = "ppm") -> None:
+    """The distances of all pairs within tolerance as gzipped CSV with a header, about a byte for a pair: lines of strips.lines(), of usable spectra. For tables whose pairs are too many for a line each."""
+    strips.lines(df.where(tiles.usable()), tol, dim, mode).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+
+
+def read_distance_lines(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """(id_a, id_b, dist), as read_distances()."""
+    return strips.pairs_of(spark.read.csv(path, header=True, schema="ids string, n string, d string"), dim)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """Append rows to a folder of CSV files; each has a header, which readers with header=True leave out."""
     df.write.mode("append").option("header", True).csv(path)
